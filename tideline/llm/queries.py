@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, packing
+from . import bitsliced, hilbert, packing, quality, toxicity
 from .common import table
 
 
+def op1_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
@@ -16,5 +20,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op3_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_bit_sliced_top_k": """
+        with v as (
+            select vec_id, [floor(256 * cast(x as double)) for x in embedding] as q
+            from embeddings
+            where embedding is not null and vec_id is not null
+              and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+        s as (
+            select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 50 = 0)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+        from s
+        qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
+}
