@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, hilbert, packing, quality, toxicity
+from . import bitsliced, hilbert, html_text, packing, quality, spaced_seeds, toxicity
 from .common import table
 
 
@@ -28,7 +28,15 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl)}
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op9_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_top_k": """
         with v as (
