@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, hilbert, html_text, packing, quality, spaced_seeds, toxicity
+from . import bitsliced, hilbert, html_text, packing, pii, quality, spaced_seeds, toxicity
 from .common import table
 
 
@@ -32,11 +32,15 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op9_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_top_k": """
         with v as (
