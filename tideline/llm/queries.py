@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, hilbert, html_text, packing, pii, quality, spaced_seeds, toxicity
+from . import bitsliced, hilbert, html_text, minhash, packing, pii, quality, spaced_seeds, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -40,7 +44,7 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return spaced_seeds.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op4_minhash_near_dedup, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_top_k": """
         with v as (
