@@ -51,3 +51,20 @@ def pick(df: DataFrame, name: str, kind: str) -> Column:
 def crc_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``: fixes the folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
+
+
+#: Rows named by (doc_id, text_key) that are sent to every executor at most; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """The documents but those named by (doc_id, text_key) in ``removed``, with all their columns."""
+    removed = save(removed.select(F.col("doc_id").alias("removed_id"), F.col("text_key").alias("removed_key")).distinct(), "removed")
+    if removed.count() <= MAX_BROADCAST_ROWS:
+        removed = F.broadcast(removed)
+    same = docs["doc_id"].cast("long").eqNullSafe(removed["removed_id"]) & (text_key(docs["text"]) == removed["removed_key"])
+    return docs.join(removed, same, "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, save
+from .common import forget, pick, save, text_key, without
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -96,7 +96,7 @@ def signed(n: int):
                 high.append(a)
                 low.append(b)
                 signatures.append(signature(h).tobytes() if len(h) else b"")
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_high", "set_low", "signature"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_high", "set_low", "signature"])
 
     return run
 
@@ -239,7 +239,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-3) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document.
+    """doc_id, n_shingles, component_id, kept, text_key: one row per document; text_key is a hash of its text.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Two
     documents are linked if 100 * shared shingles >= percent * all shingles of
@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     probability (1 - s**5)**24, under 1e-4, and by the signatures with ``miss``.
     """
     least = least_matches(percent / 100, miss)
-    table = save(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(signed(words), "doc_id long, n_shingles long, set_high long, set_low long, signature binary"), "signed")
+    read = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))
+    table = save(read.mapInArrow(signed(words), "doc_id long, text_key long, n_shingles long, set_high long, set_low long, signature binary"), "signed")
     key = ["set_high", "set_low"]
     nodes = table.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.any_value("signature").alias("signature"))
     nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -297,7 +298,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     heads = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("head"))
     node_heads = roots.join(heads, "root").select("node", "head")
     of_set = save(nodes.join(node_heads, "node", "left").select(*key, F.coalesce("head", "first_doc").alias("component_id")), "of-set")
-    narrow = table.select("doc_id", "n_shingles", *key)
+    narrow = table.select("doc_id", "text_key", "n_shingles", *key)
     joined = narrow.join(of_set, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with one of each group of near-duplicates: the one with the least doc_id, and of its repeated rows one."""
+    found = save(near_duplicates(docs, words, percent), "near")
+    kept = without(docs, found.where("not kept"))
+    # Rows that repeat both id and text are rare; only they are moved.
+    repeated = save(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    single = without(kept, repeated)
+    names = repeated.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
+    again = kept.join(names, kept["doc_id"].cast("long").eqNullSafe(names["again_id"]) & (text_key(kept["text"]) == names["again_key"]), "left_semi")
+    return single.unionByName(again.dropDuplicates(["doc_id", "text"]))

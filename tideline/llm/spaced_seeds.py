@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import pick, save, text_key, without
 
 WORD = re.compile(r"\w+")
 #: Which words of a window count.
@@ -128,7 +128,7 @@ def verified(min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, item_id, item_text, shifts in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, item_id, item_text, shifts, key in zip(*(c.to_pylist() for c in batch.columns)):
                 doc, item = words_of(text), words_of(item_text)
                 covered, best, spans = np.zeros(len(item), bool), 0, []
                 for shift in sorted(set(shifts)):
@@ -139,15 +139,15 @@ def verified(min_words: int, similarity: float):
                         best = max(best, n)
                         spans.append((first + shift, end + shift))
                 if best >= min(min_words, len(item)) or covered.sum() >= max(SHORTEST, similarity * len(item)):
-                    out.append((doc_id, item_id, int(covered.sum()), len(item), min(s for s, _ in spans), max(e for _, e in spans)))
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6)], names=["doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word"])
+                    out.append((doc_id, item_id, int(covered.sum()), len(item), min(s for s, _ in spans), max(e for _, e in spans), key))
+            columns = list(zip(*out)) if out else [[]] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7)], names=["doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word", "text_key"])
 
     return run
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
-    """doc_id, item_id, matched_words, item_words, first_word, end_word: one row for each document and item that overlap.
+    """doc_id, item_id, matched_words, item_words, first_word, end_word, text_key: one row for each document and item that overlap.
 
     Words are lower-case runs of letters, digits and underscores. A pair
     overlaps if one stretch has ``min_words`` equal words and a share of
@@ -174,7 +174,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
     hits = candidates.select("doc_key", F.explode("hits").alias("hit")).select("doc_key", "hit.seed", "hit.doc_pos")
     pairs = hits.join(seeds_table.drop("places"), "seed").groupBy("doc_key", "item_key").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))  # a document's shifts: bounded by its own length
     laid = pairs.join(candidates.select("doc_key", "doc_id", "text"), "doc_key").join(items, "item_key")
-    return laid.select("doc_id", "text", "item_id", "item_text", "shifts").mapInArrow(verified(min_words, similarity), "doc_id long, item_id long, matched_words long, item_words long, first_word long, end_word long")
+    return laid.select("doc_id", "text", "item_id", "item_text", "shifts", text_key(F.col("text")).alias("text_key")).mapInArrow(verified(min_words, similarity), "doc_id long, item_id long, matched_words long, item_words long, first_word long, end_word long, text_key long")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that overlap with no item, with all their columns."""
+    return without(docs, overlaps(docs, benchmark))
 
 
 def short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

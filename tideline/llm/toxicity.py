@@ -86,28 +86,30 @@ def fit(sample: list[tuple[str, int]], min_sentences: int = 8, max_words: int =
     return {w: float(theta[i]) for w, i in vocabulary.items() if theta[i] > 0.05}, float(theta[-1])
 
 
+def document_score(text: str, weights: dict[str, float], known: frozenset, leak: float, least: float) -> tuple[float, list]:
+    """(score, offending sentences) of one text."""
+    if known.isdisjoint(WORD.findall(text.lower())):
+        return float(-np.expm1(-leak)) if text else 0.0, []
+    total, found = leak, []
+    for start, end, words in sentences(text):
+        h = sum(weights[w] for w in words & known)
+        total += h
+        if (p := -np.expm1(-h)) >= least:
+            found.append({"start": start, "end": end, "score": float(p)})
+    return float(-np.expm1(-total)), found
+
+
 SCORES = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"
 
 
 def scorer(weights: dict[str, float], leak: float, least: float):
     known = frozenset(weights)
 
-    def one(text: str) -> tuple[float, list]:
-        if known.isdisjoint(WORD.findall(text.lower())):
-            return -np.expm1(-leak) if text else 0.0, []
-        total, found = leak, []
-        for start, end, words in sentences(text):
-            h = sum(weights[w] for w in words & known)
-            total += h
-            if (p := -np.expm1(-h)) >= least:
-                found.append({"start": start, "end": end, "score": float(p)})
-        return -np.expm1(-total), found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            scored = [one(t.as_py() or "") for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([float(s) for s, _ in scored], pa.float64()), pa.array([f for _, f in scored], kind)], names=["doc_id", "score", "offending"])
+            scored = [document_score(t.as_py() or "", weights, known, leak, least) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([f for _, f in scored], kind)], names=["doc_id", "score", "offending"])
 
     return run
 
@@ -125,3 +127,16 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
     scored = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(scorer(weights, leak, threshold), SCORES)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), folds) == held_out_fold, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """The documents that score under the threshold, with all their columns; all labels are learned from."""
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), max_sample)
+    weights, leak = fit([(r["text"], r["toxic"]) for r in sample])
+    known, place = frozenset(weights), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([document_score(t.as_py() or "", weights, known, leak, threshold)[0] < threshold for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
