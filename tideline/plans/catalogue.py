@@ -2,5 +2,420 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import crosscheck, facts, ingest, renames, revisions, stats, vintage
+from ..schema import FORMS, QTRS
+from ..sources import bridge, companyfacts
+from . import oracle
+
+AS_OF = dt.date(1999, 6, 30)
+CONFIG = bridge.CONFIG
+DAYS, POINTS = CONFIG.as_of_dates, CONFIG.truncation_points
+SIZE = CONFIG.universe_size
+#: The test facts have three tags and few companies; the rules of renames are scaled to them.
+RULES = renames.Rules(min_peak=20, decay=2.0, growth=0.1, recent=(2000, 2002), early=1998, min_agreement=0.0, max_median=1.0, min_shared=5, min_support=2)
+TAG_MAP = [("Assets", "StockholdersEquity"), ("StockholdersEquity", "StockholdersEquity")]
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def tag_map(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TAG_MAP, "tag string, representative string")
+
+
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observations, census, events with flags)."""
+    obs = bridge.observations(spark, sf_dir)
+    census = revisions.census(obs, CONFIG)
+    return obs, census, stats.with_flags(revisions.events(obs), census)
+
+
+# Ingest.
+
+
+@query
+def raw_facts(spark, d):
+    return bridge.raw_facts(spark, d).select(*bridge.RAW_COLUMNS)
+
+
+@query
+def observations(spark, d):
+    return bridge.observations(spark, d)
+
+
+@query
+def filter_counts(spark, d):
+    return ingest.audited(*bridge.archive_members(spark, d))[1]
+
+
+@query
+def ingested(spark, d):
+    kept, _ = ingest.audited(*bridge.archive_members(spark, d))
+    return ingest.typed(kept).select("cik", "adsh", "form", "filed", "accepted", "period", "tag", "version", "ddate", F.col("qtrs").cast("int").alias("qtrs"), "uom", "value", "filed_year")
+
+
+@query
+def custom_tag_anti(spark, d):
+    _, num, tag = bridge.archive_members(spark, d)
+    return num.join(tag.where("custom = '1'"), ["tag", "version"], "left_anti").groupBy("tag", "version").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def qtrs_cast_filter(spark, d):
+    _, num, _ = bridge.archive_members(spark, d)
+    q = F.col("qtrs").try_cast("int")
+    return num.groupBy("qtrs").agg(F.count("*").alias("n_rows"), F.count_if(q.isin(*QTRS)).alias("n_kept"))
+
+
+@query
+def blank_filter(spark, d):
+    _, num, _ = bridge.archive_members(spark, d)
+    return num.groupBy(scalar.blank(F.col("segments")).alias("no_segments"), scalar.blank(F.col("coreg")).alias("no_coreg")).agg(F.count("*").alias("n_rows"))
+
+
+# The store.
+
+
+@query
+def pk_violations(spark, d):
+    return facts.key_violations(bridge.raw_facts(spark, d).where(F.col("form").isin(*FORMS)))
+
+
+@query
+def summary(spark, d):
+    return facts.summary(bridge.observations(spark, d))
+
+
+@query
+def by_form(spark, d):
+    return facts.by_form(bridge.observations(spark, d))
+
+
+@query
+def business_key_count(spark, d):
+    return facts.business_keys(bridge.observations(spark, d))
+
+
+@query
+def load_filtered(spark, d):
+    return bridge.observations(spark, d).where(F.col("cik").isin(1, 2, 3, 5, 8) & F.col("tag").isin("Assets", "NetIncomeLoss") & (F.col("ddate") <= F.lit(AS_OF)) & (F.col("qtrs") == 0))
+
+
+@query
+def as_of(spark, d):
+    return facts.as_of(bridge.observations(spark, d), AS_OF)
+
+
+@query
+def latest(spark, d):
+    return facts.latest(bridge.observations(spark, d))
+
+
+@query
+def diff_worlds(spark, d):
+    return facts.diff_worlds(bridge.observations(spark, d), AS_OF)
+
+
+# Events and census.
+
+
+@query
+def events(spark, d):
+    return revisions.events(bridge.observations(spark, d))
+
+
+@query
+def event_seq(spark, d):
+    return revisions.events(bridge.observations(spark, d)).select("cik", "tag", "ddate", "qtrs", "uom", "adsh_new", "seq")
+
+
+@query
+def event_lags(spark, d):
+    return revisions.events(bridge.observations(spark, d)).groupBy("lag_days", "lag_since_first_days").agg(F.count("*").alias("n_events"))
+
+
+@query
+def scale_exponent(spark, d):
+    return revisions.events(bridge.observations(spark, d)).groupBy(F.col("scale_exponent").cast("int").alias("scale_exponent")).agg(F.count("*").alias("n_events"))
+
+
+@query
+def census(spark, d):
+    return revisions.census(bridge.observations(spark, d), CONFIG)
+
+
+@query
+def census_flags(spark, d):
+    flags = ["revised", "from_zero", "ever_amendment", "ever_scale_change", "right_censored", "left_censored_window", "first_is_comparative", "left_censored"]
+    return revisions.census(bridge.observations(spark, d), CONFIG).groupBy(*flags).agg(F.count("*").alias("n_keys"))
+
+
+@query
+def freeze_first_filed(spark, d):
+    return facts.freeze_first(bridge.observations(spark, d)).select("cik", "tag", "ddate", "qtrs", "uom", "adsh", "value")
+
+
+@query
+def frozen_events(spark, d):
+    """Nothing changes once every fact keeps its first value."""
+    return revisions.events(facts.freeze_first(bridge.observations(spark, d))).groupBy("tag").agg(F.count("*").alias("n_events"))
+
+
+@query
+def merged_conflicts(spark, d):
+    return revisions.merged_conflicts(bridge.observations(spark, d), tag_map(spark))
+
+
+@query
+def merged_events(spark, d):
+    return revisions.events(bridge.observations(spark, d), tag_map(spark)).select("cik", "tag", "ddate", "qtrs", "uom", "seq", "v_old", "v_new", "rel_delta", "adsh_old", "adsh_new", "lag_days", "version_changed")
+
+
+@query
+def merged_census(spark, d):
+    return revisions.census(bridge.observations(spark, d), CONFIG, tag_map(spark)).select("cik", "tag", "ddate", "qtrs", "uom", "n_obs", "n_distinct_val", "v_first", "v_final", "revised", "left_censored")
+
+
+# The twelve tables, and the bins of the figures.
+
+
+@query
+def rate_by_threshold(spark, d):
+    _, c, e = tables(spark, d)
+    return stats.rate_by_threshold(c, e)
+
+
+@query
+def magnitude_quantiles(spark, d):
+    return stats.magnitude_quantiles(tables(spark, d)[1])
+
+
+@query
+def rel_delta_quantiles(spark, d):
+    return stats.rel_delta_quantiles(tables(spark, d)[2])
+
+
+@query
+def census_composition(spark, d):
+    return stats.census_composition(tables(spark, d)[1])
+
+
+@query
+def left_censoring_sources(spark, d):
+    return stats.left_censoring_sources(tables(spark, d)[1])
+
+
+@query
+def lag_quantiles(spark, d):
+    return stats.lag_quantiles(tables(spark, d)[2])
+
+
+@query
+def lag_bins(spark, d):
+    return stats.lag_bins(tables(spark, d)[2])
+
+
+@query
+def rate_by_tag(spark, d):
+    _, c, e = tables(spark, d)
+    return stats.rate_by_tag(c, e)
+
+
+@query
+def rate_by_tag_highest(spark, d):
+    return stats.rate_by_tag_highest(tables(spark, d)[1], least=100)
+
+
+@query
+def silent_vs_amendment(spark, d):
+    return stats.silent_vs_amendment(tables(spark, d)[2])
+
+
+@query
+def version_and_scale_share(spark, d):
+    return stats.version_and_scale_share(tables(spark, d)[2])
+
+
+@query
+def accepted_after_1600(spark, d):
+    kept, _ = ingest.audited(*bridge.archive_members(spark, d))
+    return stats.accepted_after_1600_share(ingest.typed(kept))
+
+
+@query
+def magnitude_histogram(spark, d):
+    return stats.histogram(tables(spark, d)[1], "magnitude", 0.005, "revised and not from_zero and not ever_scale_change")
+
+
+# Renames.
+
+
+@query
+def usage_by_year(spark, d):
+    return renames.usage(bridge.observations(spark, d))
+
+
+@query
+def dying_tags(spark, d):
+    return renames.dying(renames.usage(bridge.observations(spark, d)), RULES)
+
+
+@query
+def rising_tags(spark, d):
+    return renames.rising(renames.usage(bridge.observations(spark, d)), RULES)
+
+
+def stock(spark, d):
+    """Facts at a point in time: the tags among them share slots."""
+    return bridge.observations(spark, d).where("qtrs = 0")
+
+
+def pairs(spark):
+    return spark.createDataFrame([("Assets", "StockholdersEquity"), ("StockholdersEquity", "Assets"), ("Assets", "Absent")], "old_tag string, new_tag string")
+
+
+@query
+def successors(spark, d):
+    obs = stock(spark, d)
+    used = renames.usage(obs)
+    return renames.successors(obs, renames.dying(used, RULES), renames.rising(used, RULES), RULES)
+
+
+@query
+def agreement(spark, d):
+    return renames.agreement(stock(spark, d), pairs(spark)).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
+
+
+@query
+def cooccurrence(spark, d):
+    return renames.cooccurrence(stock(spark, d), pairs(spark))
+
+
+@query
+def rename_candidates(spark, d):
+    return renames.detect(stock(spark, d), RULES).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
+
+
+@query
+def rename_classes(spark, d):
+    return renames.class_table(renames.detect(stock(spark, d), RULES))
+
+
+# The vintage experiment.
+
+
+@query
+def newest_period(spark, d):
+    return vintage.newest_period(bridge.observations(spark, d).where((F.col("tag") == "Assets") & (F.col("ddate") <= F.lit(AS_OF)))).select("cik", "ddate", "value", "filed", "adsh", "uom")
+
+
+@query
+def universe_topn(spark, d):
+    handle = vintage.world_pit(bridge.observations(spark, d), AS_OF)
+    return vintage.universe(handle.as_of("Assets", 0, AS_OF), SIZE)
+
+
+@query
+def roe_zscore(spark, d):
+    out = vintage.PROGRAM_FUNCTIONS["correct"](vintage.world_rev(bridge.observations(spark, d)), AS_OF, SIZE)
+    return out.select("cik", F.round("value", 9).alias("value"))
+
+
+def panel_of(name: str):
+    def run(spark, d):
+        rows = vintage.panel(bridge.observations(spark, d), DAYS, SIZE).where(F.col("program") == name)
+        return rows.select("world", "asof", "cik", F.round("value", 9).alias("value"))
+
+    return run
+
+
+for _name in vintage.PROGRAMS:
+    QUERIES[f"panel_{_name}"] = panel_of(_name)
+
+
+def full_panel(spark, d):
+    return vintage.panel(bridge.observations(spark, d), DAYS, SIZE)
+
+
+@query
+def lambda_cell(spark, d):
+    return vintage.lambdas(full_panel(spark, d)).select("program", "lambda_cell", "n_cells", "n_diff")
+
+
+@query
+def lambda_rank(spark, d):
+    return vintage.lambdas(full_panel(spark, d)).select("program", F.round("lambda_rank", 9).alias("lambda_rank"))
+
+
+@query
+def lambda_by_date(spark, d):
+    return vintage.lambda_by_date(full_panel(spark, d)).withColumn("lambda_rank", F.round("lambda_rank", 9))
+
+
+@query
+def truncation_check(spark, d):
+    return vintage.truncation(bridge.observations(spark, d), DAYS, POINTS, SIZE)
+
+
+@query
+def verdict(spark, d):
+    obs = bridge.observations(spark, d)
+    out = vintage.verdicts(vintage.lambdas(vintage.panel(obs, DAYS, SIZE)), vintage.truncation(obs, DAYS, POINTS, SIZE))
+    return out.withColumn("lambda_rank", F.round("lambda_rank", 9))
+
+
+@query
+def restatement_control(spark, d):
+    out = vintage.control(bridge.observations(spark, d), DAYS, SIZE)
+    return out.withColumn("lambda_rank", F.round("lambda_rank", 9))
+
+
+# Dates and the second source.
+
+
+@query
+def month_end(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", scalar.month_end(F.col("day")).alias("month_end"))
+
+
+@query
+def qtrs_from_dates(spark, d):
+    start, end = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 500).cast("int"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.when(F.col("o_orderkey") % 5 != 0, start).alias("start"), end.alias("end"))
+    return rows.groupBy(scalar.qtrs_between(F.col("start"), F.col("end")).alias("n_qtrs")).agg(F.count("*").alias("n_rows"))
+
+
+def second_source(spark, d):
+    """A copy of the facts with a third of the filings missing, some values off, some missing and some contradictory."""
+    obs = bridge.observations(spark, d).where(F.substring("adsh", -1, 1).isin("0", "1", "2", "3", "4", "5", "6"))
+    off = F.when(F.col("cik") % 11 == 3, F.col("value") * 1.5).when(F.col("cik") % 13 == 4, None).otherwise(F.col("value"))
+    rows = obs.select(*crosscheck.MATCH_KEY, off.alias("value"))
+    return rows.unionByName(rows.where("cik % 17 = 5").withColumn("value", F.col("value") + 1))
+
+
+@query
+def crosscheck_summary(spark, d):
+    return crosscheck.summary(bridge.observations(spark, d), second_source(spark, d)).withColumn("conflict_rel_median", F.round("conflict_rel_median", 12))
+
+
+@query
+def crosscheck_conflicts(spark, d):
+    return crosscheck.conflicts(bridge.observations(spark, d), second_source(spark, d))
+
+
+@query
+def json_flatten(spark, d):
+    """Facts written as the second source writes them, one document a company, and read back."""
+    return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d).where("cik < 20"))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
+
+
+ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES)
