@@ -50,4 +50,5 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     va, vb = n * F.col("saa") - F.col("sa") * F.col("sa"), n * F.col("sbb") - F.col("sb") * F.col("sb")
     tied = (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(va * vb)
     rho = F.when((n < 2) | (va == 0) | (vb == 0), None).when((F.col("na") == F.col("n")) & (F.col("nb") == F.col("n")), 1 - F.lit(6.0) * F.col("dd") / (n * (n * n - 1))).otherwise(tied)
-    return s.select(*by, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho"))
+    clamped = F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)))  # greatest and least pass over nulls
+    return s.select(*by, "n", clamped.alias("rho"))

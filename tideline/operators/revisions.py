@@ -12,12 +12,16 @@ from ..functions import scalar
 from ..schema import BUSINESS_KEY
 from .ingest import same_filing
 
-SERIES = Window.partitionBy(*BUSINESS_KEY).orderBy("filed", "adsh")
 EVENT_COLUMNS = tuple(
     "cik tag ddate qtrs uom seq v_old v_new abs_delta rel_delta adsh_old adsh_new form_old form_new filed_old filed_new lag_days lag_since_first_days version_old version_new version_changed is_amendment scale_exponent".split()
 )
 
 
+def in_order():
+    """A fact's observations, first filed first."""
+    return Window.partitionBy(*BUSINESS_KEY).orderBy("filed", "adsh")
+
+
 def mapped_tags(facts: DataFrame, tag_map: DataFrame | None) -> DataFrame:
     """Tags replaced by their class representative; ``tag_map`` has columns tag, representative."""
     if tag_map is None:
@@ -34,13 +38,13 @@ def valued(facts: DataFrame, tag_map: DataFrame | None = None) -> DataFrame:
 
 def series(observed: DataFrame) -> DataFrame:
     """Every observation beside the one before it, the changes among them marked."""
-    before = {c: F.lag(c).over(SERIES).alias(f"{c}_old") for c in ("value", "adsh", "form", "filed", "version")}
-    return observed.select("*", F.first("filed").over(SERIES).alias("filed_first"), *before.values()).withColumn("changed", F.coalesce(F.col("value_old") != F.col("value"), F.lit(False)))
+    before = {c: F.lag(c).over(in_order()).alias(f"{c}_old") for c in ("value", "adsh", "form", "filed", "version")}
+    return observed.select("*", F.first("filed").over(in_order()).alias("filed_first"), *before.values()).withColumn("changed", F.coalesce(F.col("value_old") != F.col("value"), F.lit(False)))
 
 
 def event_columns(changes: DataFrame) -> DataFrame:
     old, new = F.col("value_old"), F.col("value")
-    return changes.withColumn("seq", F.row_number().over(SERIES)).select(
+    return changes.withColumn("seq", F.row_number().over(in_order())).select(
         *BUSINESS_KEY,
         "seq",
         old.alias("v_old"),
