@@ -9,7 +9,8 @@ survivors are confirmed on their full shingle sets.
 A bucket is never expanded into all its pairs. First each member meets only the
 bucket's hub, the member that shares most buckets. Then, between members whose
 components still differ, what is left is compared in blocks of bounded size:
-first each straggler's best partner, then every pair that survives.
+first each straggler's best partner, twice over, then every pair that survives,
+inside the block, so that its pairs are never rows of a table.
 """
 
 from __future__ import annotations
@@ -143,34 +144,76 @@ def filtered_pairs(least: list[int]):
     return run
 
 
-def block_pairs(least: list[int], best: bool):
-    """Pairs of one block across components: (straggler, member). With ``best`` only each straggler's likeliest partner."""
+def open_pairs(block: pd.DataFrame, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(guest rows, member rows, matches) of a block's pairs across components that the signatures leave open, some guests at a time."""
+    guests, members = np.flatnonzero(block.guest), np.flatnonzero(~block.guest)
+    marks = np.frombuffer(b"".join(block.signature), dtype="<u4").reshape(-1, HASHES)
+    node, root, late = block.node.to_numpy(), block.root.to_numpy(), block.straggler.to_numpy()
+    band, hub = int(block.band.iloc[0]), int(block.hub.iloc[0])
+    for at in range(0, len(guests), 64):
+        g = guests[at : at + 64]
+        # The hub has met every member; two stragglers meet once.
+        apart = (root[g, None] != root[members]) & (node[members] != hub) & ~(late[members] & (node[members] <= node[g, None]))
+        i, j = np.nonzero(apart)
+        i, j = g[i], members[j]
+        keep, matches = surviving(marks[i], marks[j], least)
+        i, j = i[keep], j[keep]
+        if len(i):
+            # A pair belongs to the first band on which it agrees.
+            first = (marks[i] == marks[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            yield i[first], j[first], matches[first]
+
+
+def best_pairs(least: list[int]):
+    """Of one block: each straggler with its likeliest partner in another component."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        guests, members = block[block.guest], block[~block.guest]
-        band, hub = int(block.band.iloc[0]), int(block.hub.iloc[0])
-        g, m = (np.frombuffer(b"".join(f.signature), dtype="<u4").reshape(-1, HASHES) for f in (guests, members))
-        g_node, m_node, g_root, m_root, m_late = guests.node.to_numpy(), members.node.to_numpy(), guests.root.to_numpy(), members.root.to_numpy(), members.straggler.to_numpy()
-        xs, ys = [], []
-        for at in range(0, len(g), 64):
-            part = slice(at, at + 64)
-            open_ = (g_root[part, None] != m_root) & (m_node != hub) & ~(m_late & (m_node <= g_node[part, None]))
-            i, j = np.nonzero(open_)
-            i += at
-            keep, matches = surviving(g[i], m[j], least)
-            i, j = i[keep], j[keep]
-            # A pair belongs to the first band on which it agrees.
-            agree = (g[i] == m[j]).reshape(-1, BANDS, ROWS).all(axis=2)
-            first = agree.argmax(axis=1) == band if len(i) else np.zeros(0, bool)
-            i, j, matches = i[first], j[first], matches[first]
-            if best and len(i):
-                order = np.lexsort((m_node[j], -matches, i))
-                i, j = i[order], j[order]
-                lead = np.concatenate([[True], i[1:] != i[:-1]])
-                i, j = i[lead], j[lead]
-            xs.append(g_node[i])
-            ys.append(m_node[j])
-        return pd.DataFrame({"x": np.concatenate(xs) if xs else np.zeros(0, np.int64), "y": np.concatenate(ys) if ys else np.zeros(0, np.int64)})
+        node, out = block.node.to_numpy(), []
+        for i, j, matches in open_pairs(block, least):
+            order = np.lexsort((node[j], -matches, i))
+            i, j = i[order], j[order]
+            lead = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+            out.append(pd.DataFrame({"x": node[i[lead]], "y": node[j[lead]]}))
+        return pd.concat(out) if out else pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
+
+    return run
+
+
+def open_nodes(least: list[int]):
+    """Of one block: the nodes of pairs that are still open."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        found = [np.union1d(i, j) for i, j, _ in open_pairs(block, least)]
+        rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return block.iloc[rows][["bucket", "block", "node"]].drop_duplicates()
+
+    return run
+
+
+def block_links(least: list[int], n: int, percent: int):
+    """Of one block with texts: confirmed links, enough of them to join what they join."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.reset_index(drop=True)
+        node, root, links = block.node.to_numpy(), block.root.to_numpy(), []
+        sets = dict(zip(node.tolist(), (shingle_set(t, n) for t in block.text)))
+        joined: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in joined:
+                r = joined[r]
+            return r
+
+        for i, j, _ in open_pairs(block, least):
+            for a, b in zip(i.tolist(), j.tolist()):
+                ra, rb = top(int(root[a])), top(int(root[b]))
+                if ra != rb:
+                    x, y = sets[int(node[a])], sets[int(node[b])]
+                    common = len(x & y)
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        links.append((int(node[a]), int(node[b])))
+                        joined[ra] = rb
+        return pd.DataFrame(links, columns=["x", "y"], dtype=np.int64)
 
     return run
 
@@ -273,7 +316,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     links = confirm(with_marks.mapInArrow(filtered_pairs(least), "x long, y long"), docs, nodes, words, percent)
     roots = save(components(links), "roots")
 
-    for best in (True, False):
+    for step in ("best", "best", "all"):
         rooted = seated.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = save(rooted, "rooted")
         split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).where("a <> b").select("bucket", "hub_root")
@@ -283,17 +326,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         members = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("guest", F.lit(False))
         guests = open_.where("straggler").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("guest", F.lit(True))
         columns = ["bucket", "band", "block", "node", "root", "hub", "straggler", "guest"]
-        seats_left = members.select(*columns).union(guests.select(*columns)).join(marks, "node")
-        pairs = seats_left.groupBy("bucket", "block").applyInPandas(block_pairs(least, best), "x long, y long")
-        more = confirm(pairs, docs, nodes, words, percent)
+        dealt = save(members.select(*columns).union(guests.select(*columns)), "dealt")
+        marked = dealt.join(marks, "node")
+        if step == "best":
+            more = confirm(marked.groupBy("bucket", "block").applyInPandas(best_pairs(least), "x long, y long"), docs, nodes, words, percent)
+        else:
+            # Pairs never leave their block: the texts come to it instead.
+            needed = save(marked.groupBy("bucket", "block").applyInPandas(open_nodes(least), "bucket long, block int, node long"), "needed")
+            texts = texts_of(docs, nodes, needed.select("node").distinct(), words)
+            full = marked.join(needed, ["bucket", "block", "node"], "left_semi").join(texts, "node")
+            more = save(full.groupBy("bucket", "block").applyInPandas(block_links(least, words, percent), "x long, y long"), "links")
+            forget(texts)
         forget(rooted)
         forget(split)
-        if more.isEmpty():
-            if best:
-                continue
-            break
-        links = links.union(more)
-        roots = save(components(links), "roots")
+        forget(dealt)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = save(components(links), "roots")
 
     heads = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("head"))
     node_heads = roots.join(heads, "root").select("node", "head")
