@@ -18,7 +18,7 @@ CONFIG = bridge.CONFIG
 DAYS, POINTS = CONFIG.as_of_dates, CONFIG.truncation_points
 SIZE = CONFIG.universe_size
 #: The test facts have three tags and few companies; the rules of renames are scaled to them.
-RULES = renames.Rules(min_peak=20, decay=2.0, growth=0.1, recent=(2000, 2002), early=1998, min_agreement=0.0, max_median=1.0, min_shared=5, min_support=2)
+RULES = renames.Rules(min_peak=20, decay=10.0, growth=0.1, recent=(2000, 2002), early=1998, min_agreement=0.0, max_median=1.0, min_shared=5, min_support=2)
 TAG_MAP = [("Assets", "StockholdersEquity"), ("StockholdersEquity", "StockholdersEquity")]
 QUERIES: dict = {}
 
