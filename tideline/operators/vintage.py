@@ -123,19 +123,23 @@ def days_array(days: Sequence[dt.date]) -> Column:
     return F.array(*[F.lit(d).cast("date") for d in days])
 
 
-def choices(facts: DataFrame, days: Sequence[dt.date]) -> DataFrame:
-    """(program, world, asof, cik, item, value): what each program reads in each world, for each day.
+def choices(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date] = ()) -> DataFrame:
+    """(program, world, point, asof, cik, item, value): what each program reads in each world, for each day.
 
     First each day's facts are reduced to their version known by the day and
     their latest version, then to the period each program picks. The list of
-    days is short and literal: facts meet it without a join.
+    days is short and literal: facts meet it without a join. With truncation
+    points each day comes once more for every point from it on, where only
+    periods up to the point exist; point is null where nothing is cut off.
     """
     item = F.coalesce(*[F.when((F.col("tag") == tag) & (F.col("qtrs") == qtrs), name) for name, (tag, qtrs) in ITEMS.items()])
     rows = facts.withColumn("item", item).where("item is not null")
-    asof = F.explode(F.filter(days_array(days), lambda d: F.col("ddate") <= F.date_add(d, LOOKAHEAD_DAYS)))
-    rows = rows.select("cik", "item", "ddate", "filed", "adsh", "uom", "value", asof.alias("asof"))
+    wanted = [(None, d) for d in days] + [(p, d) for p in points for d in days if d <= p]
+    runs = F.array(*[F.struct(F.lit(p).cast("date").alias("point"), F.lit(d).cast("date").alias("asof")) for p, d in wanted])
+    near = F.filter(runs, lambda r: (F.col("ddate") <= F.date_add(r["asof"], LOOKAHEAD_DAYS)) & (r["point"].isNull() | (F.col("ddate") <= r["point"])))
+    rows = rows.select("cik", "item", "ddate", "filed", "adsh", "uom", "value", F.explode(near).alias("r")).select("*", "r.point", "r.asof").drop("r")
     order, pit = F.struct("filed", "adsh", "uom"), F.col("filed") <= F.col("asof")
-    versions = rows.groupBy("asof", "item", "cik", "ddate").agg(
+    versions = rows.groupBy("point", "asof", "item", "cik", "ddate").agg(
         F.max_by(F.struct("value"), order).alias("rev"), F.max_by(F.when(pit, F.struct("value")), F.when(pit, order)).alias("pit")
     )
     past, known = F.col("ddate") <= F.col("asof"), F.col("pit").isNotNull()
@@ -145,12 +149,12 @@ def choices(facts: DataFrame, days: Sequence[dt.date]) -> DataFrame:
             return F.max_by(F.col(value), F.col("ddate"))
         return F.max_by(F.when(condition, F.col(value)), F.when(condition, F.col("ddate")))
 
-    picked = versions.groupBy("asof", "item", "cik").agg(
+    picked = versions.groupBy("point", "asof", "item", "cik").agg(
         at("pit", past & known).alias("known"), at("rev", past).alias("newest"), at("pit", known).alias("ahead_known"), at("rev", None).alias("ahead"), at("rev", past & known).alias("restated")
     )
     table = {("correct", "pit"): "known", ("correct", "rev"): "known", ("naive", "pit"): "known", ("naive", "rev"): "newest", ("lookahead", "pit"): "ahead_known", ("lookahead", "rev"): "ahead", ("restated", "pit"): "known", ("restated", "rev"): "restated"}
     cells = F.array(*[F.struct(F.lit(p).alias("program"), F.lit(w).alias("world"), F.col(c).alias("v")) for (p, w), c in table.items()])
-    return picked.select("asof", "cik", "item", F.explode(cells).alias("c")).where("c.v is not null").select("c.program", "c.world", "asof", "cik", "item", F.col("c.v.value").alias("value"))
+    return picked.select("point", "asof", "cik", "item", F.explode(cells).alias("c")).where("c.v is not null").select("c.program", "c.world", "point", "asof", "cik", "item", F.col("c.v.value").alias("value"))
 
 
 def scored(chosen: DataFrame, n: int, by: Sequence[str] = ("program", "world", "asof")) -> DataFrame:
@@ -199,19 +203,12 @@ def truncation(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.da
     The point is one more dimension of the same query. Scores are equal exactly
     when the companies and their returns are.
     """
-    horizon = max(points)
-    parts = []
-    for cut in [None, *points]:
-        kept = facts if cut is None else facts.where(F.col("ddate") <= F.lit(cut))
-        some = [d for d in days if d <= (horizon if cut is None else cut)]
-        if some:
-            chosen = choices(kept, some).where("world = 'rev'").drop("world")
-            parts.append(scored(chosen, n, ("program", "asof")).withColumn("point", F.lit(cut).cast("date")))
-    full = parts[0].drop("point", "value").withColumn("point", F.explode(F.filter(days_array(points), lambda p: F.col("asof") <= p))).withColumnRenamed("roe", "full_roe")
-    rest = parts[1]
-    for p in parts[2:]:
-        rest = rest.unionByName(p)
-    met = full.join(rest.drop("value").withColumnRenamed("roe", "cut_roe"), ["program", "asof", "point", "cik"], "full")
+    some = [d for d in days if d <= max(points)]
+    scores = scored(choices(facts, some, points).where("world = 'rev'"), n, ("program", "point", "asof"))
+    after = F.explode(F.filter(days_array(points), lambda p: F.col("asof") <= p))
+    full = scores.where("point is null").select("program", "asof", "cik", F.col("roe").alias("full_roe"), after.alias("point"))
+    cut = scores.where("point is not null").select("program", "asof", "cik", F.col("roe").alias("cut_roe"), "point")
+    met = full.join(cut, ["program", "asof", "point", "cik"], "full")
     bad = met.where(~F.col("full_roe").eqNullSafe(F.col("cut_roe"))).select("program", "asof", "point").distinct()
     names = facts.sparkSession.createDataFrame([(p,) for p in PROGRAMS], "program string")
     return F.broadcast(names).join(bad.groupBy("program").agg(F.count("*").alias("n")), "program", "left").select("program", F.coalesce("n", F.lit(0)).cast("long").alias("n_failures"))
