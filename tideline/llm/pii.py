@@ -29,7 +29,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Of a run of digits with single separators, all or nothing: 13 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 # Candidates beside the base: long keys with digits, phones without a plus, written-out addresses, two capitalised words or a title and a name.
 EXTRA = "|".join(
@@ -172,7 +172,8 @@ def reliabilities(counts: dict[tuple[str, tuple], float], rounds: int = 50) -> d
                 rate[j, truth, good] = (mass[j, truth, good] + 8) / (total + 10)
                 rate[j, truth, bad] = (mass[j, truth, bad] + 2) / (total + 10)
         for kind, votes in counts:
-            odds = math.log((prior[kind, 1] + 1) / (prior[kind, 0] + 1))
+            half = (prior[kind, 1] + prior[kind, 0]) / 2 + 1  # a prior of 3 to 1 at most: votes outweigh it
+            odds = math.log((prior[kind, 1] + half) / (prior[kind, 0] + half))
             odds += sum(math.log(rate[j, 1, v] / rate[j, 0, v]) for j, v in enumerate(votes) if v)
             posterior[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return posterior
