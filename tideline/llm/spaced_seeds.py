@@ -119,8 +119,8 @@ def overlap(doc: list[str], item: list[str], shift: int) -> tuple[int, int, np.n
     equal = np.fromiter((doc[shift + j] == item[j] for j in range(low, high)), bool, high - low)
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
     gain = total - np.minimum.accumulate(total)
-    end = int(np.argmax(gain))
-    first = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
+    end = int(np.flatnonzero(gain == gain.max())[-1])  # of equals the longest
+    first = int(np.argmin(total[: end + 1]))
     return low + first, low + end, equal[first:end]
 
 
