@@ -53,7 +53,7 @@ def text_code(c: Column) -> Column:
 
 
 def cell(value: Column, cuts: list, bits: int) -> Column:
-    """0 for null, else 1 plus the number of cuts below the value."""
+    """0 for null, else 1 plus the number of cuts below the value; a cut that is several quantiles counts as often, so frequent values lie far apart."""
     below = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
     return F.when(value.isNull(), F.lit(0)).otherwise(F.least(below + 1, F.lit((1 << bits) - 1))).cast("int")
 
@@ -83,7 +83,7 @@ def shard(docs: DataFrame, n_shards: int = 16, bits: int = 6) -> DataFrame:
     steps = [i / ((1 << bits) - 1) for i in range(1, (1 << bits) - 1)]
     stats = narrow.agg(F.count("*").alias("n"), *[F.percentile_approx(codes[d], steps, 10_000).alias(d) for d in DIMENSIONS]).first()
     n = stats["n"]
-    cells = narrow.select("*", *[cell(codes[d], sorted(set(stats[d] or [])), bits).alias(f"{d}_cell") for d in DIMENSIONS])
+    cells = narrow.select("*", *[cell(codes[d], list(stats[d] or []), bits).alias(f"{d}_cell") for d in DIMENSIONS])
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
