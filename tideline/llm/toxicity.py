@@ -61,19 +61,31 @@ def fit(sample: list[tuple[str, int]], min_sentences: int = 8, max_words: int =
     once: dict[str, int] = {}
     for text, label in sample:
         once[text or ""] = max(label, once.get(text or "", 0))
-    sample = list(once.items())
-    split = [[words for _, _, words in sentences(text)] for text, _ in sample]
-    bags = [Counter(w for words in text for w in words) for text in split]
-    y = np.array([label for _, label in sample], dtype=float)
+    y = np.array(list(once.values()), dtype=float)
     share = float(y.mean()) if len(y) else 0.0
     leak = -np.log1p(-min(max(share, 1e-4), 0.99))
     if not len(y) or share in (0.0, 1.0):
         return {}, float(leak)
-    df: Counter = Counter()
-    for words in {frozenset(words) for text in split for words in text}:
-        df.update(words)
-    vocabulary = {w: i for i, w in enumerate(w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:max_words] if n >= min_sentences)}
-    doc, word, count = (np.array(x) for x in zip(*[(d, vocabulary[w], n) for d, bag in enumerate(bags) for w, n in bag.items() if w in vocabulary] or [(0, 0, 0)]))
+    ids: dict[str, int] = {}
+    seen: set[int] = set()
+    in_sentences: Counter = Counter()
+    bags = []  # of each text: its words as numbers, and in how many of its sentences they are
+    for text in once:
+        found = [[ids.setdefault(w, len(ids)) for w in words] for _, _, words in sentences(text)]
+        for words in found:
+            if (h := hash(frozenset(words))) not in seen:
+                seen.add(h)
+                in_sentences.update(words)
+        bags.append(np.unique(np.array([w for words in found for w in words], dtype=np.int32), return_counts=True))
+    names = list(ids)
+    often = sorted((w for w, n in in_sentences.items() if n >= min_sentences), key=lambda w: (-in_sentences[w], names[w]))[:max_words]
+    column = np.full(len(ids), -1)
+    column[often] = np.arange(len(often))
+    vocabulary = [names[w] for w in often]
+    doc = np.repeat(np.arange(len(bags)), [len(w) for w, _ in bags])
+    word = column[np.concatenate([w for w, _ in bags])]
+    count = np.concatenate([n for _, n in bags])
+    doc, word, count = doc[word >= 0], word[word >= 0], count[word >= 0]
     theta, m, v = (np.zeros(len(vocabulary) + 1) for _ in range(3))
     theta[-1] = leak
     for t in range(1, rounds + 1):
@@ -83,7 +95,7 @@ def fit(sample: list[tuple[str, int]], min_sentences: int = 8, max_words: int =
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = np.maximum(theta - rate / (1 + 3 * t / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8), 0)
         theta[-1] = max(theta[-1], 1e-4)
-    return {w: float(theta[i]) for w, i in vocabulary.items() if theta[i] > 0.05}, float(theta[-1])
+    return {w: float(t) for w, t in zip(vocabulary, theta) if t > 0.05}, float(theta[-1])
 
 
 def document_score(text: str, weights: dict[str, float], known: frozenset, leak: float, least: float) -> tuple[float, list]:
