@@ -28,15 +28,33 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tideline_path = path
+    saved_tables(spark).append(path)
     return back
 
 
+def saved_tables(spark: SparkSession) -> list[str]:
+    """The paths of this session's tables that still exist, oldest first."""
+    if not hasattr(spark, "_tideline_saved"):
+        spark._tideline_saved = []
+    return spark._tideline_saved
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    saved_tables(spark).remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table written by save() that no later plan reads."""
-    spark, path = df.sparkSession, df._tideline_path
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(df.sparkSession, df._tideline_path)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables saved after the first ``since``, but for those that later plans read."""
+    kept = {df._tideline_path for df in keep}
+    for path in [p for p in saved_tables(spark)[since:] if p not in kept]:
+        delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, save, text_key, without
+from .common import forget, pick, save, saved_tables, sweep, text_key, without
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     text are not read. A pair at the threshold is missed by the bands with
     probability (1 - s**5)**24, under 1e-4, and by the signatures with ``miss``.
     """
+    since = len(saved_tables(docs.sparkSession))
     least = least_matches(percent / 100, miss)
     read = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))
     table = save(read.mapInArrow(signed(words), "doc_id long, text_key long, n_shingles long, set_high long, set_low long, signature binary"), "signed")
@@ -347,6 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     heads = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("head"))
     node_heads = roots.join(heads, "root").select("node", "head")
     of_set = save(nodes.join(node_heads, "node", "left").select(*key, F.coalesce("head", "first_doc").alias("component_id")), "of-set")
+    sweep(docs.sparkSession, since, table, of_set)
     narrow = table.select("doc_id", "text_key", "n_shingles", *key)
     joined = narrow.join(of_set, key, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -356,7 +358,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with one of each group of near-duplicates: the one with the least doc_id, and of its repeated rows one."""
+    since = len(saved_tables(docs.sparkSession))
     found = save(near_duplicates(docs, words, percent), "near")
+    sweep(docs.sparkSession, since, found)
     kept = without(docs, found.where("not kept"))
     # Rows that repeat both id and text are rare; only they are moved.
     repeated = save(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")

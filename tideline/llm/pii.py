@@ -204,34 +204,44 @@ def span_classifier(rows: list[tuple[tuple, float, float]], rounds: int = 300, r
     return dict(weights), bias
 
 
-def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: the columns in ``keep``, doc_id, ``base`` and ``all``: arrays of struct(place of the kind, start, end, kind), by kind and start."""
-    text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
-    read = docs.select(*keep, *([] if "doc_id" in keep else [pick(docs, "doc_id", "long")]), text.alias("pii_text"))
+FEATURES = ("size", "digits", "edge", "cue", "strict", "listed")
+
+
+def with_candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in ``keep`` and ``pii_candidates``: every base match and extra candidate of the text, with votes and features."""
+    read = docs.select(*keep, F.coalesce(pick(docs, "text", "string"), F.lit("")).alias("pii_text"))
     t = F.col("pii_text")
     maybe = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(t, F.lit("+"))}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    raw = read.select("*", *[found(t, patterns[k], maybe[k]).alias(f"raw_{k}") for k in BASE], found(t, EXTRA, t.rlike(MAYBE_EXTRA)).alias("raw_extra"))
-    judged = [F.transform(f"raw_{k}", base_labels(k)) for k in BASE]
-    judged.append(F.transform("raw_extra", lambda s: labelled(extra_kind(s["value"]), s, F.lit(False))))
-    table = save(raw.select(*keep, *([] if "doc_id" in keep else ["doc_id"]), F.concat(*judged).alias("candidates")), "pii")
-    features = ("size", "digits", "edge", "cue", "strict", "listed")
-    c = table.select(F.explode("candidates").alias("c")).select("c.*")
-    counted = c.groupBy("kind", "votes", *features).agg(F.count("*").alias("n")).collect()  # a row for each pattern that occurs
+    raw = read.select(*keep, *[found(t, patterns[k], maybe[k]).alias(f"pii_raw_{k}") for k in BASE], found(t, EXTRA, t.rlike(MAYBE_EXTRA)).alias("pii_raw_extra"))
+    judged = [F.transform(f"pii_raw_{k}", base_labels(k)) for k in BASE]
+    judged.append(F.transform("pii_raw_extra", lambda s: labelled(extra_kind(s["value"]), s, F.lit(False))))
+    return raw.select(*keep, F.concat(*judged).alias("pii_candidates"))
+
+
+def accepted_patterns(table: DataFrame) -> list[tuple]:
+    """The feature patterns that the trained classifier accepts, from the candidates of all documents."""
+    c = table.select(F.explode("pii_candidates").alias("c")).select("c.*")
+    counted = c.groupBy("kind", "votes", *FEATURES).agg(F.count("*").alias("n")).collect()  # a row for each pattern that occurs
     by_votes: dict = defaultdict(float)
     for r in sorted(counted, key=str):
         by_votes[r["kind"], tuple(r["votes"])] += r["n"]
     posterior = reliabilities(dict(by_votes))
     by_features: dict = defaultdict(lambda: [0.0, 0.0])
     for r in sorted(counted, key=str):
-        cell = by_features[(r["kind"], *[r[f] for f in features])]
+        cell = by_features[(r["kind"], *[r[f] for f in FEATURES])]
         cell[0] += r["n"]
         cell[1] += r["n"] * posterior[r["kind"], tuple(r["votes"])]
     weights, bias = span_classifier([(k, n, p / n) for k, (n, p) in sorted(by_features.items(), key=str)])
-    accepted = [k for k in sorted(by_features, key=str) if bias + sum(weights.get(f, 0.0) for f in feature_names(*k)) >= 0]
+    return [k for k in sorted(by_features, key=str) if bias + sum(weights.get(f, 0.0) for f in feature_names(*k)) >= 0]
+
+
+def with_spans(table: DataFrame, accepted: list[tuple]) -> DataFrame:
+    """``pii_base`` and ``pii_all`` in place of ``pii_candidates``: arrays of struct(place of the kind, start, end, kind), by kind and start."""
+    keep = [c for c in table.columns if c != "pii_candidates"]
 
     def key(x: Column) -> Column:
-        return F.concat_ws("|", x["kind"], *[x[f].cast("string") for f in features])
+        return F.concat_ws("|", x["kind"], *[x[f].cast("string") for f in FEATURES])
 
     good = F.array(*[F.lit("|".join([k[0], *[str(v).lower() for v in k[1:]]])) for k in accepted]).cast("array<string>")
     order = F.array(*[F.lit(k) for k in KINDS])
@@ -239,15 +249,9 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def plain(x: Column) -> Column:
         return F.struct(F.array_position(order, x["kind"]).cast("int").alias("place"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
 
-    base = F.filter("candidates", lambda x: x["base"])
-    with_base = table.withColumn("base_spans", base)
-    clear = F.filter("candidates", lambda x: ~x["base"] & F.array_contains(good, key(x)) & ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return with_base.select(
-        *keep,
-        *([] if "doc_id" in keep else ["doc_id"]),
-        F.array_sort(F.transform("base_spans", plain)).alias("base"),
-        F.array_sort(F.transform(F.concat("base_spans", clear), plain)).alias("all"),
-    )
+    with_base = table.withColumn("pii_base_spans", F.filter("pii_candidates", lambda x: x["base"]))
+    clear = F.filter("pii_candidates", lambda x: ~x["base"] & F.array_contains(good, key(x)) & ~F.exists("pii_base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return with_base.select(*keep, F.array_sort(F.transform("pii_base_spans", plain)).alias("pii_base"), F.array_sort(F.transform(F.concat("pii_base_spans", clear), plain)).alias("pii_all"))
 
 
 def of_kind(kind: str):
@@ -265,22 +269,27 @@ def digest(docs: DataFrame) -> DataFrame:
     that of the empty string. Repeated rows are kept; an empty table gives no
     rows; columns other than doc_id and text are not read.
     """
-    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans(docs).select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("all").alias("spans"))
+    counts = [F.size(F.filter("pii_base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    table = save(with_candidates(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")), ("doc_id",)), "pii")
+    return with_spans(table, accepted_patterns(table)).select("doc_id", *counts, F.sha2(listed("pii_base").cast("binary"), 256).alias("base_sha256"), listed("pii_all").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows the text."""
+    """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows the text.
+
+    Texts are scanned twice, once for training and once for the result, rather
+    than written beside their candidates.
+    """
     names = tuple(docs.columns)
-    marked = spans(docs, keep=names)
-    by_start = F.array_sort(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    marked = with_spans(with_candidates(docs, names), accepted_patterns(with_candidates(docs, ())))
+    by_start = F.array_sort(F.transform("pii_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:
         put = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
         return F.when(x["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("pos"), put.alias("out")))
 
     clean = F.aggregate(by_start, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.char_length("text"))))
-    out = marked.withColumn("changed", F.size("all") > 0).withColumn("text", F.when(F.col("changed"), clean).otherwise(F.col("text")))
+    out = marked.withColumn("pii_changed", F.size("pii_all") > 0).withColumn("text", F.when(F.col("pii_changed"), clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("pii_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*names)

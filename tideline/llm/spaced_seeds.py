@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save, text_key, without
+from .common import pick, save, saved_tables, sweep, text_key, without
 
 WORD = re.compile(r"\w+")
 #: Which words of a window count.
@@ -179,7 +179,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    return without(docs, overlaps(docs, benchmark))
+    since = len(saved_tables(docs.sparkSession))
+    found = save(overlaps(docs, benchmark).select("doc_id", "text_key"), "overlaps")
+    sweep(docs.sparkSession, since, found)
+    return without(docs, found)
 
 
 def short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
