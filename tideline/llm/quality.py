@@ -60,9 +60,8 @@ def features(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0)
     w, s = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     grams = [mixed(w, seed=1), mixed(w[:-1], w[1:], seed=2), mixed(s, seed=3), mixed(s[:-1], s[1:], seed=4), mixed(s[:-2], s[1:-1], s[2:], seed=5)]
-    counts = np.bincount(np.concatenate(grams).astype(np.int64), minlength=0)
-    index = np.flatnonzero(counts)
-    value = np.sqrt(counts[index])
+    index, counts = np.unique(np.concatenate(grams).astype(np.int32), return_counts=True)
+    value = np.sqrt(counts)
     return index, value / np.linalg.norm(value)
 
 
@@ -94,7 +93,10 @@ def sigmoid(x: float) -> float:
 
 def fit(sample: list[tuple[str, int]], epochs: int = 4) -> tuple[np.ndarray, float]:
     model, memo = Ftrl(), Hashes()
-    rows = [(*features(text or "", memo), label) for text, label in sample]
+    rows = []
+    for text, label in sample:
+        index, value = features(text or "", memo)
+        rows.append((index.astype(np.int32), value.astype(np.float32), label))
     for _ in range(epochs):
         for index, value, label in rows:
             model.learn(index, value, label)
