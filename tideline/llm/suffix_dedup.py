@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, forget, pick, save
+from .common import MAX_BROADCAST_ROWS, pick, save, saved_tables, sweep
 
 LENGTH = 200
 #: Stretches of one anchor in a shard, and stretches in a shard, about.
@@ -200,38 +200,53 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+MARKS = "anchor long, stretch long, first array<int>, end array<int>, part int, chunk int, keys array<long>, stretches array<long>, marked array<boolean>"
+
+
 def shard_marks(length: int):
-    """Of one shard: rows of marked ranges (key null), and each start of a split anchor with its string's hash (end = first + 1)."""
+    """Of one shard: a row for each stretch with its marked ranges (part -1), and of split anchors sorted runs (part from 0) of the hashes of all their strings."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         s = Stretches(list(shard.bytes))
         sa, rank = suffix_array(s)
         shared = common_prefixes(s, sa, rank, length)
         out: list[tuple] = []
-        for k, (anchor, stretch, many, split, chunk) in enumerate(zip(shard.anchor, shard.stretch, shard.many, shard.split, shard.chunk)):
+        runs: dict[tuple, list] = {}
+        for k, (anchor, stretch, many, chunks, chunk) in enumerate(zip(shard.anchor.tolist(), shard.stretch.tolist(), shard.many.tolist(), shard.chunks.tolist(), shard.chunk.tolist())):
             n = int(s.size[k]) - length + 1
             r = rank[s.start[k] : s.start[k] + n]
-            marked = (shared[r] >= length) | (shared[r + 1] >= length) | bool(many)
-            out += [(anchor, stretch, a, b, None, chunk, True) for a, b in ranges(marked)]
-            if split:
+            marked = (shared[r] >= length) | (shared[r + 1] >= length) | many
+            found = ranges(marked)
+            if found:
+                out.append((anchor, stretch, [a for a, _ in found], [b for _, b in found], -1, chunk, None, None, None))
+            if chunks > 1:
                 text = shard.bytes.iloc[k]
-                out += [(anchor, stretch, a, a + 1, xxhash.xxh3_64_intdigest(text[a : a + length]) - (1 << 63), chunk, bool(marked[a])) for a in range(n)]
-        frame = pd.DataFrame(out, columns=["anchor", "stretch", "first", "end", "key", "chunk", "marked"])
-        return frame.astype({"key": "Int64"})
+                keys = np.array([xxhash.xxh3_64_intdigest(text[a : a + length]) for a in range(n)], dtype=np.uint64).view(np.int64)
+                part = (keys >> 20) % chunks
+                for p in np.unique(part).tolist():
+                    at = np.flatnonzero(part == p)
+                    runs.setdefault((anchor, p, chunk), []).append((keys[at], np.full(len(at), stretch), at, marked[at]))
+        for (anchor, p, chunk), pieces in runs.items():
+            keys, stretches, at, marked = (np.concatenate(x) for x in zip(*pieces))
+            order = np.argsort(keys, kind="stable")
+            out.append((anchor, 0, at[order].tolist(), None, p, chunk, keys[order].tolist(), stretches[order].tolist(), marked[order].tolist()))
+        return pd.DataFrame(out, columns=["anchor", "stretch", "first", "end", "part", "chunk", "keys", "stretches", "marked"])
 
     return run
 
 
 def merged_runs(group: pd.DataFrame) -> pd.DataFrame:
     """Starts of one anchor that another shard holds too: each shard's sorted run is sought in the others' by binary search."""
-    runs = [(g, np.unique(g.key.to_numpy(dtype=np.int64))) for _, g in group.groupby("chunk")]
-    everything = np.sort(np.concatenate([keys for _, keys in runs]))
-    found = []
-    for g, _ in runs:
-        keys = g.key.to_numpy(dtype=np.int64)
+    runs = [tuple(np.array(x) for x in (r.keys_, r.stretches, r.first, r.marked)) for r in group.rename(columns={"keys": "keys_"}).itertuples()]
+    everything = np.sort(np.concatenate([np.unique(keys) for keys, *_ in runs]))
+    found: dict[int, list[int]] = {}
+    for keys, stretches, first, marked in runs:
         elsewhere = np.searchsorted(everything, keys, "right") - np.searchsorted(everything, keys, "left") > 1
-        found.append(g[elsewhere & ~g.marked.to_numpy(dtype=bool)])
-    return pd.concat(found)[["anchor", "stretch", "first", "end"]]
+        new = elsewhere & ~marked.astype(bool)
+        for stretch, at in zip(stretches[new].tolist(), first[new].tolist()):
+            found.setdefault(stretch, []).append(at)
+    anchor = int(group.anchor.iloc[0])
+    return pd.DataFrame([(anchor, stretch, at, [a + 1 for a in at]) for stretch, at in found.items()], columns=["anchor", "stretch", "first", "end"])
 
 
 def cleaned(length: int):
@@ -286,6 +301,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
     kinds = "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, anchor array<long>, stretch array<long>, place array<long>, again array<boolean>"
     rows = docs.select(pick(docs, "doc_id", "long"), text.alias("text"), *text_ids(text)).mapInArrow(digested(length), kinds)
+    since = len(saved_tables(docs.sparkSession))
     rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     tid = ["t1", "t2"]
 
@@ -311,18 +327,20 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     crowd = save(stretches.groupBy("anchor").agg(F.count("*").alias("n")), "crowd")
     shards = max(1, -(-(crowd.agg(F.sum("n")).first()[0] or 0) // SHARD))
     chunks = F.ceil(F.col("n") / CHUNK)
-    dealt = stretches.join(crowd, "anchor").withColumn("chunk", F.pmod("stretch", chunks).cast("int")).withColumn("split", chunks > 1)
+    dealt = stretches.join(crowd, "anchor").withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod("stretch", chunks).cast("int"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(shards)).cast("int"))
-    marks = dealt.select("shard", "anchor", "stretch", "many", "split", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), "anchor long, stretch long, first int, end int, key long, chunk int, marked boolean")
-    marks = save(marks, "marks")
-    inside = marks.where("key is null").select("anchor", "stretch", "first", "end")
-    parts = marks.where("key is not null").join(crowd, "anchor").withColumn("part", F.pmod(F.shiftright("key", 20), F.ceil(F.col("n") / CHUNK)).cast("int"))
-    across = parts.drop("n").groupBy("anchor", "part").applyInPandas(merged_runs, "anchor long, stretch long, first int, end int")
-    offsets = save(inside.union(across).toDF("anchor", "stretch", "from", "to"), "offsets")
-    moved = varied.join(offsets, ["anchor", "stretch"]).select("row", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("end"))
-
-    marked = plain.select("row", "first", "end").union(moved).groupBy("row").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))  # bounded by the text's own length
+    marks = save(dealt.select("shard", "anchor", "stretch", "many", "chunks", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), MARKS), "marks")
+    ends = "anchor long, stretch long, first array<int>, end array<int>"
+    across = marks.where("part >= 0").groupBy("anchor", "part").applyInPandas(merged_runs, ends)
+    inside = marks.where("part < 0").select("anchor", "stretch", "first", "end")
+    offsets = inside.union(across).groupBy("anchor", "stretch").agg(F.flatten(F.collect_list("first")).alias("from"), F.flatten(F.collect_list("end")).alias("to"))  # at most the starts of one stretch
+    offsets = save(offsets, "offsets")
+    moved = varied.join(offsets, ["anchor", "stretch"]).select("row", F.transform("from", lambda x: x + F.col("first")).alias("f"), F.transform("to", lambda x: x + F.col("first")).alias("e"))
+
+    spans = plain.select("row", F.array("first").alias("f"), F.array("end").alias("e")).union(moved)
+    marked = spans.groupBy("row").agg(F.flatten(F.collect_list("f")).alias("firsts"), F.flatten(F.collect_list("e")).alias("ends"))  # bounded by the text's own length
     marked = save(marked.join(ids, "row").join(sent.select(*tid), tid, "left_anti"), "marked")
+    sweep(docs.sparkSession, since, rows, copies, marked)
     out = texts_of(docs, marked).select("row", "text", "firsts", "ends").mapInArrow(cleaned(length), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_text:
         out = out.drop("kept")
