@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -120,6 +121,51 @@ def test_contamination_tolerates_substitutions(spark):
     assert spaced_seeds.overlaps(odd_documents(spark), bench).count() == 0
 
 
+def verdict(doc, item, shifts):
+    """What ``verified`` says of one pair, as (matched_words, first_word, end_word)."""
+    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(doc)]), pa.array([2]), pa.array([" ".join(item)]), pa.array([shifts], pa.list_(pa.int32())), pa.array([3])], names=list("abcdef"))
+    out = next(iter(spaced_seeds.verified(13, 0.8)([batch]))).to_pylist()
+    return (out[0]["matched_words"], out[0]["first_word"], out[0]["end_word"]) if out else None
+
+
+def brute_verdict(doc, item, shifts):
+    """The docstring's rule, by trying every stretch of every shift."""
+    covered, best, spans = set(), 0, []
+    for shift in shifts:
+        for a in range(len(item)):
+            for b in range(a + 1, len(item) + 1):
+                equal = [j for j in range(a, b) if 0 <= j + shift < len(doc) and doc[j + shift] == item[j]]
+                if len(equal) >= min(5, len(item)) and 5 * len(equal) >= 4 * (b - a):
+                    covered |= set(equal)
+                    best = max(best, len(equal))
+                    spans += [equal[0] + shift, equal[-1] + shift + 1]
+    good = best >= min(13, len(item)) or (len(covered) >= 5 and 5 * len(covered) >= 4 * len(item))
+    return (len(covered), min(spans), max(spans)) if good else None
+
+
+def test_verification_is_the_stated_rule():
+    r, accepted = random.Random(9), 0
+    for trial in range(1500):
+        n = r.randint(5, 45)
+        item = [f"w{k}" for k in range(n)]
+        laid = list(item)
+        for k in r.sample(range(n), r.randint(0, n // 5 + 1)):
+            laid[k] = "changed"
+        shifts = [7]
+        if trial % 3 == 0:  # a word more in the middle: a second shift
+            laid.insert(r.randrange(n), "more")
+            shifts.append(8)
+        doc = ["foreign"] * 7 + laid + ["foreign"] * 3
+        want = brute_verdict(doc, item, shifts)
+        assert verdict(doc, item, shifts) == want, (item, laid)
+        accepted += want is not None
+    assert 500 < accepted < 1500
+    fifteen, halves = [f"w{k}" for k in range(15)], [f"w{k}" for k in range(24)]
+    edges = [w if k not in (1, 13) else "changed" for k, w in enumerate(fifteen)]
+    assert verdict(["x", *edges, "x"], fifteen, [1]) == (13, 1, 16)
+    assert verdict(["x", *halves[:10], *["changed"] * 4, *halves[14:], "x"], halves, [1]) == (20, 1, 25)
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     docs, bench = tables(spark, SMALL, "documents", "benchmark")
     plain = lambda t: " ".join(spaced_seeds.words_of(t))

@@ -4,13 +4,14 @@ A mask fixes which words of a window count and which are ignored, so a changed
 word at an ignored place keeps the hash. Hashes of test windows meet hashes of
 training windows in a join; a Bloom filter of fixed size keeps the training
 windows that cannot meet any from being moved. Around each hit the test item is
-laid along the document and the overlap is verified word by word.
+laid along the document and every stretch of it is judged word by word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -111,34 +112,50 @@ def candidate_rows(held, masks: list[str]):
     return run
 
 
-def overlap(doc: list[str], item: list[str], shift: int) -> tuple[int, int, np.ndarray]:
-    """(first, end, equal) of the best stretch of the item laid along the document at ``shift``: a word more for each equal pair, three less for each other."""
-    low, high = max(0, -shift), min(len(item), len(doc) - shift)
-    if high <= low:
-        return 0, 0, np.zeros(0, bool)
-    equal = np.fromiter((doc[shift + j] == item[j] for j in range(low, high)), bool, high - low)
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    gain = total - np.minimum.accumulate(total)
-    end = int(np.flatnonzero(gain == gain.max())[-1])  # of equals the longest
-    first = int(np.argmin(total[: end + 1]))
-    return low + first, low + end, equal[first:end]
+def stretches(equal: np.ndarray, need: int, share: Fraction) -> tuple[np.ndarray, int]:
+    """(places, most): the equal words inside any stretch with ``need`` equal words at ``share``, and how many the richest such stretch has."""
+    at = np.flatnonzero(equal)
+    inside = np.zeros(len(equal), bool)
+    if len(at) < max(need, 1):
+        return inside, 0
+    # Stretches that begin and end with an equal word are enough: of i to j, the share holds where start[i] <= end[j].
+    rank = np.arange(len(at))
+    start = share.denominator * rank - share.numerator * at
+    end = share.denominator * (rank + 1) - share.numerator * (at + 1)
+    reach = np.maximum.accumulate(end[::-1])[::-1]  # falls, so the farthest end of each start is found by bisection
+    last = np.searchsorted(-reach, -start, side="right") - 1
+    n = last - rank + 1
+    good = n >= need
+    if not good.any():
+        return inside, 0
+    edge = np.zeros(len(at) + 1, dtype=np.int64)
+    np.add.at(edge, rank[good], 1)
+    np.add.at(edge, last[good] + 1, -1)
+    inside[at[np.cumsum(edge[:-1]) > 0]] = True
+    return inside, int(n[good].max())
 
 
 def verified(min_words: int, similarity: float):
+    share = Fraction(str(similarity))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, item_id, item_text, shifts, key in zip(*(c.to_pylist() for c in batch.columns)):
-                doc, item = words_of(text), words_of(item_text)
+                words = words_of(item_text)
+                number = {w: k for k, w in enumerate(words)}
+                item = np.array([number[w] for w in words], dtype=np.int64)
+                doc = np.array([number.get(w, -1) for w in words_of(text)], dtype=np.int64)
                 covered, best, spans = np.zeros(len(item), bool), 0, []
                 for shift in sorted(set(shifts)):
-                    first, end, equal = overlap(doc, item, shift)
-                    n = int(equal.sum())
-                    if n >= min(SHORTEST, len(item)) and n >= similarity * len(equal):
-                        covered[first:end] |= equal
+                    low, high = max(0, -shift), min(len(item), len(doc) - shift)
+                    inside, n = stretches(doc[low + shift : high + shift] == item[low:high], min(SHORTEST, len(item)), share)
+                    if n:
+                        covered[low:high] |= inside
                         best = max(best, n)
-                        spans.append((first + shift, end + shift))
-                if best >= min(min_words, len(item)) or covered.sum() >= max(SHORTEST, similarity * len(item)):
+                        at = np.flatnonzero(inside) + low + shift
+                        spans.append((int(at[0]), int(at[-1]) + 1))
+                if best >= min(min_words, len(item)) or covered.sum() >= max(SHORTEST, share * len(item)):
                     out.append((doc_id, item_id, int(covered.sum()), len(item), min(s for s, _ in spans), max(e for _, e in spans), key))
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7)], names=["doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word", "text_key"])
