@@ -166,6 +166,32 @@ def test_verification_is_the_stated_rule():
     assert verdict(["x", *halves[:10], *["changed"] * 4, *halves[14:], "x"], halves, [1]) == (20, 1, 25)
 
 
+def test_no_arrangement_that_verification_accepts_is_without_a_seed():
+    masks = [m.rstrip("0") for m in spaced_seeds.MASKS]
+    for n in range(5, 22):
+        laid = np.arange(1 << n)
+        equal = sum((laid >> k) & 1 for k in range(n))
+        hit = np.zeros(len(laid), bool)
+        for mask in masks:
+            for k in range(n - len(mask) + 1):
+                kept = int(mask[::-1], 2) << k
+                hit |= (laid & kept) == kept
+        assert hit[(equal >= 5) & (5 * equal >= 4 * n)].all()
+
+
+def test_dense_changes_and_short_items_are_found(spark):
+    w = [f"w{k}" for k in range(99)]
+    items = {0: w, 1: [f"a{k}" for k in range(9)], 2: [f"b{k}" for k in range(8)], 3: [f"c{k}" for k in range(5)], 4: [f"d{k}" for k in range(6)]}
+    laid = {0: [x if k % 5 != 4 else "changed" for k, x in enumerate(w)], 3: items[3]}
+    laid |= {10 + k: [x if j != k else "changed" for j, x in enumerate(items[1])] for k in range(9)}
+    laid |= {20 + k: [x if j != k else "changed" for j, x in enumerate(items[2])] for k in range(8)}
+    laid |= {30 + k: [x if j != k else "changed" for j, x in enumerate(items[4])] for k in range(6)}
+    want = {(d, {0: 0, 3: 3}.get(d, {1: 1, 2: 2, 3: 4}.get(d // 10))) for d in laid}
+    docs = docs_of(spark, [(d, " ".join(["foreign", "text", *x, "more", "text"])) for d, x in laid.items()])
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.overlaps(docs, bench).collect()} == want
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     docs, bench = tables(spark, SMALL, "documents", "benchmark")
     plain = lambda t: " ".join(spaced_seeds.words_of(t))

@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from .common import pick, save, saved_tables, sweep, text_key, without
 
 WORD = re.compile(r"\w+")
-#: Which words of a window count.
-MASKS = ("110110011", "111010011", "101011101")
+#: Which words of a window count; zeros at the end only fill it up.
+#: Every stretch with SHORTEST equal words or more at a share of 0.8 meets one of
+#: the two. With n equal and m <= n / 4 changed words and no run of four, n <= 3 (m + 1),
+#: so n < 13; then the runs number m + 1 and are too few to hold n words unless two
+#: neighbours of at least two words are parted by one changed word.
+MASKS = ("111100000", "110110000")
 SHORTEST = 5
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 3
@@ -57,11 +61,6 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def masks_for(lengths: list[int]) -> list[str]:
-    """The masks, and a full one for each item length too short for them."""
-    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if SHORTEST <= n < len(MASKS[0]))]
-
-
 def bloom_places(h: np.ndarray) -> list[np.ndarray]:
     return [(h >> np.uint64(20 * i)) % np.uint64(BLOOM_BITS) if i == 0 else ((h * np.uint64(0xD6E8FEB86659FD93 + 2 * i)) >> np.uint64(38 - 6 * (i > 1))) % np.uint64(BLOOM_BITS) for i in range(BLOOM_HASHES)]
 
@@ -73,9 +72,9 @@ def item_seeds(masks: list[str]):
             item, pos, seed = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = word_hashes(text or "", memo)
+                if len(hashes) < SHORTEST:
+                    continue
                 for mask in masks:
-                    if len(mask) < len(MASKS[0]) and len(mask) != len(hashes):
-                        continue
                     h = seeds(hashes, mask).view(np.int64).tolist()
                     seed += h
                     pos += range(len(h))
@@ -170,15 +169,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
     overlaps if one stretch has ``min_words`` equal words and a share of
     ``similarity`` of its words equal, or if such stretches together cover that
     share of the item. Items of fewer than five words, null and empty texts
-    match nothing; items shorter than the masks are sought whole. Repeated
-    documents and items give repeated pairs; empty tables give no rows; other
+    match nothing. At a ``similarity`` of 0.8 or more no stretch of five equal
+    words is without a seed; under it some may be. Repeated documents and items give repeated pairs; empty tables give no rows; other
     columns are not read.
     """
     spark = docs.sparkSession
     items = save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
-    # Python's word rule decides the lengths: a pass over the items, whose result is a few numbers at most.
-    lengths = items.select("item_key", "item_text").mapInArrow(short_lengths, "n int").distinct().collect()
-    masks = masks_for([r["n"] for r in lengths])
+    masks = [m.rstrip("0") for m in MASKS]
     seeds_table = save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int, places array<long>").distinct(), "seeds")
     place = F.explode("places").alias("place")
     words = seeds_table.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect()  # BLOOM_BITS / 64 rows at most
@@ -200,9 +197,3 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = save(overlaps(docs, benchmark).select("doc_id", "text_key"), "overlaps")
     sweep(docs.sparkSession, since, found)
     return without(docs, found)
-
-
-def short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = {len(words_of(t)) for t in batch.column(1).to_pylist()}
-        yield pa.record_batch([pa.array([x for x in n if x < len(MASKS[0])], pa.int32())], names=["n"])
