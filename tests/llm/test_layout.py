@@ -173,6 +173,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+SENTENCE = "This is sentence %d of a text that is long enough to count as content of the page."
+
+
+def test_content_beside_the_largest_region_stays():
+    p = [SENTENCE % k for k in range(10)]
+    inner = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in p[:3]) + "<div>" + "".join(f"<p>{x}</p>" for x in p[3:]) + "</div>"
+    assert html_text.main_text(PAGE % f'<div id="content">{inner}</div>') == "\n".join(["Title", *p])
+    for tag in ("section", "article"):
+        both = "".join(f"<{tag}>" + "".join(f"<p>{x}</p>" for x in part) + f"</{tag}>" for part in (p[:7], p[7:]))
+        assert html_text.main_text(PAGE % both) == "\n".join(p)
+    teaser = "<div>" + "".join(f"<p>{x}</p>" for x in p[:9]) + f"</div><article><p>{p[9]}</p></article>"
+    assert html_text.main_text(PAGE % teaser) == "\n".join(p)
+
+
 def test_pages(spark):
     (pages,) = tables(spark, SMALL, "pages")
     rows = html_text.extract(pages).collect()

@@ -3,7 +3,7 @@
 The parser's events are folded into lines, one for each block. Each line has a
 text-to-tag ratio; the ratios are smoothed by a Gaussian and cut at a threshold,
 and the lines above it vote for the elements that hold them. The region is the
-smallest element that keeps most of the votes; what is boilerplate by its own
+smallest element that keeps all of the votes; what is boilerplate by its own
 element (menus, forms, adverts and the like) never makes a line.
 """
 
@@ -129,8 +129,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(page: Lines, share: float = 0.6) -> int:
-    """The region element that holds the content lines."""
+def content(page: Lines) -> int:
+    """The outermost article or main element, or else the smallest region element, outside which no content line lies."""
     length = np.array([len(t) for t in page.texts], dtype=float)
     ratio = smoothed(length / np.maximum(np.array(page.tags), 1))
     votes = np.zeros(len(page.parents))
@@ -139,14 +139,14 @@ def content(page: Lines, share: float = 0.6) -> int:
         votes[page.parents[i]] += votes[i]
     marked = [i for i, n in enumerate(page.names) if n in ("article", "main") and votes[i]]
     at = max(marked, key=lambda i: (votes[i], -i)) if marked else 0
-    if marked and votes[at] < share * sum(votes[i] for i in marked if page.parents[i] not in marked):
-        at = 0  # several articles of like size: the element around them
-    while not marked or not at:
-        inner = [i for i, p in enumerate(page.parents) if p == at and votes[i] > share * votes[at]]
+    if at and votes[at] == votes[0]:
+        return at
+    at = 0  # several articles, or content beside one: the element around all
+    while True:
+        inner = [i for i, p in enumerate(page.parents) if p == at and votes[i] and votes[i] == votes[at]]
         if not inner or page.names[inner[0]] in ("table", "tbody", "tr", "td"):
-            break
+            return at
         at = inner[0]
-    return at
 
 
 def main_text(html: str) -> str:
