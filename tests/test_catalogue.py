@@ -43,6 +43,13 @@ def test_same_rows(spark, duck, name):
     assert got == want
 
 
+def test_every_company_is_flattened(spark):
+    from tideline.sources import bridge
+
+    companies = {r["cik"] for r in bridge.observations(spark, DATA).select("cik").distinct().collect()}
+    assert {r["cik"] for r in QUERIES["json_flatten_whole"](spark, DATA).select("cik").distinct().collect()} == companies and max(companies) >= 20
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -417,5 +417,10 @@ def json_flatten(spark, d):
     """Facts written as the second source writes them, one document a company, and read back."""
     return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d).where("cik < 20"))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
 
+@query
+def json_flatten_whole(spark, d):
+    """As json_flatten, over all companies."""
+    return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
+
 
 ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES)

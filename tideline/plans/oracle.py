@@ -313,5 +313,6 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
             select *, coalesce(matched_observations / nullif(our_unique_keys, 0), 0) as match_rate_of_ours, coalesce(1 - n_conflicts / nullif(matched_observations, 0), 0) as value_agreement from s""",
         "crosscheck_conflicts": f"with {second} select * from jn where rel > 1e-9",
         "json_flatten": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs where cik < 20 group by all",
+        "json_flatten_whole": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs group by all",
     }
     return {name: re.sub(r"\basof\b", '"asof"', sql) for name, sql in out.items()}  # a word of the dialect
