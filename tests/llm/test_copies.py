@@ -76,6 +76,15 @@ def test_posterior_bounds():
     assert len(least) == 5 and least == sorted(least) and 0.6 * minhash.HASHES < least[-1] < 0.8 * minhash.HASHES
 
 
+def test_the_loss_over_all_batches_is_within_the_miss():
+    r = np.random.default_rng(3)
+    for threshold in (0.7, 0.8, 0.9):
+        least = minhash.least_matches(threshold, 1e-3)
+        assert 1e-4 < minhash.sequential_loss(least, threshold) <= 1e-3
+        matches = r.binomial(minhash.BATCH, threshold, (400_000, len(least))).cumsum(axis=1)
+        assert (matches < np.array(least)).any(axis=1).mean() < 1.2e-3
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, 5)]

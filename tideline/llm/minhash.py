@@ -102,7 +102,25 @@ def signed(n: int):
     return run
 
 
+def sequential_loss(bounds: list[int], similarity: float) -> float:
+    """The chance that a pair of that similarity falls under a bound at any of the batches."""
+    step = np.array([math.comb(BATCH, k) * similarity**k * (1 - similarity) ** (BATCH - k) for k in range(BATCH + 1)])
+    alive = np.ones(1)
+    for bound in bounds:
+        alive = np.convolve(alive, step)
+        alive[:bound] = 0
+    return 1 - float(alive.sum())
+
+
 def least_matches(threshold: float, miss: float) -> list[int]:
+    """``posterior_bounds`` whose loss over all batches, of a pair at the threshold, is within ``miss``."""
+    each = miss
+    while sequential_loss(bounds := posterior_bounds(threshold, each), threshold) > miss:
+        each /= 1.1
+    return bounds
+
+
+def posterior_bounds(threshold: float, miss: float) -> list[int]:
     """After each batch, the matches under which P(similarity >= threshold) < miss.
 
     From a uniform prior, m matches of n leave a Beta(m + 1, n - m + 1)
@@ -292,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     nothing; fewer words than a shingle make one shingle. Repeated rows are in
     one component; an empty table gives no rows; columns other than doc_id and
     text are not read. A pair at the threshold is missed by the bands with
-    probability (1 - s**5)**24, under 1e-4, and by the signatures with ``miss``.
+    probability (1 - s**5)**24, under 1e-4, and by the signatures with ``miss`` at most, over all batches.
     """
     since = len(saved_tables(docs.sparkSession))
     least = least_matches(percent / 100, miss)
