@@ -22,6 +22,13 @@ def test_noisy_or_finds_the_word_and_the_sentence():
     assert toxicity.fit([]) == ({}, pytest.approx(1e-4, rel=0.1)) and toxicity.fit([("a", 1)])[0] == {}
 
 
+def test_a_toxic_word_rarer_than_twenty_thousand_others_has_a_weight():
+    clean = [". ".join(" ".join(f"w{k}" for k in range(at, at + 100)) + f" only{at}x{turn}" for turn in range(12)) for at in range(0, 20_100, 100)]
+    bad = [f"You are a rotten one number{k}." for k in range(10)]
+    weights, _ = toxicity.fit([(t, 0) for t in clean] + [(t, 1) for t in bad])
+    assert "rotten" in weights and "w5" not in weights
+
+
 @pytest.mark.parametrize("op, label, fold, rest, cut, least", [(toxicity, "toxic", 5, 0, 0.5, 0.95), (quality, "quality", 4, 2, 0.7, 0.96)])
 def test_held_out_accuracy(spark, op, label, fold, rest, cut, least):
     docs, labels = tables(spark, MID, "documents", "labels")

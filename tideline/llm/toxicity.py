@@ -48,7 +48,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
 
 
-def fit(sample: list[tuple[str, int]], min_sentences: int = 8, max_words: int = 20_000, l1: float = 2.0, rounds: int = 200, rate: float = 0.1) -> tuple[dict[str, float], float]:
+def fit(sample: list[tuple[str, int]], min_sentences: int = 8, l1: float = 2.0, rounds: int = 200, rate: float = 0.1) -> tuple[dict[str, float], float]:
     """(weight of each word that has one, leak), from (text, label) pairs.
 
     log(1 - P) of a document is -(leak + sum over sentences and their words of
@@ -78,7 +78,7 @@ def fit(sample: list[tuple[str, int]], min_sentences: int = 8, max_words: int =
                 in_sentences.update(words)
         bags.append(np.unique(np.array([w for words in found for w in words], dtype=np.int32), return_counts=True))
     names = list(ids)
-    often = sorted((w for w, n in in_sentences.items() if n >= min_sentences), key=lambda w: (-in_sentences[w], names[w]))[:max_words]
+    often = sorted((w for w, n in in_sentences.items() if n >= min_sentences), key=lambda w: (-in_sentences[w], names[w]))
     column = np.full(len(ids), -1)
     column[often] = np.arange(len(often))
     vocabulary = [names[w] for w in often]
