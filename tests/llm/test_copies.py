@@ -5,12 +5,14 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, SMALL, docs_of, odd_documents, tables
 from tideline.llm import components, minhash, packing, spaced_seeds, suffix_dedup
+from tideline.llm.common import Scratch
 
 
 def brute_components(rows, n, percent=80):
@@ -61,6 +63,36 @@ def test_components_of_near_copies_against_brute_force(spark, n):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_components_of_the_documents_against_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in DOCS(spark, "/root/testdata/sf0.01").collect()]
+    out = minhash.near_duplicates(DOCS(spark, "/root/testdata/sf0.01"), words=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows, 2)
+
+
+def test_a_large_bucket_below_the_threshold_stays_in_bounded_shards(spark, monkeypatch):
+    """Five thousand texts that share a bucket but are no near-duplicates, and two that are."""
+    sizes = []
+    inner = minhash.open_pairs
+    marks = np.zeros((5000, minhash.HASHES), dtype="<u4")
+    marks[:, 5:] = np.random.default_rng(5).integers(0, 1 << 31, (5000, minhash.HASHES - 5))
+    marks[4001] = marks[17]
+    shard = {"owner": np.repeat(9, 5000), "part": np.zeros(5000, int), "band": np.zeros(5000, int), "node": np.arange(5000), "root": np.arange(5000), "guest": np.arange(5000) < 256, "late": np.ones(5000, bool), "signature": [m.tobytes() for m in marks]}
+    monkeypatch.setattr(minhash, "surviving", lambda m, i, j, least, f=minhash.surviving: sizes.append(len(i)) or f(m, i, j, least))
+    found = [(int(a), int(b)) for i, j, _ in inner(pd.DataFrame(shard), minhash.least_matches(0.8, 1e-3)) for a, b in zip(i, j)]
+    assert found == [(17, 4001)] and max(sizes) < minhash.STRIDE + 64 * 5000
+
+
+@pytest.mark.parametrize("cell", [7, 256])
+def test_cells_meet_every_straggler_with_every_member_once(spark, monkeypatch, cell):
+    """A chain of texts each near only to its neighbours, in cells smaller than the bucket."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    r = random.Random(cell)
+    base = words(r, 400)
+    rows = [(k, " ".join(base[4 * k : 4 * k + 60])) for k in range(80)] + [(100 + k, t) for k, t in enumerate(near_copies(r, base[:80], 60, 14))]
+    out = minhash.near_duplicates(docs_of(spark, rows), words=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows, 2)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     odd = odd_documents(spark)
     got = sorted(((r["doc_id"] or -1), r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(odd, words=2).collect())
@@ -88,7 +120,7 @@ def test_the_loss_over_all_batches_is_within_the_miss():
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, 5)]
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "x long, y long"), Scratch(spark, "test")).collect()}
     top = {}
 
     def find(a):
@@ -101,7 +133,7 @@ def test_connected_components(spark):
             x, y = find(a), find(b)
             top[max(x, y)] = min(x, y)
     assert got == {a: find(a) for a in top}
-    assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
+    assert components.components(spark.createDataFrame([], "x long, y long"), Scratch(spark, "test")).count() == 0
 
 
 def test_contamination_tolerates_substitutions(spark):

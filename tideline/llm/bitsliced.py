@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import Scratch, pick
 
 SCALE = 256
 INDEX = "row_block int, rows int, dims int, width int, ids binary, keys binary, mins binary, slices binary"
@@ -195,7 +195,7 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, rows_a_block: int
     """
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.col("vec_id").isNotNull()
     rows = embeddings.select(pick(embeddings, "vec_id", "long"), pick(embeddings, "embedding", "array<double>")).where(ok).withColumn("key", F.monotonically_increasing_id()).select("vec_id", "key", "embedding")
-    rows = save(rows, "vectors")
+    rows = Scratch(rows.sparkSession, "vectors").save(rows, "vectors")
     is_query = F.col("vec_id") % every == 0
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims"), F.count_if(is_query).alias("q")).first()
     n_rows, n_queries, dims = max(1, -(-size["n"] // rows_a_block)), max(1, -(-size["q"] // queries_a_block)), size["dims"]

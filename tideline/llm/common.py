@@ -2,63 +2,91 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-        spark._tideline_scratch = found
-    return found.rstrip("/")
+@functools.cache
+def local_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tideline-")
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    at = getattr(spark, "_tideline_scratch", None) or scratch_dir(spark)
-    path = f"{at}/tideline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tideline_path = path
-    saved_tables(spark).append(path)
-    return back
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own, but only if driver and executors are one process."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return local_folder(spark.sparkContext.applicationId)
 
 
-def saved_tables(spark: SparkSession) -> list[str]:
-    """The paths of this session's tables that still exist, oldest first."""
-    if not hasattr(spark, "_tideline_saved"):
-        spark._tideline_saved = []
-    return spark._tideline_saved
+_inside: ContextVar[str | None] = ContextVar("tideline_scratch", default=None)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    saved_tables(spark).remove(path)
+class Scratch:
+    """Intermediate tables of one call, in a folder of its own below the shared one.
 
+    As a context it also holds the folders of the calls made within it, and all
+    of them go when it is left. A folder outside any context goes when the
+    application ends. Nothing is kept on the session, so calls in other threads
+    have folders of their own.
+    """
 
-def forget(df: DataFrame) -> None:
-    """Delete a table written by save() that no later plan reads."""
-    delete(df.sparkSession, df._tideline_path)
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        above = _inside.get()
+        self.spark, self.tables = spark, []
+        self.path = f"{above or shared_folder(spark)}/tideline-{tag}-{uuid.uuid4().hex}"
+        where, files = self._files(self.path)
+        files.mkdirs(where)
+        if not above:
+            files.deleteOnExit(where)
 
+    def _files(self, path: str) -> tuple:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete the tables saved after the first ``since``, but for those that later plans read."""
-    kept = {df._tideline_path for df in keep}
-    for path in [p for p in saved_tables(spark)[since:] if p not in kept]:
-        delete(spark, path)
+    def _delete(self, path: str) -> None:
+        where, files = self._files(path)
+        files.delete(where, True)
+
+    def save(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write df as Parquet and read it back: lineage ends here and lost executors cost nothing."""
+        path = f"{self.path}/{tag}-{len(self.tables)}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((back, path))
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
+        for k, (df, path) in enumerate(self.tables):
+            if path and any(df is t for t in tables):
+                self._delete(path)
+                self.tables[k] = (df, None)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but those that later plans read."""
+        self.drop(*[df for df, _ in self.tables if not any(df is t for t in tables)])
+
+    def __enter__(self) -> Scratch:
+        self._token = _inside.set(self.path)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        _inside.reset(self._token)
+        self._delete(self.path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus; one in fewer pieces than there are cores is dealt out, as its rows cost more than their move."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def pick(df: DataFrame, name: str, kind: str) -> Column:
@@ -71,7 +99,7 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
 
 
-#: Rows named by (doc_id, text_key) that are sent to every executor at most; more are joined by a shuffle.
+#: Rows of two numbers that are sent to every executor at most; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -79,10 +107,34 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents but those named by (doc_id, text_key) in ``removed``, with all their columns."""
-    removed = save(removed.select(F.col("doc_id").alias("removed_id"), F.col("text_key").alias("removed_key")).distinct(), "removed")
-    if removed.count() <= MAX_BROADCAST_ROWS:
-        removed = F.broadcast(removed)
-    same = docs["doc_id"].cast("long").eqNullSafe(removed["removed_id"]) & (text_key(docs["text"]) == removed["removed_key"])
-    return docs.join(removed, same, "left_anti")
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with the rows named by (doc_id, text_key) in ``names``, by a semi or an anti join, with all their columns."""
+    names = names.select(F.col("doc_id").alias("named_id"), F.col("text_key").alias("named_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(names["named_id"]) & (text_key(docs["text"]) == names["named_key"])
+    return docs.join(small(names), same, how)
+
+
+def place_in_order(ordered: DataFrame, scratch: Scratch, size: str | None = None) -> DataFrame:
+    """``ordered``, saved, with ``before``: the rows, or the sum of ``size``, ahead of a row in its sort order.
+
+    Rows are counted per task of the sort and then shifted by what the tasks
+    before hold, so the whole order never meets in one task.
+    """
+    from pyspark.sql import Window
+
+    saved = scratch.save(ordered.withColumn("place", F.monotonically_increasing_id()), "ordered")
+    run = F.shiftright("place", 33)
+    amount = F.count("*") if size is None else F.sum(size)
+    ahead = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = saved.groupBy(run.alias("run")).agg(amount.alias("amount")).select("run", F.coalesce(F.sum("amount").over(ahead), F.lit(0)).alias("run_start"))  # a row for each task
+    placed = saved.withColumn("run", run).join(F.broadcast(starts), "run")
+    if size is None:
+        inside = F.col("place").bitwiseAND((1 << 33) - 1)
+    else:
+        inside = F.coalesce(F.sum(size).over(Window.partitionBy("run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("before", F.col("run_start") + inside).drop("run", "run_start", "place")

@@ -5,44 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, save
+from .common import Scratch
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
+def star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Every node's larger (large star) or smaller (small star) neighbours, and itself, now point to its least neighbour."""
     if large:
         around = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     else:
         around = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    around = save(around, "around")
-    least = save(around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least")), "least")
+    around = scratch.save(around, "around")
+    least = scratch.save(around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least")), "least")
     near = around.join(least, "x")
     if large:
         out = near.where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("least").alias("y"))
     else:
         out = near.select("y", "least").union(least.select("x", "least")).toDF("x", "y")
-    out = save(out.where("x <> y").distinct(), "stars")
-    forget(around)
-    forget(least)
+    out = scratch.save(out.where("x <> y").distinct(), "stars")
+    scratch.drop(around, least)
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each node of ``edges`` (x, y), the root being the least node of its component.
 
     Edges are rewritten in tables until they stop changing; nothing but a count
     and a checksum of them reaches the driver.
     """
-    current = save(edges.where("x <> y").select("x", "y").distinct(), "edges")
+    current = scratch.save(edges.where("x <> y").select("x", "y").distinct(), "edges")
     last = None
     while True:
         sums = current.agg(F.count("*"), F.expr("bit_xor(xxhash64(x, y))")).first()
         if sums == last or not sums[0]:
             break
         last = sums
-        grown = star(current, large=True)
-        forget(current)
-        current = star(grown, large=False)
-        forget(grown)
+        grown = star(current, True, scratch)
+        scratch.drop(current)
+        current = star(grown, False, scratch)
+        scratch.drop(grown)
     nodes = current.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return nodes.union(current.select(F.col("y").alias("node"), F.col("y").alias("root"))).distinct()

@@ -8,14 +8,16 @@ or set statistics of its dimensions prune it for most filters.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import Scratch, pick, place_in_order
 
-DIMENSIONS = ("lang", "source", "size")
+DIMENSIONS = {"lang": "string", "source": "string", "size": "long"}
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -47,15 +49,33 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_code(c: Column) -> Column:
-    """The first seven bytes of a string as a number that sorts as the string does."""
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def quantiles(rows: DataFrame, parts: int, scratch: Scratch) -> dict[str, list[tuple]]:
+    """Of each dimension: (value, how many of the parts - 1 quantiles it is), in order; nulls do not count.
+
+    Whole distinct values are counted, sorted over all tasks and summed up, so
+    that neither a long common prefix nor a frequent value matters. Numbers are
+    padded with zeros so that they sort as strings.
+    """
+    written = {d: F.col(d) if kind == "string" else F.lpad(F.col(d).cast("string"), 20, "0") for d, kind in DIMENSIONS.items()}
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in written.items()])).alias("v")).select("v.*")
+    counts = values.where("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    summed = place_in_order(counts.orderBy("dimension", "value"), scratch, "n")
+    totals = summed.groupBy("dimension").agg(F.sum("n").alias("total"), F.min("before").alias("ahead"))  # a row for each dimension
+
+    def upto(c: str) -> Column:
+        return F.least(F.expr(f"({c} - ahead) * {parts} div total"), F.lit(parts - 1))
+
+    cuts = summed.join(F.broadcast(totals), "dimension").select("dimension", "value", (upto("before + n") - upto("before")).alias("times")).where("times > 0").orderBy("dimension", "value").collect()  # parts - 1 rows of a dimension at most
+    return {d: [(r["value"] if kind == "string" else int(r["value"]), r["times"]) for r in cuts if r["dimension"] == d] for d, kind in DIMENSIONS.items()}
 
 
-def cell(value: Column, cuts: list, bits: int) -> Column:
-    """0 for null, else 1 plus the number of cuts below the value; a cut that is several quantiles counts as often, so frequent values lie far apart."""
-    below = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
-    return F.when(value.isNull(), F.lit(0)).otherwise(F.least(below + 1, F.lit((1 << bits) - 1))).cast("int")
+def cells_of(values: pd.Series, cuts: list[tuple]) -> np.ndarray:
+    """0 for null, else 1 plus the number of quantiles below the value; a value that is several counts as often, so frequent values lie far apart."""
+    codes, distinct = pd.factorize(values)
+    steps = np.concatenate([[0], np.cumsum([n for _, n in cuts])]).astype(np.int64)
+    keys = [v for v, _ in cuts]
+    of_value = [1 + steps[bisect.bisect_left(keys, v)] for v in distinct.tolist()]
+    return np.array([*of_value, 0], dtype=np.int64)[codes]
 
 
 def shard(docs: DataFrame, n_shards: int = 16, bits: int = 6) -> DataFrame:
@@ -64,10 +84,13 @@ def shard(docs: DataFrame, n_shards: int = 16, bits: int = 6) -> DataFrame:
     Law ``rows``: shard sizes differ by one row at most; grown_shard is null.
     Size is the UTF-8 bytes of the text plus 1; a null text counts as empty.
     Null dimensions have cell 0. Equal texts with equal metadata are neighbours
-    in the order. Ties go by text hash, then doc_id (null first), then input
-    place, so repeated rows each have a slot of their own. An empty table gives
-    no rows. Columns other than doc_id, text, lang and source are not read.
+    in the order; very long texts differ by their size alone, and very long
+    values of lang and source are compared whole. Ties go by text hash, then
+    doc_id (null first), then input place, so repeated rows each have a slot of
+    their own. An empty table gives no rows. Columns other than doc_id, text,
+    lang and source are not read.
     """
+    scratch = Scratch(docs.sparkSession, "hilbert")
     text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
     narrow = docs.select(
@@ -75,29 +98,22 @@ def shard(docs: DataFrame, n_shards: int = 16, bits: int = 6) -> DataFrame:
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_key"),
-        text_code(pick(docs, "lang", "string")).alias("lang_code"),
-        text_code(pick(docs, "source", "string")).alias("source_code"),
+        pick(docs, "lang", "string"),
+        pick(docs, "source", "string"),
     ).withColumn("input_place", F.monotonically_increasing_id())
-    narrow = save(narrow, "hilbert-narrow")
-    codes = {"lang": F.col("lang_code"), "source": F.col("source_code"), "size": F.col("size")}
-    steps = [i / ((1 << bits) - 1) for i in range(1, (1 << bits) - 1)]
-    stats = narrow.agg(F.count("*").alias("n"), *[F.percentile_approx(codes[d], steps, 10_000).alias(d) for d in DIMENSIONS]).first()
-    n = stats["n"]
-    cells = narrow.select("*", *[cell(codes[d], list(stats[d] or []), bits).alias(f"{d}_cell") for d in DIMENSIONS])
+    narrow = scratch.save(narrow, "narrow")
+    n = narrow.count()
+    cuts = quantiles(narrow, (1 << bits) - 1, scratch)
+    made = ", ".join(f"{d}_cell int" for d in DIMENSIONS)
 
-    @F.pandas_udf("long")
-    def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_index(np.stack([a.to_numpy(), b.to_numpy(), c.to_numpy()]), bits))
+    @F.pandas_udf(f"hilbert long, {made}")
+    def curve(columns: pd.DataFrame) -> pd.DataFrame:
+        axes = np.stack([cells_of(columns[d], cuts[d]) for d in DIMENSIONS])
+        return pd.DataFrame({"hilbert": hilbert_index(axes, bits)} | {f"{d}_cell": axes[k] for k, d in enumerate(DIMENSIONS)})
 
     order = ["hilbert", "text_key", "doc_id", "input_place"]
-    ordered = cells.withColumn("hilbert", curve(*[F.col(f"{d}_cell") for d in DIMENSIONS])).orderBy(*order)
-    ordered = save(ordered.withColumn("place", F.monotonically_increasing_id()), "hilbert-order")
-    run, inside = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    # One row per task of the sort: as many as partitions, whatever the rows.
-    runs = ordered.groupBy(run.alias("run")).agg(F.count("*").alias("run_rows"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("run", F.coalesce(F.sum("run_rows").over(before), F.lit(0)).alias("run_start"))
-    ranked = ordered.withColumn("run", run).join(F.broadcast(starts), "run").withColumn("rank", F.col("run_start") + inside)
+    ordered = narrow.withColumn("c", curve(F.struct(*DIMENSIONS))).select("*", "c.*").orderBy(*order).drop("c", "lang", "source", "input_place", "text_key")
+    ranked = place_in_order(ordered, scratch).withColumnRenamed("before", "rank")
     each, rest = divmod(n, n_shards)
     large = rest * (each + 1)  # the first ``rest`` shards hold one row more
     which = F.when(F.col("rank") < large, F.expr(f"rank div {each + 1}")).otherwise(F.expr(f"{rest} + (rank - {large}) div {max(each, 1)}"))

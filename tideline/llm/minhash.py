@@ -1,20 +1,23 @@
 """Near-duplicates by MinHash with sequential Bayesian verification.
 
-Documents with the same shingle set are one node. Nodes that agree on a band of
-their signatures are candidates. A candidate pair's signatures are compared
-batch by batch, and it is dropped as soon as the posterior probability that its
-similarity reaches the threshold falls under the chosen miss probability;
-survivors are confirmed on their full shingle sets.
+Documents with the same words in the same order, told by a SHA-256 digest of
+them, are one node. Nodes that agree on a band of their signatures are
+candidates. A candidate pair's signatures are compared batch by batch, and it
+is dropped as soon as the posterior probability that its similarity reaches the
+threshold falls under the chosen miss probability; survivors are confirmed on
+their full shingle sets.
 
 A bucket is never expanded into all its pairs. First each member meets only the
-bucket's hub, the member that shares most buckets. Then, between members whose
-components still differ, what is left is compared in blocks of bounded size:
-first each straggler's best partner, twice over, then every pair that survives,
-inside the block, so that its pairs are never rows of a table.
+bucket's hub, the member that shares most buckets. Then, in buckets that still
+hold several components, the stragglers meet the other members in cells of at
+most CELL by CELL rows, whatever the size of a bucket; a cell's pairs are never
+rows of a table. Signatures go to the cells first, texts only of nodes with a
+pair that is still open there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,16 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pick, save, saved_tables, sweep, text_key, without
+from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, text_key
 from .components import components
 
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 BATCH = 24
-MEMO = 300_000
-#: Ids that are sent to every executor at most; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-BLOCK = 512
+MEMO = 100_000
+#: Rows of a side of a cell, and of a shard of cells with signatures and with texts, about.
+CELL, SHARD, TEXT_SHARD = 256, 2048, 256
+#: Pairs whose signatures are compared at once, and shingles of the sets that a shard holds at once.
+STRIDE, HELD = 1 << 14, 400_000
 
 _rng = np.random.Generator(np.random.PCG64(20_11))
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,9 +63,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_hashes(text: str, n: int, memo: dict) -> np.ndarray:
+def shingle_hashes(words: list[bytes], n: int, memo: dict) -> np.ndarray:
     """Distinct 64-bit hashes of the n-word shingles; of the whole sequence where it is shorter; none without words."""
-    words = np.array(list(map(memo.__getitem__, words_of(text))), dtype=np.uint64)
+    words = np.array(list(map(memo.__getitem__, words)), dtype=np.uint64)
     if not len(words):
         return words
     n = min(n, len(words))
@@ -79,25 +83,18 @@ def signature(h: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
-def set_key(h: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, as two signed numbers."""
-    a, b = mix(h).sum(dtype=np.uint64), mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(h))).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
 def signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sizes, high, low, signatures = [], [], [], []
+            sizes, digests, signatures = [], [], []
             for text in batch.column(1):
-                h = shingle_hashes(text.as_py() or "", n, memo)
-                a, b = set_key(h)
+                words = words_of(text.as_py() or "")
+                h = shingle_hashes(words, n, memo)
                 sizes.append(len(h))
-                high.append(a)
-                low.append(b)
+                digests.append(hashlib.sha256(b" ".join(words)).digest())
                 signatures.append(signature(h).tobytes() if len(h) else b"")
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_high", "set_low", "signature"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n_shingles", "words", "signature"])
 
     return run
 
@@ -137,84 +134,89 @@ def posterior_bounds(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, matches) of the signature pairs that no batch rules out."""
-    at, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
+def surviving(marks: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matches) of the pairs of rows i and j that no batch of their signatures rules out."""
+    at, matches = np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
     for k, bound in enumerate(least):
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        matches = matches + (a[at, part] == b[at, part]).sum(axis=1)
+        part = marks[:, k * BATCH : (k + 1) * BATCH]
+        matches = matches + (part[i[at]] == part[j[at]]).sum(axis=1)
         ok = matches >= bound
         at, matches = at[ok], matches[ok]
     return at, matches
 
 
-def signatures_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, HASHES)
-
-
-def filtered_pairs(least: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                at, _ = surviving(signatures_of(batch.column(2)), signatures_of(batch.column(3)), least)
-                yield pa.record_batch([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["x", "y"])
+def open_pairs(shard: pd.DataFrame, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(guest rows, member rows, matches) of pairs in the cells of a shard that cross components and that the signatures leave open, some at a time."""
+    marks = np.frombuffer(b"".join(shard.signature), dtype="<u4").reshape(-1, HASHES)
+    owner, part, band, node, root, guest, late = (shard[c].to_numpy() for c in ("owner", "part", "band", "node", "root", "guest", "late"))
+    order = np.lexsort((part, owner))
+    edges = np.flatnonzero(np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (part[order][1:] != part[order][:-1]), [True]]))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-    return run
-
-
-def open_pairs(block: pd.DataFrame, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(guest rows, member rows, matches) of a block's pairs across components that the signatures leave open, some guests at a time."""
-    guests, members = np.flatnonzero(block.guest), np.flatnonzero(~block.guest)
-    marks = np.frombuffer(b"".join(block.signature), dtype="<u4").reshape(-1, HASHES)
-    node, root, late = block.node.to_numpy(), block.root.to_numpy(), block.straggler.to_numpy()
-    band, hub = int(block.band.iloc[0]), int(block.hub.iloc[0])
-    for at in range(0, len(guests), 64):
-        g = guests[at : at + 64]
-        # The hub has met every member; two stragglers meet once.
-        apart = (root[g, None] != root[members]) & (node[members] != hub) & ~(late[members] & (node[members] <= node[g, None]))
-        i, j = np.nonzero(apart)
-        i, j = g[i], members[j]
-        keep, matches = surviving(marks[i], marks[j], least)
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        keep, matches = surviving(marks, i, j, least)
         i, j = i[keep], j[keep]
-        if len(i):
-            # A pair belongs to the first band on which it agrees.
-            first = (marks[i] == marks[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            yield i[first], j[first], matches[first]
+        # A pair that meets in several buckets belongs to the first band on which it agrees.
+        first = (marks[i] == marks[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) if len(i) else np.zeros(0, np.int64)
+        own = (band[i] < 0) | (band[i] == first)
+        if own.any():
+            yield i[own], j[own], matches[own]
+
+    for a, b in zip(edges[:-1], edges[1:]):
+        rows = order[a:b]
+        guests, members = rows[guest[rows]], rows[~guest[rows]]
+        for at in range(0, len(guests), 64):
+            g = guests[at : at + 64]
+            # Two stragglers meet once.
+            apart = (root[g, None] != root[members]) & ~(late[members] & (node[members] <= node[g, None]))
+            i, j = np.nonzero(apart)
+            if len(i):
+                waiting.append((g[i], members[j]))
+            if sum(len(i) for i, _ in waiting) >= STRIDE:
+                yield from flush()
+    if waiting:
+        yield from flush()
 
 
-def best_pairs(least: list[int]):
-    """Of one block: each straggler with its likeliest partner in another component."""
+def open_nodes(least: list[int]):
+    """Of one shard: the rows of pairs that are still open."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        node, out = block.node.to_numpy(), []
-        for i, j, matches in open_pairs(block, least):
-            order = np.lexsort((node[j], -matches, i))
-            i, j = i[order], j[order]
-            lead = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
-            out.append(pd.DataFrame({"x": node[i[lead]], "y": node[j[lead]]}))
-        return pd.concat(out) if out else pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        found = [np.union1d(i, j) for i, j, _ in open_pairs(shard, least)]
+        rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return shard.iloc[rows][["owner", "part", "node", "guest"]].drop_duplicates()
 
     return run
 
 
-def open_nodes(least: list[int]):
-    """Of one block: the nodes of pairs that are still open."""
+def shingle_set(text: str, n: int) -> frozenset:
+    words = words_of(text)
+    n = min(n, len(words))
+    return frozenset(zip(*(words[j:] for j in range(n)))) if n else frozenset()
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        found = [np.union1d(i, j) for i, j, _ in open_pairs(block, least)]
-        rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return block.iloc[rows][["bucket", "block", "node"]].drop_duplicates()
 
-    return run
+class Sets(dict):
+    """Shingle sets of rows, made when asked for; no more than HELD shingles are held."""
+
+    def __init__(self, texts: list[str], n: int) -> None:
+        self.texts, self.n, self.held = texts, n, 0
 
+    def __missing__(self, row: int) -> frozenset:
+        if self.held > HELD:
+            self.clear()
+            self.held = 0
+        self[row] = out = shingle_set(self.texts[row], self.n)
+        self.held += len(out)
+        return out
 
-def block_links(least: list[int], n: int, percent: int):
-    """Of one block with texts: confirmed links, enough of them to join what they join."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.reset_index(drop=True)
-        node, root, links = block.node.to_numpy(), block.root.to_numpy(), []
-        sets = dict(zip(node.tolist(), (shingle_set(t, n) for t in block.text)))
+def confirmed_links(least: list[int], n: int, percent: int):
+    """Of one shard with texts: links confirmed on full sets, enough of them to join what they join."""
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        node, root, sets, links = shard.node.to_numpy(), shard.root.to_numpy(), Sets(shard.text.tolist(), n), []
         joined: dict[int, int] = {}
 
         def top(r: int) -> int:
@@ -222,11 +224,12 @@ def block_links(least: list[int], n: int, percent: int):
                 r = joined[r]
             return r
 
-        for i, j, _ in open_pairs(block, least):
-            for a, b in zip(i.tolist(), j.tolist()):
+        for i, j, matches in open_pairs(shard, least):
+            order = np.lexsort((i, -matches))  # likely links first: they spare others
+            for a, b in zip(i[order].tolist(), j[order].tolist()):
                 ra, rb = top(int(root[a])), top(int(root[b]))
                 if ra != rb:
-                    x, y = sets[int(node[a])], sets[int(node[b])]
+                    x, y = sets[a], sets[b]
                     common = len(x & y)
                     if 100 * common >= percent * (len(x) + len(y) - common):
                         links.append((int(node[a]), int(node[b])))
@@ -236,66 +239,33 @@ def block_links(least: list[int], n: int, percent: int):
     return run
 
 
-def shingle_set(text: str, n: int) -> frozenset:
-    words = words_of(text)
-    n = min(n, len(words))
-    return frozenset(zip(*(words[j:] for j in range(n)))) if n else frozenset()
-
-
-def confirmed(n: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, frozenset] = {}
-        for batch in batches:
-            x, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for k, (a, b) in enumerate(zip(x, y)):
-                sets = []
-                for node, column in ((a, 2), (b, 3)):
-                    if node not in last:
-                        if len(last) >= 64:
-                            last.clear()
-                        last[node] = shingle_set(batch.column(column)[k].as_py(), n)
-                    sets.append(last[node])
-                common = len(sets[0] & sets[1])
-                if 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common):
-                    keep.append(k)
-            yield pa.record_batch([pa.array([x[k] for k in keep], pa.int64()), pa.array([y[k] for k in keep], pa.int64())], names=["x", "y"])
-
-    return run
-
-
-def matching_texts(n: int):
-    """Rows whose text has the set that is asked for."""
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``wanted``; texts move only for these."""
+    ids = wanted.join(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "node")
+    texts = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("key", text_key(F.col("text")))
+    ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_ROWS else ids
+    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    return rows.groupBy("node").agg(F.any_value("text").alias("text"))  # repeated rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            keep = [k for k, (t, a, b) in enumerate(zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist())) if set_key(shingle_hashes(t, n, memo)) == (a, b)]
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], names=["node", "text"])
 
-    return run
+def dealt(rows: DataFrame, about: int) -> DataFrame:
+    """``rows`` with a shard, the same for all rows of a cell, of so many rows about."""
+    n = rows.count()
+    shards = max(-(-n // about), min(64, -(-n // 64)), 1)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("owner", "part"), F.lit(shards)))
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, text) of the nodes in ``wanted``; texts move only for these."""
-    wanted = save(wanted.join(nodes.select("node", F.col("first_doc"), "set_high", "set_low"), "node"), "wanted")
-    ids = wanted.select("node", F.col("first_doc").alias("wanted_doc"), "set_high", "set_low")
-    if wanted.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string"))
-    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_doc"))).select("node", "text", "set_high", "set_low")
-    return save(rows.mapInArrow(matching_texts(n), "node long, text string").groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
-    pairs = save(pairs.distinct(), "pairs")
-    texts = texts_of(docs, nodes, pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct(), n)
-    both = pairs.join(texts.toDF("x", "x_text"), "x").join(texts.toDF("y", "y_text"), "y")
-    links = save(both.select("x", "y", "x_text", "y_text").mapInArrow(confirmed(n, percent), "x long, y long"), "links")
-    forget(texts)
-    forget(pairs)
+def links_of(cells: DataFrame, nodes: DataFrame, docs: DataFrame, least: list[int], n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Confirmed links (x, y) between guests and members of each cell (owner, part), from rows (owner, part, band, node, root, guest, late)."""
+    cells = scratch.save(cells, "cells")
+    marks = nodes.select("node", "signature")
+    needed = dealt(cells, SHARD).join(marks, "node").groupBy("shard").applyInPandas(open_nodes(least), "owner long, part int, node long, guest boolean")
+    needed = scratch.save(needed, "needed")
+    full = scratch.save(cells.join(needed, ["owner", "part", "node", "guest"], "left_semi"), "open")
+    texts = scratch.save(texts_of(docs, nodes, scratch.save(needed.select("node").distinct(), "wanted")), "texts")
+    shards = dealt(full, TEXT_SHARD).join(marks, "node").join(texts, "node")
+    links = scratch.save(shards.groupBy("shard").applyInPandas(confirmed_links(least, n, percent), "x long, y long"), "links")
+    scratch.drop(cells, needed, full, texts)
     return links
 
 
@@ -307,84 +277,85 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     both. component_id is the least doc_id that links reach (null ids do not
     count while there is another); kept marks the row with that id. Null and
     empty texts, and those without words, have no shingle and are linked with
-    nothing; fewer words than a shingle make one shingle. Repeated rows are in
-    one component; an empty table gives no rows; columns other than doc_id and
-    text are not read. A pair at the threshold is missed by the bands with
-    probability (1 - s**5)**24, under 1e-4, and by the signatures with ``miss`` at most, over all batches.
+    nothing; fewer words than a shingle make one shingle. Very long texts are
+    read whole; a cell holds only some of their sets at a time. Repeated rows are in
+    one component, and the ties that they make have no say in it; an empty
+    table gives no rows; columns other than doc_id and text are not read. A pair
+    at the threshold is missed by the bands with probability (1 - s**5)**24,
+    under 1e-4, and by the signatures with ``miss`` at most, over all batches.
     """
-    since = len(saved_tables(docs.sparkSession))
+    scratch = Scratch(docs.sparkSession, "near")
     least = least_matches(percent / 100, miss)
     read = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))
-    table = save(read.mapInArrow(signed(words), "doc_id long, text_key long, n_shingles long, set_high long, set_low long, signature binary"), "signed")
-    key = ["set_high", "set_low"]
-    nodes = table.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.any_value("signature").alias("signature"))
-    nodes = save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    table = scratch.save(read.mapInArrow(signed(words), "doc_id long, text_key long, n_shingles long, words binary, signature binary"), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")  # null ids come last
+    nodes = table.where("n_shingles > 0").groupBy("words").agg(F.min(first).alias("first"), F.any_value("signature").alias("signature"), F.count("*").alias("copies"))
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # Buckets with at least two nodes, and their hubs.
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))).alias("band", "bucket")
     banded = nodes.select("node", band)
-    crowded = save(banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
-    seats = save(banded.join(crowded, "bucket"), "seats")
+    crowded = scratch.save(banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
+    seats = scratch.save(banded.join(crowded, "bucket"), "seats")
     central = seats.groupBy("node").agg(F.sum("crowd").alias("central"))
-    hubs = save(seats.join(central, "node").groupBy("bucket").agg(F.max_by(F.struct("node"), F.struct(F.col("central"), -F.col("node")))["node"].alias("hub")), "hubs")
+    hubs = scratch.save(seats.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("central"), -F.col("node"))).alias("hub")), "hubs")
     seated = seats.join(hubs, "bucket")
-    to_hub = save(seated.where("node <> hub").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct(), "to-hub")
 
-    marks = nodes.select("node", "signature")
-    with_marks = to_hub.join(marks.toDF("x", "x_mark"), "x").join(marks.toDF("y", "y_mark"), "y").select("x", "y", "x_mark", "y_mark")
-    links = confirm(with_marks.mapInArrow(filtered_pairs(least), "x long, y long"), docs, nodes, words, percent)
-    roots = save(components(links), "roots")
-
-    for step in ("best", "best", "all"):
-        rooted = seated.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = save(rooted, "rooted")
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root")).where("a <> b").select("bucket", "hub_root")
-        split = save(split, "split")
-        open_ = rooted.where("crowd > 2").join(split, "bucket").withColumn("straggler", F.col("root") != F.col("hub_root"))
-        blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-        members = open_.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("guest", F.lit(False))
-        guests = open_.where("straggler").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("guest", F.lit(True))
-        columns = ["bucket", "band", "block", "node", "root", "hub", "straggler", "guest"]
-        dealt = save(members.select(*columns).union(guests.select(*columns)), "dealt")
-        marked = dealt.join(marks, "node")
-        if step == "best":
-            more = confirm(marked.groupBy("bucket", "block").applyInPandas(best_pairs(least), "x long, y long"), docs, nodes, words, percent)
-        else:
-            # Pairs never leave their block: the texts come to it instead.
-            needed = save(marked.groupBy("bucket", "block").applyInPandas(open_nodes(least), "bucket long, block int, node long"), "needed")
-            texts = texts_of(docs, nodes, needed.select("node").distinct(), words)
-            full = marked.join(needed, ["bucket", "block", "node"], "left_semi").join(texts, "node")
-            more = save(full.groupBy("bucket", "block").applyInPandas(block_links(least, words, percent), "x long, y long"), "links")
-            forget(texts)
-        forget(rooted)
-        forget(split)
-        forget(dealt)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = save(components(links), "roots")
-
-    heads = roots.join(nodes.select("node", "first_doc"), "node").groupBy("root").agg(F.min("first_doc").alias("head"))
+    # Every member meets the hubs of its buckets.
+    met = scratch.save(seated.where("node <> hub").select("node", "hub").distinct(), "met")
+    parts = met.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    no = F.lit(False)
+    guests = parts.select(F.col("hub").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(True).alias("guest"))
+    members = met.join(parts, "hub").select(F.col("hub").alias("owner"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", no.alias("guest"))
+    cells = members.union(guests.select("owner", "part", "node", "guest")).select("owner", "part", F.lit(-1).alias("band"), "node", F.col("node").alias("root"), "guest", no.alias("late"))
+    links = links_of(cells, nodes, docs, least, words, percent, scratch)
+    roots = scratch.save(components(links, scratch), "roots")
+
+    # Stragglers of a bucket, members outside its hub's component, meet all members but the hub.
+    rooted = scratch.save(seated.where("crowd > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    hub_root = F.max(F.when(F.col("node") == F.col("hub"), F.col("root")))
+    split = rooted.groupBy("bucket").agg(hub_root.alias("hub_root"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "hub_root")
+    open_ = scratch.save(rooted.where("node <> hub").join(split, "bucket").withColumn("late", F.col("root") != F.col("hub_root")), "open")
+    sides = open_.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if("late") / CELL).cast("int").alias("down"))
+    sided = open_.join(sides, "bucket")
+
+    def side(rows: DataFrame, guest: bool, own: str, other: str) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("node", F.lit(guest)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs")
+        part = F.when(F.lit(guest), F.col("mine") * F.col("across") + F.col("theirs")).otherwise(F.col("theirs") * F.col("across") + F.col("mine"))
+        return rows.select("*", mine.alias("mine"), theirs).select(F.col("bucket").alias("owner"), part.cast("int").alias("part"), F.col("band").cast("int").alias("band"), "node", "root", F.lit(guest).alias("guest"), "late")
+
+    cells = side(sided, False, "across", "down").union(side(sided.where("late"), True, "down", "across"))
+    more = links_of(cells, nodes, docs, least, words, percent, scratch)
+    if not more.isEmpty():
+        roots = scratch.save(components(more.union(roots.toDF("x", "y")), scratch), "roots")
+
+    # Only nodes with copies or links change a row's own id.
+    heads = roots.join(nodes.select("node", F.col("first.doc_id").alias("first_id")), "node").groupBy("root").agg(F.min("first_id").alias("head"))
     node_heads = roots.join(heads, "root").select("node", "head")
-    of_set = save(nodes.join(node_heads, "node", "left").select(*key, F.coalesce("head", "first_doc").alias("component_id")), "of-set")
-    sweep(docs.sparkSession, since, table, of_set)
-    narrow = table.select("doc_id", "text_key", "n_shingles", *key)
-    joined = narrow.join(of_set, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), "text_key")
+    first_id = F.col("first.doc_id")
+    of_words = nodes.join(node_heads, "node", "left").where("head is not null or copies > 1").select("words", F.coalesce("head", first_id).alias("component_id"))
+    of_words = scratch.save(of_words, "of-words")
+    scratch.keep(table, of_words)
+    narrow = table.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words"))
+    # Texts without words have no part in the join.
+    linked = narrow.where("words is not null").join(of_words, "words", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
+    out = linked.union(narrow.where("words is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with one of each group of near-duplicates: the one with the least doc_id, and of its repeated rows one."""
-    since = len(saved_tables(docs.sparkSession))
-    found = save(near_duplicates(docs, words, percent), "near")
-    sweep(docs.sparkSession, since, found)
-    kept = without(docs, found.where("not kept"))
+    """The documents, with one of each group of near-duplicates: the one with the least doc_id, and of its repeated rows one.
+
+    Null and empty texts, very long ones, ties, repeated rows and empty tables
+    are as ``near_duplicates`` says; all columns stay, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    with Scratch(docs.sparkSession, "found"):
+        found = scratch.save(near_duplicates(docs, words, percent), "near")
+    kept = named(docs, scratch.save(found.where("not kept").select("doc_id", "text_key").distinct(), "removed"), "left_anti")
     # Rows that repeat both id and text are rare; only they are moved.
-    repeated = save(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    repeated = scratch.save(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    single = without(kept, repeated)
-    names = repeated.select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"))
-    again = kept.join(names, kept["doc_id"].cast("long").eqNullSafe(names["again_id"]) & (text_key(kept["text"]) == names["again_key"]), "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    again = named(kept, repeated, "left_semi")
+    return named(kept, repeated, "left_anti").unionByName(again.dropDuplicates(["doc_id", "text"]))

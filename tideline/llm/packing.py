@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import Scratch, pick
 
 #: Texts made of these characters only: there the rank-file reader of the same vocabulary splits as the tokenizer does.
 PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ſ]*")
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "by
     rows; columns other than doc_id and text are not read.
     """
     spark: SparkSession = docs.sparkSession
-    pieces = save(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(pieces_of(capacity, end_id, name), PIECES), "pieces")
+    pieces = Scratch(spark, "packing").save(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(pieces_of(capacity, end_id, name), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("task_pieces"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("task_pieces").alias("n")).collect()}  # a row for each length
     slots = spark.createDataFrame(plan(histogram, capacity), "length int, first_rank long, end_rank long, first_sequence long, offset long")

@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save
+from .common import Scratch, pick
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "person")
@@ -270,7 +270,7 @@ def digest(docs: DataFrame) -> DataFrame:
     rows; columns other than doc_id and text are not read.
     """
     counts = [F.size(F.filter("pii_base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    table = save(with_candidates(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")), ("doc_id",)), "pii")
+    table = Scratch(docs.sparkSession, "pii").save(with_candidates(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")), ("doc_id",)), "pii")
     return with_spans(table, accepted_patterns(table)).select("doc_id", *counts, F.sha2(listed("pii_base").cast("binary"), 256).alias("base_sha256"), listed("pii_all").alias("spans"))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, save, saved_tables, sweep, text_key, without
+from .common import Scratch, named, pick, text_key
 
 WORD = re.compile(r"\w+")
 #: Which words of a window count; zeros at the end only fill it up.
@@ -174,9 +174,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
     columns are not read.
     """
     spark = docs.sparkSession
-    items = save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
+    scratch = Scratch(spark, "seeds")
+    items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]
-    seeds_table = save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int, places array<long>").distinct(), "seeds")
+    seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int, places array<long>").distinct(), "seeds")
     place = F.explode("places").alias("place")
     words = seeds_table.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect()  # BLOOM_BITS / 64 rows at most
     bloom = np.zeros(BLOOM_BITS >> 6, dtype=np.int64)
@@ -184,7 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
     held = spark.sparkContext.broadcast(bloom.view(np.uint64))  # of fixed size
     kinds = "doc_id long, text string, hits array<struct<seed:long,doc_pos:int>>"
     candidates = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(candidate_rows(held, masks), kinds)
-    candidates = save(candidates.withColumn("doc_key", F.monotonically_increasing_id()), "candidates")
+    candidates = scratch.save(candidates.withColumn("doc_key", F.monotonically_increasing_id()), "candidates")
     hits = candidates.select("doc_key", F.explode("hits").alias("hit")).select("doc_key", "hit.seed", "hit.doc_pos")
     pairs = hits.join(seeds_table.drop("places"), "seed").groupBy("doc_key", "item_key").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))  # a document's shifts: bounded by its own length
     laid = pairs.join(candidates.select("doc_key", "doc_id", "text"), "doc_key").join(items, "item_key")
@@ -193,7 +194,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similar
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no item, with all their columns."""
-    since = len(saved_tables(docs.sparkSession))
-    found = save(overlaps(docs, benchmark).select("doc_id", "text_key"), "overlaps")
-    sweep(docs.sparkSession, since, found)
-    return without(docs, found)
+    scratch = Scratch(docs.sparkSession, "leaks")
+    with Scratch(docs.sparkSession, "found"):
+        found = scratch.save(overlaps(docs, benchmark).select("doc_id", "text_key").distinct(), "overlaps")
+    return named(docs, found, "left_anti")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, pick, save, saved_tables, sweep
+from .common import MAX_BROADCAST_ROWS, Scratch, pick
 
 LENGTH = 200
 #: Stretches of one anchor in a shard, and stretches in a shard, about.
@@ -298,49 +298,49 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     doc_id and text are not read. ``length`` is from 24 to 255 more than its
     anchor's window.
     """
+    scratch = Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
     kinds = "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, anchor array<long>, stretch array<long>, place array<long>, again array<boolean>"
     rows = docs.select(pick(docs, "doc_id", "long"), text.alias("text"), *text_ids(text)).mapInArrow(digested(length), kinds)
-    since = len(saved_tables(docs.sparkSession))
-    rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     tid = ["t1", "t2"]
 
     # Equal texts are judged as wholes; one row of each stands for its strings.
-    copies = save(rows.groupBy(*tid).agg(F.count("*").alias("copies"), F.min("row").alias("lead")).where("copies > 1"), "copies")
+    copies = scratch.save(rows.groupBy(*tid).agg(F.count("*").alias("copies"), F.min("row").alias("lead")).where("copies > 1"), "copies")
     sent = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_ROWS else copies
     leads = rows.join(sent, tid, "left").where("lead is null or lead = row")
     each = leads.select("row", F.explode(F.arrays_zip("anchor", "stretch", "place", "again")).alias("a")).select("row", "a.*")
     found = each.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("stretch").alias("low_stretch"), F.max("stretch").alias("high_stretch"), F.bool_or("again").alias("again"))
-    repeated = save(found.where("again or low <> high").select("anchor", (F.col("low_stretch") != F.col("high_stretch")).alias("varied")), "repeated")
-    seen = save(each.drop("again").join(repeated, "anchor"), "seen").withColumn("first", F.shiftright("place", 8).cast("int")).withColumn("end", F.col("first") + (F.col("place") % 256).cast("int"))
+    repeated = scratch.save(found.where("again or low <> high").select("anchor", (F.col("low_stretch") != F.col("high_stretch")).alias("varied")), "repeated")
+    seen = scratch.save(each.drop("again").join(repeated, "anchor"), "seen").withColumn("first", F.shiftright("place", 8).cast("int")).withColumn("end", F.col("first") + (F.col("place") % 256).cast("int"))
 
     # Anchors with one stretch: all its starts occur again. The others' stretches are sorted.
     plain, varied = seen.where("not varied"), seen.where("varied")
     places = varied.groupBy("row").agg(F.collect_list(F.struct("anchor", "stretch", "first", "end")).alias("places"))  # bounded by the text's own length
     ids = rows.select("row", "doc_id", *tid)
-    wanted = save(places.join(ids, "row"), "varied")
+    wanted = scratch.save(places.join(ids, "row"), "varied")
     cut = texts_of(docs, wanted)
     cut = cut.select("row", F.explode("places").alias("p"), F.encode("text", "utf-8").alias("data")).select(
         "row", "p.anchor", "p.stretch", "p.first", F.substring("data", F.col("p.first") + 1, F.col("p.end") - F.col("p.first") + (length - 1)).alias("bytes")
     )
-    stretches = save(cut.groupBy("anchor", "stretch").agg((F.count("*") > 1).alias("many"), F.any_value("bytes").alias("bytes")), "stretches")
-    crowd = save(stretches.groupBy("anchor").agg(F.count("*").alias("n")), "crowd")
+    stretches = scratch.save(cut.groupBy("anchor", "stretch").agg((F.count("*") > 1).alias("many"), F.any_value("bytes").alias("bytes")), "stretches")
+    crowd = scratch.save(stretches.groupBy("anchor").agg(F.count("*").alias("n")), "crowd")
     shards = max(1, -(-(crowd.agg(F.sum("n")).first()[0] or 0) // SHARD))
     chunks = F.ceil(F.col("n") / CHUNK)
     dealt = stretches.join(crowd, "anchor").withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod("stretch", chunks).cast("int"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(shards)).cast("int"))
-    marks = save(dealt.select("shard", "anchor", "stretch", "many", "chunks", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), MARKS), "marks")
+    marks = scratch.save(dealt.select("shard", "anchor", "stretch", "many", "chunks", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), MARKS), "marks")
     ends = "anchor long, stretch long, first array<int>, end array<int>"
     across = marks.where("part >= 0").groupBy("anchor", "part").applyInPandas(merged_runs, ends)
     inside = marks.where("part < 0").select("anchor", "stretch", "first", "end")
     offsets = inside.union(across).groupBy("anchor", "stretch").agg(F.flatten(F.collect_list("first")).alias("from"), F.flatten(F.collect_list("end")).alias("to"))  # at most the starts of one stretch
-    offsets = save(offsets, "offsets")
+    offsets = scratch.save(offsets, "offsets")
     moved = varied.join(offsets, ["anchor", "stretch"]).select("row", F.transform("from", lambda x: x + F.col("first")).alias("f"), F.transform("to", lambda x: x + F.col("first")).alias("e"))
 
     spans = plain.select("row", F.array("first").alias("f"), F.array("end").alias("e")).union(moved)
     marked = spans.groupBy("row").agg(F.flatten(F.collect_list("f")).alias("firsts"), F.flatten(F.collect_list("e")).alias("ends"))  # bounded by the text's own length
-    marked = save(marked.join(ids, "row").join(sent.select(*tid), tid, "left_anti"), "marked")
-    sweep(docs.sparkSession, since, rows, copies, marked)
+    marked = scratch.save(marked.join(ids, "row").join(sent.select(*tid), tid, "left_anti"), "marked")
+    scratch.keep(rows, copies, marked)
     out = texts_of(docs, marked).select("row", "text", "firsts", "ends").mapInArrow(cleaned(length), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_text:
         out = out.drop("kept")
