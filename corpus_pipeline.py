@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import minhash, packing, pii, spaced_seeds, toxicity
-from tideline.llm.common import save, table
+from tideline.llm.common import Scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; a stage's intermediate tables, and its input, go once its result is written.
+
+    Nulls in any column, empty and very long texts, ties, repeated rows, empty
+    tables and further columns have the results that each stage states.
+    """
+    outer = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scratch(spark, name):
+            result = outer.save(stage(spark, docs, sf_dir), f"stage-{name}")
+        outer.drop(docs)
+        docs = result
     return docs
