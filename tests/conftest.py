@@ -34,9 +34,9 @@ def day(text):
     return dt.date.fromisoformat(text)
 
 
-def observation(cik, adsh, filed, value, tag="Revenues", ddate="2024-12-31", qtrs=4, uom="USD", form="10-Q", period=None, version="us-gaap/2024", accepted=None):
+def observation(cik, adsh, filed, value, tag="OperatingIncomeLoss", ddate="2021-12-31", qtrs=4, uom="EUR", form="10-K", period=None, version="gaap/2021", accepted=None):
     filed = day(filed)
-    return (cik, adsh, form, filed, accepted or dt.datetime(filed.year, filed.month, filed.day, 16, 30), day(period or ddate), filed.year, "FY", tag, version, day(ddate), qtrs, uom, value, filed.year)
+    return (cik, adsh, form, filed, accepted or dt.datetime(filed.year, filed.month, filed.day, 9, 15), day(period or ddate), filed.year, "FY", tag, version, day(ddate), qtrs, uom, value, filed.year)
 
 
 @pytest.fixture(scope="session")
@@ -44,23 +44,22 @@ def make(spark):
     return lambda rows: spark.createDataFrame(rows, OBSERVATIONS)
 
 
+#: Five companies of the vintage experiment: assets, equity, income.
+COMPANIES = {81: (5200.0, 1300.0, 65.0), 83: (4700.0, 940.0, 141.0), 85: (4100.0, 2050.0, 41.0), 87: (3900.0, 780.0, 195.0), 89: (3100.0, 620.0, -62.0)}
+
+
 @pytest.fixture(scope="session")
 def vintages(make):
-    """A few facts with all kinds of revision."""
+    """A series that is corrected and then set back, a unit slip, a zero with a gap behind it, a fact told once, and five companies one of which restates."""
     o = observation
-    rows = [
-        o(1, "a-1", "2025-02-01", 100.0),
-        o(1, "a-2", "2025-05-01", 100.0),
-        o(1, "a-3", "2025-08-01", 130.0),
-        o(2, "b-1", "2025-02-01", 500.0, "Assets", qtrs=0),
-        o(2, "b-2", "2025-03-01", 550.0, "Assets", qtrs=0, form="10-K/A"),
-        o(3, "c-1", "2025-02-01", 73.6, "CommonStockSharesIssued", qtrs=0, uom="shares"),
-        o(3, "c-2", "2025-06-01", 73_600_000.0, "CommonStockSharesIssued", qtrs=0, uom="shares"),
-        o(4, "d-1", "2025-02-01", None, "Liabilities", qtrs=0),
-        o(4, "d-2", "2025-05-01", 42.0, "Liabilities", qtrs=0),
-    ]
-    for cik, (assets, equity, income) in {10: (1000.0, 200.0, 10.0), 11: (900.0, 300.0, 30.0), 12: (800.0, 400.0, 50.0)}.items():
-        for tag, value, qtrs in (("Assets", assets, 0), ("StockholdersEquity", equity, 0), ("NetIncomeLoss", income, 4)):
-            rows.append(o(cik, f"u{cik}-1", "2025-02-01", value, tag, qtrs=qtrs, form="10-K"))
-    rows.append(o(10, "u10-2", "2025-05-01", 90.0, "NetIncomeLoss"))
+    series = {
+        71: ("OperatingIncomeLoss", 4, [("2022-02-18", 640.0, "10-K"), ("2022-03-04", 655.0, "10-K/A"), ("2022-08-12", 655.0, "10-Q"), ("2022-11-10", 640.0, "10-Q")]),
+        72: ("InventoryNet", 0, [("2022-02-25", 12_000.0, "10-K"), ("2022-05-13", 12.0, "10-Q")]),
+        73: ("Goodwill", 0, [("2022-02-11", 0.0, "10-K"), ("2022-05-20", None, "10-Q"), ("2022-08-19", 7.0, "10-Q")]),
+        74: ("AccountsPayable", 0, [("2022-04-29", 33.0, "10-Q")]),
+    }
+    rows = [o(cik, f"{cik:04d}-22-{k}", filed, value, tag, qtrs=qtrs, form=form) for cik, (tag, qtrs, told) in series.items() for k, (filed, value, form) in enumerate(told)]
+    for cik, values in COMPANIES.items():
+        rows += [o(cik, f"{cik:04d}-22-0", "2022-03-11", v, tag, qtrs=q) for (tag, q), v in zip((("Assets", 0), ("StockholdersEquity", 0), ("NetIncomeLoss", 4)), values)]
+    rows.append(o(83, "0083-22-1", "2022-08-05", -47.0, "NetIncomeLoss", form="10-Q"))
     return make(rows)

@@ -11,32 +11,38 @@ def value(df, cik):
     return [r["value"] for r in df.where(F.col("cik") == cik).collect()]
 
 
-def test_as_of_walks_the_versions(vintages):
-    for day, want in (("2025-01-31", []), ("2025-02-01", [100.0]), ("2025-07-31", [100.0]), ("2025-08-01", [130.0])):
-        assert value(facts.as_of(vintages, dt.date.fromisoformat(day)), 1) == want
-
-
-def test_never_the_future_and_in_the_end_the_latest(vintages):
-    day = dt.date(2025, 5, 1)
-    assert facts.as_of(vintages, day).where(F.col("filed") > F.lit(day)).count() == 0
-    last = facts.as_of(vintages, dt.date(2030, 1, 1))
+@pytest.mark.parametrize("day, known", [("2022-02-17", []), ("2022-02-18", [640.0]), ("2022-03-03", [640.0]), ("2022-03-04", [655.0]), ("2022-11-09", [655.0]), ("2022-11-10", [640.0])])
+def test_a_day_shows_the_version_of_that_day(vintages, day, known):
+    assert value(facts.as_of(vintages, dt.date.fromisoformat(day)), 71) == known
+
+
+def test_later_days_know_more_and_the_last_knows_all(vintages):
+    seen = 0
+    for month in range(2, 13):
+        day = dt.date(2022, month, 15)
+        known = facts.as_of(vintages, day)
+        assert known.where(F.col("filed") > F.lit(day)).count() == 0 and known.count() >= seen
+        seen = known.count()
+    last = facts.as_of(vintages, dt.date(2023, 6, 1))
     assert last.exceptAll(facts.latest(vintages)).count() == 0 == facts.latest(vintages).exceptAll(last).count()
 
 
-def test_a_later_null_wins(make):
-    rows = make([observation(1, "a", "2025-02-01", 5.0), observation(1, "b", "2025-03-01", None)])
-    assert value(facts.latest(rows), 1) == [None]
+def test_a_later_null_wins(vintages):
+    assert value(facts.as_of(vintages, dt.date(2022, 6, 1)), 73) == [None] and value(facts.latest(vintages), 73) == [7.0]
+
 
+def test_worlds_differ_where_a_value_changed_after_the_day(vintages):
+    def ciks(day):
+        return {r["cik"] for r in facts.diff_worlds(vintages, dt.date.fromisoformat(day)).collect()}
 
-def test_differences_shrink_to_none(vintages):
-    early = {r["cik"] for r in facts.diff_worlds(vintages, dt.date(2025, 2, 15)).collect()}
-    assert early == {1, 2, 3, 4, 10}
-    assert facts.diff_worlds(vintages, dt.date(2025, 12, 31)).count() == 0
+    assert ciks("2022-02-20") == {73}  # 71 ends as it began; 72 isn't known yet
+    assert ciks("2022-03-15") == {71, 72, 73, 83}
+    assert ciks("2022-08-19") == {71} and ciks("2022-11-10") == set()
 
 
-def test_differences_leave_out_facts_without_a_whole_key(make):
-    rows = make([observation(None, "a", "2025-02-01", 5.0), observation(None, "b", "2025-03-01", 6.0)])
-    assert facts.diff_worlds(rows, dt.date(2025, 2, 15)).count() == 0
+def test_worlds_leave_out_facts_without_a_whole_key(make):
+    rows = make([observation(None, "k-1", "2022-02-01", 3.0), observation(None, "k-2", "2022-04-01", 4.0)])
+    assert facts.diff_worlds(rows, dt.date(2022, 3, 1)).count() == 0
 
 
 def test_primary_key(vintages):
@@ -46,10 +52,10 @@ def test_primary_key(vintages):
 
 
 def test_ties_in_the_day_go_to_the_later_filing(make):
-    rows = make([observation(1, "a", "2025-02-01", 5.0), observation(1, "b", "2025-02-01", 6.0)])
-    assert value(facts.latest(rows), 1) == [6.0]
+    rows = make([observation(4, "t-8", "2022-05-02", 18.0), observation(4, "t-9", "2022-05-02", 19.0)])
+    assert value(facts.latest(rows), 4) == [19.0]
 
 
 def test_freeze(vintages):
     frozen = facts.freeze_first(vintages)
-    assert sorted(set(value(frozen, 1))) == [100.0] and value(frozen, 4) == [None, None]
+    assert set(value(frozen, 71)) == {640.0} and value(frozen, 73) == [0.0] * 3 and value(frozen, 74) == [33.0]

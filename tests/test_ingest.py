@@ -1,16 +1,18 @@
 import datetime as dt
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import observation
 from tideline import cli
 from tideline.config import Config, quarters_between
-from tideline.operators import crosscheck
+from tideline.operators import crosscheck, ingest
 from tideline.schema import MEMBERS, OBSERVATIONS
 from tideline.sources import archive, companyfacts, observations
-from tideline.sources.download import download
+from tideline.sources.download import DownloadError, download, read_manifest
 from tideline.streaming import arrivals
 
 
@@ -20,81 +22,145 @@ def tsv(member, rows, header=None):
     return "\n".join(lines) + "\n"
 
 
-def mini(config, quarter="2025q1", drift=False):
-    sub = [dict(adsh=a, cik=c, form=f, period="20241231", fy=2024, fp="FY", filed="20250201", accepted="2025-02-01 17:30:00.0") for a, c, f in (("keep-1", 7, "10-K"), ("drop-form", 8, "8-K"))]
-    row = dict(adsh="keep-1", tag="Assets", version="us-gaap/2024", ddate="20241231", qtrs="0", uom="USD", value="5")
-    num = [row, row | dict(segments="Axis=A;"), row | dict(coreg="PARENT"), row | dict(qtrs="7"), row | dict(adsh="drop-form"), row | dict(tag="MyOwnTag", version="keep-1")]
-    tag = [dict(tag="Assets", version="us-gaap/2024", custom=0), dict(tag="MyOwnTag", version="keep-1", custom=1)]
+QUARTER = "2022q2"
+MINE, CORRECTED, PROSPECTUS = "0000007-22-000031", "0000007-22-000044", "0000009-22-000002"
+#: What becomes of each row of the archive below, and how often.
+WANT = dict(drop_segments=2, drop_qtrs=2, drop_form=2, drop_custom=1, drop_ambiguous=2, drop_duplicate=1, kept=4)
+
+
+def archive_of(config, headers=None):
+    """An archive with three filings: a report, its amendment, and one of a form that doesn't count."""
+    forms = {MINE: ("7", "10-Q", "20220506"), CORRECTED: ("7", "10-Q/A", "20220610"), PROSPECTUS: ("9", "S-1", "20220512")}
+    sub = [dict(adsh=a, cik=c, form=f, period="20220331", fy="2022", fp="Q1", filed=d, accepted=f"{d[:4]}-{d[4:6]}-{d[6:]} 08:05:00.0") for a, (c, f, d) in forms.items()]
+
+    def told(adsh, tag, value, qtrs="0", version="gaap/2022", **more):
+        return dict(adsh=adsh, tag=tag, version=version, ddate="20220331", qtrs=qtrs, uom="USD", value=value) | more
+
+    num = [
+        told(MINE, "Cash", "100"),
+        told(MINE, "Cash", "60", coreg="Subsidiary"),
+        told(CORRECTED, "Revenues", "9", "1", segments="Region=North;"),
+        told(MINE, "Revenues", "250", "1"),
+        told(MINE, "Revenues", "900", "6"),
+        told(CORRECTED, "Revenues", "900", "one"),
+        told(PROSPECTUS, "Cash", "1"),
+        told(PROSPECTUS, "Revenues", "2", "1"),
+        told(MINE, "WidgetBacklog", "3", version=MINE),
+        told(CORRECTED, "Cash", "101"),
+        told(CORRECTED, "Debt", "7"),
+        told(CORRECTED, "Debt", "7.0"),
+        told(MINE, "Debt", "40"),
+        told(MINE, "Debt", "40"),
+    ]
+    tag = [dict(tag=t, version="gaap/2022", custom="0") for t in ("Cash", "Revenues", "Debt")] + [dict(tag="WidgetBacklog", version=MINE, custom="1")]
     config.raw_dir.mkdir(parents=True, exist_ok=True)
-    with zipfile.ZipFile(config.raw_dir / f"{quarter}.zip", "w") as z:
-        z.writestr("sub.txt", tsv("sub.txt", sub, ["WRONG", *MEMBERS["sub.txt"][1:]] if drift else None))
-        z.writestr("num.txt", tsv("num.txt", num))
-        z.writestr("tag.txt", tsv("tag.txt", tag))
+    with zipfile.ZipFile(config.raw_dir / f"{QUARTER}.zip", "w") as z:
+        for member, rows in (("sub.txt", sub), ("num.txt", num), ("tag.txt", tag)):
+            z.writestr(member, tsv(member, rows, (headers or {}).get(member)))
 
 
 def test_every_dropped_row_is_counted_and_runs_repeat(spark, tmp_path):
-    config = Config.of("2025q1", tmp_path)
-    mini(config)
-    want = dict(total_in=6, drop_segments=2, drop_qtrs=1, drop_form=1, drop_custom=1, drop_ambiguous=0, drop_duplicate=0, kept=1)
+    config = Config.of(QUARTER, tmp_path)
+    archive_of(config)
     for _ in range(2):
-        assert archive.build_quarter(spark, config, "2025q1") == want
-    (row,) = observations.load(spark, config, ciks=[7], tags=["Assets"], ddate_max=dt.date(2024, 12, 31), qtrs=0).collect()
-    assert (row["value"], row["filed"], row["accepted"], row["filed_year"]) == (5.0, dt.date(2025, 2, 1), dt.datetime(2025, 2, 1, 17, 30), 2025)
-    assert observations.load(spark, config, ciks=[8]).count() == 0
+        assert archive.build_quarter(spark, config, QUARTER) == WANT | dict(total_in=sum(WANT.values()))
+    rows = observations.load(spark, config).collect()
+    assert sorted((r["adsh"], r["tag"], r["qtrs"], r["value"]) for r in rows) == [(MINE, "Cash", 0, 100.0), (MINE, "Debt", 0, 40.0), (MINE, "Revenues", 1, 250.0), (CORRECTED, "Cash", 0, 101.0)]
+    (row,) = observations.load(spark, config, ciks=[7], tags=["Revenues"], ddate_max=dt.date(2022, 3, 31), qtrs=1, years=[2022]).collect()
+    assert (row["filed"], row["accepted"], row["fp"], row["filed_year"]) == (dt.date(2022, 5, 6), dt.datetime(2022, 5, 6, 8, 5), "Q1", 2022)
+    assert observations.load(spark, config, ciks=[9]).count() == 0 == observations.load(spark, config, years=[2021]).count()
 
 
 def test_a_changed_header_stops_everything(spark, tmp_path):
-    config = Config.of("2025q1", tmp_path)
-    mini(config, drift=True)
-    with pytest.raises(archive.SchemaDriftError, match="sub.txt.*WRONG"):
-        archive.build_quarter(spark, config, "2025q1")
-    assert not config.observations_dir.exists()
+    config = Config.of(QUARTER, tmp_path)
+    num, tag = MEMBERS["num.txt"], MEMBERS["tag.txt"]
+    for headers, said in (({"num.txt": num[:-1]}, f"num.txt: missing .*{num[-1]}"), ({"tag.txt": (tag[1], tag[0], *tag[2:])}, "tag.txt.*another order")):
+        archive_of(config, headers)
+        with pytest.raises(archive.SchemaDriftError, match=said):
+            archive.build_quarter(spark, config, QUARTER)
+    assert not Path(config.observations).exists()
     with pytest.raises(FileNotFoundError):
         observations.load(spark, config)
     with pytest.raises(FileNotFoundError):
-        archive.build_quarter(spark, config, "2025q2")
+        archive.build_quarter(spark, config, "2022q3")
 
 
-def test_contradictions_and_duplicates(spark, tmp_path):
-    config = Config.of("2025q1", tmp_path)
-    mini(config)
-    files = archive.stage(config.raw_dir / "2025q1.zip", "2025q1", tmp_path / "staged")
-    sub, num, tag = archive.members(spark, files)
-    one = num.where("qtrs = '0' and segments is null and coreg is null and tag = 'Assets' and adsh = 'keep-1'")
-    from pyspark.sql import functions as F
-
-    from tideline.operators import ingest
-
-    for other, reason in ((one, "drop_duplicate"), (one.withColumn("value", F.lit("5.0")), "drop_ambiguous"), (one.withColumn("value", F.lit(None).cast("string")), "drop_ambiguous")):
-        counts = {r["reason"]: r["n_rows"] for r in ingest.audited(sub, one.union(other), tag)[1].collect()}
-        assert counts[reason] == (1 if reason == "drop_duplicate" else 2) and sum(counts.values()) == 2
+def test_a_null_beside_a_value_is_a_contradiction_and_beside_a_null_a_duplicate(spark, tmp_path):
+    config = Config.of(QUARTER, tmp_path)
+    archive_of(config)
+    sub, num, tag = archive.members(spark, archive.stage(spark, config, QUARTER))
+    one = num.where(F.col("adsh") == MINE).where("tag = 'Cash' and coreg is null")
+    gap = one.withColumn("value", F.lit(None).cast("string"))
+    for rows, reason, n in ((one.union(gap), "drop_ambiguous", 2), (gap.union(gap), "drop_duplicate", 1)):
+        counts = {r["reason"]: r["n_rows"] for r in ingest.audited(sub, rows, tag)[1].collect()}
+        assert counts[reason] == n and sum(counts.values()) == 2
 
 
 def test_command_line(spark, tmp_path):
-    config = Config.of("2025q1", tmp_path)
-    mini(config)
-    args = ["--quarters", "2025q1", "--root", str(tmp_path)]
+    config = Config.of(QUARTER, tmp_path)
+    archive_of(config)
+    args = ["--quarters", QUARTER, "--root", str(tmp_path)]
     for command in (["build", "--offline"], ["census"], ["demo"], ["renames"]):
         assert cli.main([*command, *args], spark) == 0
-    assert json.loads((config.out_dir / "summary.json").read_text())["n_rows"] == 1
-    (config.raw_dir / "companyfacts").mkdir()
-    (config.raw_dir / "companyfacts" / "CIK0000000007.json").write_text(json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2024-12-31", "val": 5, "filed": "2025-02-01"}]}}}}}))
-    assert cli.main(["crosscheck", *args], spark) == 0
-    assert json.loads((config.out_dir / "crosscheck_summary.json").read_text())["value_agreement"] == 1.0
+    assert json.loads((config.out_dir / "summary.json").read_text())["n_rows"] == 4
+    second = config.raw_dir / "companyfacts"
+    second.mkdir()
+    record = {"end": "2022-03-28", "val": 100, "filed": "2022-05-06"}
+    (second / "CIK0000000007.json").write_text(json.dumps({"facts": {"us-gaap": {"Cash": {"units": {"USD": [record]}}}}}))
+    assert cli.main(["crosscheck", "--offline", *args], spark) == 0
+    report = json.loads((config.out_dir / "crosscheck_summary.json").read_text())
+    assert (report["matched_observations"], report["value_agreement"], report["our_rows"]) == (1, 1.0, 4)
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        return
+    assert cli.main(["figure", *args], spark) == 0 and (config.figures_dir / "census.png").exists()
 
 
 def test_second_source(spark):
-    text = json.dumps({"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2024-12-28", "val": 1.5, "filed": "2025-02-01"}, {"end": "soon", "val": 2, "filed": "2025-02-01"}, {"start": "2024-01-01", "end": "2024-12-31", "val": None, "filed": "2025-02-01"}]}}}}})
-    docs = spark.createDataFrame([(1, text), (2, "{"), (3, "{}"), (4, None)], "cik long, json string")
-    rows = [tuple(r) for r in companyfacts.flattened(docs).orderBy("qtrs").collect()]
-    end, filed = dt.date(2024, 12, 31), dt.date(2025, 2, 1)
-    assert rows == [(1, "Assets", "USD", end, 0, filed, 1.5), (1, "Assets", "USD", end, 4, filed, None)]
+    concept = {"units": {"EUR": [{"start": "2021-07-01", "end": "2022-01-02", "val": 12.25, "filed": "2022-02-14"}, {"end": "2022-03-16", "val": None, "filed": "2022-04-29"}, {"end": "mid-year", "val": 1, "filed": "2022-04-29"}]}}
+    texts = [json.dumps({"facts": {"us-gaap": {"Inventory": concept}, "dei": {}}}), "[1, 2", "{}", None]
+    docs = spark.createDataFrame([(30 + k, t) for k, t in enumerate(texts)], "cik long, json string")
+    rows = {tuple(r) for r in companyfacts.flattened(docs).collect()}
+    assert rows == {(30, "Inventory", "EUR", dt.date(2021, 12, 31), 2, dt.date(2022, 2, 14), 12.25), (30, "Inventory", "EUR", dt.date(2022, 3, 31), 0, dt.date(2022, 4, 29), None)}
+
+
+def test_the_second_source_is_fetched_once_and_faults_are_passed_over(spark, tmp_path):
+    config, asked, naps = Config.of(QUARTER, tmp_path), [], []
+
+    def get(url, _):
+        asked.append(url)
+        if "0000000008" in url:
+            raise OSError("not found")
+        return [b'{"facts"', b": {}}"]
+
+    for _ in range(2):
+        found = companyfacts.fetch(config, [7, 8], get=get, sleep=naps.append)
+        assert [p.name for p in found] == ["CIK0000000007.json"]
+    assert sum("0000000007" in u for u in asked) == 1 and sum("0000000008" in u for u in asked) == 2 and len(naps) == 1
+
+
+def test_a_known_case(spark):
+    def told(filed, accn, form, val, end="2020-06-30", start="2020-01-01"):
+        return {"start": start, "end": end, "val": val, "filed": filed, "accn": accn, "form": form}
+
+    records = [told("2021-08-02", "b", "10-Q", 310), told("2020-08-03", "a", "10-Q", -40), told("2021-08-02", "c", "10-Q", 320), told("2020-08-03", "a", "10-Q", 1, end="2020-03-31")]
+    docs = spark.createDataFrame([(5, json.dumps({"facts": {"us-gaap": {"OtherGains": {"units": {"USD": records}}}}}))], "cik long, json string")
+    series = companyfacts.series(docs, 5, "OtherGains", "USD", dt.date(2020, 6, 30))
+    assert [(r["accn"], r["value"]) for r in series.collect()] == [("a", -40.0), ("b", 310.0), ("c", 320.0)]
+    row = companyfacts.known_case(series, -40.0, 320.0).first()
+    assert (row["first_as_expected"], row["final_as_expected"], row["both_kept"], row["silent"], row["lag_days"], row["holds"]) == (True, True, True, True, 364, True)
+    assert not companyfacts.known_case(series, -40.0, 310.0).first()["holds"] and not companyfacts.known_case(series.limit(0), 1.0, 2.0).first()["holds"]
 
 
 def test_ambiguous_keys_are_not_compared(make):
-    ours = make([observation(1, "a", "2025-02-01", 5.0), observation(1, "b", "2025-02-01", 6.0), observation(2, "c", "2025-02-01", 7.0)])
-    row = crosscheck.summary(ours, make([observation(1, "a", "2025-02-01", 5.0), observation(2, "c", "2025-02-01", 8.0)])).first()
-    assert (row["our_ambiguous_keys"], row["matched_observations"], row["n_conflicts"], row["value_agreement"]) == (1, 1, 1, 0.0)
+    ours = make([observation(3, "x-1", "2022-03-07", 70.0), observation(3, "x-2", "2022-03-07", 71.0), observation(6, "y-1", "2022-03-07", 20.0), observation(9, "z-1", "2022-03-07", 1.0)])
+    theirs = make([observation(3, "x-1", "2022-03-07", 70.0), observation(6, "y-1", "2022-03-07", 25.0), observation(9, "z-1", "2022-03-07", None)])
+    row = crosscheck.summary(ours, theirs).first()
+    assert (row["our_rows"], row["our_unique_keys"], row["our_ambiguous_keys"], row["companyfacts_unique_keys"]) == (4, 2, 1, 3)
+    assert (row["matched_observations"], row["n_conflicts"], row["conflict_rel_median"]) == (2, 1, 0.2)
+    empty = crosscheck.summary(ours.limit(0), theirs.limit(0)).first()
+    assert (empty["our_rows"], empty["matched_observations"], empty["value_agreement"]) == (0, 0, 0.0)
 
 
 def test_windows_and_dates():
@@ -107,22 +173,34 @@ def test_windows_and_dates():
 
 
 def test_download_skips_retries_and_records(tmp_path):
-    config = Config.of("2025q1,2025q2", tmp_path, max_retries=3)
+    config = Config.of("2022q2,2022q3", tmp_path, max_retries=3)
     calls, naps = [], []
 
     def get(url, _):
         calls.append(url)
         if len(calls) == 1:
             raise OSError("once")
-        return b"zip"
+        return [b"zi", b"p"]
 
     manifest = download(config, get=get, sleep=naps.append)
-    assert len(calls) == 3 and {m["status"] for m in manifest.values()} == {"ok"} and naps[0] == 1
+    assert len(calls) == 3 and {(m["status"], m["bytes"]) for m in manifest.values()} == {("ok", 3)} and naps[0] == 1
     assert download(config, get=get, sleep=naps.append) == manifest and len(calls) == 3
+    assert (config.raw_dir / "2022q3.zip").read_bytes() == b"zip" and not list(config.raw_dir.glob("*.part"))
+
+
+def test_a_download_that_never_comes_raises_and_is_noted(tmp_path):
+    def get(url, _):
+        yield b"half"
+        raise OSError("gone")
+
+    config = Config.of("2022q2", tmp_path, max_retries=2)
+    with pytest.raises(DownloadError, match="2022q2"):
+        download(config, get=get, sleep=lambda _: None)
+    assert read_manifest(config)["2022q2"]["status"] == "failed" and not (config.raw_dir / "2022q2.zip").exists()
 
 
 def test_arrivals(spark, tmp_path):
-    rows = [observation(1, "a-1", "2025-02-01", 100.0), observation(1, "a-2", "2025-05-01", 130.0)]
+    rows = [observation(71, "n-1", "2022-02-18", 640.0), observation(71, "n-2", "2022-03-04", 655.0)]
     for k, row in enumerate(rows):
         spark.createDataFrame([row], OBSERVATIONS).write.mode("append").parquet(str(tmp_path / "in"))
         arrivals.append(arrivals.stream(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination()

@@ -9,59 +9,49 @@ from tideline.functions.ranks import nearest_rank, spearman
 from tideline.functions.scalar import month_end, qtrs_between
 from tideline.operators import revisions, stats
 
-CONFIG = Config.of("2025q1,2025q2")
+CONFIG = Config.of("2022q1,2022q2,2022q3,2022q4")
 
 
 def of(df, cik):
     return [r.asDict() for r in df.where(F.col("cik") == cik).orderBy("seq").collect()]
 
 
-def test_one_event_for_one_change(vintages):
-    (e,) = of(revisions.events(vintages), 1)
-    assert (e["v_old"], e["v_new"], e["seq"], e["lag_days"], e["lag_since_first_days"]) == (100.0, 130.0, 1, 92, 181)
-    assert not e["is_amendment"] and e["scale_exponent"] is None
+def test_each_change_is_one_event(vintages):
+    there, back = of(revisions.events(vintages), 71)
+    assert (there["v_old"], there["v_new"], there["seq"], there["lag_days"], there["lag_since_first_days"], there["is_amendment"]) == (640.0, 655.0, 1, 14, 14, True)
+    assert (back["v_old"], back["v_new"], back["seq"], back["lag_days"], back["lag_since_first_days"], back["is_amendment"]) == (655.0, 640.0, 2, 90, 265, False)
 
 
-def test_amendment_scale_and_null(vintages):
+def test_unit_slips_and_nulls(vintages):
     events = revisions.events(vintages)
-    assert of(events, 2)[0]["is_amendment"] and of(events, 3)[0]["scale_exponent"] == 6 and of(events, 4) == []
-    assert events.where("v_old = v_new").count() == 0
+    assert [e["scale_exponent"] for e in of(events, 72)] == [-3] and of(events, 74) == []
+    ((old, new),) = [(e["v_old"], e["v_new"]) for e in of(events, 73)]
+    assert (old, new) == (0.0, 7.0) and events.where("v_old = v_new").count() == 0
 
 
 def test_census_agrees_with_events(vintages):
-    census = revisions.census(vintages, CONFIG)
-    keys = {r["cik"] for r in census.where("revised").collect()}
-    assert keys == {r["cik"] for r in revisions.events(vintages).collect()}
-    row = census.where("cik = 4").first()
-    assert row["n_obs"] == 1 and not row["revised"]
-    row = census.where("cik = 3").first()
-    assert row["ever_scale_change"] and not row["ever_amendment"]
+    census = {r["cik"]: r for r in revisions.census(vintages, CONFIG).where("revised").collect()}
+    assert set(census) == {r["cik"] for r in revisions.events(vintages).select("cik").distinct().collect()} == {71, 72, 73, 83}
+    assert (census[71]["n_obs"], census[71]["n_revisions"], census[71]["magnitude"], census[71]["ever_amendment"]) == (4, 1, 0.0, True)
+    assert census[72]["ever_scale_change"] and not census[72]["ever_amendment"] and census[73]["from_zero"] and census[73]["n_obs"] == 2
 
 
-def test_there_and_back_is_two_events_and_one_revision(make):
-    rows = make([observation(1, a, f"2025-0{m}-01", v) for a, m, v in (("a", 2, 100.0), ("b", 3, 130.0), ("c", 4, 100.0))])
-    assert revisions.events(rows).count() == 2
-    row = revisions.census(rows, CONFIG).first()
-    assert (row["n_revisions"], row["magnitude"], row["revised"]) == (1, 0.0, True)
-
-
-def test_from_zero_and_left_censoring(make):
+def test_left_censoring(make):
     rows = make(
-        [observation(30, "a", "2025-05-01", 0.0, period="2025-03-31"), observation(30, "b", "2025-06-01", 5.0), observation(31, "c", "2025-05-01", 1.0), observation(32, "d", "2025-02-01", 1.0)]
+        [observation(41, "w-1", "2022-02-09", 8.0), observation(42, "w-2", "2022-06-09", 8.0), observation(43, "w-3", "2022-06-09", 8.0, period="2022-03-31"), observation(44, "w-4", "2022-06-09", 8.0, period="2022-01-31")]
     )
-    got = {r["cik"]: r for r in revisions.census(rows, CONFIG).collect()}
-    assert got[30]["from_zero"] and got[30]["first_is_comparative"] and got[30]["left_censored"] and not got[30]["left_censored_window"]
-    assert not got[31]["left_censored"] and got[32]["left_censored_window"]
+    got = {r["cik"]: (r["left_censored_window"], r["first_is_comparative"], r["left_censored"]) for r in revisions.census(rows, CONFIG).collect()}
+    assert got == {41: (True, False, True), 42: (False, False, False), 43: (False, True, True), 44: (False, False, False)}
 
 
 def test_merged_tags(spark, make):
-    o = observation
-    rows = make(
-        [o(20, "m-1", "2025-02-01", 100.0, "OldTag"), o(20, "m-1", "2025-02-01", 120.0, "NewTag"), o(20, "m-2", "2025-05-01", 120.0, "NewTag"), o(21, "n-1", "2025-02-01", 50.0, "OldTag"), o(21, "n-1", "2025-02-01", 50.0, "NewTag"), o(21, "n-2", "2025-05-01", 60.0, "NewTag")]
-    )
-    tags = spark.createDataFrame([("OldTag", "NewTag"), ("NewTag", "NewTag")], "tag string, representative string")
-    assert [(r["cik"], r["v_old"], r["v_new"]) for r in revisions.events(rows, tags).collect()] == [(21, 50.0, 60.0)]
-    assert revisions.merged_conflicts(rows, tags).first()["n_conflicts"] == 1
+    """Three companies move from one name to another: 51 tells both names alike, 52 contradicts itself, 53 changes the value with the name."""
+    told = {51: [("Sales", 9.0), ("Turnover", 9.0)], 52: [("Sales", 4.0), ("Turnover", 5.0)], 53: [("Sales", 6.0)]}
+    rows = [observation(cik, f"{cik}-a", "2022-03-02", v, tag) for cik, first in told.items() for tag, v in first]
+    rows += [observation(cik, f"{cik}-b", "2022-09-02", v, "Turnover") for cik, v in ((51, 9.0), (52, 5.0), (53, 6.5))]
+    tags = spark.createDataFrame([("Sales", "Turnover"), ("Turnover", "Turnover")], "tag string, representative string")
+    assert [(r["cik"], r["v_old"], r["v_new"]) for r in revisions.events(make(rows), tags).collect()] == [(53, 6.0, 6.5)]
+    assert revisions.merged_conflicts(make(rows), tags).first()["n_conflicts"] == 1 and revisions.events(make(rows)).count() == 0
 
 
 def test_events_of_random_series_against_a_model(make):

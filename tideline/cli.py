@@ -18,9 +18,15 @@ from .sources.download import download
 log = logging.getLogger("tideline")
 
 
-def write_csv(df: DataFrame, path: Path) -> None:
+def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file in a folder."""
-    df.coalesce(1).write.mode("overwrite").csv(str(path), header=True)
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table, read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def build(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
@@ -28,7 +34,7 @@ def build(spark: SparkSession, config: Config, args: argparse.Namespace) -> None
         download(config)
     rows = [{"quarter": q, **archive.build_quarter(spark, config, q)} for q in config.quarters]
     config.out_dir.mkdir(parents=True, exist_ok=True)
-    write_csv(spark.createDataFrame(rows), config.out_dir / "filter_counts")
+    write_csv(spark.createDataFrame(rows), config.table("out", "filter_counts"))
     obs = observations.load(spark, config)
     facts.assert_primary_key(obs)
     report = facts.summary(obs).first().asDict() | facts.business_keys(obs).first().asDict() | {"by_form": {r["form"]: r["n_rows"] for r in facts.by_form(obs).collect()}}
@@ -37,17 +43,16 @@ def build(spark: SparkSession, config: Config, args: argparse.Namespace) -> None
 
 def census(spark: SparkSession, config: Config, args: argparse.Namespace, tag_map: DataFrame | None = None, suffix: str = "") -> None:
     obs = observations.load(spark, config)
-    revisions.events(obs, tag_map).write.mode("overwrite").parquet(str(config.out_dir / f"revisions{suffix}"))
-    revisions.census(obs, config, tag_map).write.mode("overwrite").parquet(str(config.out_dir / f"census{suffix}"))
-    events_, census_ = (spark.read.parquet(str(config.out_dir / f"{n}{suffix}")) for n in ("revisions", "census"))
+    events_ = written(revisions.events(obs, tag_map), config.table("out", f"revisions{suffix}"))
+    census_ = written(revisions.census(obs, config, tag_map), config.table("out", f"census{suffix}"))
     for name, table in stats.compute(obs, census_, events_).items():
-        write_csv(table, config.out_dir / f"stats_{name}{suffix}")
+        write_csv(table, config.table("out", f"stats_{name}{suffix}"))
 
 
 def renames_(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
     obs = observations.load(spark, config)
-    found = renames.detect(obs).cache()
-    write_csv(found.orderBy("accepted", "exact_agreement", ascending=False), config.out_dir / "tag_renames")
+    found = written(renames.detect(obs), config.table("out", "rename_candidates"))
+    write_csv(found.orderBy("accepted", "exact_agreement", ascending=False), config.table("out", "tag_renames"))
     tag_map = renames.class_table(found)
     log.info("contradictions after merging: %s", revisions.merged_conflicts(obs, tag_map).first()["n_conflicts"])
     census(spark, config, args, tag_map, "_canonical")
@@ -57,23 +62,25 @@ def crosscheck_(spark: SparkSession, config: Config, args: argparse.Namespace) -
     obs = observations.load(spark, config)
     ciks = crosscheck.sample_companies(obs, args.n_ciks, args.seed)
     ours = obs.join(ciks, "cik", "left_semi")
+    if not args.offline:
+        companyfacts.fetch(config, [r["cik"] for r in ciks.collect()])  # as many as were asked for
     theirs = companyfacts.flattened(companyfacts.read(spark, str(config.raw_dir / "companyfacts"))).join(ciks, "cik", "left_semi")
     report = crosscheck.summary(ours, theirs).first().asDict() | {"seed": args.seed, "n_ciks_sampled": ciks.count()}
     (config.out_dir / "crosscheck_summary.json").write_text(json.dumps(report, indent=1))
-    write_csv(crosscheck.conflicts(ours, theirs).orderBy(*crosscheck.MATCH_KEY).limit(5000), config.out_dir / "crosscheck_conflicts")
+    write_csv(crosscheck.conflicts(ours, theirs).orderBy(*crosscheck.MATCH_KEY).limit(5000), config.table("out", "crosscheck_conflicts"))
 
 
 def demo(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
     obs = observations.load(spark, config, tags=[t for t, _ in vintage.ITEMS.values()])
-    vintage.panel(obs, config.as_of_dates, config.universe_size).write.mode("overwrite").parquet(str(config.out_dir / "demo_panel"))
-    panel = spark.read.parquet(str(config.out_dir / "demo_panel"))
-    cut = vintage.truncation(obs, config.as_of_dates, config.truncation_points, config.universe_size)
-    write_csv(vintage.verdicts(vintage.lambdas(panel, config.lambda_tol), cut), config.out_dir / "demo_lambda")
+    runs = written(vintage.runs(obs, config.as_of_dates, config.truncation_points, config.universe_size), config.table("out", "demo_runs"))
+    panel = written(vintage.panel_of_runs(runs), config.table("out", "demo_panel"))
+    cut = vintage.truncation_of_runs(runs, config.as_of_dates, config.truncation_points)
+    write_csv(vintage.verdicts(vintage.lambdas(panel, config.lambda_tol), cut), config.table("out", "demo_lambda"))
 
 
 def figure(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
-    read = {n: spark.read.parquet(str(config.out_dir / n)) for n in ("census", "revisions", "demo_panel")}
-    verdicts = spark.read.csv(str(config.out_dir / "demo_lambda"), header=True, inferSchema=True)
+    read = {n: spark.read.parquet(config.table("out", n)) for n in ("census", "revisions", "demo_panel")}
+    verdicts = spark.read.csv(config.table("out", "demo_lambda"), header=True, inferSchema=True)
     figures.build_all(figures.census_data(read["census"], read["revisions"], args.censoring), figures.vintage_data(verdicts, vintage.lambda_by_date(read["demo_panel"], config.lambda_tol)), config.figures_dir)
 
 
@@ -89,8 +96,8 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     for name in COMMANDS:
         sub = commands.add_parser(name, parents=[shared])
-        if name == "build":
-            sub.add_argument("--offline", action="store_true", help="use the archives that are there")
+        if name in ("build", "crosscheck"):
+            sub.add_argument("--offline", action="store_true", help="use the files that are there")
         if name == "crosscheck":
             sub.add_argument("--n-ciks", type=int, default=100)
             sub.add_argument("--seed", type=int, default=0)
@@ -103,7 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if getattr(args, "verbose", False) else logging.INFO)
     root = getattr(args, "root", ".")
-    config = Config.of(args.quarters, root) if hasattr(args, "quarters") else Config(root=Path(root))
+    config = Config.of(args.quarters, root) if hasattr(args, "quarters") else Config(root=root)
     session = spark or SparkSession.builder.appName("tideline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config.out_dir.mkdir(parents=True, exist_ok=True)
     COMMANDS[args.command](session, config, args)

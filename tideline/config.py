@@ -52,7 +52,10 @@ class Config:
     """A run: its quarters, where its data lies, and its settings."""
 
     quarters: tuple[str, ...] = field(default_factory=lambda: quarters_between("2009q2", "2026q2"))
-    root: Path = Path(".")
+    #: Where tables lie: a folder, or the URI of a store that Spark reads.
+    root: str | Path = "."
+    #: Where the driver keeps archives, reports and figures: the root itself, if that is a folder.
+    local: Path | None = None
     user_agent: str = "tideline research contact@example.org"
     rate_limit_sleep: float = 0.15
     max_retries: int = 4
@@ -60,13 +63,14 @@ class Config:
     lambda_tol: float = 1e-6
     key_partitions: int = BUCKETS
     right_truncation_days: int = RIGHT_TRUNCATION_DAYS
-    as_of_override: tuple[dt.date, ...] | None = None
-    truncation_override: tuple[dt.date, ...] | None = None
+    #: The days of the experiment and the points of its truncation test; derived from the quarters where they are None.
+    days: tuple[dt.date, ...] | None = None
+    points: tuple[dt.date, ...] | None = None
 
     @classmethod
     def of(cls, quarters: str | tuple[str, ...], root: str | Path = ".", **settings) -> Config:
         names = quarters.split(",") if isinstance(quarters, str) else quarters
-        return cls(quarters=tuple(quarter_name(quarter_number(q)) for q in names if q.strip()), root=Path(root), **settings)
+        return cls(quarters=tuple(quarter_name(quarter_number(q)) for q in names if q.strip()), root=root, **settings)
 
     @property
     def numbers(self) -> tuple[int, ...]:
@@ -82,35 +86,45 @@ class Config:
 
     @property
     def left_cutoff(self) -> dt.date:
-        """Facts first seen before this day may have begun before the window."""
-        return quarter_start(self.numbers[1]) if len(self.quarters) > 1 else self.window_end
+        """The day the second quarter begins, or the last day of a window of one: facts first seen before it may be older than the window."""
+        return min([*map(quarter_start, self.numbers[1:2]), self.window_end])
 
     @property
     def as_of_dates(self) -> tuple[dt.date, ...]:
-        """Quarter ends with history before them and revisions after: the third to the last but one, thinned."""
-        if self.as_of_override is not None:
-            return self.as_of_override
-        ends = tuple(quarter_end(n) for n in self.numbers)
-        if len(ends) <= 3:
-            return ends[:-1] or ends
-        return thinned(ends[2:-1], MOST_AS_OF_DATES)
+        """Ends of quarters, two of history kept before the first and one of revisions after the last, thinned; of short windows all but the last."""
+        if self.days is not None:
+            return self.days
+        history = 2 if len(self.numbers) > 3 else 0
+        middle = self.numbers[history : max(len(self.numbers) - 1, 1)]
+        return thinned(tuple(map(quarter_end, middle)), MOST_AS_OF_DATES)
 
     @property
     def truncation_points(self) -> tuple[dt.date, ...]:
-        return self.truncation_override if self.truncation_override is not None else thinned(self.as_of_dates, TRUNCATION_POINTS)
+        return thinned(self.as_of_dates, TRUNCATION_POINTS) if self.points is None else self.points
+
+    def table(self, *parts: str) -> str:
+        """The path or URI of a table below the root."""
+        return "/".join([str(self.root).rstrip("/"), "data", *parts])
 
     @property
-    def raw_dir(self) -> Path:
-        return self.root / "data" / "raw"
+    def folder(self) -> Path:
+        if self.local is not None:
+            return Path(self.local)
+        root = str(self.root)
+        return Path(root.removeprefix("file://") if root.startswith("file:///") else "." if "://" in root else root)
 
     @property
-    def observations_dir(self) -> Path:
-        return self.root / "data" / "parquet" / "observations"
+    def observations(self) -> str:
+        return self.table("parquet", "observations")
+
+    @property
+    def raw_dir(self) -> Path:
+        return self.folder / "data" / "raw"
 
     @property
     def out_dir(self) -> Path:
-        return self.root / "data" / "out"
+        return self.folder / "data" / "out"
 
     @property
     def figures_dir(self) -> Path:
-        return self.root / "figures"
+        return self.folder / "figures"

@@ -16,9 +16,7 @@ def census_data(census: DataFrame, events: DataFrame, censoring: str = "all") ->
     rates = stats.rate_by_threshold(census, tagged).where(F.col("censoring") == censoring).orderBy("threshold").collect()
     sized = stats.by_group(census.where("revised and not from_zero and not ever_scale_change and magnitude > 0")).where(F.col("censoring") == censoring)
     magnitudes = sized.groupBy(F.floor(F.log10("magnitude") * 5).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
-    late = stats.by_group(tagged).where(F.col("censoring") == censoring)
-    top = late.agg(F.percentile("lag_since_first_days", 0.995).alias("p")).first()["p"]
-    lags = late.where(F.col("lag_since_first_days") <= F.lit(top)).groupBy(F.floor(F.col("lag_since_first_days") / 15).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
+    lags = stats.lag_histogram(tagged, censoring).orderBy("bin").collect()
     return {"rates": [(r["threshold"], r["rate"]) for r in rates], "magnitudes": [(r["bin"] / 5, r["n"]) for r in magnitudes], "lags": [(15 * r["bin"], r["n"]) for r in lags]}
 
 

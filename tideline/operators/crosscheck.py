@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio, relative_delta
+from .ingest import agreement
 
 MATCH_KEY = ("cik", "tag", "uom", "ddate", "qtrs", "filed")
 TOLERANCE = 1e-9
@@ -13,38 +14,41 @@ TOLERANCE = 1e-9
 
 def sample_companies(facts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(cik) of n companies, the same for a seed whatever the order of rows."""
-    return facts.select("cik").distinct().orderBy(F.xxhash64("cik", F.lit(seed)), "cik").limit(n)
+    return facts.select("cik").distinct().orderBy(F.md5(F.concat_ws(":", "cik", F.lit(seed)).cast("binary")), "cik").limit(n)
 
 
-def decided(rows: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """(one row for each key with one value, the keys with several); null is a value."""
-    groups = rows.groupBy(*MATCH_KEY).agg((F.count_distinct("value") + F.max(F.col("value").isNull().cast("int"))).alias("n_values"), F.min("value").alias(value))
-    return groups.where("n_values = 1").drop("n_values"), groups.where("n_values > 1")
+def side(rows: DataFrame, name: str) -> DataFrame:
+    """A row for each key: how many rows it has, whether they have one value, null being one, and that value."""
+    parts, agree = agreement("value")
+    groups = rows.groupBy(*MATCH_KEY).agg(F.count("*").alias(f"{name}_n"), *parts)
+    return groups.select(*MATCH_KEY, f"{name}_n", agree.alias(f"{name}_one"), F.col("low").alias(f"{name}_value"))
 
 
-def matched(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Keys that both sources decide, with both values and their relative difference."""
-    a, _ = decided(ours.where(F.col("value").isNotNull()), "value")
-    b, _ = decided(theirs, "value_cf")
-    return a.join(b, list(MATCH_KEY)).withColumn("rel", relative_delta(F.col("value"), F.col("value_cf")))
+def both(ours: DataFrame, theirs: DataFrame, how: str) -> DataFrame:
+    met = side(ours.where(F.col("value").isNotNull()), "our").join(side(theirs, "their"), list(MATCH_KEY), how)
+    return met.withColumn("rel", F.when(F.col("our_one") & F.col("their_one"), relative_delta(F.col("our_value"), F.col("their_value"))))
 
 
 def conflicts(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    return matched(ours, theirs).where(F.col("rel") > TOLERANCE)
+    """Keys that both sources decide, and differently: both values and their relative difference."""
+    return both(ours, theirs, "inner").where(F.col("rel") > TOLERANCE).select(*MATCH_KEY, F.col("our_value").alias("value"), F.col("their_value").alias("value_cf"), "rel")
 
 
 def summary(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """One row: rows and keys of both sources, matches, agreement and the median conflict."""
-    ours = ours.where(F.col("value").isNotNull())
+    """One row: rows and keys of both sources, matches, agreement and the median conflict, from one pass over each."""
+    bad = F.col("rel") > TOLERANCE
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        one, several = decided(rows, "v")
-        counts = rows.agg(F.count("*").alias(f"{name}_rows"))
-        return counts.join(one.agg(F.count("*").alias(f"{name}_unique_keys"))).join(several.agg(F.count("*").alias(f"{name}_ambiguous_keys")))  # tables of one row
+    def keys(name: str, to: str) -> list[Column]:
+        one = F.col(f"{name}_one")
+        return [F.coalesce(F.sum(f"{name}_n"), F.lit(0)).alias(f"{to}_rows"), F.count_if(one).alias(f"{to}_unique_keys"), F.count_if(~one).alias(f"{to}_ambiguous_keys")]
 
-    bad = F.col("rel") > TOLERANCE
-    met = matched(ours, theirs).agg(F.count("*").alias("matched_observations"), F.count_if(bad).alias("n_conflicts"), F.coalesce(F.median(F.when(bad, F.col("rel"))), F.lit(0.0)).alias("conflict_rel_median"))
-    out = side(ours, "our").join(side(theirs, "companyfacts")).join(met)
+    out = both(ours, theirs, "full").agg(
+        *keys("our", "our"),
+        *keys("their", "companyfacts"),
+        F.count_if(F.col("our_one") & F.col("their_one")).alias("matched_observations"),
+        F.count_if(bad).alias("n_conflicts"),
+        F.coalesce(F.median(F.when(bad, F.col("rel"))), F.lit(0.0)).alias("conflict_rel_median"),
+    )
     return out.withColumns(
         {
             "match_rate_of_ours": F.coalesce(ratio(F.col("matched_observations"), F.col("our_unique_keys")), F.lit(0.0)),

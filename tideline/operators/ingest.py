@@ -16,9 +16,11 @@ class ConservationError(RuntimeError):
     """The rows dropped and kept don't add up to the rows read."""
 
 
-def distinct_with_null(c: str) -> Column:
-    """Distinct values, null being one."""
-    return F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))
+def agreement(value: str) -> tuple[list[Column], Column]:
+    """(aggregates, whether a group's values are one and the same), null being a value; no second pass for distinct values."""
+    parts = [F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.col(value).isNull()).alias("gap")]
+    # With no null, one value means the least is the greatest; with a null, no other value may be there.
+    return parts, F.when(F.col("gap"), F.col("low").isNull()).otherwise(F.col("low") == F.col("high"))
 
 
 def same_filing(facts: DataFrame) -> DataFrame:
@@ -29,47 +31,56 @@ def same_filing(facts: DataFrame) -> DataFrame:
     """
     rest = [c for c in ("form", "filed", "period", "version", "value", "accepted", "fy", "fp") if c in facts.columns]
     dealt = facts.repartition(*BUSINESS_KEY)
-    grouped = dealt.groupBy(*FILING_KEY).agg(
-        *[F.min(c).alias(c) for c in rest], F.min("value").alias("low"), F.max("value").alias("high"), F.max(F.col("value").isNull()).alias("gap")
-    )
-    # With no null, one value means the least is the greatest; with a null, no other value may be there.
-    agree = F.when(F.col("gap"), F.col("low").isNull()).otherwise(F.col("low") == F.col("high"))
-    return grouped.where(agree).select(*FILING_KEY, *rest)
+    parts, agree = agreement("value")
+    return dealt.groupBy(*FILING_KEY).agg(*[F.min(c).alias(c) for c in rest], *parts).where(agree).select(*FILING_KEY, *rest)
 
 
-def audited(sub: DataFrame, num: DataFrame, tag: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows kept, counts): counts has a row (reason, n_rows) for every reason, that sum to the rows of num.
+CARRIED = ("cik", "form", "period", "fy", "fp", "filed", "accepted", "version")
 
-    Contradictions within a filing are judged on the value's text; of identical
-    rows one is kept, and takes the least version. Filings outside ``sub`` or
-    its whitelisted forms are dropped by form.
+
+def judged(sub: DataFrame, num: DataFrame, tag: DataFrame) -> DataFrame:
+    """Every row of ``num``, in groups: (reason, the fact's columns, n_rows, n_values).
+
+    A group is a fact of a filing that passes all filters, its reason null, or
+    all rows dropped for one reason. Contradictions within a filing are judged
+    on the value's text; identical rows take the least version. Filings outside
+    ``sub`` or its whitelisted forms are dropped by form.
     """
-    eligible = sub.where(F.col("form").isin(*FORMS)).select(*[c for c in ("adsh", "cik", "form", "period", "fy", "fp", "filed", "accepted") if c in sub.columns])
+    eligible = sub.where(F.col("form").isin(*FORMS)).select(*[c for c in ("adsh", *CARRIED) if c in sub.columns])
     custom = tag.where(F.col("custom") == "1").select("tag", "version").distinct().withColumn("custom_tag", F.lit(True))
     rows = num.withColumn("n_qtrs", F.col("qtrs").try_cast("int")).join(eligible.withColumn("eligible", F.lit(True)), "adsh", "left").join(custom, ["tag", "version"], "left")
-    first = (
+    reason = (
         F.when(~(blank(F.col("segments")) & blank(F.col("coreg"))), "drop_segments")
         .when(~F.coalesce(F.col("n_qtrs").isin(*QTRS), F.lit(False)), "drop_qtrs")
         .when(F.col("eligible").isNull(), "drop_form")
         .when(F.col("custom_tag").isNotNull(), "drop_custom")
     )
-    rows = rows.withColumn("first_reason", first).drop("eligible", "custom_tag")
-    key = ["adsh", "tag", "ddate", "n_qtrs", "uom"]
-    dropped = rows.where("first_reason is not null").groupBy("first_reason").agg(F.count("*").alias("n"))
-    passed = rows.where("first_reason is null")
-    carried = [c for c in passed.columns if c not in (*key, "first_reason", "qtrs", "segments", "coreg", "value")]
-    groups = passed.groupBy(*key).agg(F.count("*").alias("n"), distinct_with_null("value").alias("n_values"), F.min("value").alias("value"), *[F.min(c).alias(c) for c in carried])
-    late = groups.agg(
-        F.coalesce(F.sum(F.when(F.col("n_values") > 1, F.col("n"))), F.lit(0)).alias("drop_ambiguous"),
-        F.coalesce(F.sum(F.when(F.col("n_values") == 1, F.col("n") - 1)), F.lit(0)).alias("drop_duplicate"),
-        F.count_if(F.col("n_values") == 1).alias("kept"),
-    )
-    late = late.select(F.expr("stack(3, 'drop_ambiguous', drop_ambiguous, 'drop_duplicate', drop_duplicate, 'kept', kept) as (reason, n_rows)"))
-    early = dropped.select(F.col("first_reason").alias("reason"), F.col("n").alias("n_rows"))
-    names = num.sparkSession.createDataFrame([(r,) for r in REASONS], "reason string")
-    counts = F.broadcast(names).join(early.union(late), "reason", "left").select("reason", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
-    kept = groups.where("n_values = 1").withColumnRenamed("n_qtrs", "qtrs")
-    return kept, counts
+    rows = rows.withColumn("reason", reason).drop("qtrs").withColumnRenamed("n_qtrs", "qtrs")
+    key = ["adsh", "tag", "ddate", "qtrs", "uom"]
+    rows = rows.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in key})  # dropped rows are only counted
+    parts, agree = agreement("value")
+    groups = rows.groupBy("reason", *key).agg(F.count("*").alias("n_rows"), F.min("value").alias("value"), *[F.min(c).alias(c) for c in CARRIED if c in rows.columns], *parts)
+    return groups.withColumn("agree", agree).drop("low", "high", "gap")
+
+
+def counts_of(judged_: DataFrame) -> DataFrame:
+    """(reason, n_rows) for every reason; they sum to the rows read."""
+    told = F.when(F.col("reason").isNotNull(), F.array(F.struct(F.col("reason").alias("reason"), F.col("n_rows").alias("n"))))
+    told = told.when(F.col("agree"), F.array(F.struct(F.lit("kept").alias("reason"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("drop_duplicate").alias("reason"), (F.col("n_rows") - 1).alias("n"))))
+    told = told.otherwise(F.array(F.struct(F.lit("drop_ambiguous").alias("reason"), F.col("n_rows").alias("n"))))
+    sums = judged_.select(F.explode(told).alias("t")).groupBy("t.reason").agg(F.sum("t.n").alias("n"))
+    names = judged_.sparkSession.createDataFrame([(r,) for r in REASONS], "reason string")
+    return F.broadcast(names).join(sums, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
+
+
+def kept_of(judged_: DataFrame) -> DataFrame:
+    return judged_.where(F.col("reason").isNull() & F.col("agree")).drop("reason", "agree", "n_rows")
+
+
+def audited(sub: DataFrame, num: DataFrame, tag: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows kept, counts): of identical rows one is kept, of contradictory ones none."""
+    groups = judged(sub, num, tag)
+    return kept_of(groups), counts_of(groups)
 
 
 def typed(kept: DataFrame) -> DataFrame:
@@ -107,4 +118,5 @@ def checked_counts(counts: DataFrame, total: int, quarter: str) -> dict[str, int
 def write(observations: DataFrame, path: str, quarter: str, buckets: int = BUCKETS) -> None:
     """Write a quarter under filed_year / cik_bucket / quarter; a second run replaces the quarter and nothing else."""
     out = observations.where(F.col("filed").isNotNull()).withColumn("cik_bucket", F.pmod("cik", F.lit(buckets)).cast("int")).withColumn("quarter", F.lit(quarter))
-    out.repartition("filed_year", "cik_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filed_year", "cik_bucket", "quarter").parquet(path)
+    # Dealt by folder, large folders over several tasks and small ones together, as the sizes turn out.
+    out.hint("rebalance", "filed_year", "cik_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filed_year", "cik_bucket", "quarter").parquet(path)

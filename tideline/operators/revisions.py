@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +110,3 @@ def merged_conflicts(facts: DataFrame, tag_map: DataFrame) -> DataFrame:
     seen = mapped_tags(facts, tag_map).where(F.col("value").isNotNull())
     values = seen.groupBy(*BUSINESS_KEY, "adsh").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return values.agg(F.count_if(F.col("low") != F.col("high")).alias("n_conflicts"))
-
-
-def window_bounds(config: Config) -> tuple[dt.date, dt.date]:
-    return config.window_start, config.window_end

@@ -162,6 +162,14 @@ def histogram(census: DataFrame, column: str, width: float, where: str) -> DataF
     return census.where(where).groupBy(F.floor(F.col(column) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def lag_histogram(tagged: DataFrame, censoring: str = "all", width: int = 15, top: float = 0.995) -> DataFrame:
+    """(bin, n): lags since a fact was first filed, up to their ``top`` percentile, in bins of equal width."""
+    late = by_group(tagged).where(F.col("censoring") == censoring)
+    cut = F.broadcast(late.agg(F.percentile("lag_since_first_days", top).alias("cut")))  # one row
+    kept = late.join(cut, F.col("lag_since_first_days") <= F.col("cut"))
+    return kept.groupBy(F.floor(F.col("lag_since_first_days") / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def compute(facts: DataFrame, census: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """All twelve tables, by name."""
     tagged = with_flags(events, census)

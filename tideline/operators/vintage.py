@@ -10,7 +10,8 @@ these.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,22 +127,27 @@ def days_array(days: Sequence[dt.date]) -> Column:
 def choices(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date] = ()) -> DataFrame:
     """(program, world, point, asof, cik, item, value): what each program reads in each world, for each day.
 
-    First each day's facts are reduced to their version known by the day and
-    their latest version, then to the period each program picks. The list of
-    days is short and literal: facts meet it without a join. With truncation
-    points each day comes once more for every point from it on, where only
-    periods up to the point exist; point is null where nothing is cut off.
+    Facts are first gathered to one row a period with the list of its versions,
+    which the filings of one company bound; only then each meets the days it
+    can matter for, with its version known by the day and its latest one, and
+    the programs pick among the periods. The list of days is short and literal:
+    facts meet it without a join. With truncation points each day comes once
+    more for every point from it on, where only periods up to the point exist;
+    point is null where nothing is cut off.
     """
     item = F.coalesce(*[F.when((F.col("tag") == tag) & (F.col("qtrs") == qtrs), name) for name, (tag, qtrs) in ITEMS.items()])
     rows = facts.withColumn("item", item).where("item is not null")
+    periods = rows.groupBy("item", "cik", "ddate").agg(F.sort_array(F.collect_list(F.struct("filed", "adsh", "uom", "value"))).alias("versions"))
     wanted = [(None, d) for d in days] + [(p, d) for p in points for d in days if d <= p]
-    runs = F.array(*[F.struct(F.lit(p).cast("date").alias("point"), F.lit(d).cast("date").alias("asof")) for p, d in wanted])
-    near = F.filter(runs, lambda r: (F.col("ddate") <= F.date_add(r["asof"], LOOKAHEAD_DAYS)) & (r["point"].isNull() | (F.col("ddate") <= r["point"])))
-    rows = rows.select("cik", "item", "ddate", "filed", "adsh", "uom", "value", F.explode(near).alias("r")).select("*", "r.point", "r.asof").drop("r")
-    order, pit = F.struct("filed", "adsh", "uom"), F.col("filed") <= F.col("asof")
-    versions = rows.groupBy("point", "asof", "item", "cik", "ddate").agg(
-        F.max_by(F.struct("value"), order).alias("rev"), F.max_by(F.when(pit, F.struct("value")), F.when(pit, order)).alias("pit")
-    )
+    runs_ = F.array(*[F.struct(F.lit(p).cast("date").alias("point"), F.lit(d).cast("date").alias("asof")) for p, d in wanted])
+    near = F.filter(runs_, lambda r: (F.col("ddate") <= F.date_add(r["asof"], LOOKAHEAD_DAYS)) & (r["point"].isNull() | (F.col("ddate") <= r["point"])))
+
+    def told(r: Column) -> Column:
+        last = F.try_element_at(F.filter("versions", lambda v: v["filed"] <= r["asof"]), F.lit(-1))
+        return F.struct(r["point"].alias("point"), r["asof"].alias("asof"), F.when(last.isNotNull(), F.struct(last["value"].alias("value"))).alias("pit"))
+
+    newest = F.struct(F.element_at("versions", -1)["value"].alias("value"))
+    versions = periods.select("item", "cik", "ddate", newest.alias("rev"), F.explode(F.transform(near, told)).alias("r")).select("*", "r.*").drop("r")
     past, known = F.col("ddate") <= F.col("asof"), F.col("pit").isNotNull()
 
     def at(value: str, condition: Column | None) -> Column:
@@ -165,9 +171,33 @@ def scored(chosen: DataFrame, n: int, by: Sequence[str] = ("program", "world", "
     return standardised(with_roe(top), by)
 
 
+def runs(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], n: int) -> DataFrame:
+    """(program, world, point, asof, cik, roe, value): all that the panel and the truncation test need, in one query."""
+    chosen = choices(facts, days, points).where("point is null or world = 'rev'")
+    return scored(chosen, n, ("program", "world", "point", "asof")).select("program", "world", "point", "asof", "cik", "roe", "value")
+
+
+def panel_of_runs(runs_: DataFrame) -> DataFrame:
+    return runs_.where("point is null").select("program", "world", "asof", "cik", "value")
+
+
 def panel(facts: DataFrame, days: Sequence[dt.date], n: int) -> DataFrame:
     """(program, world, asof, cik, value) of all programs, both worlds and all days."""
-    return scored(choices(facts, days), n).select("program", "world", "asof", "cik", "value")
+    return panel_of_runs(runs(facts, days, (), n))
+
+
+def panel_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], n: int) -> DataFrame:
+    """The panel of programs of one's own: functions of (handle, day, n) that give (cik, value), run in both worlds on every day.
+
+    Their plans are put together and run as one query.
+    """
+    parts = [_run(name, read, world, None, d, n) for name, read in programs.items() for d in days for world in (world_pit(facts, d), world_rev(facts))]
+    return reduce(DataFrame.unionAll, parts).drop("point")
+
+
+def _run(name: str, read: Program, handle: DataHandle, point: dt.date | None, day: dt.date, n: int) -> DataFrame:
+    keys = [F.lit(name).alias("program"), F.lit(handle.world).alias("world"), F.lit(point).cast("date").alias("point"), F.lit(day).cast("date").alias("asof")]
+    return read(handle, day, n).select(*keys, "cik", F.col("value").cast("double").alias("value"))
 
 
 def cells(panel_: DataFrame, tolerance: float) -> DataFrame:
@@ -197,6 +227,19 @@ def lambda_by_date(panel_: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return counts.join(rank_terms(both), ["program", "asof"], "left").select("program", "asof", ratio(F.col("n_diff"), F.col("n_cells")).alias("lambda_cell"), F.col("term").alias("lambda_rank"))
 
 
+def truncation_of_runs(runs_: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], same: str = "roe", names: Sequence[str] = PROGRAMS) -> DataFrame:
+    """(program, n_failures) from runs with and without truncation, which are compared in column ``same``."""
+    scores = runs_.where("world = 'rev'")
+    after = F.explode(F.filter(days_array(points), lambda p: F.col("asof") <= p))
+    sides = scores.where("point is null").select("program", "asof", "cik", F.col(same).alias("full"), F.lit(None).cast("double").alias("cut"), after.alias("point"), F.lit(0).alias("cuts"))
+    sides = sides.union(scores.where("point is not null").select("program", "asof", "cik", F.lit(None).cast("double"), F.col(same), "point", F.lit(1)))
+    # A company in one of the two alone differs; a null score is a score.
+    met = sides.groupBy("program", "asof", "point", "cik").agg(F.max("full").alias("full"), F.max("cut").alias("cut"), (F.min("cuts") == F.max("cuts")).alias("alone"))
+    bad = met.where(F.col("alone") | ~F.col("full").eqNullSafe(F.col("cut"))).select("program", "asof", "point").distinct()
+    listed = runs_.sparkSession.createDataFrame([(p,) for p in names], "program string")
+    return F.broadcast(listed).join(bad.groupBy("program").agg(F.count("*").alias("n")), "program", "left").select("program", F.coalesce("n", F.lit(0)).cast("long").alias("n_failures"))
+
+
 def truncation(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], n: int) -> DataFrame:
     """(program, n_failures): point and day pairs, the day not after the point, whose scores change when later periods are cut off.
 
@@ -204,14 +247,17 @@ def truncation(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.da
     when the companies and their returns are.
     """
     some = [d for d in days if d <= max(points)]
-    scores = scored(choices(facts, some, points).where("world = 'rev'"), n, ("program", "point", "asof"))
-    after = F.explode(F.filter(days_array(points), lambda p: F.col("asof") <= p))
-    full = scores.where("point is null").select("program", "asof", "cik", F.col("roe").alias("full_roe"), after.alias("point"))
-    cut = scores.where("point is not null").select("program", "asof", "cik", F.col("roe").alias("cut_roe"), "point")
-    met = full.join(cut, ["program", "asof", "point", "cik"], "full")
-    bad = met.where(~F.col("full_roe").eqNullSafe(F.col("cut_roe"))).select("program", "asof", "point").distinct()
-    names = facts.sparkSession.createDataFrame([(p,) for p in PROGRAMS], "program string")
-    return F.broadcast(names).join(bad.groupBy("program").agg(F.count("*").alias("n")), "program", "left").select("program", F.coalesce("n", F.lit(0)).cast("long").alias("n_failures"))
+    return truncation_of_runs(runs(facts, some, points, n), some, points)
+
+
+def truncation_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], n: int) -> DataFrame:
+    """(program, n_failures) of programs of one's own: their outputs have to be equal exactly where later periods are cut off."""
+    some = [d for d in days if d <= max(points)]
+    whole = world_rev(facts)
+    cut = {p: DataHandle(facts.where(F.col("ddate") <= F.lit(p)), "rev") for p in points}
+    parts = [_run(name, read, whole, None, d, n) for name, read in programs.items() for d in some]
+    parts += [_run(name, read, cut[p], p, d, n) for name, read in programs.items() for p in points for d in some if d <= p]
+    return truncation_of_runs(reduce(DataFrame.unionAll, parts), some, points, "value", list(programs))
 
 
 def verdict(passes_truncation: Column, passes_vintage: Column) -> Column:

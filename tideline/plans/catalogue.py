@@ -7,18 +7,21 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import scalar
 from ..operators import crosscheck, facts, ingest, renames, revisions, stats, vintage
-from ..schema import FORMS, QTRS
-from ..sources import bridge, companyfacts
+from ..schema import FORMS, OBSERVATIONS, QTRS
+from ..scratch import Scratch
+from ..sources import archive, bridge, companyfacts
+from ..sources import observations as observations_
 from . import oracle
 
 AS_OF = dt.date(1999, 6, 30)
 CONFIG = bridge.CONFIG
 DAYS, POINTS = CONFIG.as_of_dates, CONFIG.truncation_points
 SIZE = CONFIG.universe_size
-#: The test facts have three tags and few companies; the rules of renames are scaled to them.
-RULES = renames.Rules(min_peak=20, decay=10.0, growth=0.1, recent=(2000, 2002), early=1998, min_agreement=0.0, max_median=1.0, min_shared=5, min_support=2)
+#: The test facts have few companies and other years; the counts of the rules are scaled to them, the ratios are not.
+RULES = renames.Rules(min_peak=50, recent=(2000, 2002), early=1998, min_shared=20, min_support=10)
 TAG_MAP = [("Assets", "StockholdersEquity"), ("StockholdersEquity", "StockholdersEquity")]
 QUERIES: dict = {}
 
@@ -107,7 +110,34 @@ def business_key_count(spark, d):
 
 @query
 def load_filtered(spark, d):
-    return bridge.observations(spark, d).where(F.col("cik").isin(1, 2, 3, 5, 8) & F.col("tag").isin("Assets", "NetIncomeLoss") & (F.col("ddate") <= F.lit(AS_OF)) & (F.col("qtrs") == 0))
+    out = observations_.load(spark, stored(spark, d), [1, 2, 3, 5, 8], ["Assets", "NetIncomeLoss"], AS_OF, 0)
+    return out.select(*[c for c in bridge.RAW_COLUMNS if c != "qtrs"], F.col("qtrs").cast("int").alias("qtrs"))
+
+
+def stored(spark, d):
+    """The facts written as a store is, under filed_year, cik_bucket and quarter."""
+    config = Config.of("1996q1", Scratch(spark, "store").path)
+    obs = bridge.observations(spark, d)
+    rows = obs.select(*[(F.col(f.name) if f.name in obs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in OBSERVATIONS])
+    ingest.write(rows.withColumn("filed_year", F.year("filed")), config.observations, "1996q1", config.key_partitions)
+    return config
+
+
+@query
+def load_years(spark, d):
+    return observations_.load(spark, stored(spark, d), years=[1998, 2000]).groupBy("filed_year", "form").agg(F.count("*").alias("n_rows"), F.sum("value").alias("sum_value"))
+
+
+@query
+def filter_counts_of_files(spark, d):
+    """The members written as tab-separated files, read back as strings, and judged."""
+    paths = bridge.archive_files(spark, d, Scratch(spark, "members").path)
+    return ingest.counts_of(ingest.judged(*archive.members(spark, paths)))
+
+
+@query
+def company_sample(spark, d):
+    return crosscheck.sample_companies(bridge.observations(spark, d), 20, seed=7)
 
 
 @query
@@ -170,6 +200,13 @@ def frozen_events(spark, d):
     return revisions.events(facts.freeze_first(bridge.observations(spark, d))).groupBy("tag").agg(F.count("*").alias("n_events"))
 
 
+@query
+def frozen_census(spark, d):
+    """Every fact is still there once it keeps its first value, and none is revised."""
+    frozen = revisions.census(facts.freeze_first(bridge.observations(spark, d)), CONFIG)
+    return frozen.groupBy("tag").agg(F.count("*").alias("n_keys"), F.sum("n_obs").alias("n_obs"), F.count_if("revised").alias("n_revised"), F.sum("v_final").alias("sum_final"))
+
+
 @query
 def merged_conflicts(spark, d):
     return revisions.merged_conflicts(bridge.observations(spark, d), tag_map(spark))
@@ -256,6 +293,11 @@ def magnitude_histogram(spark, d):
     return stats.histogram(tables(spark, d)[1], "magnitude", 0.005, "revised and not from_zero and not ever_scale_change")
 
 
+@query
+def lag_histogram(spark, d):
+    return stats.lag_histogram(tables(spark, d)[2])
+
+
 # Renames.
 
 
@@ -266,48 +308,47 @@ def usage_by_year(spark, d):
 
 @query
 def dying_tags(spark, d):
-    return renames.dying(renames.usage(bridge.observations(spark, d)), RULES)
+    return renames.dying(renames.usage(renamed(spark, d)), RULES)
 
 
 @query
 def rising_tags(spark, d):
-    return renames.rising(renames.usage(bridge.observations(spark, d)), RULES)
+    return renames.rising(renames.usage(renamed(spark, d)), RULES)
 
 
-def stock(spark, d):
-    """Facts at a point in time: the tags among them share slots."""
-    return bridge.observations(spark, d).where("qtrs = 0")
+def renamed(spark, d):
+    return bridge.renamed(bridge.observations(spark, d))
 
 
 def pairs(spark):
-    return spark.createDataFrame([("Assets", "StockholdersEquity"), ("StockholdersEquity", "Assets"), ("Assets", "Absent")], "old_tag string, new_tag string")
+    return spark.createDataFrame([("Assets", "AssetsTotal"), ("EquityOther", "AssetsTotal"), ("NetIncomeLoss", "ProfitLoss"), ("Assets", "Absent")], "old_tag string, new_tag string")
 
 
 @query
 def successors(spark, d):
-    obs = stock(spark, d)
+    obs = renamed(spark, d)
     used = renames.usage(obs)
     return renames.successors(obs, renames.dying(used, RULES), renames.rising(used, RULES), RULES)
 
 
 @query
 def agreement(spark, d):
-    return renames.agreement(stock(spark, d), pairs(spark)).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
+    return renames.agreement(renamed(spark, d), pairs(spark)).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
 
 
 @query
 def cooccurrence(spark, d):
-    return renames.cooccurrence(stock(spark, d), pairs(spark))
+    return renames.cooccurrence(renamed(spark, d), pairs(spark))
 
 
 @query
 def rename_candidates(spark, d):
-    return renames.detect(stock(spark, d), RULES).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
+    return renames.detect(renamed(spark, d), RULES).withColumn("median_rel_diff", F.round("median_rel_diff", 12))
 
 
 @query
 def rename_classes(spark, d):
-    return renames.class_table(renames.detect(stock(spark, d), RULES))
+    return renames.class_table(renames.detect(renamed(spark, d), RULES))
 
 
 # The vintage experiment.
@@ -330,6 +371,46 @@ def roe_zscore(spark, d):
     return out.select("cik", F.round("value", 9).alias("value"))
 
 
+@query
+def programs_one_day(spark, d):
+    """Every program as a function of (handle, day, n), on one day."""
+    handle, out = vintage.world_rev(bridge.observations(spark, d)), None
+    for name, run in vintage.PROGRAM_FUNCTIONS.items():
+        part = run(handle, AS_OF, SIZE).select(F.lit(name).alias("program"), "cik", F.round("value", 9).alias("value"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def largest(read):
+    """A program that a user might write: the companies with most assets, and how much they have."""
+    return lambda db, day, n: vintage.universe(read(db, day), n)
+
+
+#: Programs from outside the experiment: one reads the latest view, one the as-of view, one a year ahead.
+USER_PROGRAMS = {
+    "largest": largest(lambda db, day: db.latest("Assets", 0, day)),
+    "largest_known": largest(lambda db, day: db.as_of("Assets", 0, day)),
+    "largest_ahead": largest(lambda db, day: db.latest("Assets", 0, day + dt.timedelta(days=365))),
+}
+USER_DAYS = DAYS[::6]
+
+
+@query
+def panel_user(spark, d):
+    return vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, SIZE)
+
+
+@query
+def truncation_user(spark, d):
+    return vintage.truncation_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, POINTS, SIZE)
+
+
+@query
+def lambda_user(spark, d):
+    out = vintage.lambdas(vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, SIZE))
+    return out.withColumn("lambda_rank", F.round("lambda_rank", 9))
+
+
 def panel_of(name: str):
     def run(spark, d):
         rows = vintage.panel(bridge.observations(spark, d), DAYS, SIZE).where(F.col("program") == name)
@@ -415,12 +496,8 @@ def crosscheck_conflicts(spark, d):
 @query
 def json_flatten(spark, d):
     """Facts written as the second source writes them, one document a company, and read back."""
-    return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d).where("cik < 20"))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
-
-@query
-def json_flatten_whole(spark, d):
-    """As json_flatten, over all companies."""
     return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
 
 
-ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES)
+QUERIES["json_flatten_whole"] = json_flatten  # its name while json_flatten read some companies only
+ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES, USER_DAYS)

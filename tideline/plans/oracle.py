@@ -160,7 +160,25 @@ bad as (select distinct program, point, asof from (select program, point, asof,
 trn as (select p.program, count(b.point) as n_failures from (select unnest(['correct', 'naive', 'lookahead', 'restated']) as program) p left join bad b using (program) group by all)"""
 
 
-def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
+def users(size: int, days: str, points: str) -> str:
+    """CTEs ``pan`` and ``trn`` of the user programs: companies with most assets as the latest view, the as-of view and a year ahead show them."""
+    newest = "qualify row_number() over (partition by program, world, point, asof, cik order by ddate desc, filed desc, adsh desc, uom desc) = 1"
+    return f"""udays as (select unnest([{days}]) as asof),
+upoints as (select null::date as point union all select unnest([{points}])),
+uall as (select p.program, w.world, c.point, d.asof, f.cik, f.ddate, f.filed, f.adsh, f.uom, f.value
+ from obs f, udays d, upoints c, (select unnest(['largest', 'largest_known', 'largest_ahead']) as program) p, (select unnest(['pit', 'rev']) as world) w
+ where f.tag = 'Assets' and f.qtrs = 0 and (c.point is null or (w.world = 'rev' and d.asof <= c.point and f.ddate <= c.point))
+  and f.ddate <= d.asof + case when p.program = 'largest_ahead' then 365 else 0 end and (f.filed <= d.asof or (w.world = 'rev' and p.program <> 'largest_known'))),
+unew as (select * from uall {newest}),
+utop as (select * from unew where value > 0 qualify row_number() over (partition by program, world, point, asof order by value desc, cik) <= {size}),
+pan as (select program, world, asof, cik, value from utop where point is null),
+ufull as (select a.program, a.asof, c.point, a.cik, a.value, false as cuts from utop a, upoints c where a.world = 'rev' and a.point is null and a.asof <= c.point),
+ucut as (select program, asof, point, cik, value, true as cuts from utop where point is not null),
+ubad as (select distinct program, asof, point from (select program, asof, point, cik from (select * from ufull union all select * from ucut) group by all having count(*) = 1 or min(value) <> max(value))),
+trn as (select p.program, count(b.point) as n_failures from (select unnest(['largest', 'largest_known', 'largest_ahead']) as program) p left join ubad b using (program) group by all)"""
+
+
+def statements(as_of, config, days, points, size, rules, user_days) -> dict[str, str]:
     day, day_list, point_list = f"date '{as_of}'", ", ".join(f"date '{d}'" for d in days), ", ".join(f"date '{d}'" for d in points)
     lives = f"with {OBS}, {life('obs', config)}, {GROUPS}, evf as (select e.*, c.n_obs, c.right_censored, c.left_censored from ev e left join cen c using ({KEY}))"
     newest = f"qualify row_number() over (partition by {KEY} order by filed desc, adsh desc) = 1"
@@ -182,6 +200,8 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         "by_form": f"with {OBS} select form, count(*) as n_rows from obs group by all",
         "business_key_count": f"with {OBS} select count(*) as n_keys from (select distinct {KEY} from obs)",
         "load_filtered": f"with {OBS} select * from obs where cik in (1, 2, 3, 5, 8) and tag in ('Assets', 'NetIncomeLoss') and ddate <= {day} and qtrs = 0",
+        "load_years": f"with {OBS} select cast(year(filed) as int) as filed_year, form, count(*) as n_rows, sum(value) as sum_value from obs where year(filed) in (1998, 2000) group by all",
+        "company_sample": f"with {OBS} select cik from (select distinct cik from obs) order by md5(concat(cik, ':7')), cik limit 20",
         "as_of": f"with {OBS} select * from obs where filed <= {day} {newest}",
         "latest": f"with {OBS} select * from obs {newest}",
         "diff_worlds": f"""with {OBS}, p as (select * from obs where filed <= {day} {newest}), r as (select * from obs {newest})
@@ -193,6 +213,7 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         "census": f"{lives} select * from cen",
         "census_flags": f"{lives} select revised, from_zero, ever_amendment, ever_scale_change, right_censored, left_censored_window, first_is_comparative, left_censored, count(*) as n_keys from cen group by all",
         "freeze_first_filed": f"with {OBS} select {KEY}, adsh, first_value(value) over (partition by {KEY} order by filed, adsh) as value from obs",
+        "frozen_census": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs), {life('fz', config)} select tag, count(*) as n_keys, cast(sum(n_obs) as bigint) as n_obs, count(case when revised then 1 end) as n_revised, sum(v_final) as sum_final from cen group by all",
         "frozen_events": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs), {life('fz', config)} select tag, count(*) as n_events from ev group by all",
     }
     merged = f"""{OBS}, mp as (select * replace (case when tag = 'Assets' then 'StockholdersEquity' else tag end as tag) from obs where value is not null),
@@ -236,10 +257,14 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         "accepted_after_1600": f"""with {AUDIT}, f as (select distinct adsh, filed, accepted from grouped where nv = 1), c as (select count(*) as n, count(case when hour(accepted) >= 16 then 1 end) as late, count(case when cast(accepted as date) < filed then 1 end) as rolled,
             count(case when hour(accepted) >= 16 and not cast(accepted as date) < filed then 1 end) as affected from f)
             select 'n/a' as censoring, n as n_filings, late as n_after_1600, late / n as share_after_1600, rolled as n_rolled_next_day, affected as n_same_day_after_1600, affected / n as share_affected from c""",
+        "lag_histogram": f"{lives}, cut as (select quantile_cont(lag_since_first_days, 0.995) as cut from evf) select cast(floor(lag_since_first_days / 15) as bigint) as bin, count(*) as n from evf, cut where lag_since_first_days <= cut group by all",
         "magnitude_histogram": f"{lives} select cast(floor(magnitude / 0.005) as bigint) as bin, count(*) as n from cen where revised and not from_zero and not ever_scale_change group by all",
     }
     r = rules
-    used = f"{OBS}, stk as (select * from obs where qtrs = 0)"
+    out["filter_counts_of_files"] = out["filter_counts"]
+    late = "filed >= date '1999-01-01'"
+    used = f"""{OBS}, stk as (select * replace (case when {late} and tag = 'Assets' then 'AssetsTotal' when {late} and tag = 'NetIncomeLoss' then 'ProfitLoss' when {late} and tag = 'StockholdersEquity' and cik % 2 = 0 then 'EquityOther' else tag end as tag,
+        case when {late} and tag = 'NetIncomeLoss' then value * 1.75 else value end as value) from obs)"""
     usage = "(select year(filed) as year, tag, count(*) as n from {s} group by all)"
     recent = f"coalesce(sum(case when year between {r.recent[0]} and {r.recent[1]} then n end), 0)"
     dying = f"(select tag, max(n) as peak, cast({recent} as bigint) as recent from {usage} group by all having max(n) >= {r.min_peak} and {recent} < {r.decay} * max(n))"
@@ -250,7 +275,7 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         select l.tag as old_tag, f.tag as new_tag, f.cik from (select tag, {slot}, max(filed) as last from stk where tag in (select tag from {dying.format(s='stk')}) group by all) l
         join stk f using ({slot}) where f.tag <> l.tag and f.filed > l.last and f.tag in (select tag from {rising.format(s='stk')})) group by old_tag, new_tag
         qualify row_number() over (partition by old_tag order by count(distinct cik) desc, new_tag) <= {r.top})"""
-    prs = "(select * from (values ('Assets', 'StockholdersEquity'), ('StockholdersEquity', 'Assets'), ('Assets', 'Absent')) t(old_tag, new_tag))"
+    prs = "(select * from (values ('Assets', 'AssetsTotal'), ('EquityOther', 'AssetsTotal'), ('NetIncomeLoss', 'ProfitLoss'), ('Assets', 'Absent')) t(old_tag, new_tag))"
     fin = f"(select tag, {slot}, arg_max(struct_pack(v := value), (filed, adsh)).v as value from stk group by all)"
     agr = f"""(select p.old_tag, p.new_tag, count(rel) as shared_keys, coalesce(count(case when rel < 1e-9 then 1 end) / nullif(count(rel), 0), 0) as exact_agreement, round(coalesce(median(rel), 1), 12) as median_rel_diff
         from {{p}} p left join (select a.tag as old_tag, b.tag as new_tag, abs(b.value - a.value) / greatest(abs(a.value), abs(b.value), 1.0) as rel from {fin} a join {fin} b using ({slot}) where a.value is not null and b.value is not null) x using (old_tag, new_tag) group by all)"""
@@ -263,8 +288,8 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
          from sup s join {dying.format(s='stk')} d on d.tag = s.old_tag join {agr.format(p='sup')} a using (old_tag, new_tag) join {coo.format(p='sup')} c using (old_tag, new_tag))"""
     out |= {
         "usage_by_year": f"with {OBS} select cast(year(filed) as int) as year, tag, count(*) as n from obs group by all",
-        "dying_tags": f"with {OBS} select * from {dying.format(s='obs')}",
-        "rising_tags": f"with {OBS} select * from {rising.format(s='obs')}",
+        "dying_tags": f"with {used} select * from {dying.format(s='stk')}",
+        "rising_tags": f"with {used} select * from {rising.format(s='stk')}",
         "successors": f"with {used} select * from {succ}",
         "agreement": f"with {used} select * from {agr.format(p=prs)}",
         "cooccurrence": f"with {used} select * from {coo.format(p=prs)}",
@@ -277,11 +302,18 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
     out |= {
         "newest_period": f"with {OBS} select cik, ddate, value, filed, adsh, uom from obs where tag = 'Assets' and ddate <= {day} qualify row_number() over (partition by cik order by ddate desc, filed desc, adsh desc, uom desc) = 1",
         "universe_topn": f"{one} select cik, assets as value from uni where program = 'correct' and world = 'pit'",
+        "programs_one_day": f"{one} select program, cik, round(value, 9) as value from pan where world = 'rev'",
         "roe_zscore": f"{one} select cik, round(value, 9) as value from pan where program = 'correct' and world = 'rev'",
     }
     for name in ("correct", "naive", "lookahead", "restated"):
         out[f"panel_{name}"] = f"{world} select world, asof, cik, round(value, 9) as value from pan where program = '{name}'"
     trn = truncated(size, point_list)
+    user = f"with {OBS}, {users(size, ', '.join(f"date '{d}'" for d in user_days), point_list)}"
+    out |= {
+        "panel_user": f"{user} select program, world, asof, cik, value from pan",
+        "truncation_user": f"{user} select program, n_failures from trn",
+        "lambda_user": f"{user}, {CELLS} select program, lambda_cell, round(lambda_rank, 9) as lambda_rank, n_cells, n_diff from lam",
+    }
     control = []
     for k, offset in enumerate((0, 60)):
         shifted = ", ".join(f"date '{d}' + {offset}" for d in days)
@@ -312,7 +344,7 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
             (select count(*) from jn) as matched_observations, (select count(*) from jn where rel > 1e-9) as n_conflicts, (select round(coalesce(median(rel), 0), 12) from jn where rel > 1e-9) as conflict_rel_median)
             select *, coalesce(matched_observations / nullif(our_unique_keys, 0), 0) as match_rate_of_ours, coalesce(1 - n_conflicts / nullif(matched_observations, 0), 0) as value_agreement from s""",
         "crosscheck_conflicts": f"with {second} select * from jn where rel > 1e-9",
-        "json_flatten": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs where cik < 20 group by all",
+        "json_flatten": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs group by all",
         "json_flatten_whole": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs group by all",
     }
     return {name: re.sub(r"\basof\b", '"asof"', sql) for name, sql in out.items()}  # a word of the dialect

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, quarters_between
+from ..schema import MEMBERS
 
 #: The quarters in which the derived filings fall.
 CONFIG = Config(quarters=quarters_between("1996q2", "2002q1"), universe_size=50)
@@ -71,6 +72,23 @@ def archive_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return sub, num, tag
 
 
+def renamed(observations: DataFrame) -> DataFrame:
+    """Facts whose tags end and begin in 1999: one under a new name, one under a new name and with other values, and a new one that has nothing to do with the old ones."""
+    new = F.col("filed") >= F.lit("1999-01-01").cast("date")
+    tag = F.when(new & (F.col("tag") == "Assets"), "AssetsTotal").when(new & (F.col("tag") == "NetIncomeLoss"), "ProfitLoss").when(new & (F.col("tag") == "StockholdersEquity") & (F.col("cik") % 2 == 0), "EquityOther").otherwise(F.col("tag"))
+    value = F.when(new & (F.col("tag") == "NetIncomeLoss"), F.col("value") * 1.75).otherwise(F.col("value"))
+    return observations.withColumns({"tag": tag, "value": value})
+
+
+def archive_files(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The members of an archive as tab-separated files with a header, all their columns in order."""
+    out = {}
+    for (member, columns), rows in zip(MEMBERS.items(), archive_members(spark, sf_dir)):
+        out[member] = f"{folder}/{member}"
+        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in columns]).write.mode("overwrite").csv(out[member], sep="\t", quote="", header=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return out
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept facts: whitelisted forms, one row for a fact in a filing, none where the filing contradicts itself."""
     from ..operators.ingest import same_filing

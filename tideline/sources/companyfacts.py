@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import logging
+import time
+from collections.abc import Callable, Iterable, Sequence
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.scalar import month_end, qtrs_between
+from . import download
 
-SCHEMA = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:double,filed:string>>>>>>>"
+log = logging.getLogger("tideline")
+FACTS_URL = "https://data.sec.gov/api/xbrl/companyfacts/CIK{cik:010d}.json"
+SCHEMA = "struct<facts:map<string,map<string,struct<units:map<string,array<struct<start:string,end:string,val:double,filed:string,accn:string,form:string>>>>>>>"
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -34,3 +44,45 @@ def documents(observations: DataFrame) -> DataFrame:
     concepts = units.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("uom", "records"))).alias("units"))
     whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("gaap"))
     return whole.select("cik", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts"))).alias("json"))
+
+
+def fetch(config: Config, ciks: Sequence[int], get: Callable[[str, Config], Iterable[bytes]] = download.fetch, sleep: Callable[[float], None] = time.sleep) -> list[Path]:
+    """The files of the companies, fetched where they aren't there yet; a company whose request fails is noted and left out."""
+    folder, found = config.raw_dir / "companyfacts", []
+    folder.mkdir(parents=True, exist_ok=True)
+    for cik in ciks:
+        path = folder / f"CIK{cik:010d}.json"
+        if not path.exists():
+            try:
+                download.received(get(FACTS_URL.format(cik=cik), config), path)
+            except OSError as e:
+                log.warning("company %d: %s", cik, e)
+                continue
+            sleep(config.rate_limit_sleep)
+        found.append(path)
+    return found
+
+
+def series(documents_: DataFrame, cik: int, tag: str, uom: str, end: dt.date, start: dt.date | None = None) -> DataFrame:
+    """(filed, accn, form, value) of every version of one fact as the source tells it, by its exact end, and its start where one is given."""
+    parsed = documents_.where(F.col("cik") == cik).select(F.explode(F.from_json("json", SCHEMA)["facts"]["us-gaap"][tag]["units"][uom]).alias("r"))
+    at = F.try_to_date("r.end", "yyyy-MM-dd") == F.lit(end)
+    if start is not None:
+        at = at & (F.try_to_date("r.start", "yyyy-MM-dd") == F.lit(start))
+    return parsed.where(at).select(F.try_to_date("r.filed", "yyyy-MM-dd").alias("filed"), "r.accn", "r.form", F.col("r.val").alias("value")).orderBy("filed", "accn")
+
+
+def known_case(series_: DataFrame, first: float, final: float) -> DataFrame:
+    """One row: whether a fact that is known to have been rewritten shows its first and its final value, both kept, and without an amendment."""
+    order = F.struct("filed", "accn")
+    ends = series_.agg(
+        F.count("*").alias("n_versions"),
+        F.min_by("value", order).alias("first_value"),
+        F.max_by("value", order).alias("final_value"),
+        F.count_distinct("value").alias("n_values"),
+        F.coalesce(~F.bool_or(F.col("form").endswith("/A")), F.lit(False)).alias("silent"),
+        F.date_diff(F.max("filed"), F.min("filed")).alias("lag_days"),
+    )
+    checks = {"first_as_expected": F.col("first_value") == first, "final_as_expected": F.col("final_value") == final, "both_kept": F.col("n_values") >= 2}
+    out = ends.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in checks.items()})
+    return out.withColumn("holds", F.col("first_as_expected") & F.col("final_as_expected") & F.col("both_kept") & F.col("silent"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 from ..config import Config
@@ -41,31 +40,48 @@ def missing(config: Config, quarters: tuple[str, ...]) -> list[str]:
     return [q for q in quarters if not held(q)]
 
 
-def fetch(url: str, config: Config) -> bytes:
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": config.user_agent}), timeout=120) as response:
-        return response.read()
+class DownloadError(OSError):
+    """An archive that didn't come in any of the tries."""
 
 
-def download(config: Config, quarters: tuple[str, ...] | None = None, get: Callable[[str, Config], bytes] = fetch, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """Fetch what is missing; the manifest gets url, bytes, sha256, time and status of each quarter."""
+def fetch(url: str, config: Config) -> Iterator[bytes]:
+    """The answer, some megabytes at a time."""
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": config.user_agent}), timeout=120) as response:
+        while block := response.read(1 << 22):
+            yield block
+
+
+def received(blocks: Iterable[bytes], to: Path) -> dict:
+    """Write the blocks, renamed once they are whole: bytes and sha256."""
+    part, digest, n = to.with_name(to.name + ".part"), hashlib.sha256(), 0
+    try:
+        with open(part, "wb") as f:
+            for block in blocks:
+                f.write(block)
+                digest.update(block)
+                n += len(block)
+        part.rename(to)
+    finally:
+        part.unlink(missing_ok=True)
+    return {"bytes": n, "sha256": digest.hexdigest()}
+
+
+def download(config: Config, quarters: tuple[str, ...] | None = None, get: Callable[[str, Config], Iterable[bytes]] = fetch, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """Fetch what is missing; the manifest gets url, bytes, sha256, time and status of each quarter. Raises where all tries fail."""
     config.raw_dir.mkdir(parents=True, exist_ok=True)
     manifest = read_manifest(config)
     for quarter in missing(config, quarters or config.quarters):
         url = ARCHIVE_URL.format(quarter=quarter)
-        entry = {"url": url, "status": "failed"}
+        manifest[quarter] = {"url": url, "status": "failed"}
         for attempt in range(config.max_retries):
             try:
-                data = get(url, config)
-            except (urllib.error.URLError, OSError) as e:
-                entry["error"] = str(e)
+                manifest[quarter] = {"url": url, **received(get(url, config), config.raw_dir / f"{quarter}.zip"), "fetched_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "status": "ok"}
+                break
+            except OSError as e:
+                manifest[quarter]["error"] = str(e)
                 sleep(2**attempt)
-                continue
-            part = config.raw_dir / f"{quarter}.zip.part"
-            part.write_bytes(data)
-            part.rename(config.raw_dir / f"{quarter}.zip")
-            entry = {"url": url, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "fetched_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "status": "ok"}
-            break
-        manifest[quarter] = entry
         write_manifest(config, manifest)
+        if manifest[quarter]["status"] != "ok":
+            raise DownloadError(f"{quarter}: {manifest[quarter].get('error')}")
         sleep(config.rate_limit_sleep)
     return manifest

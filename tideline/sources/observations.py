@@ -11,15 +11,18 @@ from pyspark.sql import types as T
 
 from ..config import Config
 from ..schema import OBSERVATION_COLUMNS, OBSERVATIONS
+from . import files
 
 STORED = T.StructType([*OBSERVATIONS.fields, T.StructField("cik_bucket", T.IntegerType()), T.StructField("quarter", T.StringType())])
 
 
-def load(spark: SparkSession, config: Config, ciks: Sequence[int] | None = None, tags: Sequence[str] | None = None, ddate_max: dt.date | None = None, qtrs: int | None = None) -> DataFrame:
-    """The observations, filtered in the scan. A list of companies also names their buckets, so other directories are never opened."""
-    if not any(config.observations_dir.glob("filed_year=*")):
-        raise FileNotFoundError(f"no observations in {config.observations_dir}; build them first")
-    out = spark.read.schema(STORED).parquet(str(config.observations_dir))
+def load(spark: SparkSession, config: Config, ciks: Sequence[int] | None = None, tags: Sequence[str] | None = None, ddate_max: dt.date | None = None, qtrs: int | None = None, years: Sequence[int] | None = None) -> DataFrame:
+    """The observations, filtered in the scan. Years, and the buckets that a list of companies names, keep other directories from being opened."""
+    if not files.exists(spark, config.observations):
+        raise FileNotFoundError(f"no observations in {config.observations}; build them first")
+    out = spark.read.schema(STORED).parquet(config.observations)
+    if years is not None:
+        out = out.where(F.col("filed_year").isin(list(years)))
     if ciks is not None:
         out = out.where(F.col("cik_bucket").isin(sorted({c % config.key_partitions for c in ciks})) & F.col("cik").isin(list(ciks)))
     if tags is not None:
