@@ -108,6 +108,61 @@ def test_the_method_adds_secrets_and_redaction_takes_all(spark):
     assert clean[100]["text"] == "nothing here" and clean[101]["text"] is None and pii.redact(docs).columns == docs.columns
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    n = 20_000
+    text = " ".join(f"mail a{k}@b{k}.de, von Anna Meyer{'x' * (k % 3)}." for k in range(n))
+    docs = docs_of(spark, [(1, text), (2, "nothing")])
+    began = time.time()
+    row = pii.digest(docs).where("doc_id = 1").first()
+    assert row["n_email"] == n
+    clean = pii.redact(docs).where("doc_id = 1").first()["text"]
+    assert clean.count("<EMAIL>") == n and "@" not in clean and time.time() - began < 120
+
+
+def test_no_cap_hides_a_span(spark):
+    key, local = "Q" * 41 + "9f8e7d6c5b4a39281706", "b" * 90
+    dots = "".join(f" [dot] part{k}" for k in range(12))
+    rows = [(k, f'token = "{key}" and {local} [at] host{dots} or Dr. Anna {"A" + "b" * 45} here.') for k in range(30)]
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(docs_of(spark, rows)).collect()}[3]
+    text = rows[3][1]
+    found = {text[int(a) : int(b)] for _, a, b in (s.split(":") for s in spans.split(","))}
+    assert key in found and f"{local} [at] host{dots}" in found and "Dr. Anna A" + "b" * 45 in found
+
+
+def test_redaction_whatever_the_columns_are_called(spark):
+    docs = docs_of(spark, [(1, "write to a@b.de now"), (2, None), (3, "")])
+    for c in ("pii_text", "pii_candidates", "pii_all", "pii_raw_email", "pii_changed", "pii_base_spans", "row", "spans", "parts", "pieces", "clean", "order", "all", "base", "start"):
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    out = pii.redact(docs)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes and rows[1]["text"] == "write to <EMAIL> now" and rows[2]["text"] is None and rows[3]["text"] == ""
+    assert all(r[c] == f"mine {c}" for r in rows.values() for c in docs.columns[5:])
+
+
+def test_pieces_put_long_texts_together(spark):
+    import random
+
+    r = random.Random(3)
+    text = "".join(r.choice("aé😀\n ") for _ in range(5000))
+    cuts = [(0, 0), (0, 1), (1023, 1025), (1024, 2048), (1024, 1024), (5, 4999), (4096, 5000), (0, 5000), (5000, 5000)] + [tuple(sorted((r.randint(0, 5000), r.randint(0, 5000)))) for _ in range(40)]
+    rows = spark.createDataFrame([(text, a, b) for a, b in cuts], "text string, a int, b int").withColumn("pieces", F.regexp_extract_all("text", F.lit(r"(?s).{1,1024}"), F.lit(0)))
+    assert [x["p"] for x in rows.select(pii.piece(F.col("a"), F.col("b")).alias("p")).collect()] == [text[a:b] for a, b in cuts]
+
+
+def test_scans_are_running_sums_and_maxima(spark):
+    import random
+    from itertools import accumulate
+
+    r = random.Random(4)
+    lists = [[r.randint(0, 99) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1500)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    got = pii.scanned(pii.scanned(df, "x", "sums", lambda a, b: a + b), "x", "tops", lambda a, b: F.greatest(a, b)).collect()
+    for g in got:
+        assert g["sums"] == list(accumulate(g["x"], initial=0))[:-1] and g["tops"] == list(accumulate(g["x"], max, initial=0))[:-1]
+
+
 def test_personal_data_of_odd_documents(spark):
     odd = odd_documents(spark)
     assert pii.digest(odd).count() == odd.count() and pii.digest(odd.limit(0)).count() == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,11 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Candidates beside the base: long keys with digits, phones without a plus, written-out addresses, two capitalised words or a title and a name.
 EXTRA = "|".join(
     (
-        r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])[A-Za-z0-9_-]{20,}+",
+        r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{20})[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+",
         r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++){1,8}+",
-        r"(?<![\p{L}0-9])(?:Mrs?|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?",
-        r"(?<![\p{L}0-9.!?]\x20)(?<![\p{L}0-9])[A-Z][a-z]{1,30}+\x20[A-Z][a-z]{1,30}+(?![\p{L}0-9])",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++)++",
+        r"(?<![\p{L}0-9])(?:Mrs?|Ms|Dr|Prof)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
+        r"(?<![\p{L}0-9.!?]\x20)(?<![\p{L}0-9])[A-Z][a-z]++\x20[A-Z][a-z]++(?![\p{L}0-9])",
     )
 )
 
@@ -58,24 +59,43 @@ CUES = {
 }
 AGAINST = "version|order|serial|isbn|page|chapter|figure|build|release|section"
 
-SPAN = "struct<start:int,end:int,value:string,left:string>"
+#: Items that are scanned at once, and code points of a piece of text.
+BLOCK, PIECE = 256, 1024
+SPANS = "array<struct<place:int,start:int,end:int,kind:string>>"
 
 
-def found(text: Column, pattern: str, maybe: Column) -> Column:
-    """The matches of a pattern with their code point places and the 24 characters before them; ``maybe`` is a cheap test that no match fails."""
-    parts = F.zip_with(
-        F.when(maybe, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")),
-        F.when(maybe, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")),
-        lambda before, value: F.struct(before.alias("before"), value.alias("value")),
-    )
+def scanned(rows: DataFrame, items: str, name: str, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """``rows`` with ``name``: for each item of an array of int, what ``combine`` makes of 0 and all items before it.
+
+    Linear in the items: each block is scanned on its own and then combined
+    with what the blocks before it come to.
+    """
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.char_length(x["before"])
-        end = start + F.char_length(F.coalesce(x["value"], F.lit("")))
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(24)).alias("left"))
-        return F.struct(end.alias("pos"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+        return F.struct(combine(acc["all"], x).alias("all"), F.array_append(acc["out"], acc["all"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("out"))
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(F.col(items), k * BLOCK + 1, F.lit(BLOCK)), start, step))
+    made = rows.withColumn(f"{name}_blocks", blocks)
+    ahead = F.aggregate(F.transform(f"{name}_blocks", lambda b: b["all"]), start, step, lambda acc: acc["out"])
+    made = made.withColumn(name, F.flatten(F.zip_with(f"{name}_blocks", ahead, lambda b, a: F.transform(b["out"], lambda v: combine(v, a)))))
+    return made.drop(f"{name}_blocks")
+
+
+def parts_of(text: Column, place: int, pattern: str, maybe: Column) -> Column:
+    """The text as stretches before matches, with the matches; ``maybe`` is a cheap test that no match fails. The last part has no match."""
+
+    def part(before: Column, value: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.char_length(before).alias("gap"), F.char_length(F.coalesce(value, F.lit(""))).alias("n"), value.alias("value"), F.right(before, F.lit(24)).alias("left"))
+
+    cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part)
+    return F.when(maybe, cut).otherwise(F.array(part(text, F.lit(None).cast("string"))))
+
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda acc: acc["out"])
+def sum_since_reset(a: Column, b: Column) -> Column:
+    """Sums that begin anew: -1 - x stands for a reset followed by x, so the last part of a pattern, -1, sets the next one back to 0."""
+    return F.when(b < 0, b).when(a < 0, a - b).otherwise(a + b)
 
 
 def digits(value: Column) -> Column:
@@ -112,9 +132,9 @@ def any_kind(kind: Column, tests: dict[str, Column]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def labelled(kind: Column, s: Column, base: Column) -> Column:
+def labelled(s: Column) -> Column:
     """A candidate with its votes and the classifier's features."""
-    value, left = s["value"], F.lower(s["left"])
+    kind, value, left = s["kind"], s["value"], F.lower(s["left"])
     n = F.char_length(value)
     share = F.char_length(digits(value)) / F.greatest(n, F.lit(1))
     never = F.lit(False)
@@ -132,7 +152,7 @@ def labelled(kind: Column, s: Column, base: Column) -> Column:
         s["start"].alias("start"),
         s["end"].alias("end"),
         kind.alias("kind"),
-        base.alias("base"),
+        (s["based"] & any_kind(kind, {k: valid(k, value) for k in BASE})).alias("base"),
         F.array(pattern, gazetteer, vote(cue, never), vote(never, against)).alias("votes"),
         F.least(F.floor(F.log2(n.cast("double"))), F.lit(6)).cast("int").alias("size"),
         F.floor(share * 3).cast("int").alias("digits"),
@@ -143,10 +163,6 @@ def labelled(kind: Column, s: Column, base: Column) -> Column:
     )
 
 
-def base_labels(kind: str):
-    return lambda s: labelled(F.lit(kind), s, F.coalesce(valid(kind, s["value"]), F.lit(False)))
-
-
 def reliabilities(counts: dict[tuple[str, tuple], float], rounds: int = 50) -> dict[tuple[str, tuple], float]:
     """P(personal | kind, votes) by expectation-maximisation; labelers share their rates over kinds, each kind has its own prior.
 
@@ -207,21 +223,44 @@ def span_classifier(rows: list[tuple[tuple, float, float]], rounds: int = 300, r
 FEATURES = ("size", "digits", "edge", "cue", "strict", "listed")
 
 
-def with_candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The columns in ``keep`` and ``pii_candidates``: every base match and extra candidate of the text, with votes and features."""
-    read = docs.select(*keep, F.coalesce(pick(docs, "text", "string"), F.lit("")).alias("pii_text"))
-    t = F.col("pii_text")
-    maybe = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(t, F.lit("+"))}
-    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    raw = read.select(*keep, *[found(t, patterns[k], maybe[k]).alias(f"pii_raw_{k}") for k in BASE], found(t, EXTRA, t.rlike(MAYBE_EXTRA)).alias("pii_raw_extra"))
-    judged = [F.transform(f"pii_raw_{k}", base_labels(k)) for k in BASE]
-    judged.append(F.transform("pii_raw_extra", lambda s: labelled(extra_kind(s["value"]), s, F.lit(False))))
-    return raw.select(*keep, F.concat(*judged).alias("pii_candidates"))
+def candidates(docs: DataFrame) -> DataFrame:
+    """(row, text, spans): the whole row, its text, and every base match and extra candidate in order, with votes and features.
+
+    The row is one column, so no column of the documents can clash with ours.
+    ``free`` tells whether a candidate meets no base span: none before it
+    reaches into it, and the one that follows starts behind it.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    read = docs.select(whole, F.coalesce(pick(docs, "text", "string"), F.lit("")).alias("text"))
+    t = F.col("text")
+    maybe = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(t, F.lit("+")), "extra": t.rlike(MAYBE_EXTRA)}
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "extra": EXTRA}
+    parts = F.concat(*[parts_of(t, k, patterns[kind], maybe[kind]) for k, kind in enumerate(patterns)])
+    read = read.withColumn("parts", parts).withColumn("sizes", F.transform("parts", lambda p: F.when(p["value"].isNull(), -1).otherwise(p["gap"] + p["n"])))
+    read = scanned(read, "sizes", "starts", sum_since_reset)
+
+    def span(p: Column, start: Column) -> Column:
+        at = F.when(start < 0, -1 - start).otherwise(start) + p["gap"]
+        kind = F.when(p["place"] < len(BASE), F.get(F.array(*map(F.lit, BASE)), p["place"])).otherwise(extra_kind(p["value"]))
+        return F.when(p["value"].isNotNull(), F.struct(at.alias("start"), (at + p["n"]).alias("end"), kind.alias("kind"), (p["place"] < len(BASE)).alias("based"), p["value"].alias("value"), p["left"].alias("left")))
+
+    read = read.withColumn("found", F.array_compact(F.zip_with("parts", "starts", span)))
+    read = read.withColumn("judged", F.array_sort(F.transform("found", labelled))).withColumn("ends", F.transform("judged", lambda x: F.when(x["base"], x["end"]).otherwise(0)))
+    read = scanned(read, "ends", "reach", lambda a, b: F.greatest(a, b))
+
+    def free(x: Column, around: Column) -> Column:
+        after = around["after"]
+        return x.withField("free", (around["reach"] <= x["start"]) & ~F.coalesce(after["base"] & (after["start"] < x["end"]), F.lit(False)))
+
+    # As arguments of zip_with the scan and the shifted array are made once, not for each element.
+    following = F.slice(F.col("judged"), F.lit(2), F.greatest(F.size("judged"), F.lit(1)))
+    around = F.zip_with("reach", following, lambda r, a: F.struct(r.alias("reach"), a.alias("after")))
+    return read.select("row", "text", F.zip_with("judged", around, free).alias("spans"))
 
 
 def accepted_patterns(table: DataFrame) -> list[tuple]:
     """The feature patterns that the trained classifier accepts, from the candidates of all documents."""
-    c = table.select(F.explode("pii_candidates").alias("c")).select("c.*")
+    c = table.select(F.explode("spans").alias("c")).select("c.*")
     counted = c.groupBy("kind", "votes", *FEATURES).agg(F.count("*").alias("n")).collect()  # a row for each pattern that occurs
     by_votes: dict = defaultdict(float)
     for r in sorted(counted, key=str):
@@ -236,9 +275,8 @@ def accepted_patterns(table: DataFrame) -> list[tuple]:
     return [k for k in sorted(by_features, key=str) if bias + sum(weights.get(f, 0.0) for f in feature_names(*k)) >= 0]
 
 
-def with_spans(table: DataFrame, accepted: list[tuple]) -> DataFrame:
-    """``pii_base`` and ``pii_all`` in place of ``pii_candidates``: arrays of struct(place of the kind, start, end, kind), by kind and start."""
-    keep = [c for c in table.columns if c != "pii_candidates"]
+def with_accepted(table: DataFrame, accepted: list[tuple]) -> DataFrame:
+    """(row, text, base, all): arrays of struct(place of the kind, start, end, kind), by kind and start."""
 
     def key(x: Column) -> Column:
         return F.concat_ws("|", x["kind"], *[x[f].cast("string") for f in FEATURES])
@@ -249,9 +287,9 @@ def with_spans(table: DataFrame, accepted: list[tuple]) -> DataFrame:
     def plain(x: Column) -> Column:
         return F.struct(F.array_position(order, x["kind"]).cast("int").alias("place"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
 
-    with_base = table.withColumn("pii_base_spans", F.filter("pii_candidates", lambda x: x["base"]))
-    clear = F.filter("pii_candidates", lambda x: ~x["base"] & F.array_contains(good, key(x)) & ~F.exists("pii_base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return with_base.select(*keep, F.array_sort(F.transform("pii_base_spans", plain)).alias("pii_base"), F.array_sort(F.transform(F.concat("pii_base_spans", clear), plain)).alias("pii_all"))
+    chosen = F.filter("spans", lambda x: x["base"] | (x["free"] & F.array_contains(good, key(x))))
+    base = F.filter("spans", lambda x: x["base"])
+    return table.select("row", "text", F.array_sort(F.transform(base, plain)).cast(SPANS).alias("base"), F.array_sort(F.transform(chosen, plain)).cast(SPANS).alias("all"))
 
 
 def of_kind(kind: str):
@@ -266,30 +304,48 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per document.
 
     The counts are of base spans. A null or empty text has none; its hash is
-    that of the empty string. Repeated rows are kept; an empty table gives no
-    rows; columns other than doc_id and text are not read.
+    that of the empty string. Very long texts, and any number of spans in one,
+    are read whole, in linear time. Spans of one start go by kind. Repeated rows
+    are kept; an empty table gives no rows; columns other than doc_id and text
+    are not read.
     """
-    counts = [F.size(F.filter("pii_base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    table = Scratch(docs.sparkSession, "pii").save(with_candidates(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")), ("doc_id",)), "pii")
-    return with_spans(table, accepted_patterns(table)).select("doc_id", *counts, F.sha2(listed("pii_base").cast("binary"), 256).alias("base_sha256"), listed("pii_all").alias("spans"))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    narrow = candidates(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string"))).select(F.struct("row.doc_id").alias("row"), F.lit("").alias("text"), "spans")
+    table = Scratch(docs.sparkSession, "pii").save(narrow, "candidates")
+    return with_accepted(table, accepted_patterns(table)).select("row.doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("all").alias("spans"))
+
+
+def piece(start: Column, end: Column) -> Column:
+    """The code points from start to end, put together from the column ``pieces``."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    first, last = F.coalesce(F.get("pieces", a), F.lit("")), F.coalesce(F.get("pieces", b), F.lit(""))
+    whole = F.array_join(F.slice(F.col("pieces"), a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    return F.when(a == b, F.substring(first, start % PIECE + 1, end - start)).otherwise(F.concat(F.substring(first, start % PIECE + 1, F.lit(PIECE)), whole, F.substring(last, F.lit(1), end % PIECE)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows the text.
 
-    Texts are scanned twice, once for training and once for the result, rather
-    than written beside their candidates.
+    Of overlapping spans the one that starts first names the whole stretch; of
+    spans of one start the shortest, then the first kind. Null and empty texts
+    and texts without spans stay as they are, very long ones are redacted whole
+    in linear time; repeated rows are kept; an empty table gives none. All
+    columns stay, whatever their names. Texts are scanned once: they are
+    written beside their candidates, on which the classifier is trained.
     """
-    names = tuple(docs.columns)
-    marked = with_spans(with_candidates(docs, names), accepted_patterns(with_candidates(docs, ())))
-    by_start = F.array_sort(F.transform("pii_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, x["start"] - acc["pos"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.when(x["start"] < acc["pos"], F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("pos"), put.alias("out")))
-
-    clean = F.aggregate(by_start, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.char_length("text"))))
-    out = marked.withColumn("pii_changed", F.size("pii_all") > 0).withColumn("text", F.when(F.col("pii_changed"), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("pii_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    table = Scratch(docs.sparkSession, "redact").save(candidates(docs), "candidates")
+    marked = with_accepted(table, accepted_patterns(table))
+    marked = marked.withColumn("order", F.array_sort(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["place"].alias("place"), x["kind"].alias("kind")))))
+    marked = scanned(marked.withColumn("ends", F.transform("order", lambda x: x["end"])), "ends", "reach", lambda a, b: F.greatest(a, b))
+    some = F.size("order") > 0
+    marked = marked.withColumn("pieces", F.when(some, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def put(x: Column, reach: Column) -> Column:
+        return F.when(x["start"] >= reach, F.concat(piece(reach, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+
+    clean = F.concat(F.array_join(F.zip_with("order", "reach", put), ""), piece(F.array_max("ends"), F.char_length("text")))
+    marked = marked.withColumn("clean", F.when(some, clean))
+    new = {"text": F.coalesce("clean", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(some, F.char_length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return marked.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
