@@ -3,13 +3,16 @@
 The parser's events are folded into lines, one for each block. Each line has a
 text-to-tag ratio; the ratios are smoothed by a Gaussian and cut at a threshold,
 and the lines above it vote for the elements that hold them. The region is the
-smallest element that keeps all of the votes; what is boilerplate by its own
-element (menus, forms, adverts and the like) never makes a line.
+smallest element that keeps all of the votes. What is boilerplate by its own
+element (menus, scripts and the like) never makes a line. Class words and forms
+only make an element suspect: it goes while what lies outside it holds the
+page's content, and stays where it holds that content itself.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,7 +25,7 @@ from .common import pick
 # Element names and class words of the HTML standard and common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style head title nav footer aside form noscript template iframe object svg math canvas button select textarea input dialog menu audio video map datalist".split())
+DROPPED = frozenset("script style head title nav footer aside noscript template iframe object svg math canvas button select textarea input dialog menu audio video map datalist".split())
 REGIONS = frozenset("html body main article section div table tbody tr td center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMED = re.compile(
@@ -30,89 +33,117 @@ NAMED = re.compile(
     r"(?:[-_](?:bar|box|area|block|list|section|wrap|wrapper|container|content|item|links?|form|banner|notice|menu|nav|unit|slot|text|inner|\d+))*",
     re.I,
 )
+#: Of these, words that a paragraph of the article can have too: there they only halve its ratio.
+WEAK = re.compile(r"(?:related|recommended|share|sharing|social|search|skip|header|respond|widget|promo)(?:[-_].*)?", re.I)
+TEXTUAL = frozenset("p h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".split())
 PREFIXED = re.compile(r".+[-_](?:ads?|advert|sidebar|comments?|menu|nav|footer|cookie|banner)", re.I)
 
 
+DROP, SUSPECT, HALVE, KEEP = range(4)
+
+
 class Lines(HTMLParser):
-    """Blocks of text with the tags inside them and the region elements around them."""
+    """Blocks of text with the tags inside them, and the region and suspect elements around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, whether it is dropped, its region
+        self.stack: list[tuple[str, bool, int, int, bool]] = []  # name, whether it is dropped, its region, its suspect, whether its ratio is halved
+        self.open: Counter = Counter()  # open block elements by name
+        self.levels: list[tuple[int, Counter]] = [(-1, Counter())]  # the innermost open block's place, and the inline elements open in it
         self.dropping = 0
         self.parents, self.names = [-1], ["root"]
+        self.suspects: list[int] = []  # the suspect around each suspect
+        self.headed: set[int] = set()  # suspects with a top heading
         self.texts: list[str] = []
-        self.tags, self.where = [], []
+        self.tags, self.where, self.suspect, self.halved = [], [], [], []
         self.text: list[str] = []
         self.inside = 0
 
-    @property
-    def region(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
-
     def flush(self) -> None:
         if self.text:
             if line := " ".join("".join(self.text).split()):
+                top = self.stack[self.levels[-1][0]] if self.levels[-1][0] >= 0 else ("", False, 0, -1, False)
                 self.texts.append(line)
                 self.tags.append(self.inside)
-                self.where.append(self.region)
+                self.where.append(top[2])
+                self.suspect.append(top[3])
+                self.halved.append(top[4])
             self.text = []
         self.inside = 0
 
-    def boilerplate(self, tag: str, attrs: list) -> bool:
+    def judge(self, tag: str, attrs: list) -> int:
         if tag in DROPPED:
-            return True
+            return DROP
         if tag == "header":
-            return not any(name in ("article", "main") for name, _, _ in self.stack)
+            return KEEP if self.open["article"] or self.open["main"] else DROP
+        if tag == "form":
+            return SUSPECT
         if not attrs or tag in ("html", "body", "main", "article", "h1"):
-            return False
+            return KEEP
         a = dict(attrs)
         if "hidden" in a or (a.get("role") or "").lower() in ROLES or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style") or ""):
-            return True
-        return any(NAMED.fullmatch(w) or PREFIXED.fullmatch(w) for k in ("class", "id") for w in (a.get(k) or "").split())
+            return DROP
+        words = [w for k in ("class", "id") for w in (a.get(k) or "").split() if NAMED.fullmatch(w) or PREFIXED.fullmatch(w)]
+        if not words:
+            return KEEP
+        if tag in INLINE:
+            return DROP
+        return HALVE if tag in TEXTUAL and all(WEAK.fullmatch(w) for w in words) else SUSPECT
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
             if not self.dropping:
                 self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before it
-                name = self.stack[i][0]
-                if name == "p" or (tag == name and tag in ("li", "dt", "dd", "option", "tr", "td")):
-                    self.leave(i)
-                    break
-                if name not in INLINE:
-                    break
+            at = self.levels[-1][0]
+            if at >= 0 and ((name := self.stack[at][0]) == "p" or (tag == name and tag in ("li", "dt", "dd", "option", "tr", "td"))):
+                self.leave(at)  # a block ends an open paragraph, an item the item before it
         self.inside += 1
         if tag in VOID:
             if tag in ("br", "hr", "img") and not self.dropping:
                 self.text.append(" ")
             return
-        dropped = self.boilerplate(tag, attrs)
-        region = self.region
-        if tag in REGIONS and not self.dropping and not dropped:
+        what = self.judge(tag, attrs)
+        _, _, region, suspect, halved = self.stack[-1] if self.stack else ("", False, 0, -1, False)
+        if tag in REGIONS and not self.dropping and what != DROP:
             self.parents.append(region)
             self.names.append(tag)
             region = len(self.parents) - 1
-        self.dropping += dropped
-        self.stack.append((tag, dropped, region))
+        if what == SUSPECT and not self.dropping:
+            self.suspects.append(suspect)
+            suspect = len(self.suspects) - 1
+        if tag == "h1":
+            self.headed.add(suspect)
+        self.dropping += what == DROP
+        if tag in INLINE:
+            self.levels[-1][1][tag] += 1
+        else:
+            self.open[tag] += 1
+            self.levels.append((len(self.stack), Counter()))
+        self.stack.append((tag, what == DROP, region, suspect, halved or what == HALVE))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do: the slash means nothing
 
     def leave(self, at: int) -> None:
-        self.dropping -= sum(dropped for _, dropped, _ in self.stack[at:])
-        del self.stack[at:]
+        while len(self.stack) > at:
+            tag, dropped, *_ = self.stack.pop()
+            self.dropping -= dropped
+            if tag in INLINE:
+                self.levels[-1][1][tag] -= 1
+            else:
+                self.open[tag] -= 1
+                self.levels.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE and not self.dropping:
             self.flush()
         self.inside += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.leave(i)
-                return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
-                return
+        # An element is sought only where one of its name is open, so all that is passed over is left.
+        if (self.levels[-1][1] if tag in INLINE else self.open)[tag]:
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag:
+                at -= 1
+            self.leave(at)
 
     def handle_data(self, data: str) -> None:
         if not self.dropping:
@@ -129,12 +160,57 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content(page: Lines) -> int:
+def scores(page: Lines, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(length, smoothed ratio, threshold) of some of the page's lines."""
+    length = np.array([len(page.texts[k]) for k in lines], dtype=float)
+    ratio = smoothed(length / np.maximum(np.array([page.tags[k] for k in lines]), 1))
+    return length, ratio, float(ratio.std())
+
+
+def marked_regions(page: Lines) -> np.ndarray:
+    """Whether each region is, or lies in, an article or main element."""
+    out = np.zeros(len(page.parents), dtype=bool)
+    for i, name in enumerate(page.names):
+        out[i] = name in ("article", "main") or (i > 0 and out[page.parents[i]])
+    return out
+
+
+def unsuspected(page: Lines) -> np.ndarray:
+    """The lines outside suspect elements, and in those that hold the content themselves.
+
+    The suspect with most votes is taken in if nothing outside lies in an
+    article, its votes are five times those outside, and it has an article, a
+    top heading or three lines of content; then the suspects inside it are
+    judged in turn.
+    """
+    every, suspect = np.arange(len(page.texts)), np.array(page.suspect, dtype=np.int64)
+    if not page.suspects or not len(every):
+        return every
+    length, ratio, least = scores(page, every)
+    good, in_article = ratio >= least, marked_regions(page)[np.array(page.where)]
+    n = len(page.suspects) + 1  # the last entry is what lies outside all suspects
+    votes, lines, marked = (np.bincount(suspect % n, w, n) for w in (np.where(good, length, 0), good, in_article))
+    held = [votes.copy(), lines.copy(), marked.copy()]
+    for k in range(n - 2, -1, -1):  # elements open after those around them
+        if page.suspects[k] >= 0:
+            for h in held:
+                h[page.suspects[k]] += h[k]
+    inner: dict[int, list[int]] = {}
+    for k, around in enumerate(page.suspects):
+        inner.setdefault(around, []).append(k)
+    taken, outside, at = {-1}, votes[-1], -1
+    article = marked[-1] > 0
+    while not article and (choice := max(inner.get(at, []), key=lambda k: held[0][k], default=None)) is not None:
+        if outside * 5 > held[0][choice] or not (held[2][choice] or held[1][choice] >= 3 or choice in page.headed):
+            break
+        taken.add(choice)
+        outside, article, at = outside + votes[choice], marked[choice] > 0, choice
+    return every[np.isin(suspect, list(taken))]
+
+
+def content(page: Lines, where: np.ndarray, votes_of_lines: np.ndarray) -> int:
     """The outermost article or main element, or else the smallest region element, outside which no content line lies."""
-    length = np.array([len(t) for t in page.texts], dtype=float)
-    ratio = smoothed(length / np.maximum(np.array(page.tags), 1))
-    votes = np.zeros(len(page.parents))
-    np.add.at(votes, page.where, np.where(ratio >= ratio.std(), length, 0))
+    votes = np.bincount(where, votes_of_lines, len(page.parents))
     for i in range(len(votes) - 1, 0, -1):  # elements open after their parents
         votes[page.parents[i]] += votes[i]
     marked = [i for i, n in enumerate(page.names) if n in ("article", "main") and votes[i]]
@@ -142,25 +218,31 @@ def content(page: Lines) -> int:
     if at and votes[at] == votes[0]:
         return at
     at = 0  # several articles, or content beside one: the element around all
-    while True:
-        inner = [i for i, p in enumerate(page.parents) if p == at and votes[i] and votes[i] == votes[at]]
-        if not inner or page.names[inner[0]] in ("table", "tbody", "tr", "td"):
-            return at
-        at = inner[0]
+    only: dict[int, int] = {}
+    for i in range(len(votes) - 1, 0, -1):
+        if votes[i] and votes[i] == votes[page.parents[i]]:
+            only[page.parents[i]] = i
+    while at in only and page.names[only[at]] not in ("table", "tbody", "tr", "td"):
+        at = only[at]
+    return at
 
 
 def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
     page.close()
-    if not page.texts:
+    lines = unsuspected(page)
+    if not len(lines):
         return ""
-    at = content(page)
+    length, ratio, least = scores(page, lines)
+    where = np.array(page.where)[lines]
+    at = content(page, where, np.where(ratio >= least, length, 0))
     kept = np.zeros(len(page.parents), dtype=bool)
     kept[at] = True
     for i in range(at + 1, len(kept)):
         kept[i] = kept[page.parents[i]]
-    return "\n".join(t for t, w in zip(page.texts, page.where) if kept[w])
+    stays = kept[where] & ~(np.array(page.halved)[lines] & (ratio / 2 < least))
+    return "\n".join(page.texts[k] for k in lines[stays])
 
 
 def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +255,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per page.
 
     Null or empty html, or html without any text outside boilerplate, gives an
-    empty text. Repeated rows are kept; an empty table gives no rows; other
-    columns are not read.
+    empty text. Very long pages are read whole, in linear time. Of regions with
+    equal votes the outermost article, or else the innermost element, counts.
+    Repeated rows are kept; an empty table gives no rows; other columns are not
+    read.
     """
     return pages.select(pick(pages, "page_id", "long"), pick(pages, "url", "string"), pick(pages, "html", "string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
