@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, MID, SMALL, docs_of, odd_documents, tables
 from tideline.llm import bitsliced, hilbert, html_text, packing
@@ -79,10 +80,14 @@ def test_planned_sequences_hold_everything():
 
 
 def test_both_readers_of_the_vocabulary_agree():
-    whole, fast = packing.tokenizers()
-    for text in ("It's  what\nwe've   done; 12345 ÄÖ ßuœ, _x_ ", "a" * 500, " ", "\n\n x", "Über 3.14 <|endoftext|> end", "d'accord l'été"):
-        assert packing.PLAIN.fullmatch(text)
-        assert fast.encode_ordinary(text) == whole.encode(text, add_special_tokens=False).ids
+    whole, _, added = packing.tokenizers()
+    tokens = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert tokens and all(added.search(f"x{t}y") for t in tokens)
+    texts = ["It's  what\nwe've   done; 12345 ÄÖ ßuœ, _x_ ", "a" * 500, " ", "\n\n x", "d'accord l'été", "hello <|endoftext|> world", *tokens]
+    r, signs = random.Random(11), ["a", "Bc", "'s", "'re", " ", "  ", "\n", "12", "7", "é", "ß", "œ", ".", ",", "_", "<|", "|>", "endoftext", "€", "中", "\t", "\u00a0", *tokens]
+    texts += ["".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(4000)]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def check_packing(rows, docs):
@@ -96,7 +101,7 @@ def check_packing(rows, docs):
             assert offset == at
             at += length
         assert at <= 1024
-    whole, _ = packing.tokenizers()
+    whole, _, _ = packing.tokenizers()
     for doc_id, text in docs.items():
         ids = np.array(whole.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
         pieces = sorted(by_doc[doc_id], key=lambda r: r["piece"])
@@ -109,6 +114,10 @@ def check_packing(rows, docs):
     return len(by_sequence)
 
 
+def whole_ids(text):
+    return packing.tokenizers()[0].encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     docs = DOCS(spark, SMALL)
     rows = packing.pack(docs).collect()
@@ -117,6 +126,8 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
     odd = odd_documents(spark).where("doc_id <> 3")
     check_packing(packing.pack(odd).collect(), {r["doc_id"]: r["text"] for r in odd.collect()})
+    special = docs_of(spark, [(1, "hello <|endoftext|> world")])
+    assert packing.pack(special).first()["length"] == len(whole_ids("hello <|endoftext|> world")) + 1
     twice = docs_of(spark, [(3, "word"), (3, "word"), (None, None)])
     assert len({(r["sequence_id"], r["offset"]) for r in packing.pack(twice).collect()}) == 3
 
@@ -187,9 +198,39 @@ def test_content_beside_the_largest_region_stays():
     assert html_text.main_text(PAGE % teaser) == "\n".join(p)
 
 
+def test_a_class_word_never_takes_the_article():
+    p = [SENTENCE % k for k in range(4)]
+    body = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in p)
+    for open_, close in (("<div class='search'>", "</div>"), ("<form id=aspnetForm>", "</form>"), ("<div class=widget><div id=comments-area>", "</div></div>")):
+        assert html_text.main_text(PAGE % f"{open_}<article>{body}</article>{close}") == "\n".join(["Title", *p])
+        assert html_text.main_text(PAGE % f"{open_}{body}{close}") == "\n".join(["Title", *p])
+    inside = f"<article>{body}<p class='related'>Related results show the same, as {p[0]}</p><p class='share'>Share</p></article>"
+    assert html_text.main_text(PAGE % inside) == "\n".join(["Title", *p, f"Related results show the same, as {p[0]}"])
+
+
+def test_suspects_beside_the_article_go():
+    p = [SENTENCE % k for k in range(4)]
+    ad = "<div class='ad'>" + "".join(f"<p>{x} Buy now.</p>" for x in p * 9) + "</div>"
+    comments = "<div id='comments'>" + "".join(f"<article class='comment'><p>{x} I agree.</p></article>" for x in p * 9) + "</div>"
+    assert html_text.main_text(PAGE % f"{ad}<article><p>Short.</p></article>{comments}") == "Short."
+    assert html_text.main_text(PAGE % f"<article><p>{p[0]}</p><p class='ad'>{p[1]}</p><form><p>{p[2]}</p></form></article>") == p[0]
+
+
+def test_stray_tags_and_depth_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<div>" * 50_000 + "</i>" * 50_000 + "text", "<div>" * 50_000 + "</section>" * 50_000 + "text", "<b>" * 50_000 + "<hr>" * 50_000 + "text", "<i><p>" * 30_000 + "</i>" * 50_000 + "text", "<div class=search>" * 50_000 + "text"):
+        assert html_text.main_text(html) in ("text", "")
+    assert time.time() - began < 30
+
+
 def test_pages(spark):
     (pages,) = tables(spark, SMALL, "pages")
     rows = html_text.extract(pages).collect()
     assert len(rows) == pages.count() and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
-    odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>a")], "page_id long, url string, html string")
-    assert sorted(r["text"] for r in html_text.extract(odd).collect()) == ["", "", "a"] and html_text.extract(odd.limit(0)).count() == 0
+    long = "<p>" + "word " * 200_000
+    odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>a"), (2, "u", long), (2, "u", long)], "page_id long, url string, html string")
+    for c in ("text", "n_chars", "lines"):
+        odd = odd.withColumn(c, F.lit("x"))
+    assert sorted(len(r["text"]) for r in html_text.extract(odd).collect()) == [0, 0, 1, 999_999, 999_999] and html_text.extract(odd.limit(0)).count() == 0

@@ -28,7 +28,7 @@ _loaded: dict = {}
 
 
 def tokenizers(name: str = "byte_bpe_50k") -> tuple:
-    """(tokenizer, rank-file reader of the same vocabulary), loaded once a worker."""
+    """(tokenizer, rank-file reader of the same vocabulary, pattern of its added tokens), loaded once a worker."""
     if name not in _loaded:
         import base64
         import os
@@ -39,17 +39,17 @@ def tokenizers(name: str = "byte_bpe_50k") -> tuple:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         whole = Tokenizer.from_file(public.path(f"{name}.json"))
-        whole.encode_special_tokens = True  # such strings in a text are ordinary text
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[name] = whole, tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = "|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)"
+        _loaded[name] = whole, tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}), re.compile(added)
     return _loaded[name]
 
 
 def token_ids(text: str, name: str = "byte_bpe_50k") -> np.ndarray:
-    """The tokenizer's ids of the whole text. Plain texts go through the faster reader of the same vocabulary."""
-    whole, fast = tokenizers(name)
-    if PLAIN.fullmatch(text):
+    """The tokenizer's ids of the whole text. Plain texts without an added token go through the faster reader of the same vocabulary."""
+    whole, fast, added = tokenizers(name)
+    if PLAIN.fullmatch(text) and not added.search(text):
         return np.array(fast.encode_ordinary(text), dtype="<u4")
     return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -128,9 +128,11 @@ def put(classes: dict, done: list, room: int, count: int, held: list) -> None:
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "byte_bpe_50k") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text counts as empty and is one piece of the end id alone. Repeated
-    rows and equal texts are packed each on their own; an empty table gives no
-    rows; columns other than doc_id and text are not read.
+    A null text counts as empty and is one piece of the end id alone. Very long
+    texts are cut into pieces, all of which are packed. Repeated rows and equal
+    texts are packed each on their own; pieces of equal length take their slots
+    in the order of their tasks; an empty table gives no rows; columns other
+    than doc_id and text are not read.
     """
     spark: SparkSession = docs.sparkSession
     pieces = Scratch(spark, "packing").save(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(pieces_of(capacity, end_id, name), PIECES), "pieces")
