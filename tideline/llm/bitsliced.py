@@ -198,12 +198,14 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, rows_a_block: int
     rows = Scratch(rows.sparkSession, "vectors").save(rows, "vectors")
     is_query = F.col("vec_id") % every == 0
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims"), F.count_if(is_query).alias("q")).first()
-    n_rows, n_queries, dims = max(1, -(-size["n"] // rows_a_block)), max(1, -(-size["q"] // queries_a_block)), size["dims"]
+    # Blocks are smaller where there would be fewer than cores.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_rows = max(1, -(-size["n"] // rows_a_block), min(cores, -(-size["n"] // max(1, rows_a_block // 8))))
+    n_queries, dims = max(1, -(-size["q"] // queries_a_block)), size["dims"]
     index = rows.repartition(n_rows).mapInArrow(pack_rows(dims), INDEX)
     queries = rows.where(is_query).repartition(n_queries).mapInArrow(query_blocks(dims), "query_block int, query_ids array<long>, query_keys array<long>, vectors binary")
-    cells = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(
-        queries.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))), ["row_block", "query_block"]
-    )
+    # The index moves once; what is copied to every block of it are the queries.
+    cells = index.join(queries.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))), "row_block")
     found = cells.mapInArrow(answer(k), "query_id long, query_key long, vec_id long, vec_key long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "vec_key")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
