@@ -3,10 +3,10 @@
 import hashlib
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -152,10 +152,13 @@ def test_contamination_tolerates_substitutions(spark):
             want.add((d, k))
         docs.append((d, " ".join(filler).upper() if d % 2 else " ".join(filler)))
     docs += [(100, items[5][1]), (101, None), (102, ""), (103, " ".join(items[0][1].split()[:16])), (104, " ".join(items[0][1].split()[:8]))]
-    want.add((103, 0))
+    want |= {(103, 0), (100, 5)}
+    docs.append((105, "and " + items[5][1]))  # a short item is found as a whole document only
     bench = spark.createDataFrame(items, "item_id long, text string")
     table = docs_of(spark, docs, extra=True)
-    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.overlaps(table, bench).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.links(table, bench).collect()} == want
+    counts = {x["doc_id"]: x["n_items"] for x in spaced_seeds.overlaps(table, bench).collect()}
+    assert counts == {d: sum(e == d for e, _ in want) for d, _ in want}
     kept = {x["doc_id"] for x in spaced_seeds.keep_clean(table, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert spaced_seeds.overlaps(table, bench.limit(0)).count() == 0 == spaced_seeds.overlaps(table.limit(0), bench).count()
@@ -163,10 +166,8 @@ def test_contamination_tolerates_substitutions(spark):
 
 
 def verdict(doc, item, shifts):
-    """What ``verified`` says of one pair, as (matched_words, first_word, end_word)."""
-    batch = pa.record_batch([pa.array([1]), pa.array([" ".join(doc)]), pa.array([2]), pa.array([" ".join(item)]), pa.array([shifts], pa.list_(pa.int32())), pa.array([3])], names=list("abcdef"))
-    out = next(iter(spaced_seeds.verified(13, 0.8)([batch]))).to_pylist()
-    return (out[0]["matched_words"], out[0]["first_word"], out[0]["end_word"]) if out else None
+    """What is said of one pair, as (matched_words, first_word, end_word)."""
+    return spaced_seeds.judged(doc, item, shifts, 13, Fraction("0.8"))
 
 
 def brute_verdict(doc, item, shifts):
@@ -230,7 +231,16 @@ def test_dense_changes_and_short_items_are_found(spark):
     want = {(d, {0: 0, 3: 3}.get(d, {1: 1, 2: 2, 3: 4}.get(d // 10))) for d in laid}
     docs = docs_of(spark, [(d, " ".join(["foreign", "text", *x, "more", "text"])) for d, x in laid.items()])
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.overlaps(docs, bench).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.links(docs, bench).collect()} == want
+
+
+def test_a_passage_of_many_items_gives_one_row_a_document(spark):
+    r = random.Random(8)
+    passage = " ".join(words(r, 30))
+    bench = spark.createDataFrame([(k, f"{passage} item {k} {' '.join(words(r, 6))}") for k in range(90)], "item_id long, text string")
+    docs = docs_of(spark, [(k, f"{' '.join(words(r, 20))} {passage} {' '.join(words(r, 20))}") for k in range(40)])
+    out = spaced_seeds.overlaps(docs, bench).collect()
+    assert sorted(x["doc_id"] for x in out) == list(range(40)) and {x["n_items"] for x in out} == {90}
 
 
 def test_planted_items_are_found_and_nothing_else(spark):
@@ -238,7 +248,7 @@ def test_planted_items_are_found_and_nothing_else(spark):
     plain = lambda t: " ".join(spaced_seeds.words_of(t))
     items = {b["item_id"]: plain(b["text"]) for b in bench.collect()}
     want = {(d["doc_id"], i) for d in docs.collect() for i, t in items.items() if f" {t} " in f" {plain(d['text'])} "}
-    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.overlaps(docs, bench).collect()} == want
+    assert {(x["doc_id"], x["item_id"]) for x in spaced_seeds.links(docs, bench).collect()} == want
 
 
 def test_a_window_keeps_its_hash_when_ignored_words_change():

@@ -2,9 +2,11 @@
 
 A mask fixes which words of a window count and which are ignored, so a changed
 word at an ignored place keeps the hash. Hashes of test windows meet hashes of
-training windows in a join; a Bloom filter of fixed size keeps the training
-windows that cannot meet any from being moved. Around each hit the test item is
-laid along the document and every stretch of it is judged word by word.
+training windows in a join; a Bloom filter, sized by the test windows up to a
+bound, keeps most training windows that cannot meet any from being moved.
+Around each hit the test item is laid along the document and every stretch of
+it is judged word by word. Items too short for a mask are hashed whole and meet
+documents of the same words.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,9 +32,15 @@ WORD = re.compile(r"\w+")
 #: neighbours of at least two words are parted by one changed word.
 MASKS = ("111100000", "110110000")
 SHORTEST = 5
-BLOOM_BITS = 1 << 26
-BLOOM_HASHES = 3
-MEMO = 400_000
+#: Bits of the filter for each test window, and at most: beyond that it lets more through, and the join does the rest.
+BITS_A_SEED, MOST_BITS = 16, 29
+#: Odd factors, one for each bit that a window sets.
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+#: Words of 64 bits in a row of the filter.
+SEGMENT = 1 << 12
+#: Items that a document is compared with in one row, about.
+ITEMS = 64
+MEMO = 100_000
 
 
 class WordHashes(dict):
@@ -61,8 +70,12 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def bloom_places(h: np.ndarray) -> list[np.ndarray]:
-    return [(h >> np.uint64(20 * i)) % np.uint64(BLOOM_BITS) if i == 0 else ((h * np.uint64(0xD6E8FEB86659FD93 + 2 * i)) >> np.uint64(38 - 6 * (i > 1))) % np.uint64(BLOOM_BITS) for i in range(BLOOM_HASHES)]
+def all_seeds(hashes: np.ndarray, masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, places) of a text under all masks; a text too short for them has one seed, of all its words."""
+    if len(hashes) < SHORTEST:
+        return (seeds(hashes, "1" * len(hashes)) ^ np.uint64(len(hashes)), np.zeros(1, np.int64)) if len(hashes) else (hashes, np.zeros(0, np.int64))
+    found = [seeds(hashes, mask) for mask in masks]
+    return np.concatenate(found), np.concatenate([np.arange(len(h)) for h in found])
 
 
 def item_seeds(masks: list[str]):
@@ -71,39 +84,67 @@ def item_seeds(masks: list[str]):
         for batch in batches:
             item, pos, seed = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = word_hashes(text or "", memo)
-                if len(hashes) < SHORTEST:
-                    continue
-                for mask in masks:
-                    h = seeds(hashes, mask).view(np.int64).tolist()
-                    seed += h
-                    pos += range(len(h))
-                    item += [key] * len(h)
-            places = np.stack(bloom_places(np.array(seed, dtype=np.int64).view(np.uint64)), axis=1).astype(np.int64).tolist() if seed else []
-            yield pa.record_batch([pa.array(seed, pa.int64()), pa.array(item, pa.int64()), pa.array(pos, pa.int32()), pa.array(places, pa.list_(pa.int64()))], names=["seed", "item_key", "item_pos", "places"])
+                h, at = all_seeds(word_hashes(text or "", memo), masks)
+                seed += h.view(np.int64).tolist()
+                pos += at.tolist()
+                item += [key] * len(h)
+            yield pa.record_batch([pa.array(seed, pa.int64()), pa.array(item, pa.int64()), pa.array(pos, pa.int32())], names=["seed", "item_key", "item_pos"])
 
     return run
 
 
+def bloom_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h * np.uint64(f)) >> np.uint64(64 - bits) for f in FACTORS]
+
+
+def bloom_words(bits: int):
+    """The filter's words that the seeds of a batch set, by segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(bloom_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+            held = np.zeros(len(word), dtype=np.uint64)
+            np.bitwise_or.at(held, inverse, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.record_batch([pa.array(word.astype(np.int64) // SEGMENT), pa.array(word.astype(np.int64) % SEGMENT), pa.array(held.view(np.int64))], names=["segment", "word", "bits"])
+
+    return run
+
+
+def segment(words: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(SEGMENT, dtype=np.int64)
+    out[words.word.to_numpy()] = words.bits.to_numpy()
+    return pd.DataFrame({"segment": words.segment.iloc[:1], "held": [out.tobytes()]})
+
+
+def bloom_filter(seeds_table: DataFrame) -> np.ndarray:
+    """The filter of all seeds, of 2**MOST_BITS bits at most: its size is bounded whatever the number of seeds."""
+    distinct = seeds_table.select("seed").distinct()
+    bits = min(MOST_BITS, max(18, (BITS_A_SEED * distinct.count()).bit_length()))
+    words = distinct.mapInArrow(bloom_words(bits), "segment long, word long, bits long").groupBy("segment", "word").agg(F.bit_or("bits").alias("bits"))
+    held = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for r in words.groupBy("segment").applyInPandas(segment, "segment long, held binary").toLocalIterator():
+        held[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["held"], np.uint64)
+    return held
+
+
 def candidate_rows(held, masks: list[str]):
     """Documents with a window that the filter lets through, and those windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, memo = held.value, WordHashes()
+        bits = (len(bloom) * 64).bit_length() - 1
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                hashes, found = word_hashes(text, memo), []
-                for mask in masks:
-                    h = seeds(hashes, mask)
-                    ok = np.arange(len(h))
-                    for places in bloom_places(h):
-                        places = places[ok].astype(np.int64)
-                        ok = ok[(bloom[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1]
-                    found += zip(h[ok].view(np.int64).tolist(), ok.tolist())
-                if found:
-                    out.append((doc_id, text, [{"seed": s, "doc_pos": p} for s, p in found]))
+                h, at = all_seeds(word_hashes(text, memo), masks)
+                for f in FACTORS:
+                    places = (h * np.uint64(f)) >> np.uint64(64 - bits)
+                    ok = (bloom[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) == 1
+                    h, at = h[ok], at[ok]
+                if len(h):
+                    out.append((doc_id, text, [{"seed": s, "doc_pos": p} for s, p in zip(h.view(np.int64).tolist(), at.tolist())]))
             columns = list(zip(*out)) if out else [[]] * 3
             kinds = (pa.int64(), pa.string(), pa.list_(pa.struct([("seed", pa.int64()), ("doc_pos", pa.int32())])))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "text", "hits"])
@@ -134,66 +175,102 @@ def stretches(equal: np.ndarray, need: int, share: Fraction) -> tuple[np.ndarray
     return inside, int(n[good].max())
 
 
+def judged(doc_words: list[str], item_words: list[str], shifts: list[int], min_words: int, share: Fraction) -> tuple[int, int, int] | None:
+    """(matched words, first word, end word) if the item laid along the document at the shifts overlaps it."""
+    if len(item_words) < SHORTEST:
+        return (len(item_words), 0, len(item_words)) if item_words == doc_words else None
+    number = {w: k for k, w in enumerate(item_words)}
+    item = np.array([number[w] for w in item_words], dtype=np.int64)
+    doc = np.array([number.get(w, -1) for w in doc_words], dtype=np.int64)
+    covered, best, spans = np.zeros(len(item), bool), 0, []
+    for shift in sorted(set(shifts)):
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        inside, n = stretches(doc[low + shift : high + shift] == item[low:high], SHORTEST, share)
+        if n:
+            covered[low:high] |= inside
+            best = max(best, n)
+            at = np.flatnonzero(inside) + low + shift
+            spans.append((int(at[0]), int(at[-1]) + 1))
+    if best >= min(min_words, len(item)) or covered.sum() >= max(SHORTEST, share * len(item)):
+        return int(covered.sum()), min(s for s, _ in spans), max(e for _, e in spans)
+    return None
+
+
+LINKS = "doc_key long, doc_id long, item_id long, matched_words long, item_words long, first_word long, end_word long, text_key long"
+
+
 def verified(min_words: int, similarity: float):
     share = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, item_id, item_text, shifts, key in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(item_text)
-                number = {w: k for k, w in enumerate(words)}
-                item = np.array([number[w] for w in words], dtype=np.int64)
-                doc = np.array([number.get(w, -1) for w in words_of(text)], dtype=np.int64)
-                covered, best, spans = np.zeros(len(item), bool), 0, []
-                for shift in sorted(set(shifts)):
-                    low, high = max(0, -shift), min(len(item), len(doc) - shift)
-                    inside, n = stretches(doc[low + shift : high + shift] == item[low:high], min(SHORTEST, len(item)), share)
-                    if n:
-                        covered[low:high] |= inside
-                        best = max(best, n)
-                        at = np.flatnonzero(inside) + low + shift
-                        spans.append((int(at[0]), int(at[-1]) + 1))
-                if best >= min(min_words, len(item)) or covered.sum() >= max(SHORTEST, share * len(item)):
-                    out.append((doc_id, item_id, int(covered.sum()), len(item), min(s for s, _ in spans), max(e for _, e in spans), key))
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7)], names=["doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word", "text_key"])
+            for doc_key, doc_id, text, key, items in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_words = words_of(text)
+                for x in items:
+                    item_words = words_of(x["item_text"])
+                    if found := judged(doc_words, item_words, x["shifts"], min_words, share):
+                        out.append((doc_key, doc_id, x["item_id"], found[0], len(item_words), *found[1:], key))
+            columns = list(zip(*out)) if out else [[]] * 8
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in LINKS.split(", ")])
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
-    """doc_id, item_id, matched_words, item_words, first_word, end_word, text_key: one row for each document and item that overlap.
+def links(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
+    """doc_key, doc_id, item_id, matched_words, item_words, first_word, end_word, text_key: one row for each document and item that overlap.
 
     Words are lower-case runs of letters, digits and underscores. A pair
     overlaps if one stretch has ``min_words`` equal words and a share of
     ``similarity`` of its words equal, or if such stretches together cover that
-    share of the item. Items of fewer than five words, null and empty texts
-    match nothing. At a ``similarity`` of 0.8 or more no stretch of five equal
-    words is without a seed; under it some may be. Repeated documents and items give repeated pairs; empty tables give no rows; other
-    columns are not read.
+    share of the item. An item of fewer than five words overlaps a document
+    that has those words and no others; null and empty texts match nothing. At
+    a ``similarity`` of 0.8 or more no stretch of five equal words is without a
+    seed; under it some may be. Very long texts are compared whole. Where
+    several shifts match, all count. Repeated documents and items give repeated
+    pairs; empty tables give no rows; other columns are not read. doc_key tells
+    repeated documents apart.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "seeds")
     items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]
-    seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int, places array<long>").distinct(), "seeds")
-    place = F.explode("places").alias("place")
-    words = seeds_table.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect()  # BLOOM_BITS / 64 rows at most
-    bloom = np.zeros(BLOOM_BITS >> 6, dtype=np.int64)
-    bloom[[r["word"] for r in words]] = [r["bits"] for r in words]
-    held = spark.sparkContext.broadcast(bloom.view(np.uint64))  # of fixed size
+    seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int").distinct(), "seeds")
+    held = spark.sparkContext.broadcast(bloom_filter(seeds_table))  # of bounded size
     kinds = "doc_id long, text string, hits array<struct<seed:long,doc_pos:int>>"
     candidates = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(candidate_rows(held, masks), kinds)
     candidates = scratch.save(candidates.withColumn("doc_key", F.monotonically_increasing_id()), "candidates")
     hits = candidates.select("doc_key", F.explode("hits").alias("hit")).select("doc_key", "hit.seed", "hit.doc_pos")
-    pairs = hits.join(seeds_table.drop("places"), "seed").groupBy("doc_key", "item_key").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))  # a document's shifts: bounded by its own length
-    laid = pairs.join(candidates.select("doc_key", "doc_id", "text"), "doc_key").join(items, "item_key")
-    return laid.select("doc_id", "text", "item_id", "item_text", "shifts", text_key(F.col("text")).alias("text_key")).mapInArrow(verified(min_words, similarity), "doc_id long, item_id long, matched_words long, item_words long, first_word long, end_word long, text_key long")
+    pairs = hits.join(seeds_table, "seed").groupBy("doc_key", "item_key").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))  # a document's shifts: bounded by its own length
+    # A document goes once to some ITEMS of its items, not to each.
+    chunks = max(1, -(-items.count() // ITEMS))
+    met = pairs.join(items, "item_key").groupBy("doc_key", F.pmod(F.xxhash64("item_key"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "item_text", "shifts")).alias("items"))
+    laid = met.join(candidates.select("doc_key", "doc_id", "text"), "doc_key")
+    out = laid.select("doc_key", "doc_id", "text", text_key(F.col("text")).alias("text_key"), "items").mapInArrow(verified(min_words, similarity), LINKS)
+    scratch.keep(items, seeds_table, candidates)
+    return out
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_items, item_id, matched_words, item_words, first_word, end_word, text_key: one row for each document that overlaps with an item.
+
+    n_items is the number of its links. item_id and the columns after it are of
+    the item with most matched words; ties go to the smaller share of unmatched
+    words, then to the smaller id. Nulls, empty and very long texts, repeated
+    rows, empty tables and further columns are as ``links`` says.
+    """
+    best = F.struct(F.col("matched_words"), -F.col("item_words"), -F.coalesce("item_id", F.lit(1 << 62)))
+    row = F.struct("doc_id", "item_id", "matched_words", "item_words", "first_word", "end_word", "text_key")
+    found = links(docs, benchmark, min_words, similarity).groupBy("doc_key").agg(F.count("*").alias("n_items"), F.max_by(row, best).alias("r"))
+    return found.select("r.doc_id", "n_items", "r.item_id", "r.matched_words", "r.item_words", "r.first_word", "r.end_word", "r.text_key")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap with no item, with all their columns."""
+    """The documents that overlap with no item, with all their columns, whatever their names.
+
+    Documents with a null or empty text stay; a repeated row stays or goes with
+    the first; very long texts, ties and empty tables are as ``links`` says.
+    """
     scratch = Scratch(docs.sparkSession, "leaks")
     with Scratch(docs.sparkSession, "found"):
         found = scratch.save(overlaps(docs, benchmark).select("doc_id", "text_key").distinct(), "overlaps")
