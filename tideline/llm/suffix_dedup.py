@@ -4,7 +4,9 @@ Every start of a ``length``-byte string belongs to one anchor: the leftmost
 least hash of a shorter window inside that string. The anchor depends on the
 string alone, so equal strings have equal anchors, and an anchor that occurs
 once in the corpus rules out all its starts. What is left are stretches of text
-around repeated anchors, dealt to shards by anchor. A shard sorts all suffixes
+around repeated anchors, dealt to shards by anchor; where all stretches of an
+anchor are one and the same, told by 64 bits beside the anchor's 64, there is
+nothing to sort. A shard sorts all suffixes
 of its stretches by Larsson-Sadakane refinement, finds common prefixes with
 Kasai's method (all stretches in step), and marks starts whose neighbour shares
 ``length`` bytes. Anchors with too many different stretches for one shard are
@@ -200,11 +202,15 @@ def ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-MARKS = "anchor long, stretch long, first array<int>, end array<int>, part int, chunk int, keys array<long>, stretches array<long>, marked array<boolean>"
+MARKS = "anchor long, stretch long, first array<int>, end array<int>, part int, chunk int, keys array<binary>, stretches array<long>"
 
 
 def shard_marks(length: int):
-    """Of one shard: a row for each stretch with its marked ranges (part -1), and of split anchors sorted runs (part from 0) of the hashes of all their strings."""
+    """Of one shard: a row for each stretch with its marked ranges (part -1), and of split anchors runs (part from 0) of their distinct strings in suffix order.
+
+    A string that the shard has marked needs no more than to be there for other
+    shards: its place in a run is -1.
+    """
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         s = Stretches(list(shard.bytes))
@@ -218,31 +224,29 @@ def shard_marks(length: int):
             marked = (shared[r] >= length) | (shared[r + 1] >= length) | many
             found = ranges(marked)
             if found:
-                out.append((anchor, stretch, [a for a, _ in found], [b for _, b in found], -1, chunk, None, None, None))
+                out.append((anchor, stretch, [a for a, _ in found], [b for _, b in found], -1, chunk, None, None))
             if chunks > 1:
-                text = shard.bytes.iloc[k]
-                keys = np.array([xxhash.xxh3_64_intdigest(text[a : a + length]) for a in range(n)], dtype=np.uint64).view(np.int64)
-                part = (keys >> 20) % chunks
-                for p in np.unique(part).tolist():
-                    at = np.flatnonzero(part == p)
-                    runs.setdefault((anchor, p, chunk), []).append((keys[at], np.full(len(at), stretch), at, marked[at]))
-        for (anchor, p, chunk), pieces in runs.items():
-            keys, stretches, at, marked = (np.concatenate(x) for x in zip(*pieces))
-            order = np.argsort(keys, kind="stable")
-            out.append((anchor, 0, at[order].tolist(), None, p, chunk, keys[order].tolist(), stretches[order].tolist(), marked[order].tolist()))
-        return pd.DataFrame(out, columns=["anchor", "stretch", "first", "end", "part", "chunk", "keys", "stretches", "marked"])
+                text, new = shard.bytes.iloc[k], shared[r] < length  # the first of equal strings in suffix order
+                for a in np.flatnonzero(new).tolist():
+                    key = text[a : a + length]
+                    part = (xxhash.xxh3_64_intdigest(key) >> 20) % chunks
+                    runs.setdefault((anchor, part, chunk), []).append((int(r[a]), key, stretch, -1 if marked[a] else a))
+        for (anchor, part, chunk), run_ in runs.items():
+            _, keys, stretches, first = zip(*sorted(run_))  # by suffix rank
+            out.append((anchor, 0, list(first), None, part, chunk, list(keys), list(stretches)))
+        return pd.DataFrame(out, columns=["anchor", "stretch", "first", "end", "part", "chunk", "keys", "stretches"])
 
     return run
 
 
 def merged_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """Starts of one anchor that another shard holds too: each shard's sorted run is sought in the others' by binary search."""
-    runs = [tuple(np.array(x) for x in (r.keys_, r.stretches, r.first, r.marked)) for r in group.rename(columns={"keys": "keys_"}).itertuples()]
-    everything = np.sort(np.concatenate([np.unique(keys) for keys, *_ in runs]))
+    """Starts of one anchor whose string another shard holds too: the shards' suffix-sorted runs are merged, and each run is sought in the merged one by binary search, on the bytes."""
+    runs = [(np.array(list(r.keys_), dtype=f"S{len(r.keys_[0])}"), np.array(r.stretches), np.array(r.first)) for r in group.rename(columns={"keys": "keys_"}).itertuples()]
+    merged = np.sort(np.concatenate([keys for keys, *_ in runs]), kind="stable")
     found: dict[int, list[int]] = {}
-    for keys, stretches, first, marked in runs:
-        elsewhere = np.searchsorted(everything, keys, "right") - np.searchsorted(everything, keys, "left") > 1
-        new = elsewhere & ~marked.astype(bool)
+    for keys, stretches, first in runs:
+        elsewhere = np.searchsorted(merged, keys, "right") - np.searchsorted(merged, keys, "left") > 1
+        new = elsewhere & (first >= 0)
         for stretch, at in zip(stretches[new].tolist(), first[new].tolist()):
             found.setdefault(stretch, []).append(at)
     anchor = int(group.anchor.iloc[0])
@@ -294,7 +298,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     starts anywhere else, in the same document or another; overlaps count, and
     all strings are judged on the input. A null text counts as empty; a text
     under ``length`` bytes loses nothing; repeated rows and equal texts of that
-    length lose everything. An empty table gives no rows; columns other than
+    length lose everything; very long texts are read whole. Of equal strings all
+    go, so there are no ties. An empty table gives no rows; columns other than
     doc_id and text are not read. ``length`` is from 24 to 255 more than its
     anchor's window.
     """
@@ -303,12 +308,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     kinds = "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, anchor array<long>, stretch array<long>, place array<long>, again array<boolean>"
     rows = docs.select(pick(docs, "doc_id", "long"), text.alias("text"), *text_ids(text)).mapInArrow(digested(length), kinds)
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
-    tid = ["t1", "t2"]
-
-    # Equal texts are judged as wholes; one row of each stands for its strings.
-    copies = scratch.save(rows.groupBy(*tid).agg(F.count("*").alias("copies"), F.min("row").alias("lead")).where("copies > 1"), "copies")
+    # Equal texts, told by SHA-256, are judged as wholes; one row of each stands for its strings.
+    copies = scratch.save(rows.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("row").alias("lead")).where("copies > 1"), "copies")
     sent = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_ROWS else copies
-    leads = rows.join(sent, tid, "left").where("lead is null or lead = row")
+    leads = rows.join(sent, "sha256", "left").where("lead is null or lead = row")
     each = leads.select("row", F.explode(F.arrays_zip("anchor", "stretch", "place", "again")).alias("a")).select("row", "a.*")
     found = each.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("stretch").alias("low_stretch"), F.max("stretch").alias("high_stretch"), F.bool_or("again").alias("again"))
     repeated = scratch.save(found.where("again or low <> high").select("anchor", (F.col("low_stretch") != F.col("high_stretch")).alias("varied")), "repeated")
@@ -317,7 +320,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     # Anchors with one stretch: all its starts occur again. The others' stretches are sorted.
     plain, varied = seen.where("not varied"), seen.where("varied")
     places = varied.groupBy("row").agg(F.collect_list(F.struct("anchor", "stretch", "first", "end")).alias("places"))  # bounded by the text's own length
-    ids = rows.select("row", "doc_id", *tid)
+    ids = rows.select("row", "doc_id", "t1", "t2")
     wanted = scratch.save(places.join(ids, "row"), "varied")
     cut = texts_of(docs, wanted)
     cut = cut.select("row", F.explode("places").alias("p"), F.encode("text", "utf-8").alias("data")).select(
@@ -339,12 +342,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
     spans = plain.select("row", F.array("first").alias("f"), F.array("end").alias("e")).union(moved)
     marked = spans.groupBy("row").agg(F.flatten(F.collect_list("f")).alias("firsts"), F.flatten(F.collect_list("e")).alias("ends"))  # bounded by the text's own length
-    marked = scratch.save(marked.join(ids, "row").join(sent.select(*tid), tid, "left_anti"), "marked")
+    marked = scratch.save(marked.join(rows.select("row", "doc_id", "t1", "t2", "sha256"), "row").join(sent.select("sha256"), "sha256", "left_anti").drop("sha256"), "marked")
     scratch.keep(rows, copies, marked)
     out = texts_of(docs, marked).select("row", "text", "firsts", "ends").mapInArrow(cleaned(length), "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not with_text:
         out = out.drop("kept")
-    joined = rows.select("row", "doc_id", *tid, "n_bytes", "sha256").join(sent.select(*tid, "copies"), tid, "left").join(out, "row", "left")
+    joined = rows.select("row", "doc_id", "n_bytes", "sha256").join(sent.select("sha256", "copies"), "sha256", "left").join(out, "row", "left")
     whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     return joined.select(
