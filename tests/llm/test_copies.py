@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ import corpus_pipeline
 from tests.llm.helpers import DOCS, SMALL, docs_of, odd_documents, tables
 from tideline.llm import components, minhash, packing, spaced_seeds, suffix_dedup
 from tideline.llm.common import Scratch
+from tideline.scratch import shared_folder
 
 
 def brute_components(rows, n, percent=80):
@@ -338,8 +341,31 @@ def test_anchors_depend_on_the_string_alone():
     assert set(shifted[0].tolist()) <= set(whole[0].tolist()) and sum(whole[2]) == len(text) - 199
 
 
+def test_calls_in_threads_do_not_touch_each_other(spark):
+    docs = DOCS(spark, SMALL)
+    calls = [lambda: minhash.near_duplicates(docs, words=2), lambda: suffix_dedup.repeated_bytes(docs), lambda: minhash.near_duplicates(docs, words=2)]
+    with ThreadPoolExecutor(3) as pool:
+        near, gone, again = [sorted(map(tuple, rows)) for rows in pool.map(lambda f: f().collect(), calls)]
+    assert near == again == sorted(map(tuple, calls[0]().collect())) and gone == sorted(map(tuple, calls[1]().collect()))
+
+
+def test_stages_of_odd_and_of_no_documents(spark):
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            assert (out.count() > 0) == (n > 0), name
+            if name != "packing":
+                assert out.columns == docs.columns and out.count() <= n, name
+                docs = out
+
+
 def test_pipeline(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
     out = corpus_pipeline.run(spark, SMALL)
+    (made,) = set(folder.iterdir()) - before
+    assert [p.name.split("-")[1] for p in made.iterdir()] == ["packing"]  # the result, and nothing else
     docs = {r["doc_id"] for r in DOCS(spark, SMALL).collect()}
     rows = out.collect()
     assert {r["doc_id"] for r in rows} <= docs and 0 < len({r["doc_id"] for r in rows}) < len(docs)

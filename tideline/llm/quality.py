@@ -120,8 +120,9 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out_fold: int
     """doc_id, held_out, score, predicted.
 
     Only labels of rows outside the held-out fold are learned from, on at most
-    ``max_sample`` of them. A null or empty text has no feature: its score is
-    that of the bias. A null doc_id is not held out. Repeated rows score each on
+    ``max_sample`` of them, and the sample's bytes are bounded too. A null or
+    empty text has no feature: its score is that of the bias. Very long texts are
+    scored whole; a score at the threshold counts as above it. A null doc_id is not held out. Repeated rows score each on
     their own; an empty table gives no rows. Columns other than doc_id and text
     are not read.
     """

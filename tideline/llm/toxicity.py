@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, pick
+from .common import Scratch, crc_remainder, pick
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-#: Rows that a model is fitted on at most; they are drawn by a hash of the id.
-MAX_SAMPLE = 4000
+#: Rows that a model is fitted on at most, drawn by a hash of the id, and bytes of their texts.
+MAX_SAMPLE, MAX_SAMPLE_BYTES = 4000, 128 << 20
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set]]:
@@ -34,10 +34,10 @@ def sentences(text: str) -> Iterator[tuple[int, int, set]]:
             yield m.start(), m.end(), words
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> list:
-    """(doc_id, text, label) of at most ``limit`` rows that ``train`` admits, in an order set by the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, most_bytes: int = MAX_SAMPLE_BYTES) -> list:
+    """(doc_id, text, label) of at most ``limit`` rows and about ``most_bytes`` of text that ``train`` admits, in an order set by the id.
 
-    Repeated labels of a document count once, as the largest; null labels and ids do not count.
+    Both bounds hold what reaches the driver. Repeated labels of a document count once, as the largest; null labels and ids do not count.
     """
     chosen = labels.select(pick(labels, "doc_id", "long"), pick(labels, label, "int")).where(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     chosen = chosen.groupBy("doc_id").agg(F.max(label).alias(label))
@@ -45,7 +45,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     # Labels are narrow: the sample is drawn from those whose document exists, before any text moves.
     chosen = chosen.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))  # at most ``limit`` rows
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    with Scratch(docs.sparkSession, "sample") as scratch:
+        rows = scratch.save(rows, "rows")
+        before, kept = 0, []
+        for r in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+            if before <= most_bytes - r["n"]:
+                kept.append(r["doc_id"])
+                before += r["n"]
+        ids = docs.sparkSession.createDataFrame([(k,) for k in kept], "doc_id long")
+        return rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
 
 
 def fit(sample: list[tuple[str, int]], min_sentences: int = 8, l1: float = 2.0, rounds: int = 200, rate: float = 0.1) -> tuple[dict[str, float], float]:
@@ -130,8 +138,9 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
     """doc_id, held_out, score, predicted, and offending: the sentences whose own score reaches the threshold, as code point spans.
 
     Only labels of rows outside the held-out fold are learned from, on at most
-    ``max_sample`` of them. A null or empty text has no sentence and scores 0;
-    a null doc_id is not held out. Repeated rows score each on their own; an
+    ``max_sample`` of them and MAX_SAMPLE_BYTES of their texts. A null or empty
+    text has no sentence and scores 0; very long texts are scored whole; a null
+    doc_id is not held out. A score at the threshold counts as above it. Repeated rows score each on their own; an
     empty table gives no rows. Columns other than doc_id and text are not read.
     """
     sample = labelled_sample(docs, labels, "toxic", crc_remainder(F.col("doc_id"), folds) != held_out_fold, max_sample)
@@ -142,7 +151,12 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """The documents that score under the threshold, with all their columns; all labels are learned from."""
+    """The documents that score under the threshold, with all their columns; all labels are learned from.
+
+    A null or empty text scores 0 and stays; very long texts are scored whole; a
+    score at the threshold goes; of repeated rows all stay or all go; an empty
+    table gives no rows; other columns are kept and not read, whatever their names.
+    """
     sample = labelled_sample(docs, labels, "toxic", F.lit(True), max_sample)
     weights, leak = fit([(r["text"], r["toxic"]) for r in sample])
     known, place = frozenset(weights), docs.columns.index("text")
