@@ -110,6 +110,10 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["crosscheck", "--offline", *args], spark) == 0
     report = json.loads((config.out_dir / "crosscheck_summary.json").read_text())
     assert (report["matched_observations"], report["value_agreement"], report["our_rows"]) == (1, 1.0, 4)
+    one = ["case", "--offline", "--cik", "7", "--tag", "Cash", "--uom", "USD", "--end", "2022-03-28", "--first", "100", "--final", "90"]
+    with pytest.raises(SystemExit, match="Cash"):
+        cli.main([*one, *args], spark)
+    assert json.loads((config.out_dir / "known_case.json").read_text())["first_as_expected"]
     try:
         import matplotlib  # noqa: F401
     except ImportError:

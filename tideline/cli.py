@@ -1,8 +1,9 @@
-"""Commands: build, census, renames, crosscheck, demo, figure."""
+"""Commands: build, census, renames, crosscheck, demo, figure, case."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import logging
 from pathlib import Path
@@ -84,7 +85,19 @@ def figure(spark: SparkSession, config: Config, args: argparse.Namespace) -> Non
     figures.build_all(figures.census_data(read["census"], read["revisions"], args.censoring), figures.vintage_data(verdicts, vintage.lambda_by_date(read["demo_panel"], config.lambda_tol)), config.figures_dir)
 
 
-COMMANDS = {"build": build, "census": census, "renames": renames_, "crosscheck": crosscheck_, "demo": demo, "figure": figure}
+def case(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
+    """A fact that is known to have been rewritten, as the second source tells it; fails unless it shows both values."""
+    if not args.offline:
+        companyfacts.fetch(config, [args.cik])
+    documents = companyfacts.read(spark, str(config.raw_dir / "companyfacts"))
+    told = companyfacts.series(documents, args.cik, args.tag, args.uom, dt.date.fromisoformat(args.end), dt.date.fromisoformat(args.start) if args.start else None)
+    report = companyfacts.known_case(told, args.first, args.final).first().asDict()
+    (config.out_dir / "known_case.json").write_text(json.dumps(report, indent=1))
+    if not report["holds"]:
+        raise SystemExit(f"company {args.cik}, {args.tag}: {report}")
+
+
+COMMANDS = {"build": build, "census": census, "renames": renames_, "crosscheck": crosscheck_, "demo": demo, "figure": figure, "case": case}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -96,11 +109,18 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     for name in COMMANDS:
         sub = commands.add_parser(name, parents=[shared])
-        if name in ("build", "crosscheck"):
+        if name in ("build", "crosscheck", "case"):
             sub.add_argument("--offline", action="store_true", help="use the files that are there")
         if name == "crosscheck":
             sub.add_argument("--n-ciks", type=int, default=100)
             sub.add_argument("--seed", type=int, default=0)
+        if name == "case":
+            sub.add_argument("--cik", type=int, required=True)
+            for option in ("--tag", "--uom", "--end"):
+                sub.add_argument(option, required=True)
+            sub.add_argument("--start")
+            sub.add_argument("--first", type=float, required=True)
+            sub.add_argument("--final", type=float, required=True)
         if name == "figure":
             sub.add_argument("--censoring", choices=stats.GROUPS, default="all")
     return top

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Keys, whitelists and the partition count of the table.
 BUSINESS_KEY = ("cik", "tag", "ddate", "qtrs", "uom")
 PRIMARY_KEY = ("adsh", "tag", "ddate", "qtrs", "uom")
 FILING_KEY = (*BUSINESS_KEY, "adsh")
