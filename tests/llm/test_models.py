@@ -80,6 +80,7 @@ HARD = [
     "4111 1111 1111 1111 4111111111111112 4111-1111-1111-1111-1 12 34 5500005555555559",
     "+1 (017) 555-7713 call +49.30.1234567890 +12 + 3 +1((((((2 +1 234 567 890 123 456",
     "😀 mail me: ü.x@ä.de or a@b.de 😀 10.0.0.1 😀",
+    "\ufdd0 a@b.de \ufdd1\ufdd0 +49 30 1234567 \ufdd0c@d.com\ufdd0",
     "5" * 4000 + " " + "a" * 6000 + "@" + "b." * 3000 + "c",
     "",
 ]

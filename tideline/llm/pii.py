@@ -59,6 +59,8 @@ CUES = {
 }
 AGAINST = "version|order|serial|isbn|page|chapter|figure|build|release|section"
 
+#: Two noncharacters: one marks the ends of matches, the other stands in for it where a text has it.
+MARK, UNMARK = "\ufdd0", "\ufdd1"
 #: Items that are scanned at once, and code points of a piece of text.
 BLOCK, PIECE = 256, 1024
 SPANS = "array<struct<place:int,start:int,end:int,kind:string>>"
@@ -83,14 +85,19 @@ def scanned(rows: DataFrame, items: str, name: str, combine: Callable[[Column, C
     return made.drop(f"{name}_blocks")
 
 
-def parts_of(text: Column, place: int, pattern: str, maybe: Column) -> Column:
-    """The text as stretches before matches, with the matches; ``maybe`` is a cheap test that no match fails. The last part has no match."""
+def marked(text: Column, pattern: str, maybe: Column) -> Column:
+    """The text cut at its matches: stretch, match, stretch, ..., stretch; ``maybe`` is a cheap test that no match fails. The pattern runs once."""
+    return F.when(maybe, F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)).otherwise(F.array(text))
 
-    def part(before: Column, value: Column) -> Column:
+
+def parts_of(pieces: Column, place: int) -> Column:
+    """Each stretch with the match that follows it; the last has none."""
+
+    def part(k: Column) -> Column:
+        before, value = F.get(pieces, k * 2), F.get(pieces, k * 2 + 1)
         return F.struct(F.lit(place).alias("place"), F.char_length(before).alias("gap"), F.char_length(F.coalesce(value, F.lit(""))).alias("n"), value.alias("value"), F.right(before, F.lit(24)).alias("left"))
 
-    cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), part)
-    return F.when(maybe, cut).otherwise(F.array(part(text, F.lit(None).cast("string"))))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int")), part)
 
 
 def sum_since_reset(a: Column, b: Column) -> Column:
@@ -232,11 +239,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     read = docs.select(whole, F.coalesce(pick(docs, "text", "string"), F.lit("")).alias("text"))
-    t = F.col("text")
+    # No pattern tells the two noncharacters apart, so the mark is free.
+    read = read.withColumn("unmarked", F.when(F.contains("text", F.lit(MARK)), F.translate("text", MARK, UNMARK)).otherwise(F.col("text")))
+    t = F.col("unmarked")
     maybe = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains(t, F.lit("+")), "extra": t.rlike(MAYBE_EXTRA)}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "extra": EXTRA}
-    parts = F.concat(*[parts_of(t, k, patterns[kind], maybe[kind]) for k, kind in enumerate(patterns)])
-    read = read.withColumn("parts", parts).withColumn("sizes", F.transform("parts", lambda p: F.when(p["value"].isNull(), -1).otherwise(p["gap"] + p["n"])))
+    read = read.select("row", "text", *[marked(t, pattern, maybe[kind]).alias(f"{kind}_pieces") for kind, pattern in patterns.items()])
+    parts = F.concat(*[parts_of(F.col(f"{kind}_pieces"), k) for k, kind in enumerate(patterns)])
+    read = read.select("row", "text", parts.alias("parts")).withColumn("sizes", F.transform("parts", lambda p: F.when(p["value"].isNull(), -1).otherwise(p["gap"] + p["n"])))
     read = scanned(read, "sizes", "starts", sum_since_reset)
 
     def span(p: Column, start: Column) -> Column:
