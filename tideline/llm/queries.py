@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import bitsliced, hilbert, html_text, minhash, packing, pii, quality, spaced_seeds, suffix_dedup, toxicity
 from .common import table
 
@@ -50,7 +48,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op4_minhash_near_dedup, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination, op10_suffix_array_dedup)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op4_minhash_near_dedup, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_top_k": """
         with v as (
