@@ -26,19 +26,20 @@ def star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     return out
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (x, y) with x > y are stars around least nodes: no x has two y, and no y is an x."""
+    ends = edges.select(F.col("x").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("y", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): each node of ``edges`` (x, y), the root being the least node of its component.
 
-    Edges are rewritten in tables until they stop changing; nothing but a count
-    and a checksum of them reaches the driver.
+    Edges are rewritten in tables until they are stars; nothing of them reaches
+    the driver but whether they are.
     """
-    current = scratch.save(edges.where("x <> y").select("x", "y").distinct(), "edges")
-    last = None
-    while True:
-        sums = current.agg(F.count("*"), F.expr("bit_xor(xxhash64(x, y))")).first()
-        if sums == last or not sums[0]:
-            break
-        last = sums
+    current = scratch.save(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
+    while not settled(current):
         grown = star(current, True, scratch)
         scratch.drop(current)
         current = star(grown, False, scratch)

@@ -352,9 +352,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep-one")
     with Scratch(docs.sparkSession, "found"):
         found = scratch.save(near_duplicates(docs, words, percent), "near")
-    kept = named(docs, scratch.save(found.where("not kept").select("doc_id", "text_key").distinct(), "removed"), "left_anti")
+    removed = scratch.save(found.where("not kept").select("doc_id", "text_key").distinct(), "removed")
     # Rows that repeat both id and text are rare; only they are moved.
     repeated = scratch.save(found.where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    scratch.drop(found)
+    kept = named(docs, removed, "left_anti")
     if repeated.isEmpty():
         return kept
     again = named(kept, repeated, "left_semi")
