@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Batches for Python of some hundred rows, unless the session asks for other than Spark's ten thousand: a row is a whole text."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def pick(df: DataFrame, name: str, kind: str) -> Column:
     """Column ``name`` as ``kind``, or a typed null where the table has no such column."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)

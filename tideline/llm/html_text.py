@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, text_batches
 
 # Element names and class words of the HTML standard and common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -260,4 +260,5 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are kept; an empty table gives no rows; other columns are not
     read.
     """
+    text_batches(pages.sparkSession)
     return pages.select(pick(pages, "page_id", "long"), pick(pages, "url", "string"), pick(pages, "html", "string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, text_key
+from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, text_batches, text_key
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     at the threshold is missed by the bands with probability (1 - s**5)**24,
     under 1e-4, and by the signatures with ``miss`` at most, over all batches.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     least = least_matches(percent / 100, miss)
     read = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))

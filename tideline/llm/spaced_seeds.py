@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, named, pick, text_key
+from .common import Scratch, named, pick, text_batches, text_key
 
 WORD = re.compile(r"\w+")
 #: Which words of a window count; zeros at the end only fill it up.
@@ -33,9 +33,9 @@ WORD = re.compile(r"\w+")
 MASKS = ("111100000", "110110000")
 SHORTEST = 5
 #: Bits of the filter for each test window, and at most: beyond that it lets more through, and the join does the rest.
-BITS_A_SEED, MOST_BITS = 16, 29
+BITS_A_SEED, MOST_BITS = 64, 29
 #: Odd factors, one for each bit that a window sets.
-FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 #: Words of 64 bits in a row of the filter.
 SEGMENT = 1 << 12
 #: Items that a document is compared with in one row, about.
@@ -232,6 +232,7 @@ def links(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity
     repeated documents apart.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     scratch = Scratch(spark, "seeds")
     items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, pick
+from .common import MAX_BROADCAST_ROWS, Scratch, pick, text_batches
 
 LENGTH = 200
 #: Stretches of one anchor in a shard, and stretches in a shard, about.
@@ -303,6 +303,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     doc_id and text are not read. ``length`` is from 24 to 255 more than its
     anchor's window.
     """
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
     kinds = "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, anchor array<long>, stretch array<long>, place array<long>, again array<boolean>"

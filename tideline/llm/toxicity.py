@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_remainder, pick
+from .common import Scratch, crc_remainder, pick, text_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -45,6 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     # Labels are narrow: the sample is drawn from those whose document exists, before any text moves.
     chosen = chosen.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))  # at most ``limit`` rows
+    text_batches(docs.sparkSession)
     with Scratch(docs.sparkSession, "sample") as scratch:
         rows = scratch.save(rows, "rows")
         before, kept = 0, []
