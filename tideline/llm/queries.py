@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, hilbert, html_text, minhash, packing, pii, quality, spaced_seeds, suffix_dedup, toxicity
+from . import bitsliced, hard_negatives, hilbert, html_text, language_id, minhash, packing, pii, prefix_trie, quality, spaced_seeds, suffix_dedup, toxicity
 from .common import table
 
 
@@ -48,7 +48,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op4_minhash_near_dedup, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination, op10_suffix_array_dedup)}
+def op11_segment_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", hard_negatives.relabelled(rows["vec_id"], rows["label"], 7, 10)))
+
+
+def op12_z_fast_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), every=5, heads=9)
+
+
+def op13_kneser_ney_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_mil, op2_hilbert_shards, op3_best_fit_packing, op4_minhash_near_dedup, op5_bit_sliced_top_k, op6_quality_ftrl, op7_html_extraction, op8_pii_weak_supervision, op9_spaced_seed_decontamination, op10_suffix_array_dedup, op11_segment_hard_negatives, op12_z_fast_prefix_trie, op13_kneser_ney_language_id)}
 ORACLE_SQL: dict[str, str] = {
     "op5_bit_sliced_top_k": """
         with v as (
@@ -63,4 +76,28 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
         from s
         qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
+    "op11_segment_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   [floor(256 * cast(x as double)) for x in embedding] as q
+            from embeddings
+            where embedding is not null and vec_id is not null and label is not null
+              and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+        s as (
+            select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label, cast(list_inner_product(a.q, b.q) as bigint) as score
+            from v a join v b on a.vec_id <> b.vec_id
+            where a.vec_id % 100 = 0),
+        p as (
+            select anchor_id, vec_id as positive_id, score as positive_score,
+                   cast(row_number() over (partition by anchor_id order by score desc, vec_id) as int) as positive_rank
+            from s where label = anchor_label
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (
+            select p.*, s.vec_id as negative_id, s.score as negative_score
+            from p join s using (anchor_id)
+            where s.label <> s.anchor_label and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+        select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as int) as rank,
+               negative_id, positive_score, negative_score, positive_rank
+        from n
+        qualify row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) <= 10""",
 }
