@@ -57,22 +57,23 @@ def test_bounds_hold_and_decide_most_rows(monkeypatch, smooth, most):
     block, query = hard_negatives.Block(cell, 64), values[17]
     s, d = hard_negatives.summaries(query[None, :])
     for level in block.levels:
-        middle, spread = hard_negatives.bounds(sums[:, level], deviations[:, level], s[0, level], d[0, level])
+        middle, spread = hard_negatives.bounds(sums[:, level], deviations[:, level], s[:, level], d[:, level])
         assert (np.abs(values @ query - middle) <= spread).all()
-    scored, real = [], hard_negatives.exact
-    monkeypatch.setattr(hard_negatives, "exact", lambda v, q: scored.append(len(v)) or real(v, q))
+    scored, real = [], block.exact
+    monkeypatch.setattr(block, "exact", lambda rows, q: scored.append(len(rows)) or real(rows, q))
     best = np.sort(values @ query)
     for window in [(None, None), (int(best[4000]), int(best[-400]))]:
         scored.clear()
-        [(rows, scores)] = block.best(query, np.arange(len(values)), [window], 5)
+        [(_, [(rows, scores)])] = block.search(query[None, :], lambda _: np.ones(len(values), bool), [[window]], 5)
         fits = best[(best >= (best[0] if window[0] is None else window[0])) & (best <= (best[-1] if window[1] is None else window[1]))]
         assert fits[-5:][::-1].tolist() == scores.tolist() == (values[rows] @ query).tolist()
         assert window[0] is not None or sum(scored) < len(values) * most
 
 
-def test_large_scores_are_exact():
-    values = np.array([[2**40 + 1, 3], [2**40, 5]], dtype=np.int64)
-    assert hard_negatives.exact(values, np.array([2**20 + 1, 1])).tolist() == [(2**40 + 1) * (2**20 + 1) + 3, 2**40 * (2**20 + 1) + 5]
+def test_large_scores_are_exact(spark):
+    rows = [(0, [2.0**20, 3.5], 1), (1, [2.0**20 + 1 / 256, -2.0], 1), (2, [2.0**19 + 1 / 256, 5.0], 2), (100, [2.0**14 + 1 / 256, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert columns(hard_negatives.mine(df)) == mined(rows) != []
 
 
 # Prefix trie.
