@@ -74,10 +74,14 @@ def test_every_dropped_row_is_counted_and_runs_repeat(spark, tmp_path):
 def test_a_changed_header_stops_everything(spark, tmp_path):
     config = Config.of(QUARTER, tmp_path)
     num, tag = MEMBERS["num.txt"], MEMBERS["tag.txt"]
-    for headers, said in (({"num.txt": num[:-1]}, f"num.txt: missing .*{num[-1]}"), ({"tag.txt": (tag[1], tag[0], *tag[2:])}, "tag.txt.*another order")):
+    swapped, more = (tag[1], tag[0], *tag[2:]), (*tag, "extra")
+    for headers, said in (({"num.txt": num[:-1]}, f"num.txt: column {len(num)}, '{num[-1]}', is not there"), ({"tag.txt": swapped}, f"tag.txt: column 1 is '{tag[1]}' in place of '{tag[0]}'"), ({"tag.txt": more}, f"tag.txt: column {len(more)}, 'extra'")):
         archive_of(config, headers)
-        with pytest.raises(archive.SchemaDriftError, match=said):
+        with pytest.raises(archive.UnexpectedHeader, match=said):
             archive.build_quarter(spark, config, QUARTER)
+        (member,) = headers
+        with pytest.raises(Exception, match=said):  # the scan itself raises too
+            archive.scan(spark, archive.published(spark, config, [QUARTER]), member).count()
     assert not Path(config.observations).exists()
     with pytest.raises(FileNotFoundError):
         observations.load(spark, config)
@@ -88,7 +92,7 @@ def test_a_changed_header_stops_everything(spark, tmp_path):
 def test_a_null_beside_a_value_is_a_contradiction_and_beside_a_null_a_duplicate(spark, tmp_path):
     config = Config.of(QUARTER, tmp_path)
     archive_of(config)
-    sub, num, tag = archive.members(spark, archive.stage(spark, config, QUARTER))
+    sub, num, tag = (df.drop("quarter") for df in archive.members(spark, archive.published(spark, config, [QUARTER])))
     one = num.where(F.col("adsh") == MINE).where("tag = 'Cash' and coreg is null")
     gap = one.withColumn("value", F.lit(None).cast("string"))
     for rows, reason, n in ((one.union(gap), "drop_ambiguous", 2), (gap.union(gap), "drop_duplicate", 1)):
@@ -96,6 +100,47 @@ def test_a_null_beside_a_value_is_a_contradiction_and_beside_a_null_a_duplicate(
         assert counts[reason] == n and sum(counts.values()) == 2
 
 
+def test_a_scan_of_many_archives_opens_each_in_a_task(spark, tmp_path):
+    """Ragged and odd lines are read as Spark's own reader does, chunk by chunk; a build replaces the quarters it names only."""
+    quarters, odd = [f"20{y}q{q}" for y in (21, 22) for q in (1, 2, 3, 4)], ["a\tb", "", "\t\tc\r", "x\t" * 14, 'q"\t"z', "é😀\t\ufffd", "last"]
+    uris = {}
+    for k, quarter in enumerate(quarters):
+        uris[quarter] = str(tmp_path / f"{quarter}.zip")
+        with zipfile.ZipFile(uris[quarter], "w") as z:
+            z.writestr("num.txt", "\t".join(MEMBERS["num.txt"]) + "\n" + "\n".join(odd * (k + 1)))
+    df = archive.scan(spark, uris, "num.txt")
+    assert df.rdd.getNumPartitions() == len(quarters)
+    plain_file = tmp_path / "plain"
+    plain_file.mkdir()
+    (plain_file / "num.txt").write_text("\t".join(MEMBERS["num.txt"]) + "\n" + "\n".join(odd) + "\n")
+    spark_read = spark.read.csv(str(plain_file), schema=", ".join(f"{c} string" for c in MEMBERS["num.txt"]), sep="\t", quote="", header=True, enforceSchema=True)
+    want = sorted(map(str, spark_read.collect()))
+    assert sorted(map(str, df.where("quarter = '2021q1'").drop("quarter").collect())) == want
+    assert {r["quarter"]: r["count"] for r in df.groupBy("quarter").count().collect()} == {q: len(want) * (k + 1) for k, q in enumerate(quarters)}
+    assert archive.scan(spark, uris, "num.txt", ["value", "adsh"]).columns == ["value", "adsh"]
+    with zipfile.ZipFile(uris["2022q4"]) as z, z.open("num.txt") as f, z.open("num.txt") as g:
+        assert sum(archive.lines(f, 7), []) == sum(archive.lines(g), [])
+    assert archive.scan(spark, uris, archive.HEADERS).where("member = 'sub.txt'").count() == len(quarters)
+    broken = uris | {"2023q1": str(tmp_path / "none.zip")}
+    with pytest.raises(Exception, match="none.zip"):
+        archive.scan(spark, broken, "num.txt").count()
+
+
+def test_point_reads_skip_row_groups(spark, tmp_path):
+    """Of a company's rows few row groups are opened, of one filing's those that may hold it."""
+    import pyarrow.parquet as pq
+
+    days = [f"2022-{m:02d}-11" for m in range(1, 13)]
+    rows = spark.createDataFrame([observation(16 * c, f"{c:05d}-22-{k}", day_, float(c)) for c in range(300) for k, day_ in enumerate(days)], OBSERVATIONS)
+    config = Config.of("2022q1", tmp_path)
+    ingest.write(rows.coalesce(1), config.observations, "2022q1", row_group=1 << 14)
+    groups = [g for f in Path(config.observations).rglob("*.parquet") for g in [pq.ParquetFile(f).metadata.row_group(k).column(0).statistics for k in range(pq.ParquetFile(f).num_row_groups)]]
+    assert len(groups) >= 8 and sum(g.min <= 16 * 7 <= g.max for g in groups) <= 2
+    assert observations.load(spark, config, ciks=[16 * 7]).count() == len(days)
+    files_ = list(Path(config.observations).rglob("*.parquet"))
+    assert all(pq.ParquetFile(f).metadata.row_group(0).column(1).path_in_schema == "adsh" for f in files_)
+
+
 def test_command_line(spark, tmp_path):
     config = Config.of(QUARTER, tmp_path)
     archive_of(config)

@@ -33,7 +33,7 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def build(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
     if not args.offline:
         download(config)
-    rows = [{"quarter": q, **archive.build_quarter(spark, config, q)} for q in config.quarters]
+    rows = [{"quarter": q, **counts} for q, counts in archive.build(spark, config, config.quarters).items()]
     config.out_dir.mkdir(parents=True, exist_ok=True)
     write_csv(spark.createDataFrame(rows), config.table("out", "filter_counts"))
     obs = observations.load(spark, config)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,13 @@ def judged(sub: DataFrame, num: DataFrame, tag: DataFrame) -> DataFrame:
     A group is a fact of a filing that passes all filters, its reason null, or
     all rows dropped for one reason. Contradictions within a filing are judged
     on the value's text; identical rows take the least version. Filings outside
-    ``sub`` or its whitelisted forms are dropped by form.
+    ``sub`` or its whitelisted forms are dropped by form. Where the tables have
+    a column ``quarter``, each quarter is judged by itself.
     """
-    eligible = sub.where(F.col("form").isin(*FORMS)).select(*[c for c in ("adsh", *CARRIED) if c in sub.columns])
-    custom = tag.where(F.col("custom") == "1").select("tag", "version").distinct().withColumn("custom_tag", F.lit(True))
-    rows = num.withColumn("n_qtrs", F.col("qtrs").try_cast("int")).join(eligible.withColumn("eligible", F.lit(True)), "adsh", "left").join(custom, ["tag", "version"], "left")
+    by = [c for c in ("quarter",) if c in num.columns]
+    eligible = sub.where(F.col("form").isin(*FORMS)).select(*by, *[c for c in ("adsh", *CARRIED) if c in sub.columns])
+    custom = tag.where(F.col("custom") == "1").select(*by, "tag", "version").distinct().withColumn("custom_tag", F.lit(True))
+    rows = num.withColumn("n_qtrs", F.col("qtrs").try_cast("int")).join(eligible.withColumn("eligible", F.lit(True)), [*by, "adsh"], "left").join(custom, [*by, "tag", "version"], "left")
     reason = (
         F.when(~(blank(F.col("segments")) & blank(F.col("coreg"))), "drop_segments")
         .when(~F.coalesce(F.col("n_qtrs").isin(*QTRS), F.lit(False)), "drop_qtrs")
@@ -59,18 +63,22 @@ def judged(sub: DataFrame, num: DataFrame, tag: DataFrame) -> DataFrame:
     key = ["adsh", "tag", "ddate", "qtrs", "uom"]
     rows = rows.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in key})  # dropped rows are only counted
     parts, agree = agreement("value")
-    groups = rows.groupBy("reason", *key).agg(F.count("*").alias("n_rows"), F.min("value").alias("value"), *[F.min(c).alias(c) for c in CARRIED if c in rows.columns], *parts)
+    groups = rows.groupBy(*by, "reason", *key).agg(F.count("*").alias("n_rows"), F.min("value").alias("value"), *[F.min(c).alias(c) for c in CARRIED if c in rows.columns], *parts)
     return groups.withColumn("agree", agree).drop("low", "high", "gap")
 
 
 def counts_of(judged_: DataFrame) -> DataFrame:
-    """(reason, n_rows) for every reason; they sum to the rows read."""
-    told = F.when(F.col("reason").isNotNull(), F.array(F.struct(F.col("reason").alias("reason"), F.col("n_rows").alias("n"))))
-    told = told.when(F.col("agree"), F.array(F.struct(F.lit("kept").alias("reason"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("drop_duplicate").alias("reason"), (F.col("n_rows") - 1).alias("n"))))
-    told = told.otherwise(F.array(F.struct(F.lit("drop_ambiguous").alias("reason"), F.col("n_rows").alias("n"))))
-    sums = judged_.select(F.explode(told).alias("t")).groupBy("t.reason").agg(F.sum("t.n").alias("n"))
-    names = judged_.sparkSession.createDataFrame([(r,) for r in REASONS], "reason string")
-    return F.broadcast(names).join(sums, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"))
+    """(reason, n_rows) for every reason, of each quarter if there are quarters; they sum to the rows read."""
+    by = [c for c in ("quarter",) if c in judged_.columns]
+    rows, passed, agree = F.col("n_rows"), F.col("reason").isNull(), F.col("agree")
+    told = {r: F.when(F.col("reason") == r, rows) for r in REASONS} | {
+        "drop_ambiguous": F.when(passed & ~agree, rows),
+        "drop_duplicate": F.when(passed & agree, rows - 1),
+        "kept": F.when(passed & agree, F.lit(1)),
+    }
+    sums = judged_.groupBy(*by).agg(*[F.sum(c).alias(r) for r, c in told.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.coalesce(r, F.lit(0)).cast("long").alias("n_rows")) for r in REASONS]))
+    return sums.select(*by, each.alias("c")).select(*by, "c.*")
 
 
 def kept_of(judged_: DataFrame) -> DataFrame:
@@ -104,19 +112,37 @@ def typed(kept: DataFrame) -> DataFrame:
         F.col("qtrs").cast("tinyint").alias("qtrs"),
         "uom",
         F.col("value").try_cast("double").alias("value"),
-    ).withColumn("filed_year", F.year("filed")).select(*OBSERVATION_COLUMNS)
+        *[c for c in ("quarter",) if c in kept.columns],
+    ).withColumn("filed_year", F.year("filed")).select(*OBSERVATION_COLUMNS, *[c for c in ("quarter",) if c in kept.columns])
+
+
+def checked_counts(counts: DataFrame, total: Mapping[str, int]) -> dict[str, dict[str, int]]:
+    """The counts of each quarter as numbers; raises unless they add up to the rows read of it."""
+    got: dict[str, dict[str, int]] = {q: dict.fromkeys(REASONS, 0) for q in total}
+    for r in counts.collect():  # a row for each quarter and reason
+        got[r["quarter"]][r["reason"]] = r["n_rows"]
+    for quarter, told in got.items():
+        if sum(told.values()) != total[quarter]:
+            raise ConservationError(f"{quarter}: {total[quarter]} rows read, {sum(told.values())} accounted for")
+        told["total_in"] = total[quarter]
+    return got
 
 
-def checked_counts(counts: DataFrame, total: int, quarter: str) -> dict[str, int]:
-    """The counts as numbers; raises unless they add up to the rows read."""
-    got = {r["reason"]: r["n_rows"] for r in counts.collect()}  # a row for each reason
-    if sum(got.values()) != total:
-        raise ConservationError(f"{quarter}: {total} rows read, {sum(got.values())} accounted for")
-    return got | {"total_in": total}
+#: Beside its folders, how a table of observations is laid out: sorted by company, so that row groups hold few of them, with a Bloom filter of the filings of each row group.
+LAYOUT = {"parquet.bloom.filter.enabled#adsh": "true", "parquet.bloom.filter.expected.ndv#adsh": "20000"}
+ORDER = ("cik", "tag", "ddate", "filed")
 
 
-def write(observations: DataFrame, path: str, quarter: str, buckets: int = BUCKETS) -> None:
-    """Write a quarter under filed_year / cik_bucket / quarter; a second run replaces the quarter and nothing else."""
-    out = observations.where(F.col("filed").isNotNull()).withColumn("cik_bucket", F.pmod("cik", F.lit(buckets)).cast("int")).withColumn("quarter", F.lit(quarter))
+def write(observations: DataFrame, path: str, quarter: str | None = None, buckets: int = BUCKETS, row_group: int | None = None) -> None:
+    """Write quarters under filed_year / cik_bucket / quarter; a second run replaces these quarters and nothing else.
+
+    ``quarter`` names all rows; without it they have a column of that name.
+    ``row_group`` is the size of row groups in bytes, by default Parquet's own.
+    """
+    named = observations if quarter is None else observations.withColumn("quarter", F.lit(quarter))
+    folders = ("filed_year", "cik_bucket", "quarter")
+    out = named.where(F.col("filed").isNotNull()).withColumn("cik_bucket", F.pmod("cik", F.lit(buckets)).cast("int"))
     # Dealt by folder, large folders over several tasks and small ones together, as the sizes turn out.
-    out.hint("rebalance", "filed_year", "cik_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filed_year", "cik_bucket", "quarter").parquet(path)
+    out = out.hint("rebalance", *folders).sortWithinPartitions(*folders, *ORDER)
+    options = LAYOUT | ({"parquet.block.size": str(row_group)} if row_group else {})
+    out.write.mode("overwrite").options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)

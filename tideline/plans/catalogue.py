@@ -130,9 +130,36 @@ def load_years(spark, d):
 
 @query
 def filter_counts_of_files(spark, d):
-    """The members written as tab-separated files, read back as strings, and judged."""
-    paths = bridge.archive_files(spark, d, Scratch(spark, "members").path)
-    return ingest.counts_of(ingest.judged(*archive.members(spark, paths)))
+    """The members of the archives of all quarters, read as one table each, and judged as one quarter."""
+    sub, num, tag = archive.members(spark, zipped(spark, d))
+    return ingest.counts_of(ingest.judged(sub.drop("quarter"), num.drop("quarter"), tag.drop("quarter").distinct()))
+
+
+def zipped(spark, d):
+    return bridge.archives(spark, d, Scratch(spark, "archives").path)
+
+
+@query
+def archive_counts(spark, d):
+    """The filter counts of every quarter's archive, from one scan of all of them."""
+    groups, _ = archive.judged(spark, zipped(spark, d), Scratch(spark, "judged"))
+    return ingest.counts_of(groups)
+
+
+@query
+def archive_observations(spark, d):
+    """What is kept of all archives, beside the quarter it came with."""
+    groups, _ = archive.judged(spark, zipped(spark, d), Scratch(spark, "judged"))
+    return ingest.typed(ingest.kept_of(groups)).select("quarter", "cik", "adsh", "form", "filed", "accepted", "period", "fy", "tag", "version", "ddate", F.col("qtrs").cast("int").alias("qtrs"), "uom", "value", "filed_year")
+
+
+@query
+def archive_header_drift(spark, d):
+    """Of each archive, the filings it lists and the members that don't begin as they should."""
+    archives_ = zipped(spark, d)
+    drift = archive.scan(spark, archives_, archive.HEADERS).groupBy("quarter").agg(F.count("*").alias("n_drifted"))
+    rows = archive.scan(spark, archives_, "sub.txt", ["quarter", "adsh"]).groupBy("quarter").agg(F.count("*").alias("n_filings"))
+    return rows.join(drift, "quarter", "left").select("quarter", "n_filings", F.coalesce("n_drifted", F.lit(0)).alias("n_drifted"))
 
 
 @query

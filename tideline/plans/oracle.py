@@ -262,6 +262,19 @@ def statements(as_of, config, days, points, size, rules, user_days) -> dict[str,
     }
     r = rules
     out["filter_counts_of_files"] = out["filter_counts"]
+    quarter = "concat(year({0}), 'q', quarter({0}))"
+    by_quarter = f"""{AUDIT}, fq as (select distinct adsh, {quarter.format('filed')} as quarter from raw)"""
+    out |= {
+        "archive_counts": f"""with {by_quarter}, gq as (select * from grouped join fq using (adsh)), cq as (
+            select quarter, reason, count(*) as n from judged join fq using (adsh) where reason is not null group by all
+            union all select quarter, 'drop_ambiguous', sum(case when nv > 1 then n else 0 end) from gq group by all
+            union all select quarter, 'drop_duplicate', sum(case when nv = 1 then n - 1 else 0 end) from gq group by all
+            union all select quarter, 'kept', count(case when nv = 1 then 1 end) from gq group by all)
+            select q.quarter, r.reason, cast(coalesce(c.n, 0) as bigint) as n_rows from (select distinct quarter from fq) q
+            cross join (select unnest(['drop_segments', 'drop_qtrs', 'drop_form', 'drop_custom', 'drop_ambiguous', 'drop_duplicate', 'kept']) as reason) r left join cq c using (quarter, reason)""",
+        "archive_observations": f"with {by_quarter} select quarter, cast(cik as bigint) as cik, adsh, form, filed, accepted, period, cast(year(period) as int) as fy, tag, version, ddate, q as qtrs, uom, value, cast(year(filed) as int) as filed_year from grouped join fq using (adsh) where nv = 1",
+        "archive_header_drift": f"with {by_quarter} select quarter, count(*) as n_filings, cast(0 as bigint) as n_drifted from fq group by all",
+    }
     late = "filed >= date '1999-01-01'"
     used = f"""{OBS}, stk as (select * replace (case when {late} and tag = 'Assets' then 'AssetsTotal' when {late} and tag = 'NetIncomeLoss' then 'ProfitLoss' when {late} and tag = 'StockholdersEquity' and cik % 2 = 0 then 'EquityOther' else tag end as tag,
         case when {late} and tag = 'NetIncomeLoss' then value * 1.75 else value end as value) from obs)"""

@@ -6,11 +6,16 @@ nulls, zeros, jumps by a thousand, and duplicates and conflicts in one filing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, quarters_between
 from ..schema import MEMBERS
+from . import files
 
 #: The quarters in which the derived filings fall.
 CONFIG = Config(quarters=quarters_between("1996q2", "2002q1"), universe_size=50)
@@ -80,13 +85,60 @@ def renamed(observations: DataFrame) -> DataFrame:
     return observations.withColumns({"tag": tag, "value": value})
 
 
-def archive_files(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
-    """The members of an archive as tab-separated files with a header, all their columns in order."""
-    out = {}
-    for (member, columns), rows in zip(MEMBERS.items(), archive_members(spark, sf_dir)):
-        out[member] = f"{folder}/{member}"
-        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in columns]).write.mode("overwrite").csv(out[member], sep="\t", quote="", header=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return out
+def quarter_of(day: str) -> Column:
+    """The quarter of a day written yyyyMMdd."""
+    return F.concat(F.substring(day, 1, 4), F.lit("q"), F.ceil(F.substring(day, 5, 2).cast("int") / 3).cast("string"))
+
+
+def archived(folder: str):
+    """Writes the lines of each quarter, which come sorted by quarter and member, to its ZIP as they come; (quarter, uri)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt, open_, done = TaskContext.get().taskAttemptId(), {}, []
+
+        def close() -> None:
+            if open_:
+                open_["member"].close()
+                open_["zip"].close()
+                open_["file"].close()
+                files.moved(open_["part"], uri := f"{folder}/{open_['quarter']}.zip")
+                done.append((open_["quarter"], uri))
+                open_.clear()
+
+        for batch in batches:
+            for quarter, member, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if open_.get("quarter") != quarter:
+                    close()
+                    part = f"{folder}/{quarter}.zip.{attempt}"
+                    file = files.created(part)
+                    open_.update(quarter=quarter, part=part, file=file, zip=zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED, compresslevel=1), name=None)
+                if open_["name"] != member:
+                    if open_["name"]:
+                        open_["member"].close()
+                    open_.update(name=member, member=open_["zip"].open(member, "w"))
+                    open_["member"].write(("\t".join(MEMBERS[member]) + "\n").encode())
+                open_["member"].write((line + "\n").encode())
+        close()
+        yield pa.record_batch([pa.array(c, pa.string()) for c in list(zip(*done)) or [()] * 2], names=["quarter", "uri"])
+
+    return run
+
+
+def archives(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The members as ZIPs, one for each quarter of filing, written by the executors; quarter -> URI."""
+    sub, num, tag = archive_members(spark, sf_dir)
+    filings = sub.select("adsh", quarter_of("filed").alias("quarter"))
+    num = num.join(filings, "adsh")
+    by_member = {"sub.txt": sub.withColumn("quarter", quarter_of("filed")), "num.txt": num, "tag.txt": tag.join(num.select("quarter", "tag", "version").distinct(), ["tag", "version"])}
+    out = None
+    for member, rows in by_member.items():
+        line = F.array_join(F.array(*[F.coalesce(F.col(c) if c in rows.columns else F.lit(None), F.lit("")).cast("string") for c in MEMBERS[member]]), "\t")
+        part = rows.select("quarter", F.lit(member).alias("member"), line.alias("line"))
+        out = part if out is None else out.unionAll(part)
+    written = out.repartition("quarter").sortWithinPartitions("quarter", "member").mapInArrow(archived(folder), "quarter string, uri string")
+    return {r["quarter"]: r["uri"] for r in written.collect()}  # a row for each quarter
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyarrow import NativeFile
+from pyarrow import fs as stores
 from pyspark.sql import SparkSession
 
 
@@ -17,12 +19,37 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
-def put(spark: SparkSession, local: Path, path: str) -> None:
-    """Move a file of the driver's into the store."""
+def put(spark: SparkSession, local: Path, path: str, keep: bool = False) -> None:
+    """Move a file of the driver's into the store, or copy it."""
     where, files = _store(spark, path)
-    files.copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local.resolve()}"), where)
+    files.copyFromLocalFile(not keep, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local.resolve()}"), where)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     where, files = _store(spark, path)
     files.delete(where, True)
+
+
+def _place(uri: str) -> tuple[stores.FileSystem, str]:
+    """A store and a path in it, for tasks: they have no session to ask. A path without a scheme is one of a folder that all share."""
+    if "://" in uri:
+        return stores.FileSystem.from_uri(uri)
+    return stores.LocalFileSystem(), str(Path(uri.removeprefix("file:")).absolute())
+
+
+def opened(uri: str) -> NativeFile:
+    """A file of a store, to be read from any place in it."""
+    store, path = _place(uri)
+    return store.open_input_file(path)
+
+
+def created(uri: str) -> NativeFile:
+    """A new file of a store, with the folders above it, to be written from the beginning to the end."""
+    store, path = _place(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(path)
+
+
+def moved(uri: str, to: str) -> None:
+    store, path = _place(uri)
+    store.move(path, _place(to)[1])
