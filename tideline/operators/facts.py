@@ -17,11 +17,12 @@ class PrimaryKeyViolation(RuntimeError):
     """Some observations share a primary key."""
 
 
-def pick_latest(facts: DataFrame, key: Sequence[str] = BUSINESS_KEY, order: Sequence[str] = VERSION_ORDER) -> DataFrame:
-    """The whole row with the greatest ``order`` of each key; a null value can win."""
-    rest = [c for c in facts.columns if c not in key]
+def pick_latest(facts: DataFrame, key: Sequence[str] = BUSINESS_KEY, order: Sequence[str] = VERSION_ORDER, columns: Sequence[str] | None = None) -> DataFrame:
+    """The whole row, or some columns of it, with the greatest ``order`` of each key; a null value can win."""
+    columns = facts.columns if columns is None else columns
+    rest = [c for c in columns if c not in key]
     best = facts.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row"))
-    return best.select(*key, "row.*").select(*facts.columns)
+    return best.select(*key, "row.*").select(*columns)
 
 
 def known_by(facts: DataFrame, day: dt.date | Column) -> DataFrame:

@@ -27,9 +27,24 @@ LOOKAHEAD_DAYS = 365
 EPSILON = 1e-12
 
 
+Day = dt.date | Column
+
+
+def _as_column(day: Day) -> Column:
+    return day if isinstance(day, Column) else F.lit(day)
+
+
+#: What tells a run of a program: its world, where its periods are cut off, and its day.
+RUN = ("world", "point", "asof")
+Run = tuple[str, dt.date | None, dt.date]
+
+
 class DataHandle:
     """Read access for a program: whole rows, a convenient latest view that hides when a value was filed, and an as-of view."""
 
+    #: The columns by which a program groups and joins companies.
+    key: tuple[str, ...] = ("cik",)
+
     def __init__(self, facts: DataFrame, world: str) -> None:
         self._facts, self.world = facts, world
 
@@ -39,14 +54,51 @@ class DataHandle:
             out = out.where(F.col("tag") == tag)
         return out if qtrs is None else out.where(F.col("qtrs") == qtrs)
 
-    def latest(self, tag: str, qtrs: int, ddate_max: dt.date) -> DataFrame:
+    def latest(self, tag: str, qtrs: int, ddate_max: Day) -> DataFrame:
         """(cik, ddate, value): the newest period of each company, in its newest version."""
-        return newest_period(self.frame(tag, qtrs).where(F.col("ddate") <= F.lit(ddate_max))).select("cik", "ddate", "value")
+        return newest_period(self.frame(tag, qtrs).where(F.col("ddate") <= _as_column(ddate_max)), ("cik", "ddate", "value"))
 
-    def as_of(self, tag: str, qtrs: int, day: dt.date) -> DataFrame:
+    def as_of(self, tag: str, qtrs: int, day: Day) -> DataFrame:
         """(cik, ddate, value, filed, adsh): the same, of what was filed by the day."""
-        known = self.frame(tag, qtrs).where((F.col("ddate") <= F.lit(day)) & (F.col("filed") <= F.lit(day)))
-        return newest_period(known).select("cik", "ddate", "value", "filed", "adsh")
+        known = self.frame(tag, qtrs).where((F.col("ddate") <= _as_column(day)) & (F.col("filed") <= _as_column(day)))
+        return newest_period(known, ("cik", "ddate", "value", "filed", "adsh"))
+
+
+class RunsHandle(DataHandle):
+    """The same access for all worlds, points and days at once: rows come once for each run that sees them, with its ``RUN`` columns.
+
+    ``day`` is a column here, that of the run or one made of it; a company of a
+    run is told by ``key``. Latest and as-of views gather a period's versions,
+    which the filings of one company bound, before these meet the runs, so what
+    is multiplied is a row for each company and period.
+    """
+
+    key = (*RUN, "cik")
+
+    def __init__(self, facts: DataFrame, runs: Sequence[Run]) -> None:
+        super().__init__(facts, "all")
+        self._runs = F.array(*[F.struct(F.lit(w).alias("world"), F.lit(p).cast("date").alias("point"), F.lit(d).cast("date").alias("asof")) for w, p, d in runs])
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        """Rows beside each run in which their period exists."""
+        return rows.withColumn("run", F.explode(self._runs)).select("*", *[F.col(f"run.{c}").alias(c) for c in RUN]).drop("run").where("point is null or ddate <= point")
+
+    def frame(self, tag: str | None = None, qtrs: int | None = None) -> DataFrame:
+        return self._met(super().frame(tag, qtrs)).where("world = 'rev' or filed <= asof")
+
+    def _newest(self, tag: str, qtrs: int, ddate_max: Column, filed_max: Column | None) -> DataFrame:
+        version = F.struct("filed", "adsh", "uom", "value")
+        periods = DataHandle.frame(self, tag, qtrs).groupBy("cik", "ddate").agg(F.sort_array(F.collect_list(version)).alias("versions"))
+        seen = self._met(periods).where(F.col("ddate") <= ddate_max).withColumn("filed_max", filed_max if filed_max is not None else F.lit(None).cast("date"))
+        known = F.filter("versions", lambda v: ((F.col("world") == "rev") | (v["filed"] <= F.col("asof"))) & (F.col("filed_max").isNull() | (v["filed"] <= F.col("filed_max"))))
+        told = seen.withColumn("v", F.try_element_at(known, F.lit(-1))).where("v is not null")
+        return told.groupBy(*self.key).agg(F.max_by(F.struct("ddate", "v"), "ddate").alias("r")).select(*self.key, "r.ddate", "r.v.*")
+
+    def latest(self, tag: str, qtrs: int, ddate_max: Column) -> DataFrame:
+        return self._newest(tag, qtrs, ddate_max, None).select(*self.key, "ddate", "value")
+
+    def as_of(self, tag: str, qtrs: int, day: Column) -> DataFrame:
+        return self._newest(tag, qtrs, day, day).select(*self.key, "ddate", "value", "filed", "adsh")
 
 
 def world_pit(facts: DataFrame, day: dt.date) -> DataHandle:
@@ -57,17 +109,27 @@ def world_rev(facts: DataFrame) -> DataHandle:
     return DataHandle(facts, "rev")
 
 
-def newest_period(facts: DataFrame) -> DataFrame:
-    """A company's row with the greatest (ddate, filed, adsh, uom)."""
-    return pick_latest(facts, ("cik",), ("ddate", "filed", "adsh", "uom"))
+def newest_period(facts: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A company's row, or some columns of it, with the greatest (ddate, filed, adsh, uom)."""
+    return pick_latest(facts, ("cik",), ("ddate", "filed", "adsh", "uom"), columns)
 
 
 def universe(assets: DataFrame, n: int) -> DataFrame:
-    """(cik, value): the n companies with most assets, ties to the smaller cik."""
-    return assets.where("value > 0").orderBy(F.desc("value"), "cik").limit(n).select("cik", "value")
+    """(cik, value): the n companies with most assets, ties to the smaller cik; of each run, where rows have one."""
+    run = [c for c in RUN if c in assets.columns]
+    if not run:
+        return assets.where("value > 0").orderBy(F.desc("value"), "cik").limit(n).select("cik", "value")
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(F.desc("value"), "cik"))
+    return assets.where("value > 0").withColumn("place", place).where(F.col("place") <= n).select(*run, "cik", "value")
+
+
+Program = Callable[[DataHandle, Day, int], DataFrame]
 
 
-Program = Callable[[DataHandle, dt.date, int], DataFrame]
+def all_days(read: Program) -> Program:
+    """Marks a program that runs for all worlds and days at once: it groups and joins by ``db.key``, treats ``day`` as a column, and limits nothing but by ``universe``."""
+    read.all_days = True
+    return read
 
 
 def program(read: Callable[[DataHandle, str, int, dt.date], DataFrame]) -> Program:
@@ -75,24 +137,34 @@ def program(read: Callable[[DataHandle, str, int, dt.date], DataFrame]) -> Progr
 
     def run(db: DataHandle, day: dt.date, n: int) -> DataFrame:
         item = {name: read(db, tag, qtrs, day) for name, (tag, qtrs) in ITEMS.items()}
-        chosen = universe(item["assets"], n).select("cik")
-        both = chosen.join(item["ni"].select("cik", F.col("value").alias("ni")), "cik").join(item["eq"].select("cik", F.col("value").alias("eq")), "cik")
-        return standardised(with_roe(both).withColumn("all", F.lit(0)), ("all",)).select("cik", "value")
+        key, by = list(db.key), [c for c in db.key if c != "cik"]
+        both = universe(item["assets"], n).select(*key)
+        for name in ("ni", "eq"):
+            # Points may be null: keys meet null-safely.
+            other = item[name].select(*[F.col(c).alias(f"of_{c}") for c in key], F.col("value").alias(name))
+            both = both.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key])).drop(*[f"of_{c}" for c in key])
+        rows = with_roe(both)
+        return (standardised(rows, by) if by else standardised(rows.withColumn("all", F.lit(0)), ("all",))).select(*key, "value")
 
-    return run
+    return all_days(run)
 
 
-def read_restated(db: DataHandle, tag: str, qtrs: int, day: dt.date) -> DataFrame:
-    rows = db.frame(tag, qtrs)
-    period = rows.where((F.col("ddate") <= F.lit(day)) & (F.col("filed") <= F.lit(day))).groupBy("cik").agg(F.max("ddate").alias("ddate"))
-    return pick_latest(rows.join(period, ["cik", "ddate"]), ("cik",), ("filed", "adsh", "uom")).select("cik", "ddate", "value")
+def later(day: Day, days: int) -> Day:
+    return F.date_add(day, days) if isinstance(day, Column) else day + dt.timedelta(days=days)
+
+
+def read_restated(db: DataHandle, tag: str, qtrs: int, day: Day) -> DataFrame:
+    rows, key = db.frame(tag, qtrs), db.key
+    known = F.when((F.col("ddate") <= _as_column(day)) & (F.col("filed") <= _as_column(day)), F.col("ddate"))
+    newest = rows.withColumn("newest", F.max(known).over(Window.partitionBy(*key))).where("ddate = newest")
+    return pick_latest(newest, key, ("filed", "adsh", "uom"), (*key, "ddate", "value"))
 
 
 #: The programs one day at a time; ``panel`` runs them for all days at once.
 PROGRAM_FUNCTIONS: dict[str, Program] = {
     "correct": program(lambda db, tag, qtrs, day: db.as_of(tag, qtrs, day)),
     "naive": program(lambda db, tag, qtrs, day: db.latest(tag, qtrs, day)),
-    "lookahead": program(lambda db, tag, qtrs, day: db.latest(tag, qtrs, day + dt.timedelta(days=LOOKAHEAD_DAYS))),
+    "lookahead": program(lambda db, tag, qtrs, day: db.latest(tag, qtrs, later(day, LOOKAHEAD_DAYS))),
     "restated": program(read_restated),
 }
 
@@ -186,13 +258,23 @@ def panel(facts: DataFrame, days: Sequence[dt.date], n: int) -> DataFrame:
     return panel_of_runs(runs(facts, days, (), n))
 
 
-def panel_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], n: int) -> DataFrame:
-    """The panel of programs of one's own: functions of (handle, day, n) that give (cik, value), run in both worlds on every day.
+def runs_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], n: int) -> DataFrame:
+    """(program, world, point, asof, cik, value) of programs of one's own: functions of (handle, day, n) that give (cik, value).
 
-    Their plans are put together and run as one query.
+    Both worlds on every day, and the full world cut off at each point not
+    before the day. A program marked by ``all_days`` is one plan over all of
+    these. Any other is a plan for each, put together with the rest.
     """
-    parts = [_run(name, read, world, None, d, n) for name, read in programs.items() for d in days for world in (world_pit(facts, d), world_rev(facts))]
-    return reduce(DataFrame.unionAll, parts).drop("point")
+    wanted: list[Run] = [(w, None, d) for d in days for w in ("pit", "rev")] + [("rev", p, d) for p in points for d in days if d <= p]
+    together, parts = RunsHandle(facts, wanted), []
+    for name, read in programs.items():
+        if getattr(read, "all_days", False):
+            parts.append(read(together, F.col("asof"), n).select(F.lit(name).alias("program"), *RUN, "cik", F.col("value").cast("double").alias("value")))
+            continue
+        for world, point, day in wanted:
+            seen = facts if point is None else facts.where(F.col("ddate") <= F.lit(point))
+            parts.append(_run(name, read, world_pit(seen, day) if world == "pit" else world_rev(seen), point, day, n))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _run(name: str, read: Program, handle: DataHandle, point: dt.date | None, day: dt.date, n: int) -> DataFrame:
@@ -200,6 +282,11 @@ def _run(name: str, read: Program, handle: DataHandle, point: dt.date | None, da
     return read(handle, day, n).select(*keys, "cik", F.col("value").cast("double").alias("value"))
 
 
+def panel_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], n: int) -> DataFrame:
+    """The panel of programs of one's own, run in both worlds on every day."""
+    return runs_of(programs, facts, days, (), n).drop("point")
+
+
 def cells(panel_: DataFrame, tolerance: float) -> DataFrame:
     """(program, asof, cik, y_pit, y_rev, differs): both worlds side by side; a score in one world alone differs."""
     sides = panel_.groupBy("program", "asof", "cik").agg(*[F.max(F.when(F.col("world") == w, F.col("value"))).alias(f"y_{w}") for w in ("pit", "rev")])
@@ -253,11 +340,7 @@ def truncation(facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.da
 def truncation_of(programs: Mapping[str, Program], facts: DataFrame, days: Sequence[dt.date], points: Sequence[dt.date], n: int) -> DataFrame:
     """(program, n_failures) of programs of one's own: their outputs have to be equal exactly where later periods are cut off."""
     some = [d for d in days if d <= max(points)]
-    whole = world_rev(facts)
-    cut = {p: DataHandle(facts.where(F.col("ddate") <= F.lit(p)), "rev") for p in points}
-    parts = [_run(name, read, whole, None, d, n) for name, read in programs.items() for d in some]
-    parts += [_run(name, read, cut[p], p, d, n) for name, read in programs.items() for p in points for d in some if d <= p]
-    return truncation_of_runs(reduce(DataFrame.unionAll, parts), some, points, "value", list(programs))
+    return truncation_of_runs(runs_of(programs, facts, some, points, n), some, points, "value", list(programs))
 
 
 def verdict(passes_truncation: Column, passes_vintage: Column) -> Column:

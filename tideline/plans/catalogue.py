@@ -410,31 +410,30 @@ def programs_one_day(spark, d):
 
 def largest(read):
     """A program that a user might write: the companies with most assets, and how much they have."""
-    return lambda db, day, n: vintage.universe(read(db, day), n)
+    return vintage.all_days(lambda db, day, n: vintage.universe(read(db, day), n))
 
 
 #: Programs from outside the experiment: one reads the latest view, one the as-of view, one a year ahead.
 USER_PROGRAMS = {
     "largest": largest(lambda db, day: db.latest("Assets", 0, day)),
     "largest_known": largest(lambda db, day: db.as_of("Assets", 0, day)),
-    "largest_ahead": largest(lambda db, day: db.latest("Assets", 0, day + dt.timedelta(days=365))),
+    "largest_ahead": largest(lambda db, day: db.latest("Assets", 0, vintage.later(day, 365))),
 }
-USER_DAYS = DAYS[::6]
 
 
 @query
 def panel_user(spark, d):
-    return vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, SIZE)
+    return vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), DAYS, SIZE)
 
 
 @query
 def truncation_user(spark, d):
-    return vintage.truncation_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, POINTS, SIZE)
+    return vintage.truncation_of(USER_PROGRAMS, bridge.observations(spark, d), DAYS, POINTS, SIZE)
 
 
 @query
 def lambda_user(spark, d):
-    out = vintage.lambdas(vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), USER_DAYS, SIZE))
+    out = vintage.lambdas(vintage.panel_of(USER_PROGRAMS, bridge.observations(spark, d), DAYS, SIZE))
     return out.withColumn("lambda_rank", F.round("lambda_rank", 9))
 
 
@@ -476,9 +475,26 @@ def truncation_check(spark, d):
 
 @query
 def verdict(spark, d):
-    obs = bridge.observations(spark, d)
-    out = vintage.verdicts(vintage.lambdas(vintage.panel(obs, DAYS, SIZE)), vintage.truncation(obs, DAYS, POINTS, SIZE))
-    return out.withColumn("lambda_rank", F.round("lambda_rank", 9))
+    runs = Scratch(spark, "runs").save(vintage.runs(bridge.observations(spark, d), DAYS, POINTS, SIZE), "runs")
+    return verdicts_of(runs, vintage.truncation_of_runs(runs, DAYS, POINTS))
+
+
+def verdicts_of(runs: DataFrame, truncations: DataFrame) -> DataFrame:
+    return vintage.verdicts(vintage.lambdas(vintage.panel_of_runs(runs)), truncations).withColumn("lambda_rank", F.round("lambda_rank", 9))
+
+
+@query
+def verdict_user(spark, d):
+    """The whole experiment for programs from outside: one set of runs, from which panel and truncation both come."""
+    runs = Scratch(spark, "runs").save(vintage.runs_of(USER_PROGRAMS, bridge.observations(spark, d), DAYS, POINTS, SIZE), "runs")
+    return verdicts_of(runs, vintage.truncation_of_runs(runs, DAYS, POINTS, "value", list(USER_PROGRAMS)))
+
+
+@query
+def panel_of_functions(spark, d):
+    """The built-in programs, run as a user's are: from their functions, over all days at once."""
+    out = vintage.panel_of(vintage.PROGRAM_FUNCTIONS, bridge.observations(spark, d), DAYS, SIZE)
+    return out.withColumn("value", F.round("value", 9))
 
 
 @query
@@ -527,4 +543,4 @@ def json_flatten(spark, d):
 
 
 QUERIES["json_flatten_whole"] = json_flatten  # its name while json_flatten read some companies only
-ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES, USER_DAYS)
+ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES)

@@ -178,7 +178,7 @@ ubad as (select distinct program, asof, point from (select program, asof, point,
 trn as (select p.program, count(b.point) as n_failures from (select unnest(['largest', 'largest_known', 'largest_ahead']) as program) p left join ubad b using (program) group by all)"""
 
 
-def statements(as_of, config, days, points, size, rules, user_days) -> dict[str, str]:
+def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
     day, day_list, point_list = f"date '{as_of}'", ", ".join(f"date '{d}'" for d in days), ", ".join(f"date '{d}'" for d in points)
     lives = f"with {OBS}, {life('obs', config)}, {GROUPS}, evf as (select e.*, c.n_obs, c.right_censored, c.left_censored from ev e left join cen c using ({KEY}))"
     newest = f"qualify row_number() over (partition by {KEY} order by filed desc, adsh desc) = 1"
@@ -321,8 +321,12 @@ def statements(as_of, config, days, points, size, rules, user_days) -> dict[str,
     for name in ("correct", "naive", "lookahead", "restated"):
         out[f"panel_{name}"] = f"{world} select world, asof, cik, round(value, 9) as value from pan where program = '{name}'"
     trn = truncated(size, point_list)
-    user = f"with {OBS}, {users(size, ', '.join(f"date '{d}'" for d in user_days), point_list)}"
+    user = f"with {OBS}, {users(size, day_list, point_list)}"
+    judged = """n_failures = 0 as truncation_pass, lambda_cell, round(lambda_rank, 9) as lambda_rank, n_cells, n_diff, coalesce(lambda_cell, 0) = 0 as vintage_pass,
+            case when n_failures = 0 and coalesce(lambda_cell, 0) = 0 then 'clean' when n_failures = 0 then 'silent_leak' when coalesce(lambda_cell, 0) = 0 then 'obvious_bug' else 'double_failure' end as verdict from trn left join lam using (program)"""
     out |= {
+        "verdict_user": f"{user}, {CELLS} select program, {judged}",
+        "panel_of_functions": f"{world} select program, world, asof, cik, round(value, 9) as value from pan",
         "panel_user": f"{user} select program, world, asof, cik, value from pan",
         "truncation_user": f"{user} select program, n_failures from trn",
         "lambda_user": f"{user}, {CELLS} select program, lambda_cell, round(lambda_rank, 9) as lambda_rank, n_cells, n_diff from lam",
@@ -338,8 +342,7 @@ def statements(as_of, config, days, points, size, rules, user_days) -> dict[str,
         "lambda_rank": f"{world}, {CELLS} select program, round(lambda_rank, 9) as lambda_rank from lam",
         "lambda_by_date": f"{world}, {CELLS} select c.program, c.asof, count(case when differs then 1 end) / count(*) as lambda_cell, round(any_value(t.term), 9) as lambda_rank from cel c left join trm t using (program, asof) group by all",
         "truncation_check": f"with {OBS}, {choices('obs', day_list)}, {trn} select * from trn",
-        "verdict": f"""{world}, {CELLS}, {trn} select program, n_failures = 0 as truncation_pass, lambda_cell, round(lambda_rank, 9) as lambda_rank, n_cells, n_diff, coalesce(lambda_cell, 0) = 0 as vintage_pass,
-            case when n_failures = 0 and coalesce(lambda_cell, 0) = 0 then 'clean' when n_failures = 0 then 'silent_leak' when coalesce(lambda_cell, 0) = 0 then 'obvious_bug' else 'double_failure' end as verdict from trn left join lam using (program)""",
+        "verdict": f"{world}, {CELLS}, {trn} select program, {judged}",
         "restatement_control": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs) {' union all '.join(control)}",
         "month_end": "select distinct cast(o_orderdate as date) as day, last_day(case when day(o_orderdate) >= 15 then cast(o_orderdate as date) else cast(o_orderdate as date) - to_months(1) end) as month_end from orders",
         "qtrs_from_dates": """select n_qtrs, count(*) as n_rows from (select cast(case when o_orderkey % 5 = 0 then 0 else greatest(1, round(((year(e) - year(s)) * 12 + month(e) - month(s)) / 3)) end as int) as n_qtrs
