@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tests.conftest import COMPANIES
+from tests.conftest import COMPANIES, DATA
 from tideline.operators import renames, vintage
 
 DAY = dt.date(2022, 3, 31)
@@ -60,3 +60,27 @@ def test_a_planted_rename_is_found(make):
         rows.append(o(cik, f"{cik}-2", "2025-04-12", 5.0, "Postage", ddate="2010-12-31"))
     (found,) = renames.detect(make(rows), rules).collect()
     assert (found["old_tag"], found["new_tag"], found["accepted"], found["exact_agreement"], found["cooccurrence"]) == ("FreightCost", "ShippingCost", True, 1.0, 0.0)
+
+
+def test_programs_of_all_days_are_one_plan_with_one_scan(spark):
+    """The plan doesn't grow with the days, the facts are read once, and programs of one day at a time give the same."""
+    from tideline.plans import catalogue
+    from tideline.sources import bridge
+
+    facts, days = bridge.observations(spark, DATA), catalogue.DAYS[5::12]
+
+    def plan(days_):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return vintage.panel_of(catalogue.USER_PROGRAMS, facts, days_, 50)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    few, many = plan(days[:2]), plan(catalogue.DAYS)
+    assert few.count("FileScan") == many.count("FileScan") == 1 and len(few.splitlines()) == len(many.splitlines())
+    single = {name: (lambda read: lambda db, day, n: read(db, day, n))(read) for name, read in {**catalogue.USER_PROGRAMS, **vintage.PROGRAM_FUNCTIONS}.items()}
+    points, rows = catalogue.POINTS[1:2], {}
+    for name, programs in (("one day", single), ("all days", {k: vintage.all_days(f) if k in catalogue.USER_PROGRAMS else vintage.PROGRAM_FUNCTIONS[k] for k, f in single.items()})):
+        runs = vintage.runs_of(programs, facts, days, points, 50).collect()
+        rows[name] = sorted((r["program"], r["world"], str(r["point"]), r["asof"], r["cik"], round(r["value"], 9)) for r in runs)
+    assert rows["one day"] == rows["all days"] and len({r[0] for r in rows["all days"]}) == 7 and len({r[2] for r in rows["all days"]}) == 2

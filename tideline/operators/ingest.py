@@ -37,6 +37,18 @@ def same_filing(facts: DataFrame) -> DataFrame:
     return dealt.groupBy(*FILING_KEY).agg(*[F.min(c).alias(c) for c in rest], *parts).where(agree).select(*FILING_KEY, *rest)
 
 
+def custom_tags(tag: DataFrame) -> DataFrame:
+    """The tags that filers made up, once each."""
+    by = [c for c in ("quarter",) if c in tag.columns]
+    return tag.where(F.col("custom") == "1").select(*by, "tag", "version").distinct()
+
+
+def without_custom(num: DataFrame, tag: DataFrame) -> DataFrame:
+    """The rows of ``num`` under tags of the taxonomy."""
+    names = custom_tags(tag)
+    return num.join(names, names.columns, "left_anti")
+
+
 CARRIED = ("cik", "form", "period", "fy", "fp", "filed", "accepted", "version")
 
 
@@ -51,7 +63,7 @@ def judged(sub: DataFrame, num: DataFrame, tag: DataFrame) -> DataFrame:
     """
     by = [c for c in ("quarter",) if c in num.columns]
     eligible = sub.where(F.col("form").isin(*FORMS)).select(*by, *[c for c in ("adsh", *CARRIED) if c in sub.columns])
-    custom = tag.where(F.col("custom") == "1").select(*by, "tag", "version").distinct().withColumn("custom_tag", F.lit(True))
+    custom = custom_tags(tag).withColumn("custom_tag", F.lit(True))
     rows = num.withColumn("n_qtrs", F.col("qtrs").try_cast("int")).join(eligible.withColumn("eligible", F.lit(True)), [*by, "adsh"], "left").join(custom, [*by, "tag", "version"], "left")
     reason = (
         F.when(~(blank(F.col("segments")) & blank(F.col("coreg"))), "drop_segments")

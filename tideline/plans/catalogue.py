@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import scalar
-from ..operators import crosscheck, facts, ingest, renames, revisions, stats, vintage
+from ..operators import crosscheck, facts, history, ingest, renames, revisions, stats, vintage
 from ..schema import FORMS, OBSERVATIONS, QTRS
 from ..scratch import Scratch
 from ..sources import archive, bridge, companyfacts
 from ..sources import observations as observations_
+from ..streaming.current import Current
 from . import oracle
 
 AS_OF = dt.date(1999, 6, 30)
@@ -69,7 +70,7 @@ def ingested(spark, d):
 @query
 def custom_tag_anti(spark, d):
     _, num, tag = bridge.archive_members(spark, d)
-    return num.join(tag.where("custom = '1'"), ["tag", "version"], "left_anti").groupBy("tag", "version").agg(F.count("*").alias("n_rows"))
+    return ingest.without_custom(num, tag).groupBy("tag", "version").agg(F.count("*").alias("n_rows"))
 
 
 @query
@@ -182,6 +183,36 @@ def diff_worlds(spark, d):
     return facts.diff_worlds(bridge.observations(spark, d), AS_OF)
 
 
+def day_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in DAYS], "asof date")
+
+
+@query
+def version_intervals(spark, d):
+    """Every version with the days it was known from and to, and the newest value of its fact."""
+    out = history.versions(bridge.observations(spark, d))
+    return out.select("cik", "tag", "ddate", "qtrs", "uom", "adsh", "value", "known_from", "known_to", F.col("rev.value").alias("value_rev"))
+
+
+@query
+def as_of_days(spark, d):
+    """The as-of view of every day of the experiment, from one table of versions."""
+    return history.as_of_days(history.versions(bridge.observations(spark, d)), day_table(spark))
+
+
+@query
+def diff_worlds_days(spark, d):
+    return history.diff_worlds_days(history.versions(bridge.observations(spark, d)), day_table(spark))
+
+
+@query
+def as_of_stored(spark, d):
+    """The as-of view of a day from a stored history, whose other folders stay closed."""
+    path = Scratch(spark, "history").path + "/versions"
+    history.write(history.versions(bridge.observations(spark, d)), path)
+    return history.as_of(history.read(spark, path), AS_OF)
+
+
 # Events and census.
 
 
@@ -216,6 +247,26 @@ def census_flags(spark, d):
     return revisions.census(bridge.observations(spark, d), CONFIG).groupBy(*flags).agg(F.count("*").alias("n_keys"))
 
 
+def arrived(spark, d, table: str) -> DataFrame:
+    """A table kept up to date over three arrivals: the first filings of two years, later ones, and those that come late."""
+    current = Current(spark, Scratch(spark, "current").path + "/tables", CONFIG)
+    obs = Scratch(spark, "arrivals").save(bridge.observations(spark, d), "observations")
+    late, first = F.col("adsh").endswith("7"), F.year("filed") < 1999
+    for number, batch in enumerate((first & ~late, ~first & ~late, late)):
+        current.update(obs.where(batch), number)
+    return current.table(table)
+
+
+@query
+def census_of_arrivals(spark, d):
+    return arrived(spark, d, "census")
+
+
+@query
+def events_of_arrivals(spark, d):
+    return arrived(spark, d, "events")
+
+
 @query
 def freeze_first_filed(spark, d):
     return facts.freeze_first(bridge.observations(spark, d)).select("cik", "tag", "ddate", "qtrs", "uom", "adsh", "value")
@@ -223,8 +274,10 @@ def freeze_first_filed(spark, d):
 
 @query
 def frozen_events(spark, d):
-    """Nothing changes once every fact keeps its first value."""
-    return revisions.events(facts.freeze_first(bridge.observations(spark, d))).groupBy("tag").agg(F.count("*").alias("n_events"))
+    """By tag, the events of the facts, and those that are left once every fact keeps its first value: none."""
+    obs = bridge.observations(spark, d)
+    frozen = revisions.events(facts.freeze_first(obs)).groupBy("tag").agg(F.count("*").alias("n_frozen"))
+    return revisions.events(obs).groupBy("tag").agg(F.count("*").alias("n_events")).join(frozen, "tag", "left").select("tag", "n_events", F.coalesce("n_frozen", F.lit(0)).alias("n_frozen"))
 
 
 @query
@@ -539,8 +592,13 @@ def crosscheck_conflicts(spark, d):
 @query
 def json_flatten(spark, d):
     """Facts written as the second source writes them, one document a company, and read back."""
-    return companyfacts.flattened(companyfacts.documents(bridge.observations(spark, d))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
+    return companyfacts.flattened(bridge.documents(bridge.observations(spark, d))).groupBy("cik", "tag", "uom").agg(F.count("*").alias("n_rows"), F.sum("qtrs").alias("sum_qtrs"), F.max("ddate").alias("last_ddate"), F.sum("value").alias("sum_value"))
+
+
+@query
+def json_flatten_whole(spark, d):
+    """Every record of the second source's documents, as it comes out."""
+    return companyfacts.flattened(bridge.documents(bridge.observations(spark, d))).select("cik", "tag", "uom", "ddate", F.col("qtrs").cast("int").alias("qtrs"), "filed", "value")
 
 
-QUERIES["json_flatten_whole"] = json_flatten  # its name while json_flatten read some companies only
 ORACLE_SQL: dict[str, str] = oracle.statements(AS_OF, CONFIG, DAYS, POINTS, SIZE, RULES)

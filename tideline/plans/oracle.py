@@ -182,6 +182,7 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
     day, day_list, point_list = f"date '{as_of}'", ", ".join(f"date '{d}'" for d in days), ", ".join(f"date '{d}'" for d in points)
     lives = f"with {OBS}, {life('obs', config)}, {GROUPS}, evf as (select e.*, c.n_obs, c.right_censored, c.left_censored from ev e left join cen c using ({KEY}))"
     newest = f"qualify row_number() over (partition by {KEY} order by filed desc, adsh desc) = 1"
+    many = f"dy as (select unnest([{day_list}]) as asof), pit as (select d.asof, o.* from obs o join dy d on o.filed <= d.asof qualify row_number() over (partition by d.asof, {KEY} order by filed desc, adsh desc) = 1)"
     out = {
         "raw_facts": f"with {RAW} select * exclude (l_partkey, l_suppkey) from raw",
         "observations": f"with {OBS} select * from obs",
@@ -207,6 +208,14 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         "diff_worlds": f"""with {OBS}, p as (select * from obs where filed <= {day} {newest}), r as (select * from obs {newest})
             select {KEY}, p.value as value_pit, p.filed as filed_pit, p.adsh as adsh_pit, r.value as value_rev, r.filed as filed_rev, r.adsh as adsh_rev from p join r using ({KEY}) where p.value is distinct from r.value""",
         "events": f"{lives} select * from ev",
+        "census_of_arrivals": f"{lives} select * from cen",
+        "events_of_arrivals": f"{lives} select * from ev",
+        "version_intervals": f"""with {OBS}, iv as (select *, coalesce(lead(filed) over w, date '9999-12-31') as known_to, last_value(value) over (partition by {KEY} order by filed, adsh rows between unbounded preceding and unbounded following) as value_rev
+            from obs window w as (partition by {KEY} order by filed, adsh)) select {KEY}, adsh, value, filed as known_from, known_to, value_rev from iv where filed < known_to""",
+        "as_of_days": f"with {OBS}, {many} select * from pit",
+        "as_of_stored": f"with {OBS} select * from obs where filed <= {day} {newest}",
+        "diff_worlds_days": f"""with {OBS}, {many}, r as (select * from obs {newest})
+            select p.asof, {KEY}, p.value as value_pit, p.filed as filed_pit, p.adsh as adsh_pit, r.value as value_rev, r.filed as filed_rev, r.adsh as adsh_rev from pit p join r using ({KEY}) where p.value is distinct from r.value""",
         "event_seq": f"{lives} select {KEY}, adsh_new, seq from ev",
         "event_lags": f"{lives} select lag_days, lag_since_first_days, count(*) as n_events from ev group by all",
         "scale_exponent": f"{lives} select cast(scale_exponent as int) as scale_exponent, count(*) as n_events from ev group by all",
@@ -214,7 +223,7 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
         "census_flags": f"{lives} select revised, from_zero, ever_amendment, ever_scale_change, right_censored, left_censored_window, first_is_comparative, left_censored, count(*) as n_keys from cen group by all",
         "freeze_first_filed": f"with {OBS} select {KEY}, adsh, first_value(value) over (partition by {KEY} order by filed, adsh) as value from obs",
         "frozen_census": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs), {life('fz', config)} select tag, count(*) as n_keys, cast(sum(n_obs) as bigint) as n_obs, count(case when revised then 1 end) as n_revised, sum(v_final) as sum_final from cen group by all",
-        "frozen_events": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs), {life('fz', config)} select tag, count(*) as n_events from ev group by all",
+        "frozen_events": f"with {OBS}, fz as (select * replace (first_value(value) over (partition by {KEY} order by filed, adsh) as value) from obs), {life('fz', config, 'z')}, {life('obs', config)} select tag, n_events, coalesce(n, 0) as n_frozen from (select tag, count(*) as n_events from ev group by all) left join (select tag, count(*) as n from evz group by all) using (tag)",
     }
     merged = f"""{OBS}, mp as (select * replace (case when tag = 'Assets' then 'StockholdersEquity' else tag end as tag) from obs where value is not null),
         mg as (select {KEY}, adsh, min(form) as form, min(filed) as filed, min(period) as period, min(version) as version, min(value) as value from mp group by {KEY}, adsh having count(distinct value) = 1)"""
@@ -361,6 +370,6 @@ def statements(as_of, config, days, points, size, rules) -> dict[str, str]:
             select *, coalesce(matched_observations / nullif(our_unique_keys, 0), 0) as match_rate_of_ours, coalesce(1 - n_conflicts / nullif(matched_observations, 0), 0) as value_agreement from s""",
         "crosscheck_conflicts": f"with {second} select * from jn where rel > 1e-9",
         "json_flatten": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs group by all",
-        "json_flatten_whole": f"with {OBS} select cik, tag, uom, count(*) as n_rows, cast(sum(case when qtrs = 0 then 0 else 4 end) as bigint) as sum_qtrs, max(ddate) as last_ddate, sum(value) as sum_value from obs group by all",
+        "json_flatten_whole": f"with {OBS} select cik, tag, uom, ddate, qtrs, filed, value from obs",
     }
     return {name: re.sub(r"\basof\b", '"asof"', sql) for name, sql in out.items()}  # a word of the dialect

@@ -141,6 +141,16 @@ def archives(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
     return {r["quarter"]: r["uri"] for r in written.collect()}  # a row for each quarter
 
 
+def documents(observations: DataFrame) -> DataFrame:
+    """(cik, json): observations in the form that ``flattened`` reads; a company's facts are one document, as at the source. There are few companies here, so documents grow with the data."""
+    start = F.when(F.col("qtrs") > 0, F.date_format(F.date_add(F.add_months("ddate", -3 * F.col("qtrs")), 1), "yyyy-MM-dd"))
+    record = F.struct(start.alias("start"), F.date_format("ddate", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), F.date_format("filed", "yyyy-MM-dd").alias("filed"))
+    units = observations.select("cik", "tag", "uom", record.alias("r")).groupBy("cik", "tag", "uom").agg(F.collect_list("r").alias("records"))
+    concepts = units.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("uom", "records"))).alias("units"))
+    whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("gaap"))
+    return whole.select("cik", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts"))).alias("json"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept facts: whitelisted forms, one row for a fact in a filing, none where the filing contradicts itself."""
     from ..operators.ingest import same_filing

@@ -36,16 +36,6 @@ def flattened(documents: DataFrame) -> DataFrame:
     return rows.where(F.col("end").isNotNull()).select("cik", "tag", "uom", month_end(F.col("end")).alias("ddate"), qtrs_between(F.col("start"), F.col("end")).alias("qtrs"), "filed", "value")
 
 
-def documents(observations: DataFrame) -> DataFrame:
-    """(cik, json): observations in the form that ``flattened`` reads; a company's facts are one document, as at the source."""
-    start = F.when(F.col("qtrs") > 0, F.date_format(F.date_add(F.add_months("ddate", -3 * F.col("qtrs")), 1), "yyyy-MM-dd"))
-    record = F.struct(start.alias("start"), F.date_format("ddate", "yyyy-MM-dd").alias("end"), F.col("value").alias("val"), F.date_format("filed", "yyyy-MM-dd").alias("filed"))
-    units = observations.select("cik", "tag", "uom", record.alias("r")).groupBy("cik", "tag", "uom").agg(F.collect_list("r").alias("records"))
-    concepts = units.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("uom", "records"))).alias("units"))
-    whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("gaap"))
-    return whole.select("cik", F.to_json(F.struct(F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts"))).alias("json"))
-
-
 def fetch(config: Config, ciks: Sequence[int], get: Callable[[str, Config], Iterable[bytes]] = download.fetch, sleep: Callable[[float], None] = time.sleep) -> list[Path]:
     """The files of the companies, fetched where they aren't there yet; a company whose request fails is noted and left out."""
     folder, found = config.raw_dir / "companyfacts", []
