@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,6 +40,17 @@ TEXTUAL = frozenset("p h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".
 PREFIXED = re.compile(r".+[-_](?:ads?|advert|sidebar|comments?|menu|nav|footer|cookie|banner)", re.I)
 
 
+#: Parts of tables: a class word on these says what a cell is for, not that it is boilerplate.
+CELLS = frozenset("table tbody thead tfoot tr td th caption".split())
+
+COMMENT_END = re.compile(r"--!?>|(?<=<!-)->|(?<=<!--)>")
+TAG_NAME = re.compile(r"[^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+
+
 DROP, SUSPECT, HALVE, KEEP = range(4)
 
 
@@ -53,12 +65,57 @@ class Lines(HTMLParser):
         self.dropping = 0
         self.parents, self.names = [-1], ["root"]
         self.suspects: list[int] = []  # the suspect around each suspect
+        self.suspect_in: list[int] = []  # the region around each suspect
         self.headed: set[int] = set()  # suspects with a top heading
         self.texts: list[str] = []
         self.tags, self.where, self.suspect, self.halved = [], [], [], []
         self.text: list[str] = []
         self.inside = 0
 
+    # Markup that is never closed takes the rest of the page with it, as in browsers; so each character is looked at a bounded number of times.
+
+    def feed(self, html: str) -> None:
+        self.last = {sign: html.rfind(sign) for sign in (">", '"', "'")}
+        super().feed(html)
+
+    def parse_starttag(self, i: int) -> int:
+        html, attrs = self.rawdata, []
+        name = TAG_NAME.match(html, i + 1)
+        at = BETWEEN.match(html, name.end()).end()
+        while at < len(html) and html[at] != ">":
+            found = ATTRIBUTE.match(html, at)
+            at, value = found.end(), None
+            if equals := EQUALS.match(html, at):
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote in ('"', "'") and quote and self.last[quote] > at:
+                    close = html.index(quote, at + 1)
+                    value, at = html[at + 1 : close], close + 1
+                else:  # a quote that nothing closes is a sign like any other
+                    value = UNQUOTED.match(html, at)[0]
+                    at += len(value)
+            attrs.append((found[0].lower(), unescape(value) if value else value))
+            at = BETWEEN.match(html, at).end()
+        if at >= len(html):
+            return at
+        self.lasttag = tag = name[0].lower()
+        self.handle_starttag(tag, attrs)
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return at + 1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.last[">"] > i else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return 1 + (self.rawdata.find(">", i) if self.last[">"] > i else len(self.rawdata) - 1)
+
+    parse_pi = parse_html_declaration
+
     def flush(self) -> None:
         if self.text:
             if line := " ".join("".join(self.text).split()):
@@ -84,10 +141,8 @@ class Lines(HTMLParser):
         if "hidden" in a or (a.get("role") or "").lower() in ROLES or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style") or ""):
             return DROP
         words = [w for k in ("class", "id") for w in (a.get(k) or "").split() if NAMED.fullmatch(w) or PREFIXED.fullmatch(w)]
-        if not words:
+        if not words or tag in INLINE or tag in CELLS:
             return KEEP
-        if tag in INLINE:
-            return DROP
         return HALVE if tag in TEXTUAL and all(WEAK.fullmatch(w) for w in words) else SUSPECT
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -110,6 +165,7 @@ class Lines(HTMLParser):
             region = len(self.parents) - 1
         if what == SUSPECT and not self.dropping:
             self.suspects.append(suspect)
+            self.suspect_in.append(region)
             suspect = len(self.suspects) - 1
         if tag == "h1":
             self.headed.add(suspect)
@@ -178,17 +234,20 @@ def marked_regions(page: Lines) -> np.ndarray:
 def unsuspected(page: Lines) -> np.ndarray:
     """The lines outside suspect elements, and in those that hold the content themselves.
 
-    The suspect with most votes is taken in if nothing outside lies in an
-    article, its votes are five times those outside, and it has an article, a
-    top heading or three lines of content; then the suspects inside it are
-    judged in turn.
+    The suspect with most votes is taken in if its votes are five times those
+    outside, and it has an article, a top heading or three lines of content;
+    then the suspects inside it are judged in turn. Where there is an article
+    outside the suspects, only those within it are asked, and against it alone.
     """
     every, suspect = np.arange(len(page.texts)), np.array(page.suspect, dtype=np.int64)
     if not page.suspects or not len(every):
         return every
     length, ratio, least = scores(page, every)
-    good, in_article = ratio >= least, marked_regions(page)[np.array(page.where)]
+    regions = marked_regions(page)
+    good, in_article = ratio >= least, regions[np.array(page.where)]
     n = len(page.suspects) + 1  # the last entry is what lies outside all suspects
+    if in_article[suspect < 0].any():
+        good &= in_article
     votes, lines, marked = (np.bincount(suspect % n, w, n) for w in (np.where(good, length, 0), good, in_article))
     held = [votes.copy(), lines.copy(), marked.copy()]
     for k in range(n - 2, -1, -1):  # elements open after those around them
@@ -200,11 +259,11 @@ def unsuspected(page: Lines) -> np.ndarray:
         inner.setdefault(around, []).append(k)
     taken, outside, at = {-1}, votes[-1], -1
     article = marked[-1] > 0
-    while not article and (choice := max(inner.get(at, []), key=lambda k: held[0][k], default=None)) is not None:
+    while (choice := max((k for k in inner.get(at, []) if not article or at >= 0 or regions[page.suspect_in[k]]), key=lambda k: held[0][k], default=None)) is not None:
         if outside * 5 > held[0][choice] or not (held[2][choice] or held[1][choice] >= 3 or choice in page.headed):
             break
         taken.add(choice)
-        outside, article, at = outside + votes[choice], marked[choice] > 0, choice
+        outside, article, at = outside + votes[choice], article or marked[choice] > 0, choice
     return every[np.isin(suspect, list(taken))]
 
 
@@ -255,7 +314,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per page.
 
     Null or empty html, or html without any text outside boilerplate, gives an
-    empty text. Very long pages are read whole, in linear time. Of regions with
+    empty text. Very long pages are read whole, in linear time, whatever their
+    markup; a tag, comment or declaration that is never closed takes the rest
+    of the page. Of regions with
     equal votes the outermost article, or else the innermost element, counts.
     Repeated rows are kept; an empty table gives no rows; other columns are not
     read.
