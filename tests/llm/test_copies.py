@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from fractions import Fraction
@@ -224,6 +225,70 @@ def test_no_arrangement_that_verification_accepts_is_without_a_seed():
         assert hit[(equal >= 5) & (5 * equal >= 4 * n)].all()
 
 
+def test_stretches_have_as_many_words_in_seeds_as_is_said():
+    """Over all arrangements: what a stretch has in seeds at least, by equal and changed words, and in any of 13 equal words."""
+    masks = [m.rstrip("0") for m in spaced_seeds.MASKS]
+    for n in range(5, 19):
+        laid = np.arange(1 << n)
+        equal, held = sum((laid >> k) & 1 for k in range(n)), np.zeros(len(laid), dtype=np.int64)
+        for mask in masks:
+            for k in range(n - len(mask) + 1):
+                kept = int(mask[::-1], 2) << k
+                held |= np.where((laid & kept) == kept, kept, 0)
+        inside = sum((held >> k) & 1 for k in range(n))
+        for changed in range(n // 5 + 1):
+            assert inside[equal == n - changed].min() >= spaced_seeds.hit_words(n - changed, changed), (n, changed)
+            assert spaced_seeds.hit_words(n - changed, changed) >= spaced_seeds.of_stretch(n - changed, changed)
+    assert min(spaced_seeds.of_stretch(n, n) for n in range(13, 25)) == spaced_seeds.ENOUGH
+
+
+def brute_links(docs, items):
+    """Every document against every item, at every shift at which they share a word."""
+    out = set()
+    for d, text in docs:
+        doc = spaced_seeds.words_of(text)
+        for i, told in items:
+            item = spaced_seeds.words_of(told)
+            if len(item) < 5:
+                if item and item == doc:
+                    out.add((d, i))
+                continue
+            shifts = sorted({a - b for a, x in enumerate(doc) for b, y in enumerate(item) if x == y})
+            if spaced_seeds.judged(doc, item, shifts, 13, Fraction("0.8")):
+                out.add((d, i))
+    return out
+
+
+def test_links_with_common_phrases_equal_brute_force(spark):
+    """Documents and items made of the same few phrases, cut, changed and moved: every seed is frequent."""
+    r = random.Random(21)
+    phrases = [words(r, r.randint(2, 9)) for _ in range(12)]
+
+    def text(parts):
+        out = sum((r.choice(phrases) if r.random() < 0.8 else words(r, r.randint(1, 4)) for _ in range(parts)), [])
+        for _ in range(r.randint(0, len(out) // 6)):
+            out[r.randrange(len(out))] = "changed"
+        return " ".join(out)
+
+    items = [(i, text(r.randint(1, 7))) for i in range(70)]
+    docs = [(d, text(r.randint(1, 12)) if d % 3 else f"{text(2)} {items[d % 70][1]} {text(2)}") for d in range(90)]
+    want = brute_links(docs, items)
+    got = {(x["doc_id"], x["item_id"]) for x in spaced_seeds.links(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_a_phrase_of_all_items_and_documents_makes_no_pairs(spark):
+    """One stem in each of 4,000 items and documents: 16 million pairs if they met by it."""
+    r, stem, n = random.Random(6), "which of the following is", 4000
+    unlike = lambda k: " ".join(f"{k}w{r.randint(0, 10**9)}" for _ in range(20))
+    docs = docs_of(spark, [(k, f"{unlike('d')} {stem} {unlike('d')}") for k in range(n)] + [(n, unlike("i"))])
+    items = [(k, f"{stem} {unlike('i')}") for k in range(n)]
+    docs = docs.unionByName(docs_of(spark, [(n + 1, f"{unlike('d')} {items[77][1]} {unlike('d')}")]))
+    began = time.time()
+    out = spaced_seeds.links(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["item_id"]) for x in out] == [(n + 1, 77)] and time.time() - began < 90
+
+
 def test_dense_changes_and_short_items_are_found(spark):
     w = [f"w{k}" for k in range(99)]
     items = {0: w, 1: [f"a{k}" for k in range(9)], 2: [f"b{k}" for k in range(8)], 3: [f"c{k}" for k in range(5)], 4: [f"d{k}" for k in range(6)]}

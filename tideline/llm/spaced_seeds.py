@@ -4,13 +4,16 @@ A mask fixes which words of a window count and which are ignored, so a changed
 word at an ignored place keeps the hash. Hashes of test windows meet hashes of
 training windows in a join; a Bloom filter, sized by the test windows up to a
 bound, keeps most training windows that cannot meet any from being moved.
-Around each hit the test item is laid along the document and every stretch of
-it is judged word by word. Items too short for a mask are hashed whole and meet
-documents of the same words.
+An item's most frequent seeds are left out of the join as far as no overlap can
+consist of them alone, so a phrase that many items and documents share makes no
+pairs. Around the hits of a pair the item is laid along the document and every
+stretch of it is judged word by word. Items too short for a mask are hashed
+whole and meet documents of the same words.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -78,17 +81,94 @@ def all_seeds(hashes: np.ndarray, masks: list[str]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate([np.arange(len(h)) for h in found])
 
 
+@functools.cache
+def hit_words(words: int, changed: int) -> float:
+    """The fewest words that lie in seeds, of a stretch with so many equal and changed words; infinite where there is no such stretch.
+
+    Runs of four equal words lie in seeds whole. Of shorter ones two words do at
+    each end where another run of two or more follows one changed word.
+    """
+
+    @functools.cache
+    def rest(before: int, run: int, n: int, k: int) -> float:
+        """What ``run``, after run ``before``, and n further words parted by k more changed words hold at least."""
+
+        def of(after: int) -> int:
+            if run >= 4 or run < 2:
+                return run if run >= 4 else 0
+            return min(run, 2 * (before >= 2) + 2 * (after >= 2))
+
+        if k == 0:
+            return of(0) if n == 0 else float("inf")
+        return min(of(after) + rest(run, after, n - after, k - 1) for after in range(n + 1))
+
+    return min(rest(0, run, words - run, changed) for run in range(words + 1))
+
+
+#: A stretch of 13 equal words or more has at least so many in seeds, and so have two stretches that don't touch.
+ENOUGH = 8
+
+
+def of_stretch(words: int, most_changed: int) -> float:
+    """The fewest words in seeds, of a stretch with so many equal words, its share of 0.8 kept."""
+    return min(hit_words(words, k) for k in range(min(most_changed, words // 4) + 1))
+
+
+@functools.cache
+def least_in_seeds(words: int) -> int:
+    """The fewest words of an item that lie in seeds which a document that overlaps with it has too.
+
+    An overlap is one stretch of 13 equal words, or stretches that cover 0.8 of
+    the item. Of these a few suffice of which only neighbours share words: one,
+    two, or more, and then the first and the third share none.
+    """
+    if words < SHORTEST:
+        return 1
+    covered, least = max(SHORTEST, -(-4 * words // 5)), float(ENOUGH if words >= 10 else words)
+    for n in range(covered, min(words, 2 * ENOUGH) + 1):
+        least = min(least, of_stretch(n, words - n))
+    for a in range(SHORTEST, min(words, 2 * ENOUGH) + 1):
+        for b in range(max(SHORTEST, covered - a), min(words, 2 * ENOUGH) + 1):
+            one, other = of_stretch(a, a), of_stretch(b, b)
+            least = min(least, max(one, other, one + other - (a + b - covered)))
+    return int(least)
+
+
+def indexed(masks: list[str]):
+    """The seeds of an item that are joined: all but the most frequent ones, as far as these hold fewer words than any overlap has in seeds.
+
+    So an overlap has a seed among the others, and a phrase of a few words that
+    many items and documents share joins none of them.
+    """
+    kept = {len(m): np.flatnonzero([c == "1" for c in m]) for m in masks}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["frequency", "item_pos", "width"], ascending=[False, True, True])
+        words, left = set(), least_in_seeds(int(rows.item_words.iloc[0])) - 1
+        out = np.ones(len(rows), dtype=bool)
+        for k, (pos, width) in enumerate(zip(rows.item_pos.tolist(), rows.width.tolist())):
+            if width not in kept:
+                break
+            more = words | {pos + int(j) for j in kept[width]}
+            if len(more) <= left:
+                words, out[k] = more, False
+        return rows.loc[out, ["seed", "item_key"]].drop_duplicates()
+
+    return run
+
+
 def item_seeds(masks: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            item, pos, seed = [], [], []
+            columns: list[list] = [[] for _ in range(5)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, at = all_seeds(word_hashes(text or "", memo), masks)
-                seed += h.view(np.int64).tolist()
-                pos += at.tolist()
-                item += [key] * len(h)
-            yield pa.record_batch([pa.array(seed, pa.int64()), pa.array(item, pa.int64()), pa.array(pos, pa.int32())], names=["seed", "item_key", "item_pos"])
+                hashes = word_hashes(text or "", memo)
+                h, at = all_seeds(hashes, masks)
+                widths = np.repeat([len(m) for m in masks], [max(0, len(hashes) - len(m) + 1) for m in masks]) if len(hashes) >= SHORTEST else np.zeros(len(h), np.int64)
+                for column, values in zip(columns, (h.view(np.int64).tolist(), [key] * len(h), at.tolist(), widths.tolist(), [len(hashes)] * len(h))):
+                    column += values
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["seed", "item_key", "item_pos", "width", "item_words"])
 
     return run
 
@@ -196,20 +276,41 @@ def judged(doc_words: list[str], item_words: list[str], shifts: list[int], min_w
     return None
 
 
+class Shifts:
+    """Where items may lie along a document: at the places of the seeds that both have."""
+
+    def __init__(self, doc_words: list[str], masks: list[str], memo: dict):
+        self.masks, self.memo = masks, memo
+        h, at = all_seeds(self._hashes(doc_words), masks)
+        order = np.argsort(h, kind="stable")
+        self.seeds, self.places = h[order], at[order]
+
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        return np.array(list(map(self.memo.__getitem__, words)), dtype=np.uint64)
+
+    def of(self, item_words: list[str]) -> list[int]:
+        h, at = all_seeds(self._hashes(item_words), self.masks)
+        first, last = (np.searchsorted(self.seeds, h, side) for side in ("left", "right"))
+        found = [np.unique(self.places[a:b] - p) for a, b, p in zip(first.tolist(), last.tolist(), at.tolist()) if b > a]
+        return np.unique(np.concatenate(found)).tolist() if found else []
+
+
 LINKS = "doc_key long, doc_id long, item_id long, matched_words long, item_words long, first_word long, end_word long, text_key long"
 
 
-def verified(min_words: int, similarity: float):
+def verified(min_words: int, similarity: float, masks: list[str]):
     share = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             for doc_key, doc_id, text, key, items in zip(*(c.to_pylist() for c in batch.columns)):
                 doc_words = words_of(text)
+                shifts = Shifts(doc_words, masks, memo)
                 for x in items:
                     item_words = words_of(x["item_text"])
-                    if found := judged(doc_words, item_words, x["shifts"], min_words, share):
+                    if found := judged(doc_words, item_words, shifts.of(item_words), min_words, share):
                         out.append((doc_key, doc_id, x["item_id"], found[0], len(item_words), *found[1:], key))
             columns = list(zip(*out)) if out else [[]] * 8
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in LINKS.split(", ")])
@@ -236,19 +337,20 @@ def links(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity
     scratch = Scratch(spark, "seeds")
     items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]
-    seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos int").distinct(), "seeds")
+    seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos long, width long, item_words long"), "seeds")
     held = spark.sparkContext.broadcast(bloom_filter(seeds_table))  # of bounded size
     kinds = "doc_id long, text string, hits array<struct<seed:long,doc_pos:int>>"
     candidates = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(candidate_rows(held, masks), kinds)
     candidates = scratch.save(candidates.withColumn("doc_key", F.monotonically_increasing_id()), "candidates")
-    hits = candidates.select("doc_key", F.explode("hits").alias("hit")).select("doc_key", "hit.seed", "hit.doc_pos")
-    pairs = hits.join(seeds_table, "seed").groupBy("doc_key", "item_key").agg(F.collect_set(F.col("doc_pos") - F.col("item_pos")).alias("shifts"))  # a document's shifts: bounded by its own length
+    hits = candidates.select("doc_key", F.explode(F.array_distinct(F.transform("hits", lambda h: h["seed"]))).alias("seed"))
+    frequency = hits.groupBy("seed").agg(F.count("*").alias("frequency"))
+    index = seeds_table.join(frequency, "seed").groupBy("item_key").applyInPandas(indexed(masks), "seed long, item_key long") if min_words >= 13 and similarity >= 0.8 else seeds_table.select("seed", "item_key")
+    pairs = hits.join(scratch.save(index, "index"), "seed").select("doc_key", "item_key").distinct()
     # A document goes once to some ITEMS of its items, not to each.
     chunks = max(1, -(-items.count() // ITEMS))
-    met = pairs.join(items, "item_key").groupBy("doc_key", F.pmod(F.xxhash64("item_key"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "item_text", "shifts")).alias("items"))
+    met = pairs.join(items, "item_key").groupBy("doc_key", F.pmod(F.xxhash64("item_key"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
     laid = met.join(candidates.select("doc_key", "doc_id", "text"), "doc_key")
-    out = laid.select("doc_key", "doc_id", "text", text_key(F.col("text")).alias("text_key"), "items").mapInArrow(verified(min_words, similarity), LINKS)
-    scratch.keep(items, seeds_table, candidates)
+    out = laid.select("doc_key", "doc_id", "text", text_key(F.col("text")).alias("text_key"), "items").mapInArrow(verified(min_words, similarity, masks), LINKS)
     return out
 
 
