@@ -175,18 +175,45 @@ def test_second_source(spark):
 
 
 def test_the_second_source_is_fetched_once_and_faults_are_passed_over(spark, tmp_path):
-    config, asked, naps = Config.of(QUARTER, tmp_path), [], []
-
-    def get(url, _):
-        asked.append(url)
-        if "0000000008" in url:
-            raise OSError("not found")
-        return [b'{"facts"', b": {}}"]
-
-    for _ in range(2):
-        found = companyfacts.fetch(config, [7, 8], get=get, sleep=naps.append)
-        assert [p.name for p in found] == ["CIK0000000007.json"]
-    assert sum("0000000007" in u for u in asked) == 1 and sum("0000000008" in u for u in asked) == 2 and len(naps) == 1
+    """Against a service of our own: what is there isn't asked for again, a fault is a row, a passing one is tried again, and all requests keep to the rate."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked, lock = [], threading.Lock()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            cik = int(self.path.strip("/"))
+            with lock:
+                asked.append((cik, time.monotonic()))
+                again = sum(c == cik for c, _ in asked)
+            self.send_response(404 if cik == 8 else 503 if cik == 9 and again == 1 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"facts": {}, "cik": cik, "agent": self.headers["User-Agent"]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        config = Config.of(QUARTER, tmp_path, rate_limit_sleep=0.1, user_agent="tests of ours")
+        url, ciks = f"http://127.0.0.1:{server.server_port}/{{cik}}", [7, 8, 9, *range(20, 32)]
+        first = {r["cik"]: r for r in companyfacts.fetch(spark, config, ciks, url).collect()}
+        assert set(first) == set(ciks) and first[8]["json"] is None and first[8]["error"] == "status 404"
+        assert all(json.loads(first[c]["json"]) == {"facts": {}, "cik": c, "agent": "tests of ours"} for c in ciks if c != 8)
+        times = sorted(t for _, t in asked)
+        counts = {c: sum(a == c for a, _ in asked) for c in ciks}
+        assert counts[9] == 2 and counts[8] == 2 and all(counts[c] == 1 for c in ciks if c not in (8, 9))  # the row of a fault is asked for by each of two scans
+        assert (len(ciks) - 1) / (times[len(ciks) - 1] - times[0]) < 2 / config.rate_limit_sleep
+        asked.clear()
+        again = {r["cik"]: r["source"] for r in companyfacts.fetch(spark, config, [c for c in ciks if c != 8], url).collect()}
+        assert set(again.values()) == {"folder"} and not asked
+        assert {r["cik"] for r in companyfacts.read(spark, companyfacts.folder(config)).collect()} == set(ciks) - {8}
+        assert not list(Path(companyfacts.folder(config)).glob("*.part"))
+    finally:
+        server.shutdown()
 
 
 def test_a_known_case(spark):

@@ -64,8 +64,8 @@ def crosscheck_(spark: SparkSession, config: Config, args: argparse.Namespace) -
     ciks = crosscheck.sample_companies(obs, args.n_ciks, args.seed)
     ours = obs.join(ciks, "cik", "left_semi")
     if not args.offline:
-        companyfacts.fetch(config, [r["cik"] for r in ciks.collect()])  # as many as were asked for
-    theirs = companyfacts.flattened(companyfacts.read(spark, str(config.raw_dir / "companyfacts"))).join(ciks, "cik", "left_semi")
+        companyfacts.fetch(spark, config, [r["cik"] for r in ciks.collect()])  # as many as were asked for
+    theirs = companyfacts.flattened(companyfacts.read(spark, companyfacts.folder(config))).join(ciks, "cik", "left_semi")
     report = crosscheck.summary(ours, theirs).first().asDict() | {"seed": args.seed, "n_ciks_sampled": ciks.count()}
     (config.out_dir / "crosscheck_summary.json").write_text(json.dumps(report, indent=1))
     write_csv(crosscheck.conflicts(ours, theirs).orderBy(*crosscheck.MATCH_KEY).limit(5000), config.table("out", "crosscheck_conflicts"))
@@ -88,8 +88,8 @@ def figure(spark: SparkSession, config: Config, args: argparse.Namespace) -> Non
 def case(spark: SparkSession, config: Config, args: argparse.Namespace) -> None:
     """A fact that is known to have been rewritten, as the second source tells it; fails unless it shows both values."""
     if not args.offline:
-        companyfacts.fetch(config, [args.cik])
-    documents = companyfacts.read(spark, str(config.raw_dir / "companyfacts"))
+        companyfacts.fetch(spark, config, [args.cik])
+    documents = companyfacts.read(spark, companyfacts.folder(config))
     told = companyfacts.series(documents, args.cik, args.tag, args.uom, dt.date.fromisoformat(args.end), dt.date.fromisoformat(args.start) if args.start else None)
     report = companyfacts.known_case(told, args.first, args.final).first().asDict()
     (config.out_dir / "known_case.json").write_text(json.dumps(report, indent=1))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import Scratch
 
 
 def nearest_rank(df: DataFrame, value: str, by: Sequence[str], quantiles: Sequence[float], count: str = "n_events") -> DataFrame:
@@ -21,6 +25,55 @@ def nearest_rank(df: DataFrame, value: str, by: Sequence[str], quantiles: Sequen
     return ranked.withColumn("q", F.explode(wanted)).where((F.col("q.place") < F.col("upto")) & (F.col("q.place") >= F.col("upto") - F.col("k"))).select(*by, count, F.col("q.quantile").alias("quantile"), "value")
 
 
+#: Parts into which a range of values is cut in each round of a selection.
+PARTS = 1024
+
+
+def part_of(low: Column, high: Column, logarithmic: bool) -> Column:
+    """The part of the range from low to high in which v lies; it never falls as v rises. Halves keep differences finite."""
+    scale = (lambda c: F.signum(c) * F.log1p(F.abs(c) * 1e6)) if logarithmic else (lambda c: c / 2)
+    at = (scale(F.col("v")) - scale(low)) / (scale(high) - scale(low))
+    return F.when(scale(high) > scale(low), F.least(F.lit(PARTS - 1), F.floor(at * PARTS))).otherwise(F.lit(0)).cast("int")
+
+
+def selected(df: DataFrame, value: str, by: Sequence[str], quantiles: Sequence[float], count: str = "n_events") -> DataFrame:
+    """The rows of ``nearest_rank``, found by narrowing ranges: for values of which nearly all are distinct.
+
+    Each round counts the values in the parts of every open range and keeps, for
+    each place sought, the part that holds it, between its least and greatest
+    value. What is moved are counts of parts, however many values there are; the
+    driver sees a row for each group and quantile. Ranges are cut by logarithms
+    and evenly in turn, so few rounds narrow any of them; a range of one value
+    is done.
+    """
+    by = list(by)
+    with Scratch(df.sparkSession, "select") as scratch:
+        rows = scratch.save(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")), "values")
+        sought: list[dict] = []
+        for cell in rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            for q in quantiles:
+                sought.append({**{c: cell[c] for c in by}, count: cell["n"], "quantile": float(q), "place": int(math.floor((cell["n"] - 1) * float(q) + 0.5)), "low": cell["low"], "high": cell["high"]})
+        logarithmic = True
+        while wanted := [s for s in sought if s["low"] < s["high"]]:
+            ranges = sorted({(*(s[c] for c in by), s["low"], s["high"]) for s in wanted}, key=str)
+            number = {r: k for k, r in enumerate(ranges)}
+            schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("range", T.IntegerType())])
+            table = df.sparkSession.createDataFrame([(*r, k) for r, k in number.items()], schema).withColumnsRenamed({c: f"of_{c}" for c in by})
+            within = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+            for c in by:
+                within = within & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+            parts = rows.join(F.broadcast(table), within).groupBy("range", part_of(F.col("low"), F.col("high"), logarithmic).alias("part")).agg(F.count("*").alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
+            before = F.sum("k").over(Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+            parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
+            places = df.sparkSession.createDataFrame([(k, number[(*(s[c] for c in by), s["low"], s["high"])], s["place"]) for k, s in enumerate(sought) if s["low"] < s["high"]], "target int, range int, place long")
+            for r in parts.join(F.broadcast(places), "range").where("place >= before and place < before + k").select("target", "before", "least", "most").collect():
+                s = sought[r["target"]]
+                s["place"], s["low"], s["high"] = s["place"] - r["before"], r["least"], r["most"]
+            logarithmic = not logarithmic
+    out = T.StructType([*[rows.schema[c] for c in by], T.StructField(count, T.LongType()), T.StructField("quantile", T.DoubleType()), T.StructField("value", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(*(s[c] for c in by), s[count], s["quantile"], s["low"]) for s in sought], out)
+
+
 def average_rank(by: Sequence[str], value: str) -> Column:
     """Rank from 1; ties share the mean of their places."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import nearest_rank
+from ..functions.ranks import nearest_rank, selected
 from ..functions.scalar import lag_bin, ratio
 from ..schema import BUSINESS_KEY, LAG_EDGES, LAG_LABELS, MIN_TAG_SAMPLE, QUANTILES, SCALE_EXPONENTS, THRESHOLDS
 
@@ -48,11 +48,16 @@ def full_groups(counts: DataFrame, *zeros: str) -> DataFrame:
     return F.broadcast(grid(counts, censoring=GROUPS)).join(counts, "censoring", "left").fillna(0, list(zeros))
 
 
+def changed_keys(events: DataFrame) -> DataFrame:
+    """The facts that were observed twice and changed: their largest change and censoring, one row each, so that later counts need no distinct facts."""
+    return events.where("n_obs >= 2").groupBy(*BUSINESS_KEY).agg(F.max("rel_delta").alias("worst"), *[F.bool_or(c).alias(c) for c in ("right_censored", "left_censored")])
+
+
 def rate_by_threshold(census: DataFrame, events: DataFrame) -> DataFrame:
     multi = by_group(census.where("n_obs >= 2")).groupBy("censoring").agg(F.count("*").alias("n_keys_multi"))
-    # A fact counts once for a threshold: its largest change decides.
-    worst = by_group(events.where("n_obs >= 2")).groupBy("censoring", *BUSINESS_KEY).agg(F.max("rel_delta").alias("worst"))
-    over = worst.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))).where("worst > threshold").groupBy("censoring", "threshold").agg(F.count("*").alias("n_keys_revised"))
+    # A fact counts once for a threshold: its largest change decides. All cells are counted in one pass over the facts with events.
+    over = by_group(changed_keys(events)).groupBy("censoring").agg(*[F.count_if(F.col("worst") > t).alias(f"over_{k}") for k, t in enumerate(THRESHOLDS)])
+    over = over.select("censoring", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"over_{k}").alias("n_keys_revised")) for k, t in enumerate(THRESHOLDS)])).alias("o")).select("censoring", "o.*")
     cells = grid(census, censoring=GROUPS, threshold=THRESHOLDS).join(multi, "censoring", "left").join(over, ["censoring", "threshold"], "left").fillna(0, ["n_keys_multi", "n_keys_revised"])
     return cells.select("censoring", "threshold", "n_keys_multi", "n_keys_revised", ratio(F.col("n_keys_revised"), F.col("n_keys_multi")).alias("rate"))
 
@@ -66,12 +71,12 @@ def all_quantiles(found: DataFrame, count: str, **cells: tuple) -> DataFrame:
 def magnitude_quantiles(census: DataFrame) -> DataFrame:
     revised = by_group(census.where("revised and not from_zero"))
     scaled = F.array_compact(F.array(F.lit("with_scale"), F.when(~F.col("ever_scale_change"), "without_scale")))
-    found = nearest_rank(revised.withColumn("scale_filter", F.explode(scaled)), "magnitude", ("censoring", "scale_filter"), QUANTILES, "n_keys")
+    found = selected(revised.withColumn("scale_filter", F.explode(scaled)), "magnitude", ("censoring", "scale_filter"), QUANTILES, "n_keys")
     return all_quantiles(found, "n_keys", censoring=GROUPS, scale_filter=("with_scale", "without_scale"))
 
 
 def rel_delta_quantiles(events: DataFrame) -> DataFrame:
-    return all_quantiles(nearest_rank(by_group(events), "rel_delta", ("censoring",), QUANTILES), "n_events", censoring=GROUPS)
+    return all_quantiles(selected(by_group(events), "rel_delta", ("censoring",), QUANTILES), "n_events", censoring=GROUPS)
 
 
 def census_composition(census: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def top_tags(counts: DataFrame, order: list[Column], top: int) -> DataFrame:
 def rate_by_tag(census: DataFrame, events: DataFrame, top: int = 20) -> DataFrame:
     """The tags with most facts that were observed twice; facts with an event are the revised ones."""
     multi = by_group(census.where("n_obs >= 2")).groupBy("censoring", "tag").agg(F.count("*").alias("n_keys_multi"))
-    hit = by_group(events.where("n_obs >= 2")).select("censoring", *BUSINESS_KEY).distinct().groupBy("censoring", "tag").agg(F.count("*").alias("n_keys_revised"))
+    hit = by_group(changed_keys(events)).groupBy("censoring", "tag").agg(F.count("*").alias("n_keys_revised"))
     counts = multi.join(hit, ["censoring", "tag"], "left").fillna(0, ["n_keys_revised"]).withColumn("rate", ratio(F.col("n_keys_revised"), F.col("n_keys_multi")))
     return top_tags(counts, [F.desc("n_keys_multi")], top)
 

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-import time
-from collections.abc import Callable, Iterable, Sequence
-from pathlib import Path
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalar import month_end, qtrs_between
-from . import download
+from . import fetched
 
 log = logging.getLogger("tideline")
 FACTS_URL = "https://data.sec.gov/api/xbrl/companyfacts/CIK{cik:010d}.json"
@@ -36,23 +34,19 @@ def flattened(documents: DataFrame) -> DataFrame:
     return rows.where(F.col("end").isNotNull()).select("cik", "tag", "uom", month_end(F.col("end")).alias("ddate"), qtrs_between(F.col("start"), F.col("end")).alias("qtrs"), "filed", "value")
 
 
-def fetch(config: Config, ciks: Sequence[int], get: Callable[[str, Config], Iterable[bytes]] = download.fetch, sleep: Callable[[float], None] = time.sleep) -> list[Path]:
-    """The files of the companies, fetched where they aren't there yet; a company whose request fails is noted and left out."""
-    folder, found = config.raw_dir / "companyfacts", []
-    folder.mkdir(parents=True, exist_ok=True)
-    for cik in ciks:
-        path = folder / f"CIK{cik:010d}.json"
-        if not path.exists():
-            try:
-                download.received(get(FACTS_URL.format(cik=cik), config), path)
-            except OSError as e:
-                log.warning("company %d: %s", cik, e)
-                continue
-            sleep(config.rate_limit_sleep)
-        found.append(path)
+def fetch(spark: SparkSession, config: Config, ciks: Sequence[int], url: str = FACTS_URL) -> DataFrame:
+    """(cik, json, source, error) of the companies, asked for by the executors where the shared folder doesn't hold them; faults are logged."""
+    rate = 1 / config.rate_limit_sleep if config.rate_limit_sleep > 0 else 1000.0
+    found = fetched.documents(spark, ciks, url, folder(config), per_second=rate, tries=config.max_retries, user_agent=config.user_agent)
+    for r in found.where("error is not null").select("cik", "error").collect():  # this runs the requests; what came is in the folder
+        log.warning("company %d: %s", r["cik"], r["error"])
     return found
 
 
+def folder(config: Config) -> str:
+    return config.table("raw", "companyfacts")
+
+
 def series(documents_: DataFrame, cik: int, tag: str, uom: str, end: dt.date, start: dt.date | None = None) -> DataFrame:
     """(filed, accn, form, value) of every version of one fact as the source tells it, by its exact end, and its start where one is given."""
     parsed = documents_.where(F.col("cik") == cik).select(F.explode(F.from_json("json", SCHEMA)["facts"]["us-gaap"][tag]["units"][uom]).alias("r"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyarrow import NativeFile
@@ -53,3 +54,20 @@ def created(uri: str) -> NativeFile:
 def moved(uri: str, to: str) -> None:
     store, path = _place(uri)
     store.move(path, _place(to)[1])
+
+
+def text_of(uri: str) -> str | None:
+    """The text of a file of a store, or None if it isn't there."""
+    try:
+        with opened(uri) as f:
+            return f.read().decode("utf-8")
+    except FileNotFoundError:
+        return None
+
+
+def put_text(uri: str, text: str) -> None:
+    """Write a file of a store; it has its name only when it is whole."""
+    part = f"{uri}.{uuid.uuid4().hex}.part"
+    with created(part) as f:
+        f.write(text.encode("utf-8"))
+    moved(part, uri)
