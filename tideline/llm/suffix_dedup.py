@@ -286,9 +286,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = rows["t1"].eqNullSafe(ids["w1"]) & (rows["t2"] == ids["w2"]) & rows["doc_id"].eqNullSafe(ids["w"])
     if wanted.count() <= MAX_BROADCAST_ROWS:
         rows = rows.join(F.broadcast(ids), same, "left_semi")
-    rows = rows.select(F.col("doc_id").alias("found_id"), "t1", "t2", "text")
-    both = rows.join(wanted, ["t1", "t2"])
-    return both.where(F.col("found_id").eqNullSafe(F.col("doc_id"))).drop("found_id")
+    # The id is part of the key: copies of a text don't meet in one task.
+    rows = rows.select(F.col("doc_id").alias("found_id"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), "text")
+    return rows.join(wanted, (F.col("f1") == F.col("t1")) & (F.col("f2") == F.col("t2")) & F.col("found_id").eqNullSafe(F.col("doc_id"))).drop("found_id", "f1", "f2")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
