@@ -99,3 +99,11 @@ def test_dates(spark):
     df = spark.createDataFrame([(d(2024, 2, 14), d(2024, 2, 15), d(2023, 12, 31))], "a date, b date, s date")
     row = df.select(month_end(F.col("a")).alias("a"), month_end(F.col("b")).alias("b"), qtrs_between(F.col("s"), F.col("b")).alias("q"), qtrs_between(F.lit(None).cast("date"), F.col("b")).alias("z")).first()
     assert tuple(row) == (d(2024, 1, 31), d(2024, 2, 29), 1, 0)
+
+
+def test_distinct_values_are_told_as_numbers(make):
+    """Zeros of either sign are one value, and so is what is no number."""
+    values = {1: [0.0, -0.0], 2: [float("nan"), float("nan")], 3: [float("nan"), 1.0, float("nan")], 4: [5.0, 6.0, 5.0, 7.0], 5: [2.0]}
+    rows = make([observation(cik, f"{cik}-{k}", f"2022-0{k + 1}-01", v) for cik, vs in values.items() for k, v in enumerate(vs)])
+    got = {r["cik"]: (r["n_obs"], r["n_distinct_val"], r["n_revisions"], r["revised"]) for r in revisions.census(rows, CONFIG).collect()}
+    assert got == {1: (2, 1, 0, False), 2: (2, 1, 0, False), 3: (3, 2, 1, True), 4: (4, 3, 2, True), 5: (1, 1, 0, False)}

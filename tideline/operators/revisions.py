@@ -74,13 +74,16 @@ def census(facts: DataFrame, config: Config, tag_map: DataFrame | None = None) -
     """One row for each fact with a value: its life, its censoring, and the flags of its events.
 
     The flags come out of the same pass as the rest: events and census share
-    one distribution of the rows by business key.
+    one distribution of the rows by business key, and one sort. Distinct values
+    are counted in the window over a fact's versions, which keeps that sort.
     """
     order = F.struct("filed", "adsh")
     old, new = F.col("value_old"), F.col("value")
-    base = series(valued(facts, tag_map)).groupBy(*BUSINESS_KEY).agg(
+    number = F.when(~F.isnan("value"), F.col("value") + 0.0)  # zeros are equal whatever their sign, and so are values that are no number
+    distinct = F.size(F.collect_set(number).over(Window.partitionBy(*BUSINESS_KEY)))
+    base = series(valued(facts, tag_map)).withColumn("distinct", distinct).groupBy(*BUSINESS_KEY).agg(
         F.count("*").alias("n_obs"),
-        F.count_distinct("value").alias("n_distinct_val"),
+        (F.max("distinct") + F.max(F.isnan("value").cast("int"))).cast("long").alias("n_distinct_val"),
         F.min_by("value", order).alias("v_first"),
         F.max_by("value", order).alias("v_final"),
         F.min("filed").alias("filed_first"),

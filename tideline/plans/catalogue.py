@@ -397,7 +397,8 @@ def rising_tags(spark, d):
 
 
 def renamed(spark, d):
-    return bridge.renamed(bridge.observations(spark, d))
+    """The facts that detection reads several times: derived here, so written once; a stored table is read as it is."""
+    return Scratch(spark, "renamed").save(bridge.renamed(bridge.observations(spark, d)).select("cik", "adsh", "filed", "tag", "ddate", "qtrs", "uom", "value"), "facts")
 
 
 def pairs(spark):

@@ -79,7 +79,8 @@ def download(config: Config, quarters: tuple[str, ...] | None = None, get: Calla
                 break
             except OSError as e:
                 manifest[quarter]["error"] = str(e)
-                sleep(2**attempt)
+                if attempt + 1 < config.max_retries:
+                    sleep(2**attempt)
         write_manifest(config, manifest)
         if manifest[quarter]["status"] != "ok":
             raise DownloadError(f"{quarter}: {manifest[quarter].get('error')}")

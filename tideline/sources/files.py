@@ -20,6 +20,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file of the store, or None if it isn't there."""
+    where, files = _store(spark, path)
+    return files.getFileStatus(where).getLen() if files.exists(where) else None
+
+
 def put(spark: SparkSession, local: Path, path: str, keep: bool = False) -> None:
     """Move a file of the driver's into the store, or copy it."""
     where, files = _store(spark, path)
