@@ -250,3 +250,19 @@ def test_languages_of_odd_documents(spark):
     assert language_id.predict(docs.limit(0)).count() == 0
     unlearned = language_id.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in unlearned} == {("und", 0.0)}
+
+
+@pytest.mark.parametrize("name", ["op11_segment_hard_negatives", "op12_z_fast_prefix_trie"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tideline.llm import queries
+
+    duck = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        duck.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    ours, cursor = queries.QUERIES[name](spark, SMALL), duck.execute(queries.ORACLE_SQL[name])
+    names, columns_ = sorted(ours.columns), [d[0] for d in cursor.description]
+    assert sorted(columns_) == names
+    want = sorted((tuple(r[columns_.index(c)] for c in names) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c] for c in names) for r in ours.collect()), key=str) == want != []

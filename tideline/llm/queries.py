@@ -100,4 +100,29 @@ ORACLE_SQL: dict[str, str] = {
                negative_id, positive_score, negative_score, positive_rank
         from n
         qualify row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) <= 10""",
+    # The first CTEs are the CRC-32 of the ids' digits, bit by bit; paths are lists of turns, and a node is a list.
+    "op12_z_fast_prefix_trie": """
+        with recursive crc(conv_id, s, step, c) as (
+            select distinct conv_id, cast(conv_id as varchar), 0, cast(4294967295 as bigint) from conversations where conv_id is not null
+            union all
+            select conv_id, s, step + 1, case when x & 1 = 1 then xor(x >> 1, cast(3988292384 as bigint)) else x >> 1 end
+            from (select *, case when step % 8 = 0 then xor(c, cast(ascii(substr(s, step // 8 + 1, 1)) as bigint)) else c end as x from crc where step < 8 * length(s))),
+        own as (
+            select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first) as turns
+            from conversations where conv_id is not null group by conv_id),
+        built as (
+            select o.conv_id, list_concat(coalesce(b.turns[1:h.h], []), o.turns[h.h + 1:]) as path
+            from own o join (select conv_id, xor(c, cast(4294967295 as bigint)) % 9 as h from crc where step = 8 * length(s)) h using (conv_id)
+            left join own b on b.conv_id = o.conv_id - o.conv_id % 5),
+        steps as (select conv_id, len(path) as n, unnest(range(0, len(path) + 1)) as depth, path from built),
+        nodes as (
+            select path[1:depth] as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                   sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+            from steps group by 1, 2),
+        kids as (select node[1:depth - 1] as node, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by 1, 2),
+        full_ as (select n.*, coalesce(k.n_children, 0) as n_children, case when n.depth > 0 then (n.n_convs - 1) * octet_length(encode(n.node[n.depth].t)) else 0 end as saved from nodes n left join kids k using (node, depth)),
+        above as (select node[1:up] as node, up as depth, sum(saved) as saved_tokens, count(case when n_children = 0 then 1 end) as n_leaves
+                  from (select *, unnest(range(0, depth + 1)) as up from full_) group by 1, 2)
+        select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, a.n_leaves, cast(a.saved_tokens as bigint) as saved_tokens, f.ends_sha256
+        from full_ f join above a using (node, depth) left join nodes p on p.depth = f.depth - 1 and p.node = f.node[1:f.depth - 1]""",
 }
