@@ -343,7 +343,8 @@ def redact(docs: DataFrame) -> DataFrame:
     columns stay, whatever their names. Texts are scanned once: they are
     written beside their candidates, on which the classifier is trained.
     """
-    table = Scratch(docs.sparkSession, "redact").save(candidates(docs), "candidates")
+    table = Scratch(docs.sparkSession, "redact").save(candidates(docs).drop("text"), "candidates")  # the row has its text
+    table = table.withColumn("text", F.coalesce(F.col("row.text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit(""))
     marked = with_accepted(table, accepted_patterns(table))
     marked = marked.withColumn("order", F.array_sort(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["place"].alias("place"), x["kind"].alias("kind")))))
     marked = scanned(marked.withColumn("ends", F.transform("order", lambda x: x["end"])), "ends", "reach", lambda a, b: F.greatest(a, b))
