@@ -51,11 +51,15 @@ def rising(used: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def successors(facts: DataFrame, old: DataFrame, new: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(old_tag, new_tag, support_ciks): rising tags on a dying tag's slots after its last filing there; the best few of each.
 
-    All dying tags at once; their slots are reduced to one row each before the join.
+    All dying tags at once. A slot's tags are sorted by their last filing once,
+    and each rising one takes the dying ones that ended before it: the facts are
+    moved once, and no pair is made that the days rule out. Null parts of a slot match nothing.
     """
-    last = facts.join(old.select("tag"), "tag", "left_semi").groupBy(F.col("tag").alias("old_tag"), *SLOT).agg(F.max("filed").alias("last"))
-    later = facts.join(new.select("tag"), "tag", "left_semi").groupBy(F.col("tag").alias("new_tag"), *SLOT).agg(F.max("filed").alias("seen"))
-    met = last.join(later, list(SLOT)).where("new_tag <> old_tag and seen > last")
+    roles = old.select("tag", F.lit(True).alias("ends")).join(new.select("tag", F.lit(True).alias("begins")), "tag", "full_outer")
+    ended = facts.dropna(subset=[*SLOT, "filed"]).join(roles, "tag").groupBy("tag", "ends", "begins", *SLOT).agg(F.max("filed").alias("last"))
+    before = Window.partitionBy(*SLOT).orderBy(F.unix_date("last")).rangeBetween(Window.unboundedPreceding, -1)
+    met = ended.withColumn("old_tag", F.collect_list(F.when(F.col("ends"), F.col("tag"))).over(before)).where("begins")
+    met = met.select(F.explode("old_tag").alias("old_tag"), F.col("tag").alias("new_tag"), "cik").where("new_tag <> old_tag")
     support = met.select("old_tag", "new_tag", "cik").distinct().groupBy("old_tag", "new_tag").agg(F.count("*").alias("support_ciks"))
     place = F.row_number().over(Window.partitionBy("old_tag").orderBy(F.desc("support_ciks"), "new_tag"))
     return support.withColumn("place", place).where(F.col("place") <= rules.top).drop("place")
