@@ -11,10 +11,11 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, SMALL, docs_of, odd_documents, tables
-from tideline.llm import components, minhash, packing, spaced_seeds, suffix_dedup
+from tideline.llm import common, components, minhash, packing, spaced_seeds, suffix_dedup
 from tideline.llm.common import Scratch
 from tideline.scratch import shared_folder
 
@@ -54,6 +55,39 @@ def near_copies(r, base, n, most):
     return out
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_frequent_key_is_spread_and_loses_no_row(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "SPREAD", 16)
+    rows = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 50 = 1 then null else id % 40 + 100 end as key")
+    keyed = rows.where("key is not null and key <> 139").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    out = common.spread_join(rows, keyed, ["key"], "n", "id", how)
+    assert sorted(out.columns) == ["id", "key", "least"]
+    assert sorted(map(str, out.select("id", "key", "least").collect())) == sorted(map(str, rows.join(keyed, "key", how).select("id", "key", "least").collect()))
+    tasks = out.where("key = 7").select(F.xxhash64("id") % 21).distinct().count()  # 334 rows go 21 ways
+    assert tasks > 5
+
+
+def test_links_and_repeats_with_spread_keys_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD", 3)
+    r = random.Random(8)
+    base = words(r, 120)
+    texts = near_copies(r, base, 60, 30) + [" ".join(base)] * 20 + [" ".join(words(r, 60)) for _ in range(10)]
+    rows = list(enumerate(texts))
+    found = minhash.near_duplicates(docs_of(spark, rows), 2).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == brute_components(rows, 2)
+    found = suffix_dedup.repeated_bytes(docs_of(spark, rows), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, found)) == brute_bytes(rows, 200)
+
+
+def test_no_setting_of_the_session_changes(spark):
+    before = dict(spark.conf.getAll)
+    docs = docs_of(spark, [(1, "some words of a text"), (2, None)])
+    minhash.near_duplicates(docs).collect()
+    suffix_dedup.repeated_bytes(docs).collect()
+    packing.pack(docs).collect()
+    assert dict(spark.conf.getAll) == before
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_components_of_near_copies_against_brute_force(spark, n):
     r = random.Random(n)

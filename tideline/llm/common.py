@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Batches for Python of some hundred rows, unless the session asks for other than Spark's ten thousand: a row is a whole text."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+#: Texts that a task works on at once; Spark bounds the bytes of the batches that these are cut from.
+PIECE = 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches from Spark in pieces of some hundred rows, as a row is a whole text; no setting of the session is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
 
 
 def pick(df: DataFrame, name: str, kind: str) -> Column:
@@ -50,6 +58,29 @@ def named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
     return docs.join(small(names), same, how)
 
 
+#: Rows of one key that a join leaves in one task, and the most keys that it takes apart.
+SPREAD, MOST_SPREAD = 1024, 20_000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], count: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, one row for each ``key`` with the ``count`` of its rows, without meeting in one task where a key is frequent.
+
+    Keys of more than SPREAD rows (of more than a MOST_SPREADth of all, if that
+    is more) have their row of ``keyed`` copied to several ways, and their rows
+    are dealt over the ways by the hash of ``by``. So the frequent keys are
+    MOST_SPREAD at most, which bounds what is broadcast. Null keys meet
+    nothing; ``keyed`` should be a saved table, as it is read three times.
+    """
+    least = max(SPREAD, (keyed.agg(F.sum(count)).first()[0] or 0) // MOST_SPREAD)
+    ways = F.greatest(F.ceil(F.col(count) / least), F.lit(1)).cast("int")
+    frequent = keyed.where(F.col(count) > least).select(*key, ways.alias("ways"))
+    copied = keyed.withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    if frequent.isEmpty():
+        return rows.join(keyed, key, how).drop(count)
+    way = F.coalesce(F.pmod(F.xxhash64(by), F.col("ways")).cast("int"), F.lit(0))
+    return rows.join(F.broadcast(frequent), key, "left").withColumn("way", way).drop("ways").join(copied, [*key, "way"], how).drop("way", count)
+
+
 def place_in_order(ordered: DataFrame, scratch: Scratch, size: str | None = None) -> DataFrame:
     """``ordered``, saved, with ``before``: the rows, or the sum of ``size``, ahead of a row in its sort order.
 

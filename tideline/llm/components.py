@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 
 
 def star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
@@ -15,8 +15,8 @@ def star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     else:
         around = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     around = scratch.save(around, "around")
-    least = scratch.save(around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least")), "least")
-    near = around.join(least, "x")
+    least = scratch.save(around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("least"), F.count("*").alias("degree")), "least")
+    near = spread_join(around, least, ["x"], "degree", "y")
     if large:
         out = near.where(F.col("y") > F.col("x")).select(F.col("y").alias("x"), F.col("least").alias("y"))
     else:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, text_batches
+from .common import pick, pieces
 
 # Element names and class words of the HTML standard and common usage.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -305,7 +305,7 @@ def main_text(html: str) -> str:
 
 
 def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [main_text(h.as_py() or "") for h in batch.column(2)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -321,5 +321,4 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are kept; an empty table gives no rows; other columns are not
     read.
     """
-    text_batches(pages.sparkSession)
     return pages.select(pick(pages, "page_id", "long"), pick(pages, "url", "string"), pick(pages, "html", "string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_remainder, pick, text_batches
+from .common import Scratch, crc_remainder, pick, pieces
 
 ORDER, BITS = 4, 6
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n = merged(parts)
             yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n)], names=["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in pieces(batches):
         texts: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for keys in read.grams(text.as_py() or ""):
@@ -166,7 +166,7 @@ def judged(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, read = held.value, Symbols()
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, bits = [], []
             for text in batch.column(2):
                 n, logs = 0, 0.0
@@ -265,7 +265,6 @@ def predict(docs: DataFrame, folds: int = 4, held_out_fold: int = 2, kept: float
     in parts. Repeated rows are counted and predicted each. Columns other than
     doc_id, text and lang are not read; an empty table gives none.
     """
-    text_batches(docs.sparkSession)
     rows = docs.select(pick(docs, "doc_id", "long"), pick(docs, "lang", "string"), pick(docs, "text", "string"))
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), folds) == held_out_fold, F.lit(False))
     model = learn(rows.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()), kept)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, text_batches, text_key
+from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, pieces, spread_join, text_key
 from .components import components
 
 BANDS, ROWS = 24, 5
@@ -86,7 +86,7 @@ def signature(h: np.ndarray) -> np.ndarray:
 def signed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, digests, signatures = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py() or "")
@@ -284,7 +284,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     at the threshold is missed by the bands with probability (1 - s**5)**24,
     under 1e-4, and by the signatures with ``miss`` at most, over all batches.
     """
-    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     least = least_matches(percent / 100, miss)
     read = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))
@@ -297,17 +296,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))).alias("band", "bucket")
     banded = nodes.select("node", band)
     crowded = scratch.save(banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
-    seats = scratch.save(banded.join(crowded, "bucket"), "seats")
+    seats = scratch.save(spread_join(banded, crowded.withColumn("seats", F.col("crowd")), ["bucket"], "seats", "node"), "seats")
     central = seats.groupBy("node").agg(F.sum("crowd").alias("central"))
-    hubs = scratch.save(seats.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("central"), -F.col("node"))).alias("hub")), "hubs")
-    seated = seats.join(hubs, "bucket")
+    hubs = scratch.save(seats.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("central"), -F.col("node"))).alias("hub"), F.count("*").alias("seated")), "hubs")
+    seated = spread_join(seats, hubs, ["bucket"], "seated", "node")
 
     # Every member meets the hubs of its buckets.
     met = scratch.save(seated.where("node <> hub").select("node", "hub").distinct(), "met")
-    parts = met.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    parts = scratch.save(met.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("met")), "parts")
     no = F.lit(False)
     guests = parts.select(F.col("hub").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(True).alias("guest"))
-    members = met.join(parts, "hub").select(F.col("hub").alias("owner"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", no.alias("guest"))
+    members = spread_join(met, parts, ["hub"], "met", "node").select(F.col("hub").alias("owner"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", no.alias("guest"))
     cells = members.union(guests.select("owner", "part", "node", "guest")).select("owner", "part", F.lit(-1).alias("band"), "node", F.col("node").alias("root"), "guest", no.alias("late"))
     links = links_of(cells, nodes, docs, least, words, percent, scratch)
     roots = scratch.save(components(links, scratch), "roots")
@@ -315,10 +314,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     # Stragglers of a bucket, members outside its hub's component, meet all members but the hub.
     rooted = scratch.save(seated.where("crowd > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     hub_root = F.max(F.when(F.col("node") == F.col("hub"), F.col("root")))
-    split = rooted.groupBy("bucket").agg(hub_root.alias("hub_root"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "hub_root")
-    open_ = scratch.save(rooted.where("node <> hub").join(split, "bucket").withColumn("late", F.col("root") != F.col("hub_root")), "open")
-    sides = open_.groupBy("bucket").agg(F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if("late") / CELL).cast("int").alias("down"))
-    sided = open_.join(sides, "bucket")
+    split = scratch.save(rooted.groupBy("bucket").agg(hub_root.alias("hub_root"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("rooted")).where("a <> b").select("bucket", "hub_root", "rooted"), "split")
+    open_ = scratch.save(spread_join(rooted.where("node <> hub"), split, ["bucket"], "rooted", "node").withColumn("late", F.col("root") != F.col("hub_root")), "open")
+    sides = scratch.save(open_.groupBy("bucket").agg(F.count("*").alias("opened"), F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if("late") / CELL).cast("int").alias("down")), "sides")
+    sided = spread_join(open_, sides, ["bucket"], "opened", "node")
 
     def side(rows: DataFrame, guest: bool, own: str, other: str) -> DataFrame:
         mine, theirs = F.pmod(F.xxhash64("node", F.lit(guest)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs")
@@ -334,12 +333,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     heads = roots.join(nodes.select("node", F.col("first.doc_id").alias("first_id")), "node").groupBy("root").agg(F.min("first_id").alias("head"))
     node_heads = roots.join(heads, "root").select("node", "head")
     first_id = F.col("first.doc_id")
-    of_words = nodes.join(node_heads, "node", "left").where("head is not null or copies > 1").select("words", F.coalesce("head", first_id).alias("component_id"))
+    of_words = nodes.join(node_heads, "node", "left").where("head is not null or copies > 1").select("words", F.coalesce("head", first_id).alias("component_id"), "copies")
     of_words = scratch.save(of_words, "of-words")
     scratch.keep(table, of_words)
     narrow = table.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words"))
     # Texts without words have no part in the join.
-    linked = narrow.where("words is not null").join(of_words, "words", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
+    linked = spread_join(narrow.where("words is not null"), of_words, ["words"], "copies", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     out = linked.union(narrow.where("words is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, text_batches
+from .common import Scratch, pick, pieces
 
 #: Texts made of these characters only: there the rank-file reader of the same vocabulary splits as the tokenizer does.
 PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ſ]*")
@@ -65,7 +65,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces_of(capacity: int, end_id: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(token_ids(text.as_py() or "", name), np.uint32(end_id)).astype("<u4")
@@ -135,7 +135,6 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, name: str = "by
     than doc_id and text are not read.
     """
     spark: SparkSession = docs.sparkSession
-    text_batches(spark)
     pieces = Scratch(spark, "packing").save(docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(pieces_of(capacity, end_id, name), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("task_pieces"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("task_pieces").alias("n")).collect()}  # a row for each length

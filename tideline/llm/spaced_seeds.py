@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, named, pick, text_batches, text_key
+from .common import Scratch, named, pick, pieces, text_key
 
 WORD = re.compile(r"\w+")
 #: Which words of a window count; zeros at the end only fill it up.
@@ -160,7 +160,7 @@ def indexed(masks: list[str]):
 def item_seeds(masks: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             columns: list[list] = [[] for _ in range(5)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = word_hashes(text or "", memo)
@@ -214,7 +214,7 @@ def candidate_rows(held, masks: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, memo = held.value, WordHashes()
         bits = (len(bloom) * 64).bit_length() - 1
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
@@ -303,7 +303,7 @@ def verified(min_words: int, similarity: float, masks: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc_key, doc_id, text, key, items in zip(*(c.to_pylist() for c in batch.columns)):
                 doc_words = words_of(text)
@@ -333,7 +333,6 @@ def links(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity
     repeated documents apart.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     scratch = Scratch(spark, "seeds")
     items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, Scratch, pick, text_batches
+from .common import MAX_BROADCAST_ROWS, Scratch, pick, pieces, spread_join
 
 LENGTH = 200
 #: Stretches of one anchor in a shard, and stretches in a shard, about.
@@ -109,7 +109,7 @@ def digested(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "t1", "t2", "n_bytes", "sha256", "anchor", "stretch", "place", "again"]
         kinds = [pa.int64(), pa.string(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.bool_())]]
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
             lists: list[list] = [[] for _ in range(4)]
             for text, (anchor, first, count) in zip(texts, anchors(texts, length)):
@@ -255,7 +255,7 @@ def merged_runs(group: pd.DataFrame) -> pd.DataFrame:
 
 def cleaned(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, spans, digests, texts = [], [], [], []
             for text, firsts, ends in zip(*(c.to_pylist() for c in batch.columns[1:4])):
                 data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
@@ -303,7 +303,6 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     doc_id and text are not read. ``length`` is from 24 to 255 more than its
     anchor's window.
     """
-    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce(pick(docs, "text", "string"), F.lit(""))
     kinds = "doc_id long, t1 long, t2 long, n_bytes long, sha256 string, anchor array<long>, stretch array<long>, place array<long>, again array<boolean>"
@@ -314,9 +313,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     sent = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_ROWS else copies
     leads = rows.join(sent, "sha256", "left").where("lead is null or lead = row")
     each = leads.select("row", F.explode(F.arrays_zip("anchor", "stretch", "place", "again")).alias("a")).select("row", "a.*")
-    found = each.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("stretch").alias("low_stretch"), F.max("stretch").alias("high_stretch"), F.bool_or("again").alias("again"))
-    repeated = scratch.save(found.where("again or low <> high").select("anchor", (F.col("low_stretch") != F.col("high_stretch")).alias("varied")), "repeated")
-    seen = scratch.save(each.drop("again").join(repeated, "anchor"), "seen").withColumn("first", F.shiftright("place", 8).cast("int")).withColumn("end", F.col("first") + (F.col("place") % 256).cast("int"))
+    found = each.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("stretch").alias("low_stretch"), F.max("stretch").alias("high_stretch"), F.bool_or("again").alias("again"), F.count("*").alias("n"))
+    repeated = scratch.save(found.where("again or low <> high").select("anchor", (F.col("low_stretch") != F.col("high_stretch")).alias("varied"), "n"), "repeated")
+    seen = scratch.save(spread_join(each.drop("again"), repeated, ["anchor"], "n", "row"), "seen").withColumn("first", F.shiftright("place", 8).cast("int")).withColumn("end", F.col("first") + (F.col("place") % 256).cast("int"))
 
     # Anchors with one stretch: all its starts occur again. The others' stretches are sorted.
     plain, varied = seen.where("not varied"), seen.where("varied")
@@ -327,19 +326,20 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     cut = cut.select("row", F.explode("places").alias("p"), F.encode("text", "utf-8").alias("data")).select(
         "row", "p.anchor", "p.stretch", "p.first", F.substring("data", F.col("p.first") + 1, F.col("p.end") - F.col("p.first") + (length - 1)).alias("bytes")
     )
-    stretches = scratch.save(cut.groupBy("anchor", "stretch").agg((F.count("*") > 1).alias("many"), F.any_value("bytes").alias("bytes")), "stretches")
+    stretches = scratch.save(cut.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.any_value("bytes").alias("bytes")), "stretches")
     crowd = scratch.save(stretches.groupBy("anchor").agg(F.count("*").alias("n")), "crowd")
     shards = max(1, -(-(crowd.agg(F.sum("n")).first()[0] or 0) // SHARD))
     chunks = F.ceil(F.col("n") / CHUNK)
-    dealt = stretches.join(crowd, "anchor").withColumn("chunks", chunks.cast("int")).withColumn("chunk", F.pmod("stretch", chunks).cast("int"))
+    crowd = crowd.withColumn("chunks", chunks.cast("int"))
+    dealt = spread_join(stretches, crowd, ["anchor"], "n", "stretch").withColumn("chunk", F.pmod("stretch", "chunks").cast("int"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor", "chunk"), F.lit(shards)).cast("int"))
-    marks = scratch.save(dealt.select("shard", "anchor", "stretch", "many", "chunks", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), MARKS), "marks")
+    marks = scratch.save(dealt.select("shard", "anchor", "stretch", (F.col("copies") > 1).alias("many"), "chunks", "chunk", "bytes").groupBy("shard").applyInPandas(shard_marks(length), MARKS), "marks")
     ends = "anchor long, stretch long, first array<int>, end array<int>"
     across = marks.where("part >= 0").groupBy("anchor", "part").applyInPandas(merged_runs, ends)
     inside = marks.where("part < 0").select("anchor", "stretch", "first", "end")
     offsets = inside.union(across).groupBy("anchor", "stretch").agg(F.flatten(F.collect_list("first")).alias("from"), F.flatten(F.collect_list("end")).alias("to"))  # at most the starts of one stretch
-    offsets = scratch.save(offsets, "offsets")
-    moved = varied.join(offsets, ["anchor", "stretch"]).select("row", F.transform("from", lambda x: x + F.col("first")).alias("f"), F.transform("to", lambda x: x + F.col("first")).alias("e"))
+    offsets = scratch.save(offsets.join(stretches.select("anchor", "stretch", "copies"), ["anchor", "stretch"]), "offsets")
+    moved = spread_join(varied, offsets, ["anchor", "stretch"], "copies", "row").select("row", F.transform("from", lambda x: x + F.col("first")).alias("f"), F.transform("to", lambda x: x + F.col("first")).alias("e"))
 
     spans = plain.select("row", F.array("first").alias("f"), F.array("end").alias("e")).union(moved)
     marked = spans.groupBy("row").agg(F.flatten(F.collect_list("f")).alias("firsts"), F.flatten(F.collect_list("e")).alias("ends"))  # bounded by the text's own length

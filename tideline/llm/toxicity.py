@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_remainder, pick, text_batches
+from .common import Scratch, crc_remainder, pick, pieces
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -45,7 +45,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     # Labels are narrow: the sample is drawn from those whose document exists, before any text moves.
     chosen = chosen.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))  # at most ``limit`` rows
-    text_batches(docs.sparkSession)
     with Scratch(docs.sparkSession, "sample") as scratch:
         rows = scratch.save(rows, "rows")
         before, kept = 0, []
@@ -128,7 +127,7 @@ def scorer(weights: dict[str, float], leak: float, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             scored = [document_score(t.as_py() or "", weights, known, leak, least) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array([f for _, f in scored], kind)], names=["doc_id", "score", "offending"])
 
@@ -163,7 +162,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_s
     known, place = frozenset(weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([document_score(t.as_py() or "", weights, known, leak, threshold)[0] < threshold for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
