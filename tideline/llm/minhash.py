@@ -291,12 +291,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")  # null ids come last
     nodes = table.where("n_shingles > 0").groupBy("words").agg(F.min(first).alias("first"), F.any_value("signature").alias("signature"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Signatures are kept once, with the nodes.
+    narrow = scratch.save(table.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words")), "rows")
+    scratch.drop(table)
 
     # Buckets with at least two nodes, and their hubs.
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))).alias("band", "bucket")
     banded = nodes.select("node", band)
     crowded = scratch.save(banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
     seats = scratch.save(spread_join(banded, crowded.withColumn("seats", F.col("crowd")), ["bucket"], "seats", "node"), "seats")
+    scratch.drop(crowded)
     central = seats.groupBy("node").agg(F.sum("crowd").alias("central"))
     hubs = scratch.save(seats.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("central"), -F.col("node"))).alias("hub"), F.count("*").alias("seated")), "hubs")
     seated = spread_join(seats, hubs, ["bucket"], "seated", "node")
@@ -309,13 +313,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     members = spread_join(met, parts, ["hub"], "met", "node").select(F.col("hub").alias("owner"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", no.alias("guest"))
     cells = members.union(guests.select("owner", "part", "node", "guest")).select("owner", "part", F.lit(-1).alias("band"), "node", F.col("node").alias("root"), "guest", no.alias("late"))
     links = links_of(cells, nodes, docs, least, words, percent, scratch)
+    scratch.drop(met, parts)
     roots = scratch.save(components(links, scratch), "roots")
 
     # Stragglers of a bucket, members outside its hub's component, meet all members but the hub.
     rooted = scratch.save(seated.where("crowd > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    scratch.drop(seats, hubs)
     hub_root = F.max(F.when(F.col("node") == F.col("hub"), F.col("root")))
     split = scratch.save(rooted.groupBy("bucket").agg(hub_root.alias("hub_root"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("rooted")).where("a <> b").select("bucket", "hub_root", "rooted"), "split")
     open_ = scratch.save(spread_join(rooted.where("node <> hub"), split, ["bucket"], "rooted", "node").withColumn("late", F.col("root") != F.col("hub_root")), "open")
+    scratch.drop(rooted, split)
     sides = scratch.save(open_.groupBy("bucket").agg(F.count("*").alias("opened"), F.ceil(F.count("*") / CELL).cast("int").alias("across"), F.ceil(F.count_if("late") / CELL).cast("int").alias("down")), "sides")
     sided = spread_join(open_, sides, ["bucket"], "opened", "node")
 
@@ -335,8 +342,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     first_id = F.col("first.doc_id")
     of_words = nodes.join(node_heads, "node", "left").where("head is not null or copies > 1").select("words", F.coalesce("head", first_id).alias("component_id"), "copies")
     of_words = scratch.save(of_words, "of-words")
-    scratch.keep(table, of_words)
-    narrow = table.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("words")).alias("words"))
+    scratch.keep(narrow, of_words)
     # Texts without words have no part in the join.
     linked = spread_join(narrow.where("words is not null"), of_words, ["words"], "copies", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
     out = linked.union(narrow.where("words is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
