@@ -10,12 +10,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, SMALL, docs_of, odd_documents, tables
-from tideline.llm import common, components, minhash, packing, spaced_seeds, suffix_dedup
+from tideline.llm import bloom, common, components, minhash, packing, spaced_seeds, suffix_dedup
 from tideline.llm.common import Scratch
 from tideline.scratch import shared_folder
 
@@ -131,6 +132,66 @@ def test_cells_meet_every_straggler_with_every_member_once(spark, monkeypatch, c
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(rows, 2)
 
 
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.3)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_nothing_moves_of_nodes_without_a_neighbour_but_names_and_one_signature(spark):
+    """Of a text like no other: its signature once, a count for each of its buckets, and its ids; no seats, no text, no other copy of the signature."""
+    r = random.Random(12)
+    rows = list(enumerate([" ".join(words(r, 60)) for _ in range(1500)] + near_copies(r, words(r, 60), 40, 10)))
+    docs = docs_of(spark, rows).repartition(4).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        found = minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, found)) == brute_components(rows, 5)
+    assert 300 < moved / len(rows) < 900
+
+
+def test_texts_past_the_broadcast_come_by_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MAX_BROADCAST_ROWS", 0)
+    r = random.Random(13)
+    base = words(r, 90)
+    rows = [(None if k == 3 else k, t) for k, t in enumerate(near_copies(r, base, 60, 20) + [" ".join(words(r, 30)) for _ in range(400)])]
+    rows += [rows[1], rows[1], (900, rows[2][1])]
+    found = minhash.near_duplicates(docs_of(spark, rows), words=2).select("doc_id", "n_shingles", "component_id").collect()
+    monkeypatch.undo()
+    assert sorted(map(str, found)) == sorted(map(str, minhash.near_duplicates(docs_of(spark, rows), words=2).select("doc_id", "n_shingles", "component_id").collect()))
+    docs = docs_of(spark, rows).withColumn("text_key", common.text_key(F.col("text"))).select("doc_id", "text", "text_key")
+    held = spark.sparkContext.broadcast(bloom.bloom_filter(docs.where("doc_id = 2").select("text_key"), minhash.BITS_A_KEY))
+    assert [r["doc_id"] for r in docs.mapInArrow(minhash.sifted(held), docs.schema).collect()] == [2, 900]
+
+
+def test_bloom_filters_lose_no_key_and_are_bounded(spark, monkeypatch):
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 60_000)
+    table = spark.createDataFrame(pd.DataFrame({"key": keys[:40_000]}))
+    held = bloom.bloom_filter(table, 16)
+    assert bloom.may_hold(held, keys[:40_000].view(np.uint64)).all()
+    assert bloom.may_hold(held, keys[40_000:].view(np.uint64)).mean() < 0.01
+    assert bloom.may_hold(held, keys[:0].view(np.uint64)).tolist() == []
+    monkeypatch.setattr(bloom, "MOST_BITS", 18)
+    held = bloom.bloom_filter(table, 16)
+    assert len(held) * 64 == 1 << 18 and bloom.may_hold(held, keys[:40_000].view(np.uint64)).all()
+
+
+def test_buckets_are_the_bands_of_signatures():
+    marks = np.random.default_rng(4).integers(0, 2, (300, minhash.HASHES), dtype=np.uint8) * np.uint8(255)
+    found = minhash.buckets_of(pa.array([m.tobytes() for m in marks], pa.binary()))
+    told = {}
+    for m, row in zip(marks, found.tolist()):
+        for band, bucket in enumerate(row):
+            assert told.setdefault(bucket, key := (band, m[band * minhash.ROWS : (band + 1) * minhash.ROWS].tobytes())) == key
+    assert len(set(told.values())) == len(told)
+
+
 def test_near_duplicates_of_odd_documents(spark):
     odd = odd_documents(spark)
     got = sorted(((r["doc_id"] or -1), r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.near_duplicates(odd, words=2).collect())

@@ -5,7 +5,13 @@ them, are one node. Nodes that agree on a band of their signatures are
 candidates. A candidate pair's signatures are compared batch by batch, and it
 is dropped as soon as the posterior probability that its similarity reaches the
 threshold falls under the chosen miss probability; survivors are confirmed on
-their full shingle sets.
+their full shingle sets. Of each least hash a signature keeps eight bits (b-bit
+MinHash): two differing ones agree in 1 of 256 cases, which adds candidates and
+loses none, as equal ones agree as before.
+
+Signatures stay where they are until it is known which buckets hold two nodes.
+A Bloom filter of these buckets, of bounded size, tells in a pass over the nodes
+those that can have a seat; signatures and seats of no others are moved.
 
 A bucket is never expanded into all its pairs. First each member meets only the
 bucket's hub, the member that shares most buckets. Then, in buckets that still
@@ -28,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_hold
 from .common import MAX_BROADCAST_ROWS, Scratch, named, pick, pieces, spread_join, text_key
 from .components import components
 
@@ -39,6 +46,8 @@ MEMO = 100_000
 CELL, SHARD, TEXT_SHARD = 256, 2048, 256
 #: Pairs whose signatures are compared at once, and shingles of the sets that a shard holds at once.
 STRIDE, HELD = 1 << 14, 400_000
+#: Bits of a Bloom filter for each crowded bucket, or text that is wanted.
+BITS_A_KEY = 16
 
 _rng = np.random.Generator(np.random.PCG64(20_11))
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,11 +85,38 @@ def shingle_hashes(words: list[bytes], n: int, memo: dict) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """The upper halves of the least values under HASHES linear maps."""
+    """Eight bits, the lowest of the upper half, of each of the least values under HASHES linear maps."""
     low = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 2048):
         np.minimum(low, (np.multiply.outer(FACTORS, h[at : at + 2048]) + TERMS[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    return (low >> np.uint64(32)).astype(np.uint8)
+
+
+def buckets_of(signatures: pa.Array) -> np.ndarray:
+    """A row of BANDS buckets for each signature: the number of the band before its bytes, so no two bands share a bucket."""
+    bands = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.int64)
+    return (np.arange(BANDS) << (8 * ROWS)) + (bands << (8 * np.arange(ROWS))).sum(axis=2)
+
+
+def all_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
+        yield pa.record_batch([pa.array(buckets_of(batch.column("signature")).ravel())], names=["bucket"])
+
+
+def seated_nodes(held):
+    """The nodes with a bucket that the filter lets through, and those buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            buckets = buckets_of(batch.column("signature"))
+            ok = may_hold(held.value, buckets.ravel().view(np.uint64)).reshape(buckets.shape)
+            some = ok.any(axis=1)
+            nodes, ok, buckets = batch.filter(pa.array(some)), ok[some], buckets[some]
+            ends = np.concatenate([[0], ok.sum(axis=1).cumsum()])
+            seats = pa.StructArray.from_arrays([pa.array(np.nonzero(ok)[1].astype(np.int32)), pa.array(buckets[ok])], names=["band", "bucket"])
+            yield pa.record_batch([*nodes.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), seats)], names=[*nodes.schema.names, "seats"])
+
+    return run
 
 
 def signed(n: int):
@@ -147,7 +183,7 @@ def surviving(marks: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int])
 
 def open_pairs(shard: pd.DataFrame, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(guest rows, member rows, matches) of pairs in the cells of a shard that cross components and that the signatures leave open, some at a time."""
-    marks = np.frombuffer(b"".join(shard.signature), dtype="<u4").reshape(-1, HASHES)
+    marks = np.frombuffer(b"".join(shard.signature), dtype=f"<u{len(shard.signature.iloc[0]) // HASHES}").reshape(-1, HASHES)
     owner, part, band, node, root, guest, late = (shard[c].to_numpy() for c in ("owner", "part", "band", "node", "root", "guest", "late"))
     order = np.lexsort((part, owner))
     edges = np.flatnonzero(np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (part[order][1:] != part[order][:-1]), [True]]))
@@ -239,12 +275,25 @@ def confirmed_links(least: list[int], n: int, percent: int):
     return run
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``wanted``; texts move only for these."""
-    ids = wanted.join(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")), "node")
-    texts = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("key", text_key(F.col("text")))
-    ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_ROWS else ids
-    rows = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+def sifted(held):
+    """The documents whose text_key the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(held.value, batch.column("text_key").to_numpy().view(np.uint64))))
+
+    return run
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node, first_id, first_key) in ``wanted``; texts move only for these."""
+    texts = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).withColumn("text_key", text_key(F.col("text")))
+    if wanted.count() <= MAX_BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(bloom_filter(wanted.select("first_key").distinct(), BITS_A_KEY))
+        texts = texts.mapInArrow(sifted(held), "doc_id long, text string, text_key long")
+    rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
     return rows.groupBy("node").agg(F.any_value("text").alias("text"))  # repeated rows
 
 
@@ -256,16 +305,17 @@ def dealt(rows: DataFrame, about: int) -> DataFrame:
 
 
 def links_of(cells: DataFrame, nodes: DataFrame, docs: DataFrame, least: list[int], n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Confirmed links (x, y) between guests and members of each cell (owner, part), from rows (owner, part, band, node, root, guest, late)."""
+    """Confirmed links (x, y) between guests and members of each cell (owner, part), from rows (owner, part, band, node, root, guest, late); ``nodes`` has a row for each of theirs at least."""
     cells = scratch.save(cells, "cells")
     marks = nodes.select("node", "signature")
     needed = dealt(cells, SHARD).join(marks, "node").groupBy("shard").applyInPandas(open_nodes(least), "owner long, part int, node long, guest boolean")
     needed = scratch.save(needed, "needed")
     full = scratch.save(cells.join(needed, ["owner", "part", "node", "guest"], "left_semi"), "open")
-    texts = scratch.save(texts_of(docs, nodes, scratch.save(needed.select("node").distinct(), "wanted")), "texts")
-    shards = dealt(full, TEXT_SHARD).join(marks, "node").join(texts, "node")
+    wanted = scratch.save(needed.select("node").distinct().join(nodes.select("node", "first_id", "first_key"), "node"), "wanted")
+    # Texts come dealt by node, as this join needs them: they are neither stored nor moved again before it.
+    shards = dealt(full, TEXT_SHARD).join(marks, "node").join(texts_of(docs, wanted), "node")
     links = scratch.save(shards.groupBy("shard").applyInPandas(confirmed_links(least, n, percent), "x long, y long"), "links")
-    scratch.drop(cells, needed, full, texts)
+    scratch.drop(cells, needed, full, wanted)
     return links
 
 
@@ -296,28 +346,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     scratch.drop(table)
 
     # Buckets with at least two nodes, and their hubs.
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("signature"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)), b))).alias("band", "bucket")
-    banded = nodes.select("node", band)
-    crowded = scratch.save(banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowded")
+    crowded = nodes.select("signature").mapInArrow(all_buckets, "bucket long").groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    crowded = scratch.save(crowded, "crowded")
+    held = docs.sparkSession.sparkContext.broadcast(bloom_filter(crowded.select("bucket"), BITS_A_KEY))  # of bounded size
+    seated = nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "signature")
+    seated = scratch.save(seated.mapInArrow(seated_nodes(held), "node long, first_id long, first_key long, signature binary, seats array<struct<band:int,bucket:long>>"), "seated")
+    banded = seated.select("node", F.inline("seats"))
     seats = scratch.save(spread_join(banded, crowded.withColumn("seats", F.col("crowd")), ["bucket"], "seats", "node"), "seats")
     scratch.drop(crowded)
     central = seats.groupBy("node").agg(F.sum("crowd").alias("central"))
     hubs = scratch.save(seats.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct(F.col("central"), -F.col("node"))).alias("hub"), F.count("*").alias("seated")), "hubs")
-    seated = spread_join(seats, hubs, ["bucket"], "seated", "node")
+    placed = spread_join(seats, hubs, ["bucket"], "seated", "node")
 
     # Every member meets the hubs of its buckets.
-    met = scratch.save(seated.where("node <> hub").select("node", "hub").distinct(), "met")
+    met = scratch.save(placed.where("node <> hub").select("node", "hub").distinct(), "met")
     parts = scratch.save(met.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("met")), "parts")
     no = F.lit(False)
     guests = parts.select(F.col("hub").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(True).alias("guest"))
     members = spread_join(met, parts, ["hub"], "met", "node").select(F.col("hub").alias("owner"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", no.alias("guest"))
     cells = members.union(guests.select("owner", "part", "node", "guest")).select("owner", "part", F.lit(-1).alias("band"), "node", F.col("node").alias("root"), "guest", no.alias("late"))
-    links = links_of(cells, nodes, docs, least, words, percent, scratch)
+    links = links_of(cells, seated, docs, least, words, percent, scratch)
     scratch.drop(met, parts)
     roots = scratch.save(components(links, scratch), "roots")
 
     # Stragglers of a bucket, members outside its hub's component, meet all members but the hub.
-    rooted = scratch.save(seated.where("crowd > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = scratch.save(placed.where("crowd > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     scratch.drop(seats, hubs)
     hub_root = F.max(F.when(F.col("node") == F.col("hub"), F.col("root")))
     split = scratch.save(rooted.groupBy("bucket").agg(hub_root.alias("hub_root"), F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("rooted")).where("a <> b").select("bucket", "hub_root", "rooted"), "split")
@@ -332,7 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         return rows.select("*", mine.alias("mine"), theirs).select(F.col("bucket").alias("owner"), part.cast("int").alias("part"), F.col("band").cast("int").alias("band"), "node", "root", F.lit(guest).alias("guest"), "late")
 
     cells = side(sided, False, "across", "down").union(side(sided.where("late"), True, "down", "across"))
-    more = links_of(cells, nodes, docs, least, words, percent, scratch)
+    more = links_of(cells, seated, docs, least, words, percent, scratch)
     if not more.isEmpty():
         roots = scratch.save(components(more.union(roots.toDF("x", "y")), scratch), "roots")
 

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_hold
 from .common import Scratch, named, pick, pieces, text_key
 
 WORD = re.compile(r"\w+")
@@ -35,12 +36,8 @@ WORD = re.compile(r"\w+")
 #: neighbours of at least two words are parted by one changed word.
 MASKS = ("111100000", "110110000")
 SHORTEST = 5
-#: Bits of the filter for each test window, and at most: beyond that it lets more through, and the join does the rest.
-BITS_A_SEED, MOST_BITS = 64, 29
-#: Odd factors, one for each bit that a window sets.
-FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-#: Words of 64 bits in a row of the filter.
-SEGMENT = 1 << 12
+#: Bits of the filter for each test window.
+BITS_A_SEED = 64
 #: Items that a document is compared with in one row, about.
 ITEMS = 64
 MEMO = 100_000
@@ -173,56 +170,18 @@ def item_seeds(masks: list[str]):
     return run
 
 
-def bloom_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(h * np.uint64(f)) >> np.uint64(64 - bits) for f in FACTORS]
-
-
-def bloom_words(bits: int):
-    """The filter's words that the seeds of a batch set, by segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate(bloom_places(batch.column(0).to_numpy().view(np.uint64), bits))
-            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-            held = np.zeros(len(word), dtype=np.uint64)
-            np.bitwise_or.at(held, inverse, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.record_batch([pa.array(word.astype(np.int64) // SEGMENT), pa.array(word.astype(np.int64) % SEGMENT), pa.array(held.view(np.int64))], names=["segment", "word", "bits"])
-
-    return run
-
-
-def segment(words: pd.DataFrame) -> pd.DataFrame:
-    out = np.zeros(SEGMENT, dtype=np.int64)
-    out[words.word.to_numpy()] = words.bits.to_numpy()
-    return pd.DataFrame({"segment": words.segment.iloc[:1], "held": [out.tobytes()]})
-
-
-def bloom_filter(seeds_table: DataFrame) -> np.ndarray:
-    """The filter of all seeds, of 2**MOST_BITS bits at most: its size is bounded whatever the number of seeds."""
-    distinct = seeds_table.select("seed").distinct()
-    bits = min(MOST_BITS, max(18, (BITS_A_SEED * distinct.count()).bit_length()))
-    words = distinct.mapInArrow(bloom_words(bits), "segment long, word long, bits long").groupBy("segment", "word").agg(F.bit_or("bits").alias("bits"))
-    held = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    for r in words.groupBy("segment").applyInPandas(segment, "segment long, held binary").toLocalIterator():
-        held[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["held"], np.uint64)
-    return held
-
-
 def candidate_rows(held, masks: list[str]):
     """Documents with a window that the filter lets through, and those windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, memo = held.value, WordHashes()
-        bits = (len(bloom) * 64).bit_length() - 1
         for batch in pieces(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 h, at = all_seeds(word_hashes(text, memo), masks)
-                for f in FACTORS:
-                    places = (h * np.uint64(f)) >> np.uint64(64 - bits)
-                    ok = (bloom[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1) == 1
-                    h, at = h[ok], at[ok]
+                ok = may_hold(bloom, h)
+                h, at = h[ok], at[ok]
                 if len(h):
                     out.append((doc_id, text, [{"seed": s, "doc_pos": p} for s, p in zip(h.view(np.int64).tolist(), at.tolist())]))
             columns = list(zip(*out)) if out else [[]] * 3
@@ -337,7 +296,7 @@ def links(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, similarity
     items = scratch.save(benchmark.select(F.monotonically_increasing_id().alias("item_key"), pick(benchmark, "item_id", "long"), F.coalesce(pick(benchmark, "text", "string"), F.lit("")).alias("item_text")), "items")
     masks = [m.rstrip("0") for m in MASKS]
     seeds_table = scratch.save(items.select("item_key", "item_text").mapInArrow(item_seeds(masks), "seed long, item_key long, item_pos long, width long, item_words long"), "seeds")
-    held = spark.sparkContext.broadcast(bloom_filter(seeds_table))  # of bounded size
+    held = spark.sparkContext.broadcast(bloom_filter(seeds_table.select("seed").distinct(), BITS_A_SEED))  # of bounded size
     kinds = "doc_id long, text string, hits array<struct<seed:long,doc_pos:int>>"
     candidates = docs.select(pick(docs, "doc_id", "long"), pick(docs, "text", "string")).mapInArrow(candidate_rows(held, masks), kinds)
     candidates = scratch.save(candidates.withColumn("doc_key", F.monotonically_increasing_id()), "candidates")
