@@ -76,6 +76,52 @@ def test_large_scores_are_exact(spark):
     assert columns(hard_negatives.mine(df)) == mined(rows) != []
 
 
+def test_vectors_meet_anchors_in_bounded_pieces(spark, monkeypatch):
+    """No row holds a block of vectors, so no join or sort holds several; waves of anchors and blocks of rows give what one of each gives."""
+    r = np.random.default_rng(8)
+    rows = [(k, x, k % 10) for k, x in enumerate((r.normal(0, 0.3, (50, 64))[np.arange(3000) % 50] + r.normal(0, 0.2, (3000, 64))).tolist())]
+    df, real, most = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), hard_negatives.Scratch.save, []
+
+    def save(self, table, tag):
+        back = real(self, table, tag)
+        wide = [F.length(c) if t == "binary" else 8 * F.size(c) for c, t in back.dtypes if t == "binary" or t.startswith("array")]
+        most.extend(back.agg(F.max(w)).first()[0] for w in wide)
+        return back
+
+    monkeypatch.setattr(hard_negatives.Scratch, "save", save)
+    got = columns(hard_negatives.mine(df, anchor_every=300))
+    assert got == columns(hard_negatives.mine(df, anchor_every=300, rows_a_block=300, queries_a_block=4)) == mined(rows, 300) and len(got) > 300
+    assert max(most) <= 64 * 8
+
+
+def test_a_task_holds_one_block_whatever_its_rows():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    values = r.normal(0, 60, (16_000, 64)).astype(np.int64)
+    some = np.arange(0, 16_000, 800)
+    held = SimpleNamespace(value=hard_negatives.Queries(some, some, some % 10, values[some], [[]] * len(some)))
+
+    def peak(n):
+        def batches():
+            for at in range(0, n, 500):
+                ids = np.arange(at, at + 500)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 500 * 64 + 1, 64), pa.int32()), pa.array(values[ids].ravel()))
+                yield pa.record_batch([pa.array(ids), pa.array(ids), pa.array(ids % 10), vectors], names=["vec_id", "key", "label", "values"])
+
+        tracemalloc.start()
+        try:
+            list(hard_negatives.find_positives(64, 5, 2000, held)(batches()))
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(16_000) < 1.3 * peak(4000)
+
+
 # Prefix trie.
 
 

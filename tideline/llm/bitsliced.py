@@ -125,15 +125,19 @@ def search(query: np.ndarray, own: int, keys: np.ndarray, mins: np.ndarray, slic
     return rows, scores
 
 
-def quantised(vectors: pa.Array, dims: int) -> np.ndarray:
-    """floor(256 x) of each component as integers; a shorter vector ends in zeros."""
+def padded(vectors: pa.Array, flat: np.ndarray, dims: int) -> np.ndarray:
+    """The components ``flat`` of vectors as rows of integers; a shorter vector ends in zeros."""
     out = np.zeros((len(vectors), dims), dtype=np.int64)
     lengths = np.diff(vectors.offsets.to_numpy())
-    flat = np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
     out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
+def quantised(vectors: pa.Array, dims: int) -> np.ndarray:
+    """floor(256 x) of each component as integers; a shorter vector ends in zeros."""
+    return padded(vectors, np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64), dims)
+
+
 def pack_rows(dims: int):
     """One index row for each partition: its rows in id order."""
 
