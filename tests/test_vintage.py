@@ -84,3 +84,26 @@ def test_programs_of_all_days_are_one_plan_with_one_scan(spark):
         runs = vintage.runs_of(programs, facts, days, points, 50).collect()
         rows[name] = sorted((r["program"], r["world"], str(r["point"]), r["asof"], r["cik"], round(r["value"], 9)) for r in runs)
     assert rows["one day"] == rows["all days"] and len({r[0] for r in rows["all days"]}) == 7 and len({r[2] for r in rows["all days"]}) == 2
+
+
+def test_versions_are_gathered_before_they_meet_the_runs(spark, make):
+    """What is copied for each run is a row for each company and period, not one for each filing; this holds for every built-in program."""
+    from tests.conftest import observation as o
+
+    items = (("Assets", 0, 900.0), ("StockholdersEquity", 0, 300.0), ("NetIncomeLoss", 4, 20.0))
+    filed = ("2022-02-10", "2022-05-10", "2022-11-10")
+    rows = [o(cik, f"{cik}-{k:03d}", filed[k % 3], v * cik + k * k, tag, ddate=ddate, qtrs=q) for cik in (61, 62, 63, 64) for tag, q, v in items for ddate in ("2021-09-30", "2021-12-31") for k in range(60)]
+    facts, days = make(rows), [DAY, dt.date(2022, 9, 30)]
+
+    def made(plan):
+        own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+        return own + [n for k in range(plan.children().size()) for n in made(plan.children().apply(k))]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        panel = vintage.panel_of(vintage.PROGRAM_FUNCTIONS, facts, days, 10)
+        got = {(r["program"], r["world"], r["asof"], r["cik"]): r["value"] for r in panel.collect()}
+        assert 0 < max(made(panel._jdf.queryExecution().executedPlan())) <= 4 * 2 * 2 * len(days)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(r["program"], r["world"], r["asof"], r["cik"]): r["value"] for r in vintage.panel(facts, days, 10).collect()} and len(got) == 4 * 2 * 2 * 4

@@ -40,7 +40,7 @@ Run = tuple[str, dt.date | None, dt.date]
 
 
 class DataHandle:
-    """Read access for a program: whole rows, a convenient latest view that hides when a value was filed, and an as-of view."""
+    """Read access for a program: whole rows, a convenient latest view that hides when a value was filed, an as-of view, and a revised one of what was known by then."""
 
     #: The columns by which a program groups and joins companies.
     key: tuple[str, ...] = ("cik",)
@@ -63,14 +63,21 @@ class DataHandle:
         known = self.frame(tag, qtrs).where((F.col("ddate") <= _as_column(day)) & (F.col("filed") <= _as_column(day)))
         return newest_period(known, ("cik", "ddate", "value", "filed", "adsh"))
 
+    def revised(self, tag: str, qtrs: int, day: Day) -> DataFrame:
+        """(cik, ddate, value): the newest period of which something was filed by the day, in its newest version."""
+        told = (F.col("ddate") <= _as_column(day)) & (F.col("filed") <= _as_column(day))
+        periods = self.frame(tag, qtrs).groupBy("cik", "ddate").agg(F.max_by("value", F.struct("filed", "adsh", "uom")).alias("value"), F.bool_or(told).alias("told"))
+        return periods.where("told").groupBy("cik").agg(F.max_by(F.struct("ddate", "value"), "ddate").alias("r")).select("cik", "r.*")
+
 
 class RunsHandle(DataHandle):
     """The same access for all worlds, points and days at once: rows come once for each run that sees them, with its ``RUN`` columns.
 
     ``day`` is a column here, that of the run or one made of it; a company of a
-    run is told by ``key``. Latest and as-of views gather a period's versions,
-    which the filings of one company bound, before these meet the runs, so what
-    is multiplied is a row for each company and period.
+    run is told by ``key``. Latest, as-of and revised views keep the last
+    version of each day of filing and gather a period's days before these meet
+    the runs, so what is multiplied is a row for each company and period.
+    ``frame`` gives every row once for each run.
     """
 
     key = (*RUN, "cik")
@@ -86,12 +93,15 @@ class RunsHandle(DataHandle):
     def frame(self, tag: str | None = None, qtrs: int | None = None) -> DataFrame:
         return self._met(super().frame(tag, qtrs)).where("world = 'rev' or filed <= asof")
 
-    def _newest(self, tag: str, qtrs: int, ddate_max: Column, filed_max: Column | None) -> DataFrame:
-        version = F.struct("filed", "adsh", "uom", "value")
-        periods = DataHandle.frame(self, tag, qtrs).groupBy("cik", "ddate").agg(F.sort_array(F.collect_list(version)).alias("versions"))
+    def _newest(self, tag: str, qtrs: int, ddate_max: Column, filed_max: Column | None, revised: bool = False) -> DataFrame:
+        """The newest period up to ``ddate_max`` with a version filed by ``filed_max``: in the last such version or, ``revised``, in the last that the run sees."""
+        days = DataHandle.frame(self, tag, qtrs).groupBy("cik", "ddate", "filed").agg(F.max(F.struct("adsh", "uom", "value")).alias("v"))
+        periods = days.select("cik", "ddate", F.struct("filed", "v.*").alias("version")).groupBy("cik", "ddate").agg(F.sort_array(F.collect_list("version")).alias("versions"))
         seen = self._met(periods).where(F.col("ddate") <= ddate_max).withColumn("filed_max", filed_max if filed_max is not None else F.lit(None).cast("date"))
-        known = F.filter("versions", lambda v: ((F.col("world") == "rev") | (v["filed"] <= F.col("asof"))) & (F.col("filed_max").isNull() | (v["filed"] <= F.col("filed_max"))))
-        told = seen.withColumn("v", F.try_element_at(known, F.lit(-1))).where("v is not null")
+        visible = F.filter("versions", lambda v: (F.col("world") == "rev") | (v["filed"] <= F.col("asof")))
+        known = F.filter(visible, lambda v: F.col("filed_max").isNull() | (v["filed"] <= F.col("filed_max")))
+        version = F.when(F.size(known) > 0, F.try_element_at(visible if revised else known, F.lit(-1)))
+        told = seen.withColumn("v", version).where("v is not null")
         return told.groupBy(*self.key).agg(F.max_by(F.struct("ddate", "v"), "ddate").alias("r")).select(*self.key, "r.ddate", "r.v.*")
 
     def latest(self, tag: str, qtrs: int, ddate_max: Column) -> DataFrame:
@@ -100,6 +110,9 @@ class RunsHandle(DataHandle):
     def as_of(self, tag: str, qtrs: int, day: Column) -> DataFrame:
         return self._newest(tag, qtrs, day, day).select(*self.key, "ddate", "value", "filed", "adsh")
 
+    def revised(self, tag: str, qtrs: int, day: Column) -> DataFrame:
+        return self._newest(tag, qtrs, day, day, revised=True).select(*self.key, "ddate", "value")
+
 
 def world_pit(facts: DataFrame, day: dt.date) -> DataHandle:
     return DataHandle(facts.where(F.col("filed") <= F.lit(day)), "pit")
@@ -153,19 +166,12 @@ def later(day: Day, days: int) -> Day:
     return F.date_add(day, days) if isinstance(day, Column) else day + dt.timedelta(days=days)
 
 
-def read_restated(db: DataHandle, tag: str, qtrs: int, day: Day) -> DataFrame:
-    rows, key = db.frame(tag, qtrs), db.key
-    known = F.when((F.col("ddate") <= _as_column(day)) & (F.col("filed") <= _as_column(day)), F.col("ddate"))
-    newest = rows.withColumn("newest", F.max(known).over(Window.partitionBy(*key))).where("ddate = newest")
-    return pick_latest(newest, key, ("filed", "adsh", "uom"), (*key, "ddate", "value"))
-
-
 #: The programs one day at a time; ``panel`` runs them for all days at once.
 PROGRAM_FUNCTIONS: dict[str, Program] = {
     "correct": program(lambda db, tag, qtrs, day: db.as_of(tag, qtrs, day)),
     "naive": program(lambda db, tag, qtrs, day: db.latest(tag, qtrs, day)),
     "lookahead": program(lambda db, tag, qtrs, day: db.latest(tag, qtrs, later(day, LOOKAHEAD_DAYS))),
-    "restated": program(read_restated),
+    "restated": program(lambda db, tag, qtrs, day: db.revised(tag, qtrs, day)),
 }
 
 
